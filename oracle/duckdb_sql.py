@@ -40,6 +40,8 @@ txn AS (
          CASE WHEN event_type = 'error' AND value > 75 THEN 1 ELSE 0 END AS isFraud,
          round(0.6::DOUBLE * CASE WHEN event_type = 'error' THEN least(value / 150e0, 1e0) ELSE 0e0 END
                + 0.4::DOUBLE * k / 100e0, 3) AS fraud_score,
+         round(0.5::DOUBLE * CASE WHEN event_type = 'error' THEN least(value / 157e0, 1e0) ELSE 0e0 END
+               + 0.4::DOUBLE * ((k * 37 + user_id) % 100) / 100e0, 3) AS score_b,
          value * 1 + k % 3 AS V1, value * 2 + k % 4 AS V2, value * 3 + k % 5 AS V3, value * 4 + k % 6 AS V4,
          CASE WHEN k % 4 = 0 THEN NULL ELSE value END * 5 + k % 7 AS V5,
          CASE WHEN k % 4 = 0 THEN NULL ELSE value END * 6 + k % 8 AS V6,
@@ -197,3 +199,375 @@ q("rte5", f"""SELECT decision, CAST(count(*) AS BIGINT) AS n,
    ) GROUP BY decision""", VELO + "," + UIDAGG)
 q("agg5", f"""SELECT decision, CAST(count(*) AS BIGINT) AS n, {R('count(*) / sum(count(*)) OVER ()')} AS rate
    FROM (SELECT {BASE_DECISION} AS decision FROM txn) GROUP BY decision""")
+
+
+# ============================ positions, splits ======================================
+POS = """
+pos AS (SELECT t.*, CAST(row_number() OVER (ORDER BY TransactionDT, TransactionID) - 1 AS BIGINT) AS pos FROM txn t),
+prm AS (SELECT count(*) AS n, count(*) // 6 AS fs,
+               CASE WHEN count(*) // 6 > 1000 THEN 1000 ELSE count(*) // 100 END AS gap FROM txn),
+hb AS (SELECT n, gap, CAST(floor(n * (1 - 0.15::DOUBLE)) AS BIGINT) AS train_end,
+              CASE WHEN CAST(floor(n * (1 - 0.15::DOUBLE)) AS BIGINT) + gap >= n
+                   THEN CAST(floor(n * (1 - 0.15::DOUBLE)) AS BIGINT)
+                   ELSE CAST(floor(n * (1 - 0.15::DOUBLE)) AS BIGINT) + gap END AS test_start FROM prm)"""
+
+q("spl0", "SELECT TransactionID, pos FROM pos", POS)
+q("srt1", "SELECT TransactionID, TransactionDT, pos FROM pos ORDER BY pos", POS)
+q("spl1", """SELECT p.TransactionID, f.fold, CASE WHEN p.pos < f.train_end THEN 'train' ELSE 'val' END AS role
+  FROM pos p JOIN (
+    SELECT CAST(i AS INTEGER) AS fold, fs * (i + 1) AS train_end, fs * (i + 1) + gap AS val_start,
+           least(fs * (i + 1) + gap + fs, n) AS val_end
+    FROM prm, range(5) r(i) WHERE fs * (i + 1) + gap < n) f
+  ON p.pos < f.train_end OR (p.pos >= f.val_start AND p.pos < f.val_end)""", POS)
+q("spl2", """SELECT TransactionID, CASE WHEN pos < train_end THEN 'train' WHEN pos >= test_start THEN 'test'
+              ELSE 'gap' END AS role FROM pos, hb""", POS)
+q("spl3", """SELECT TransactionID,
+    CASE WHEN pos < ie_end THEN 'fit' WHEN pos >= ie_start THEN 'internal_val' ELSE 'gap' END AS inner_role
+  FROM pos, (SELECT train_end AS m,
+                    CAST(floor(train_end * (1 - 0.10::DOUBLE)) AS BIGINT) AS ie_end,
+                    CASE WHEN CAST(floor(train_end * (1 - 0.10::DOUBLE)) AS BIGINT) + gap >= train_end
+                         THEN CAST(floor(train_end * (1 - 0.10::DOUBLE)) AS BIGINT)
+                         ELSE CAST(floor(train_end * (1 - 0.10::DOUBLE)) AS BIGINT) + gap END AS ie_start
+             FROM hb) ie
+  WHERE pos < m""", POS)
+q("set1", """SELECT TransactionID, 0 AS part, CAST(NULL AS VARCHAR) AS card4 FROM pos, prm WHERE pos < n // 2
+  UNION ALL SELECT TransactionID, 1 AS part, card4 FROM pos, prm WHERE pos >= n // 2""", POS)
+q("set3", """SELECT TransactionID, fraud_score, 'train' AS src FROM pos, hb WHERE pos < train_end
+  UNION ALL SELECT TransactionID, fraud_score, 'observed' AS src FROM pos, hb WHERE pos >= test_start""", POS)
+
+# ============================ encoders / canonicalisation / joins ==========================
+PRAW = """
+ns AS (SELECT count(*) AS n_supp FROM supplier),
+praw AS (
+  SELECT o.o_orderkey AS TransactionID,
+         CAST(date_diff('day', DATE '1995-01-01', CAST(o.o_orderdate AS DATE)) * 24 AS INTEGER) AS step,
+         o.o_orderstatus AS type, o.o_totalprice AS amount,
+         'C' || CAST(o.o_custkey AS VARCHAR) AS nameOrig,
+         'M' || CAST(o.o_orderkey % ns.n_supp AS VARCHAR) AS nameDest,
+         c.c_acctbal AS oldbalanceOrg, greatest(c.c_acctbal - o.o_totalprice, 0e0) AS newbalanceOrig,
+         s.s_acctbal AS oldbalanceDest, s.s_acctbal + o.o_totalprice AS newbalanceDest,
+         CASE WHEN o.o_orderpriority = '1-URGENT' AND o.o_totalprice > 400000 THEN 1 ELSE 0 END AS isFraud
+  FROM orders o CROSS JOIN ns
+  LEFT JOIN customer c ON o.o_custkey = c.c_custkey
+  LEFT JOIN supplier s ON s.s_suppkey = o.o_orderkey % ns.n_supp),
+oc AS (SELECT nameOrig, CAST(row_number() OVER (ORDER BY min(TransactionID)) - 1 AS INTEGER) AS orig_code
+       FROM praw GROUP BY nameOrig),
+dc AS (SELECT nameDest, CAST(row_number() OVER (ORDER BY min(TransactionID)) - 1 AS INTEGER) AS dest_code
+       FROM praw GROUP BY nameDest)"""
+
+q("enc1", """SELECT p.TransactionID, coalesce(oc.orig_code, -1) AS orig_code, coalesce(dc.dest_code, -1) AS dest_code
+  FROM praw p LEFT JOIN oc USING (nameOrig) LEFT JOIN dc USING (nameDest)""", PRAW)
+q("enc2", "SELECT p.TransactionID, coalesce(oc.orig_code, -1) AS orig_code FROM praw p LEFT JOIN oc USING (nameOrig)",
+  PRAW)
+q("prj1", f"""SELECT p.TransactionID, CAST(step AS BIGINT) * 3600 AS TransactionDT, {R('amount')} AS TransactionAmt,
+    coalesce(oc.orig_code, -1) AS card1, coalesce(dc.dest_code, -1) AS addr1, type AS card4, 0e0 AS D1,
+    isFraud, {R('oldbalanceOrg - newbalanceOrig')} AS origin_delta,
+    {R('newbalanceDest - oldbalanceDest')} AS dest_delta, {R('oldbalanceOrg - oldbalanceDest')} AS balance_gap,
+    CAST(floor(step / 24) AS INTEGER) AS StepBlock
+  FROM praw p LEFT JOIN oc USING (nameOrig) LEFT JOIN dc USING (nameDest)""", PRAW)
+
+
+def _fit_codes(col: str, keep_null_as_missing: bool = True) -> str:
+    v = f"coalesce({col}, '__MISSING__')" if keep_null_as_missing else col
+    where = "" if keep_null_as_missing else f" AND {col} IS NOT NULL"
+    return (f"c_{col} AS (SELECT v, CAST(row_number() OVER (ORDER BY mp) - 1 AS INTEGER) AS code FROM ("
+            f"SELECT {v} AS v, min(pos) AS mp FROM pos, hb WHERE pos < train_end{where} GROUP BY 1))")
+
+
+q("enc3", """SELECT p.TransactionID, coalesce(a.code, -1) AS card4, coalesce(b.code, -1) AS M4,
+                    coalesce(c.code, -1) AS M9
+  FROM pos p
+  LEFT JOIN c_card4 a ON coalesce(p.card4, '__MISSING__') = a.v
+  LEFT JOIN c_M4 b ON coalesce(p.M4, '__MISSING__') = b.v
+  LEFT JOIN c_M9 c ON coalesce(p.M9, '__MISSING__') = c.v""",
+  POS + "," + ",".join(_fit_codes(c) for c in ("card4", "M4", "M9")))
+q("enc4", "SELECT TransactionID, " + ", ".join(
+    f"{R(f'({c} - mu_{c}) / CASE WHEN coalesce(sd_{c}, 0) = 0 THEN 1 ELSE sd_{c} END')} AS {c}"
+    for c in ("TransactionAmt", "C1", "D1")) + """ FROM pos, (
+      SELECT avg(TransactionAmt) AS mu_TransactionAmt, stddev_pop(TransactionAmt) AS sd_TransactionAmt,
+             avg(C1) AS mu_C1, stddev_pop(C1) AS sd_C1, avg(D1) AS mu_D1, stddev_pop(D1) AS sd_D1
+      FROM pos, hb WHERE pos < train_end) s""", POS)
+q("jn1", """SELECT e.event_id AS TransactionID,
+    CASE WHEN e.event_id % 4 = 0 THEN (CASE WHEN e.k % 2 = 0 THEN 'mobile' ELSE 'desktop' END) END AS DeviceType
+  FROM ev e""")
+q("jn2", "SELECT p.TransactionID, coalesce(c.code, -1) AS M9_code FROM pos p LEFT JOIN c_M9 c ON p.M9 = c.v",
+  POS + "," + _fit_codes("M9", keep_null_as_missing=False))
+q("jn3", f"""SELECT TransactionID, {R('avg(TransactionAmt) OVER (PARTITION BY card1)')} AS card_mean_amt,
+              CAST(count(*) OVER (PARTITION BY card1) AS BIGINT) AS card_n FROM txn""")
+q("jn4", """SELECT TransactionID, UID, isFraud, fraud_score AS model_a, score_b AS model_b FROM feat2""")
+q("jn5", f"""SELECT TransactionID, {R('p95')} AS amt_p95, CASE WHEN TransactionAmt > p95 THEN 1 ELSE 0 END AS above_p95
+  FROM txn, (SELECT quantile_cont(TransactionAmt, 0.95) AS p95 FROM txn)""")
+
+# ============================ sorts / top-k ==============================================
+q("srt2", "SELECT TransactionID, fraud_score FROM pos ORDER BY fraud_score DESC, pos LIMIT 1", POS)
+q("srt3", "SELECT TransactionID, fraud_score FROM pos ORDER BY fraud_score DESC, pos LIMIT 10", POS)
+_TOPK = ", ".join(f"({p}::DOUBLE)" for p in (0.001, 0.005, 0.01, 0.02, 0.05, 0.10))
+q("srt6", f"""SELECT {R('p * 100')} AS top_percent, n_top AS n_reviewed,
+    CAST(coalesce((SELECT sum(isFraud) FROM rk WHERE rk.r < n_top), 0) AS BIGINT) AS fraud_captured,
+    {R('coalesce((SELECT sum(isFraud) FROM rk WHERE rk.r < n_top), 0) / n_top')} AS precision,
+    {R('coalesce((SELECT sum(isFraud) FROM rk WHERE rk.r < n_top), 0) / greatest(Fr, 1)')} AS recall,
+    {R('CASE WHEN Fr > 0 THEN (coalesce((SELECT sum(isFraud) FROM rk WHERE rk.r < n_top), 0) / n_top) / (Fr / N) END')}
+      AS lift
+  FROM (SELECT p, CAST(greatest(1, ceil(N * p)) AS BIGINT) AS n_top, N, Fr
+        FROM (VALUES {_TOPK}) v(p), (SELECT count(*) AS N, sum(isFraud) AS Fr FROM txn))""",
+  "rk AS (SELECT isFraud, row_number() OVER (ORDER BY fraud_score DESC, TransactionID) - 1 AS r FROM txn)")
+
+# ============================ aggregates ====================================================
+_TXN_COLS = (["TransactionID", "TransactionDT", "TransactionAmt", "card1", "addr1", "card4", "D1", "D15", "C1",
+              "C13", "C14", "M4", "M9", "isFraud", "fraud_score", "score_b"] + [f"V{i}" for i in range(1, 13)])
+q("agg1", "SELECT " + ", ".join(f"{R(f'avg(CASE WHEN {c} IS NULL THEN 1e0 ELSE 0e0 END)')} AS {c}"
+                                for c in _TXN_COLS) + " FROM txn")
+q("agg2", "SELECT " + ", ".join(
+    f"count(DISTINCT {c}) + max(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END) AS nunique_{c}"
+    for c in ("UID", "D1", "addr1", "M4")) + " FROM feat2")
+q("agg3", f"""SELECT isFraud, CAST(count(*) AS BIGINT) AS n, {R('count(*) / sum(count(*)) OVER ()')} AS rate
+              FROM txn GROUP BY isFraud""")
+_AGG4 = [("p25", 0.25), ("p50", 0.5), ("p75", 0.75), ("p95", 0.95)] + [(f"d{i}", i / 10) for i in range(1, 10)]
+q("agg4", "SELECT " + ", ".join(f"{R(f'quantile_cont(TransactionAmt, {p})')} AS {n}" for n, p in _AGG4)
+  + " FROM txn")
+q("agg6", f"""SELECT score_decile, CAST(count(*) AS BIGINT) AS n, CAST(sum(isFraud) AS BIGINT) AS fraud_n,
+    {R('avg(isFraud)')} AS fraud_rate, {R('avg(fraud_score)')} AS mean_score,
+    {R('min(fraud_score)')} AS min_score, {R('max(fraud_score)')} AS max_score
+  FROM (SELECT isFraud, fraud_score,
+               CAST(greatest(0, (r0 * 10 + (n - 1) - 1) // (n - 1) - 1) AS INTEGER) AS score_decile
+        FROM (SELECT isFraud, fraud_score, row_number() OVER (ORDER BY fraud_score, TransactionID) - 1 AS r0,
+                     count(*) OVER () AS n FROM txn))
+  GROUP BY score_decile""")
+
+
+def _edges_sql(n_bins: int = 10) -> list[str]:
+    step = 1.0 / n_bins
+    return [f"({repr(i * step)})::DOUBLE" for i in range(n_bins)] + ["1.0::DOUBLE"]
+
+
+def _bin_expr(s: str, closed_last: bool) -> str:
+    e = _edges_sql()
+    cnt = " + ".join(f"CASE WHEN {s} >= {e[i]} THEN 1 ELSE 0 END" for i in range(10)) + " - 1"
+    if closed_last:
+        return f"CASE WHEN {s} >= 0 AND {s} <= 1.0 THEN least({cnt}, 9) END"
+    return f"CASE WHEN {s} >= 0 AND {s} < 1.0 THEN {cnt} END"
+
+
+DAYCURVE = f"""
+dd AS (SELECT *, CAST(floor(TransactionDT / 86400) AS INTEGER) AS day FROM txn),
+pts AS (SELECT day, fraud_score AS s, sum(isFraud) AS pos, count(*) - sum(isFraud) AS neg FROM dd GROUP BY day, fraud_score),
+cum AS (SELECT *, sum(pos) OVER (PARTITION BY day ORDER BY s DESC) AS tp,
+               sum(neg) OVER (PARTITION BY day ORDER BY s DESC) AS fp,
+               sum(pos) OVER (PARTITION BY day) AS P, sum(neg) OVER (PARTITION BY day) AS N FROM pts),
+dm AS (SELECT day, sum(neg * (2 * tp - pos)) / (2.0 * max(P) * max(N)) AS roc_auc,
+              sum(pos * tp / (tp + fp)) / max(P) AS pr_auc FROM cum GROUP BY day),
+db AS (SELECT day, avg((fraud_score - isFraud) ^ 2) AS brier, count(*) AS nday FROM dd GROUP BY day),
+de AS (SELECT day, sum(n / nday * abs(conf - acc)) AS ece_10bin FROM (
+         SELECT day, b, count(*) AS n, avg(fraud_score) AS conf, avg(isFraud) AS acc
+         FROM (SELECT day, fraud_score, isFraud, {_bin_expr('fraud_score', True)} AS b FROM dd) WHERE b IS NOT NULL
+         GROUP BY day, b) JOIN db USING (day) GROUP BY day),
+runs AS (SELECT 'roc_auc' AS metric, roc_auc AS value FROM dm UNION ALL SELECT 'pr_auc', pr_auc FROM dm
+         UNION ALL SELECT 'brier', brier FROM db UNION ALL SELECT 'ece_10bin', ece_10bin FROM de)"""
+q("agg7", f"""SELECT metric, CAST(count(value) AS BIGINT) AS n_runs, {R('avg(value)')} AS mean,
+    {R('CASE WHEN count(value) > 1 THEN stddev_samp(value) ELSE 0 END')} AS std,
+    {R('min(value)')} AS min, {R('max(value)')} AS max,
+    {R('avg(value) - CASE WHEN count(value) > 1 THEN (CASE WHEN count(value) = 3 THEN 4.303 ELSE 1.96 END) * stddev_samp(value) / sqrt(count(value)) ELSE 0 END')} AS ci95_low,
+    {R('avg(value) + CASE WHEN count(value) > 1 THEN (CASE WHEN count(value) = 3 THEN 4.303 ELSE 1.96 END) * stddev_samp(value) / sqrt(count(value)) ELSE 0 END')} AS ci95_high
+  FROM runs GROUP BY metric""", DAYCURVE)
+
+# ============================ evaluation ======================================================
+CURVE = """
+pts AS (SELECT fraud_score AS threshold, CAST(sum(isFraud) AS BIGINT) AS pos,
+               CAST(count(*) - sum(isFraud) AS BIGINT) AS neg FROM txn GROUP BY fraud_score),
+cum AS (SELECT *, CAST(sum(pos) OVER (ORDER BY threshold DESC) AS BIGINT) AS tp,
+               CAST(sum(neg) OVER (ORDER BY threshold DESC) AS BIGINT) AS fp,
+               sum(pos) OVER () AS P, sum(neg) OVER () AS N FROM pts),
+pr AS (SELECT *, tp / (tp + fp) AS precision, tp / P AS recall FROM cum)"""
+q("evl0", f"SELECT {R('threshold')} AS threshold, pos, neg, tp, fp FROM cum", CURVE)
+q("evl1", f"SELECT {R('sum(neg * (2 * tp - pos)) / (2.0 * max(P) * max(N))')} AS roc_auc FROM cum", CURVE)
+q("evl2", f"SELECT {R('sum(pos * tp / (tp + fp)) / max(P)')} AS pr_auc FROM cum", CURVE)
+q("evl4", f"""SELECT {R('threshold')} AS threshold, {R('f1')} AS f1, {R('precision')} AS precision,
+    {R('recall')} AS recall FROM (SELECT *, 2 * precision * recall / (precision + recall + 1e-9) AS f1 FROM pr)
+  ORDER BY f1 DESC, threshold ASC LIMIT 1""", CURVE)
+q("evl4b", f"""SELECT {R('threshold')} AS threshold, {R('precision')} AS precision, {R('recall')} AS recall,
+    {R('f1')} AS f1 FROM (SELECT *, 2 * precision * recall / greatest(precision + recall, 1e-12) AS f1 FROM pr)
+  ORDER BY f1 DESC, threshold ASC LIMIT 1""", CURVE)
+CM = """cm AS (SELECT count(*) FILTER (WHERE fraud_score < 0.5 AND isFraud = 0) AS tn,
+                  count(*) FILTER (WHERE fraud_score >= 0.5 AND isFraud = 0) AS fp,
+                  count(*) FILTER (WHERE fraud_score < 0.5 AND isFraud = 1) AS fn,
+                  count(*) FILTER (WHERE fraud_score >= 0.5 AND isFraud = 1) AS tp FROM txn)"""
+
+
+def _p(tp, fp):
+    return f"CASE WHEN {tp} + {fp} > 0 THEN {tp} / ({tp} + {fp}) ELSE 0 END"
+
+
+def _f1(tp, fp, fn):
+    return f"CASE WHEN 2 * {tp} + {fp} + {fn} > 0 THEN 2 * {tp} / (2 * {tp} + {fp} + {fn}) ELSE 0 END"
+
+
+q("evl3", f"""SELECT '0' AS label, {R(_p('tn', 'fn'))} AS precision, {R(_p('tn', 'fp'))} AS recall,
+    {R(_f1('tn', 'fn', 'fp'))} AS f1, tn + fp AS support FROM cm
+  UNION ALL SELECT '1', {R(_p('tp', 'fp'))}, {R(_p('tp', 'fn'))}, {R(_f1('tp', 'fp', 'fn'))}, tp + fn FROM cm
+  UNION ALL SELECT 'accuracy', NULL, NULL, {R('(tp + tn) / (tp + tn + fp + fn)')}, tp + tn + fp + fn FROM cm
+  UNION ALL SELECT 'macro avg', {R(f"({_p('tn', 'fn')} + {_p('tp', 'fp')}) / 2")},
+    {R(f"({_p('tn', 'fp')} + {_p('tp', 'fn')}) / 2")}, {R(f"({_f1('tn', 'fn', 'fp')} + {_f1('tp', 'fp', 'fn')}) / 2")},
+    tp + tn + fp + fn FROM cm
+  UNION ALL SELECT 'weighted avg',
+    {R(f"(({_p('tn', 'fn')}) * (tn + fp) + ({_p('tp', 'fp')}) * (tp + fn)) / (tp + tn + fp + fn)")},
+    {R(f"(({_p('tn', 'fp')}) * (tn + fp) + ({_p('tp', 'fn')}) * (tp + fn)) / (tp + tn + fp + fn)")},
+    {R(f"(({_f1('tn', 'fn', 'fp')}) * (tn + fp) + ({_f1('tp', 'fp', 'fn')}) * (tp + fn)) / (tp + tn + fp + fn)")},
+    tp + tn + fp + fn FROM cm""", CM)
+q("evl9", "SELECT tn, fp, fn, tp FROM cm", CM)
+q("evl5", f"""SELECT {R('t')} AS t, {R(_f1('tp', 'fp', 'P - tp'))} AS f1, {R(_p('tp', 'fp'))} AS precision,
+    {R(_p('tp', 'P - tp'))} AS recall
+  FROM (SELECT t, count(*) FILTER (WHERE fraud_score >= t AND isFraud = 1) AS tp,
+               count(*) FILTER (WHERE fraud_score >= t AND isFraud <> 1) AS fp,
+               (SELECT count(*) FROM txn WHERE isFraud = 1) AS P
+        FROM txn, (SELECT 0.05::DOUBLE + i * 0.05::DOUBLE AS t FROM range(18) r(i)) GROUP BY t)""")
+q("evl6", f"""SELECT {R('sum(n / total * abs(acc - conf))')} AS ece FROM (
+    SELECT b, count(*) AS n, avg(fraud_score) AS conf, avg(isFraud) AS acc, any_value(total) AS total
+    FROM (SELECT *, {_bin_expr('fraud_score', False)} AS b, count(*) OVER () AS total FROM txn)
+    WHERE b IS NOT NULL GROUP BY b)""")
+_E = _edges_sql()
+q("evl7", f"""SELECT bins.bin, {R(f"[{', '.join(_E[:-1])}][bins.bin + 1]")} AS score_min,
+    {R(f"[{', '.join(_E[1:])}][bins.bin + 1]")} AS score_max, coalesce(s.n, 0) AS n,
+    {R('s.mean_score')} AS mean_score, {R('s.fraud_rate')} AS fraud_rate, {R('abs(s.mean_score - s.fraud_rate)')} AS abs_gap
+  FROM (SELECT CAST(i AS INTEGER) AS bin FROM range(10) r(i)) bins LEFT JOIN (
+    SELECT b AS bin, count(*) AS n, avg(fraud_score) AS mean_score, avg(isFraud) AS fraud_rate
+    FROM (SELECT *, {_bin_expr('fraud_score', True)} AS b FROM txn) WHERE b IS NOT NULL GROUP BY b) s
+  ON bins.bin = s.bin""")
+q("evl8", f"SELECT {R('avg((fraud_score - isFraud) ^ 2)')} AS brier FROM txn")
+_DEC = "CASE WHEN fraud_score >= 0.6 THEN 'AUTO_BLOCK' WHEN fraud_score >= 0.35 THEN 'HITL_REVIEW' ELSE 'ALLOW' END"
+q("evl10", f"""SELECT policy, tp, fp, tn, fn, {R(_p('tp', 'fp'))} AS precision, {R(_p('tp', 'fn'))} AS recall,
+    {R(_f1('tp', 'fp', 'fn'))} AS f1, {R('(tp + fp) / (tp + fp + tn + fn)')} AS review_or_block_rate
+  FROM (SELECT policy,
+          count(*) FILTER (WHERE hit AND isFraud = 1) AS tp, count(*) FILTER (WHERE hit AND isFraud <> 1) AS fp,
+          count(*) FILTER (WHERE NOT hit AND isFraud <> 1) AS tn, count(*) FILTER (WHERE NOT hit AND isFraud = 1) AS fn
+        FROM (SELECT 'auto_block_only' AS policy, ({_DEC}) = 'AUTO_BLOCK' AS hit, isFraud FROM txn
+              UNION ALL SELECT 'auto_block_or_hitl', ({_DEC}) IN ('AUTO_BLOCK', 'HITL_REVIEW'), isFraud FROM txn)
+        GROUP BY policy)""")
+q("evl11", f"""SELECT n_holdout, fraud_n, {R('fraud_rate')} AS fraud_rate, {R('roc_auc')} AS roc_auc,
+    {R('pr_auc')} AS pr_auc, {R('brier')} AS brier, {R('ece_10bin')} AS ece_10bin,
+    {R('bt')} AS best_f1_threshold, {R('bp')} AS best_f1_precision, {R('br')} AS best_f1_recall,
+    {R('bf')} AS best_f1,
+    (SELECT count(*) FROM txn WHERE fraud_score >= bt AND isFraud = 1) AS tp_at_best_f1,
+    (SELECT count(*) FROM txn WHERE fraud_score >= bt AND isFraud = 0) AS fp_at_best_f1,
+    (SELECT count(*) FROM txn WHERE fraud_score < bt AND isFraud = 0) AS tn_at_best_f1,
+    (SELECT count(*) FROM txn WHERE fraud_score < bt AND isFraud = 1) AS fn_at_best_f1
+  FROM (SELECT count(*) AS n_holdout, CAST(sum(isFraud) AS BIGINT) AS fraud_n, avg(isFraud) AS fraud_rate,
+               avg((fraud_score - isFraud) ^ 2) AS brier FROM txn),
+       (SELECT sum(neg * (2 * tp - pos)) / (2.0 * max(P) * max(N)) AS roc_auc, sum(pos * tp / (tp + fp)) / max(P) AS pr_auc
+        FROM cum),
+       (SELECT sum(n / total * abs(conf - acc)) AS ece_10bin FROM (
+          SELECT b, count(*) AS n, avg(fraud_score) AS conf, avg(isFraud) AS acc, any_value(total) AS total
+          FROM (SELECT *, {_bin_expr('fraud_score', True)} AS b, count(*) OVER () AS total FROM txn)
+          WHERE b IS NOT NULL GROUP BY b)),
+       (SELECT threshold AS bt, precision AS bp, recall AS br, f1 AS bf FROM (
+          SELECT *, 2 * precision * recall / greatest(precision + recall, 1e-12) AS f1 FROM pr)
+        ORDER BY f1 DESC, threshold ASC LIMIT 1)""", CURVE)
+q("evl12", f"""SELECT g.isFraud, g.bin, coalesce(c.n, 0) AS n,
+    {R('coalesce(c.n, 0) / (g.cn * CASE WHEN g.hi - g.lo > 0 THEN (g.hi - g.lo) / 50 ELSE 1 END)')} AS density
+  FROM (SELECT r.isFraud, r.lo, r.hi, r.cn, CAST(i AS INTEGER) AS bin FROM (
+          SELECT isFraud, min(fraud_score) AS lo, max(fraud_score) AS hi, count(*) AS cn FROM txn GROUP BY isFraud) r,
+        range(50) b(i)) g
+  LEFT JOIN (SELECT t.isFraud, CAST(CASE WHEN r.hi - r.lo > 0
+                  THEN least(floor((t.fraud_score - r.lo) * 50 / (r.hi - r.lo)), 49) ELSE 0 END AS INTEGER) AS bin,
+                  count(*) AS n
+             FROM txn t JOIN (SELECT isFraud, min(fraud_score) AS lo, max(fraud_score) AS hi FROM txn GROUP BY isFraud) r
+             USING (isFraud) GROUP BY 1, 2) c
+  ON g.isFraud = c.isFraud AND g.bin = c.bin""")
+
+# ============================ statistics ========================================================
+q("sta1", f"""SELECT b, c, {R('CASE WHEN b + c = 0 THEN 0 ELSE (abs(b - c) - 1.0) ^ 2 / (b + c) END')} AS statistic,
+    b + c AS discordant
+  FROM (SELECT count(*) FILTER (WHERE ((fraud_score >= 0.5)::INT = isFraud) AND NOT ((score_b >= 0.5)::INT = isFraud)) AS b,
+               count(*) FILTER (WHERE NOT ((fraud_score >= 0.5)::INT = isFraud) AND ((score_b >= 0.5)::INT = isFraud)) AS c
+        FROM txn)""")
+q("sta2", f"""SELECT count(d) AS n, {R('CASE WHEN count(d) < 2 THEN NULL WHEN stddev_samp(d) = 0 THEN 0 ELSE avg(d) / stddev_samp(d) END')} AS cohens_d
+  FROM (SELECT fraud_score - score_b AS d FROM txn)""")
+q("sta3", f"""SELECT count(d) AS n, {R('CASE WHEN count(d) < 2 THEN NULL ELSE avg(d) * sqrt(count(d)) / stddev_samp(d) END')} AS statistic,
+    count(d) - 1 AS dof FROM (SELECT fraud_score - score_b AS d FROM txn)""")
+
+# ============================ drift =============================================================
+_DRIFT = ["TransactionAmt", "C1", "C13", "C14", "D1", "D15", "V1", "V5", "V9"]
+
+
+def _long(where: str, side: str, fill: bool) -> str:
+    sel = ", ".join((f"coalesce({c}, -999e0) AS {c}" if fill else c) for c in _DRIFT)
+    return (f"SELECT '{side}' AS side, feature, value FROM (UNPIVOT (SELECT {sel} FROM pos, hb WHERE {where}) "
+            f"ON {', '.join(_DRIFT)} INTO NAME feature VALUE value)")
+
+
+PSI_PROBS = "[" + ", ".join(repr(i / 10) for i in range(11)) + "]"
+
+
+def _psi_sql(long_cte: str, tiers: str) -> str:
+    return f"""{long_cte},
+bp AS (SELECT feature, list_sort(list_distinct(quantile_cont(value, {PSI_PROBS}))) AS bp
+       FROM lf WHERE side = 'e' GROUP BY feature),
+bj AS (SELECT l.side, l.feature, l.value, b.bp, len(b.bp) - 1 AS nb FROM lf l JOIN bp b USING (feature)
+       WHERE l.value >= b.bp[1] AND l.value <= b.bp[len(b.bp)]),
+cnt AS (SELECT feature, CASE WHEN nb <= 1 THEN 0 ELSE len(list_filter(bp[2:nb], lambda e: e <= value)) END AS bin,
+               count(*) FILTER (WHERE side = 'e') AS ec, count(*) FILTER (WHERE side = 'a') AS ac
+        FROM bj GROUP BY 1, 2),
+grid AS (SELECT feature, len(bp) - 1 AS nb, unnest(range(0, len(bp) - 1)) AS bin FROM bp),
+g AS (SELECT grid.feature, grid.nb, grid.bin, coalesce(cnt.ec, 0) AS ec, coalesce(cnt.ac, 0) AS ac
+      FROM grid LEFT JOIN cnt USING (feature, bin)),
+g2 AS (SELECT *, sum(ec) OVER (PARTITION BY feature) AS E, sum(ac) OVER (PARTITION BY feature) AS A FROM g),
+psi AS (SELECT feature, CASE WHEN max(nb) + 1 < 3 THEN 0e0 ELSE
+          sum(((ac + 1) / (A + nb) - (ec + 1) / (E + nb)) * ln(((ac + 1) / (A + nb)) / ((ec + 1) / (E + nb)))) END AS psi
+        FROM g2 GROUP BY feature),
+allf AS (SELECT bp.feature, coalesce(psi.psi, 0e0) AS psi FROM bp LEFT JOIN psi USING (feature))
+SELECT feature, {R('psi')} AS psi, {tiers} AS tier FROM allf"""
+
+
+_TIER = ("CASE WHEN psi >= 0.25 THEN 'significant' WHEN psi >= 0.10 THEN 'moderate' ELSE 'stable' END")
+_STIER = ("CASE WHEN psi >= 1.0 THEN 'extreme' WHEN psi >= 0.25 THEN 'significant' "
+          "WHEN psi >= 0.10 THEN 'moderate' ELSE 'stable' END")
+ORACLES["drf1"] = "WITH " + TXN + "," + POS + "," + _psi_sql(
+    f"lf AS ({_long('pos < train_end', 'e', True)} UNION ALL {_long('pos >= test_start', 'a', True)})", _TIER)
+ORACLES["drf2"] = "WITH " + TXN + "," + POS + "," + _psi_sql(
+    """lf AS (SELECT 'e' AS side, 'fraud_score' AS feature, fraud_score AS value FROM pos, hb WHERE pos < train_end
+              AND fraud_score IS NOT NULL
+              UNION ALL SELECT 'a', 'fraud_score', fraud_score FROM pos, hb WHERE pos >= test_start
+              AND fraud_score IS NOT NULL)""", _STIER)
+
+WASS = f"""
+lf AS ({_long('pos < train_end', '0', False)} UNION ALL {_long('pos >= test_start', '1', False)}),
+vc AS (SELECT feature, value, count(*) FILTER (WHERE side = '0') AS ca, count(*) FILTER (WHERE side = '1') AS cb
+       FROM lf WHERE value IS NOT NULL GROUP BY 1, 2),
+nn AS (SELECT feature, sum(ca) AS na, sum(cb) AS nb FROM vc GROUP BY 1 HAVING sum(ca) > 0 AND sum(cb) > 0),
+cdf AS (SELECT v.feature, v.value,
+          sum(ca) OVER w / na AS Fa, sum(cb) OVER w / nb AS Fb,
+          lead(v.value) OVER (PARTITION BY v.feature ORDER BY v.value) AS nxt
+        FROM vc v JOIN nn USING (feature)
+        WINDOW w AS (PARTITION BY v.feature ORDER BY v.value ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+wd AS (SELECT feature, coalesce(sum(abs(Fa - Fb) * (nxt - value)), 0) AS wasserstein_distance FROM cdf GROUP BY feature)"""
+q("drf3", f"""SELECT feature, {R('wasserstein_distance')} AS wasserstein_distance,
+    CASE WHEN wasserstein_distance > 0.1 THEN 'DRIFT' ELSE 'STABLE' END AS status FROM wd""", POS + "," + WASS)
+q("srt4", f"""SELECT feature, {R('wasserstein_distance')} AS wasserstein_distance,
+    CASE WHEN wasserstein_distance > 0.1 THEN 'DRIFT' ELSE 'STABLE' END AS status FROM wd
+  ORDER BY wasserstein_distance DESC, feature LIMIT 5""", POS + "," + WASS)
+
+# ============================ fairness ===========================================================
+FAIR = f"""
+rt AS (SELECT card4, isFraud, ({_DEC}) AS decision FROM txn WHERE card4 IS NOT NULL),
+dpg AS (SELECT card4, CAST(count(*) AS BIGINT) AS size,
+               round_even(avg(CASE WHEN decision = 'AUTO_BLOCK' THEN 1e0 ELSE 0e0 END), 4) AS block_rate
+        FROM rt GROUP BY card4),
+dpd AS (SELECT CASE WHEN count(*) >= 2 THEN max(block_rate) - min(block_rate) ELSE 0e0 END AS dp_difference FROM dpg),
+eog AS (SELECT card4, CAST(count(*) AS BIGINT) AS size,
+          round_even(CASE WHEN count(*) FILTER (WHERE isFraud = 1) > 0 THEN
+            count(*) FILTER (WHERE isFraud = 1 AND decision = 'AUTO_BLOCK') / count(*) FILTER (WHERE isFraud = 1)
+            ELSE 0e0 END, 4) AS tpr,
+          round_even(CASE WHEN count(*) FILTER (WHERE isFraud <> 1) > 0 THEN
+            count(*) FILTER (WHERE isFraud <> 1 AND decision = 'AUTO_BLOCK') / count(*) FILTER (WHERE isFraud <> 1)
+            ELSE 0e0 END, 4) AS fpr
+        FROM rt GROUP BY card4),
+eod AS (SELECT CASE WHEN count(*) >= 2 THEN max(tpr) - min(tpr) ELSE 0e0 END AS tpr_difference,
+               CASE WHEN count(*) >= 2 THEN max(fpr) - min(fpr) ELSE 0e0 END AS fpr_difference FROM eog)"""
+q("fai1", f"SELECT card4, size, {R('block_rate')} AS block_rate, {R('dp_difference')} AS dp_difference FROM dpg, dpd",
+  FAIR)
+q("fai2", f"""SELECT card4, size, {R('tpr')} AS tpr, {R('fpr')} AS fpr, {R('tpr_difference')} AS tpr_difference,
+    {R('fpr_difference')} AS fpr_difference FROM eog, eod""", FAIR)
+q("fai3", f"""SELECT d.card4, d.size, {R('block_rate')} AS block_rate, {R('dp_difference')} AS dp_difference,
+    {R('tpr')} AS tpr, {R('fpr')} AS fpr, {R('tpr_difference')} AS tpr_difference,
+    {R('fpr_difference')} AS fpr_difference,
+    CASE WHEN dp_difference >= 0.05 OR tpr_difference >= 0.05 OR fpr_difference >= 0.05 THEN 1 ELSE 0 END AS warning
+  FROM dpg d JOIN eog e USING (card4), dpd, eod""", FAIR)

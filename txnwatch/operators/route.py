@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from txnwatch.functions.columns import r6
+from txnwatch.operators.scan import exact_quantile_row
 
 # Fixed decision labels and default thresholds.
 AUTO_BLOCK = "AUTO_BLOCK"
@@ -30,8 +31,8 @@ def route_transactions(df: DataFrame, score: str = "fraud_score", amount: str |
     """Add ``decision``: base tiers, then the high-value, cold-start and
     new-client promotions of ALLOW rows to HITL_REVIEW, in that order.
 
-    The amount percentile is one exact linear-interpolation aggregate joined
-    back as a one-row broadcast.  ``amount_reference`` (default ``df``) is the
+    The amount percentile is an exact, distributed linear-interpolation
+    quantile joined back as a one-row broadcast.  ``amount_reference`` (default ``df``) is the
     frame the percentile is taken over; pass the un-featured source so the
     percentile does not re-run the feature windows.
     """
@@ -42,7 +43,7 @@ def route_transactions(df: DataFrame, score: str = "fraud_score", amount: str |
     staged = df
     if amount is not None:
         ref = df if amount_reference is None else amount_reference
-        p = ref.agg(F.percentile(F.col(amount), amount_percentile / 100.0).alias("_amt_pctl"))
+        p = exact_quantile_row(ref, amount, [amount_percentile / 100.0], ["_amt_pctl"])
         staged = staged.crossJoin(F.broadcast(p))
         decision = F.when((F.col(amount) > F.col("_amt_pctl")) & (s >= review) & (decision == ALLOW),
                           F.lit(HITL_REVIEW)).otherwise(decision)

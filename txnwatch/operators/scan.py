@@ -241,3 +241,105 @@ def keyed_rolling(df: DataFrame, keys, rn_col: str, lookback: int,
     w = Window.partitionBy(*keys, "_sub").orderBy(F.col(rn_col))
     cols = build(w)
     return staged.withColumns(cols).filter(F.col("_copy") == 0).drop("_copy", "_sub")
+
+
+def with_value_chunks(df: DataFrame, keys, value_col: str, chunk_col: str = "_vchunk",
+                      n_chunks: int = 1, accuracy: int = 10000) -> DataFrame:
+    """Per-key value-range chunk id (``n_chunks`` approximate quantile ranges).
+
+    For a global order (no keys) the cut points come from ``approxQuantile``;
+    per key they come from one grouped ``percentile_approx`` whose result has
+    ``#keys x n_chunks`` values (bounded by the key count, joined back).
+    Equal values always share a chunk.
+    """
+    keys = _as_list(keys)
+    if n_chunks <= 1:
+        return df.withColumn(chunk_col, F.lit(0))
+    if not keys:
+        return with_value_bucket(df, value_col, value_range_buckets(df, value_col, n_chunks), chunk_col)
+    probs = [i / n_chunks for i in range(1, n_chunks)]
+    cuts = df.groupBy(*keys).agg(
+        F.percentile_approx(F.col(value_col).cast("double"), probs, accuracy).alias("_cuts"))
+    x = F.col(value_col).cast("double")
+    return (df.join(cuts, keys, "left")
+            .withColumn(chunk_col, F.coalesce(F.size(F.filter(F.array_distinct("_cuts"), lambda c: c <= x)),
+                                              F.lit(0)))
+            .drop("_cuts"))
+
+
+def keyed_prefix_sums(df: DataFrame, keys, order_cols: Sequence[str], sums: dict[str, Column],
+                      chunk_col: str | None = None) -> DataFrame:
+    """Inclusive running sums ``name__cum`` in ``order_cols`` order within ``keys``.
+
+    With ``chunk_col`` (a chunk id that is monotone in the order, e.g. from
+    :func:`with_value_chunks`), each (key, chunk) is scanned by its own task
+    and offset by the totals of the earlier chunks of the key.
+    """
+    keys = _as_list(keys)
+    order = _order_exprs(order_cols)
+    staged = df.select("*", *[c.alias(f"_s_{n}") for n, c in sums.items()])
+    part = keys + ([chunk_col] if chunk_col else [])
+    w = (Window.partitionBy(*part) if part else Window.partitionBy(F.lit(0))).orderBy(*order) \
+        .rowsBetween(Window.unboundedPreceding, 0)
+    local = staged.withColumns({f"_l_{n}": F.sum(f"_s_{n}").over(w) for n in sums})
+    if not chunk_col:
+        return local.withColumns({f"{n}__cum": F.col(f"_l_{n}") for n in sums}).drop(
+            *[f"_s_{n}" for n in sums], *[f"_l_{n}" for n in sums])
+    totals = staged.groupBy(*part).agg(*[F.sum(f"_s_{n}").alias(f"_t_{n}") for n in sums])
+    wp = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy(chunk_col) \
+        .rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*part, *[F.coalesce(F.sum(f"_t_{n}").over(wp), F.lit(0)).alias(f"_o_{n}")
+                                     for n in sums])
+    joined = local.join(offsets, part, "left")
+    return joined.withColumns({f"{n}__cum": F.col(f"_o_{n}") + F.col(f"_l_{n}") for n in sums}).drop(
+        *[f"_{p}_{n}" for n in sums for p in ("s", "l", "o")])
+
+
+def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float], keys=None,
+                    n_chunks: int | None = None) -> DataFrame:
+    """Exact linear-interpolation quantiles (NumPy ``linear`` / SQL
+    ``quantile_cont``) without gathering a group's values in one buffer.
+
+    Values are counted per (key, value), ranked by a chunked prefix sum, and
+    only the rows holding the ``floor``/``ceil`` ranks of each requested
+    probability survive: ``keys..., q_index, q, value``.
+    """
+    keys = _as_list(keys)
+    x = F.col(value_col).cast("double")
+    vc = (df.filter(x.isNotNull() & ~F.isnan(x)).groupBy(*keys, x.alias("_v"))
+          .agg(F.count(F.lit(1)).alias("_c")))
+    if n_chunks is None:
+        n_chunks = max(1, min(DEFAULT_MAX_BUCKETS, math.ceil(vc.count() / DEFAULT_ROWS_PER_BUCKET)))
+    chunk = None
+    if n_chunks > 1:
+        vc = with_value_chunks(vc, keys, "_v", "_qchunk", n_chunks)
+        chunk = "_qchunk"
+    cum = keyed_prefix_sums(vc, keys, ["_v"], {"c": F.col("_c")}, chunk)
+    totals = vc.groupBy(*keys).agg(F.sum("_c").alias("_n")) if keys else vc.agg(F.sum("_c").alias("_n"))
+    j = cum.join(totals, keys, "left") if keys else cum.crossJoin(F.broadcast(totals))
+    first = F.col("c__cum") - F.col("_c")   # 0-based rank of the first copy of this value
+    last = F.col("c__cum") - 1
+    targets = []
+    for i, q in enumerate(probs):
+        pos = F.lit(float(q)) * (F.col("_n") - 1)
+        targets.append(F.struct(F.lit(i).alias("qi"), F.lit(float(q)).alias("q"), pos.alias("pos"),
+                                F.floor(pos).alias("lo"), F.ceil(pos).alias("hi")))
+    hit = F.filter(F.array(*targets), lambda t: ((t["lo"] >= first) & (t["lo"] <= last))
+                   | ((t["hi"] >= first) & (t["hi"] <= last)))
+    picked = j.select(*keys, "_v", first.alias("_first"), last.alias("_last"), F.explode(hit).alias("t"))
+    in_lo = (F.col("t.lo") >= F.col("_first")) & (F.col("t.lo") <= F.col("_last"))
+    in_hi = (F.col("t.hi") >= F.col("_first")) & (F.col("t.hi") <= F.col("_last"))
+    g = picked.groupBy(*keys, F.col("t.qi").alias("q_index"), F.col("t.q").alias("q"),
+                       F.col("t.pos").alias("_pos"), F.col("t.lo").alias("_lo")).agg(
+        F.max(F.when(in_lo, F.col("_v"))).alias("_a"), F.max(F.when(in_hi, F.col("_v"))).alias("_b"))
+    value = F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_pos") - F.col("_lo"))
+    return g.select(*keys, "q_index", "q", value.alias("value"))
+
+
+def exact_quantile_row(df: DataFrame, value_col: str, probs: Sequence[float], names: Sequence[str],
+                       keys=None) -> DataFrame:
+    """Quantiles pivoted to one column per probability (one row per key)."""
+    keys = _as_list(keys)
+    q = exact_quantiles(df, value_col, probs, keys)
+    aggs = [F.max(F.when(F.col("q_index") == i, F.col("value"))).alias(n) for i, n in enumerate(names)]
+    return q.groupBy(*keys).agg(*aggs) if keys else q.agg(*aggs)

@@ -182,3 +182,379 @@ def q_rte5(spark, sf):
 @register("agg5")
 def q_agg5(spark, sf):
     return RT.decision_summary(RT.route_transactions(_base(spark, sf)))
+
+
+# --- positions and splits --------------------------------------------------------------
+
+from txnwatch.operators import encode as EN  # noqa: E402
+from txnwatch.operators import evaluate as EV  # noqa: E402
+from txnwatch.operators import split as SP  # noqa: E402
+from txnwatch.operators import stats as ST  # noqa: E402
+from txnwatch.operators import drift as DR  # noqa: E402
+from txnwatch.operators import fairness as FA  # noqa: E402
+from txnwatch.operators.scan import add_global_position, exact_quantile_row  # noqa: E402
+from txnwatch.sources.fixtures import identity, paysim_raw  # noqa: E402
+from txnwatch.sources.loaders import canonicalize_paysim  # noqa: E402
+
+
+def split_gap(n: int, n_splits: int = SP.N_SPLITS) -> int:
+    """Default gap, or n // 100 when the default leaves no usable fold."""
+    return SP.GAP_SIZE if n // (n_splits + 1) > SP.GAP_SIZE else n // 100
+
+
+def _positioned(spark, sf, with_v=False):
+    df = txn(spark, sf, with_v=with_v)
+    n = df.count()
+    return add_global_position(df, n_rows=n), n
+
+
+@register("spl0")
+def q_spl0(spark, sf):
+    df, _ = _positioned(spark, sf)
+    return df.select("TransactionID", "pos")
+
+
+@register("srt1")
+def q_srt1(spark, sf):
+    df, _ = _positioned(spark, sf)
+    return df.select("TransactionID", "TransactionDT", "pos").orderBy("pos")
+
+
+@register("spl1")
+def q_spl1(spark, sf):
+    df, n = _positioned(spark, sf)
+    return SP.assign_folds(df, n, gap=split_gap(n)).select("TransactionID", "fold", "role")
+
+
+@register("spl2")
+def q_spl2(spark, sf):
+    df, n = _positioned(spark, sf)
+    return SP.split_holdout(df, n, gap=split_gap(n)).select("TransactionID", "role")
+
+
+@register("spl3")
+def q_spl3(spark, sf):
+    df, n = _positioned(spark, sf)
+    hb = SP.holdout_bounds(n, gap=split_gap(n))
+    train = df.filter(F.col("pos") < hb.train_end)
+    return SP.split_internal_eval(train, hb.train_end, gap=split_gap(n)).select("TransactionID", "inner_role")
+
+
+@register("spl5")
+def q_spl5(spark, sf):
+    return SP.diagnostic_sample(_base(spark, sf), max_rows=SP.DIAGNOSTIC_ROWS, seed=42).select("TransactionID")
+
+
+@register("set1")
+def q_set1(spark, sf):
+    df, n = _positioned(spark, sf)
+    half = n // 2
+    a = df.filter(F.col("pos") < half).select("TransactionID", F.lit(0).alias("part"))
+    b = df.filter(F.col("pos") >= half).select("TransactionID", F.lit(1).alias("part"), "card4")
+    return a.unionByName(b, allowMissingColumns=True)
+
+
+@register("set3")
+def q_set3(spark, sf):
+    df, n = _positioned(spark, sf)
+    hb = SP.holdout_bounds(n, gap=split_gap(n))
+    tr = df.filter(F.col("pos") < hb.train_end).select("TransactionID", "fraud_score", F.lit("train").alias("src"))
+    ob = df.filter(F.col("pos") >= hb.test_start).select("TransactionID", "fraud_score",
+                                                          F.lit("observed").alias("src"))
+    return tr.unionByName(ob)
+
+
+# --- encoders, canonicalisation, joins ---------------------------------------------------
+
+def _paysim(spark, sf):
+    return canonicalize_paysim(paysim_raw(spark, sf), order_col="TransactionID")
+
+
+@register("prj1")
+def q_prj1(spark, sf):
+    return _round_all(_paysim(spark, sf))
+
+
+@register("enc1")
+def q_enc1(spark, sf):
+    raw = paysim_raw(spark, sf)
+    out = EN.factorize(EN.factorize(raw, "nameOrig", "TransactionID", "orig_code"),
+                       "nameDest", "TransactionID", "dest_code")
+    return out.select("TransactionID", "orig_code", "dest_code")
+
+
+@register("enc2")
+def q_enc2(spark, sf):
+    raw = paysim_raw(spark, sf)
+    cut = raw.agg(F.percentile_approx("TransactionID", 0.5).alias("m")).first()["m"]
+    first, second = raw.filter(F.col("TransactionID") <= cut), raw.filter(F.col("TransactionID") > cut)
+    m1 = EN.first_appearance_codes(first, "nameOrig", "TransactionID")
+    m2 = EN.extend_code_map(m1, second, "nameOrig", "TransactionID")
+    return EN.apply_code_map(raw, m2, "nameOrig").select("TransactionID", F.col("nameOrig").alias("orig_code"))
+
+
+def _fit_rows(spark, sf):
+    df, n = _positioned(spark, sf)
+    hb = SP.holdout_bounds(n, gap=split_gap(n))
+    return df, F.col("pos") < hb.train_end
+
+
+@register("enc3")
+def q_enc3(spark, sf):
+    df, fit = _fit_rows(spark, sf)
+    return EN.encode_categoricals(df, fit, columns=["card4", "M4", "M9"]).select("TransactionID", "card4", "M4", "M9")
+
+
+@register("enc4")
+def q_enc4(spark, sf):
+    df, fit = _fit_rows(spark, sf)
+    cols = ["TransactionAmt", "C1", "D1"]
+    stats = EN.fit_standard_scaler(df.filter(fit), cols)
+    return _round_all(EN.transform_standard_scaler(df, stats, cols).select("TransactionID", *cols))
+
+
+@register("jn1")
+def q_jn1(spark, sf):
+    return _base(spark, sf).join(identity(spark, sf), "TransactionID", "left").select("TransactionID", "DeviceType")
+
+
+@register("jn2")
+def q_jn2(spark, sf):
+    df, fit = _fit_rows(spark, sf)
+    codes = EN.first_appearance_codes(df.filter(fit & (F.col("M9").isNotNull())), "M9", "pos")
+    return EN.apply_code_map(df, codes, "M9").select("TransactionID", F.col("M9").alias("M9_code"))
+
+
+@register("jn3")
+def q_jn3(spark, sf):
+    df = _base(spark, sf)
+    stats = df.groupBy("card1").agg(F.avg("TransactionAmt").alias("card_mean_amt"),
+                                    F.count(F.lit(1)).alias("card_n"))
+    return _round_all(df.join(stats, "card1", "left").select("TransactionID", "card_mean_amt", "card_n"))
+
+
+@register("jn4")
+def q_jn4(spark, sf):
+    base = FE.build_uid(_base(spark, sf))
+    labels = base.select("TransactionID", "UID", "isFraud")
+    a = base.select("TransactionID", F.col("fraud_score").alias("model_a"))
+    b = base.select("TransactionID", F.col("score_b").alias("model_b"))
+    return labels.join(a, "TransactionID", "left").join(b, "TransactionID", "left")
+
+
+@register("jn5")
+def q_jn5(spark, sf):
+    df = _base(spark, sf)
+    p = exact_quantile_row(df, "TransactionAmt", [0.95], ["amt_p95"])
+    return _round_all(df.crossJoin(F.broadcast(p)).select(
+        "TransactionID", "amt_p95", (F.col("TransactionAmt") > F.col("amt_p95")).cast("int").alias("above_p95")))
+
+
+# --- sorts and top-k -------------------------------------------------------------------------
+
+@register("srt2")
+def q_srt2(spark, sf):
+    df, _ = _positioned(spark, sf)
+    best = df.agg(F.max_by(F.struct("TransactionID", "fraud_score"),
+                           F.struct(F.col("fraud_score"), -F.col("pos"))).alias("b"))
+    return best.select("b.TransactionID", "b.fraud_score")
+
+
+@register("srt3")
+def q_srt3(spark, sf):
+    df, _ = _positioned(spark, sf)
+    return df.orderBy(F.desc("fraud_score"), "pos").limit(10).select("TransactionID", "fraud_score")
+
+
+@register("srt6")
+def q_srt6(spark, sf):
+    return _round_all(EV.topk_capture(_base(spark, sf)))
+
+
+# --- aggregates -------------------------------------------------------------------------------
+
+@register("agg1")
+def q_agg1(spark, sf):
+    return _round_all(FE.null_ratios(txn(spark, sf)))
+
+
+@register("agg2")
+def q_agg2(spark, sf):
+    df = FE.build_uid(_base(spark, sf))
+    cols = ["UID", "D1", "addr1", "M4"]
+    return df.agg(*[(F.count_distinct(c) + F.max(F.col(c).isNull().cast("int"))).alias(f"nunique_{c}")
+                    for c in cols])
+
+
+@register("agg3")
+def q_agg3(spark, sf):
+    return _round_all(EV.window_free_rate(_base(spark, sf)))
+
+
+@register("agg4")
+def q_agg4(spark, sf):
+    names = ["p25", "p50", "p75", "p95"] + [f"d{i}" for i in range(1, 10)]
+    probs = [0.25, 0.5, 0.75, 0.95] + [i / 10 for i in range(1, 10)]
+    return _round_all(exact_quantile_row(_base(spark, sf), "TransactionAmt", probs, names))
+
+
+@register("agg6")
+def q_agg6(spark, sf):
+    return _round_all(EV.score_deciles(_base(spark, sf)))
+
+
+@register("agg7")
+def q_agg7(spark, sf):
+    df = _base(spark, sf).withColumn("day", F.floor(F.col("TransactionDT") / 86400).cast("int"))
+    per_day = EV.seed_metric_row(df, by=["day"]).select("day", "roc_auc", "pr_auc", "brier", "ece_10bin")
+    return _round_all(ST.summarize_runs(per_day, ["roc_auc", "pr_auc", "brier", "ece_10bin"], ["day"]))
+
+
+# --- evaluation -------------------------------------------------------------------------------
+
+def _curve(spark, sf):
+    return EV.threshold_curve(_base(spark, sf))
+
+
+@register("evl0")
+def q_evl0(spark, sf):
+    return _round_all(_curve(spark, sf).select("threshold", "pos", "neg", "tp", "fp"))
+
+
+@register("evl1")
+def q_evl1(spark, sf):
+    return _round_all(EV.roc_auc(_curve(spark, sf)))
+
+
+@register("evl2")
+def q_evl2(spark, sf):
+    return _round_all(EV.average_precision(_curve(spark, sf)))
+
+
+@register("evl3")
+def q_evl3(spark, sf):
+    return _round_all(EV.classification_report(_base(spark, sf), threshold=0.5))
+
+
+@register("evl4")
+def q_evl4(spark, sf):
+    return _round_all(EV.optimal_f1_threshold(_curve(spark, sf)))
+
+
+@register("evl4b")
+def q_evl4b(spark, sf):
+    return _round_all(EV.optimal_f1_descriptive(_curve(spark, sf)))
+
+
+@register("evl5")
+def q_evl5(spark, sf):
+    return _round_all(EV.threshold_sweep(_base(spark, sf)))
+
+
+@register("evl6")
+def q_evl6(spark, sf):
+    return _round_all(EV.expected_calibration_error(_base(spark, sf)))
+
+
+@register("evl7")
+def q_evl7(spark, sf):
+    return _round_all(EV.calibration_table(_base(spark, sf)))
+
+
+@register("evl8")
+def q_evl8(spark, sf):
+    return _round_all(EV.brier_score(_base(spark, sf)))
+
+
+@register("evl9")
+def q_evl9(spark, sf):
+    return EV.confusion_counts(_base(spark, sf), threshold=0.5)
+
+
+@register("evl10")
+def q_evl10(spark, sf):
+    return _round_all(EV.policy_metrics(RT.route_transactions(_base(spark, sf))))
+
+
+@register("evl11")
+def q_evl11(spark, sf):
+    return _round_all(EV.seed_metric_row(_base(spark, sf)))
+
+
+@register("evl12")
+def q_evl12(spark, sf):
+    return _round_all(EV.score_histogram(_base(spark, sf)))
+
+
+# --- statistics ---------------------------------------------------------------------------
+
+@register("sta1")
+def q_sta1(spark, sf):
+    df = _base(spark, sf)
+    return _round_all(ST.mcnemar_counts(df, "isFraud", F.col("fraud_score") >= 0.5, F.col("score_b") >= 0.5))
+
+
+@register("sta2")
+def q_sta2(spark, sf):
+    return _round_all(ST.cohens_d(_base(spark, sf), "fraud_score", "score_b"))
+
+
+@register("sta3")
+def q_sta3(spark, sf):
+    return _round_all(ST.paired_t_statistic(_base(spark, sf), "fraud_score", "score_b"))
+
+
+# --- drift -------------------------------------------------------------------------------------
+
+DRIFT_FEATURES = ["TransactionAmt", "C1", "C13", "C14", "D1", "D15", "V1", "V5", "V9"]
+
+
+def _drift_sides(spark, sf):
+    df, n = _positioned(spark, sf, with_v=True)
+    hb = SP.holdout_bounds(n, gap=split_gap(n))
+    return df.filter(F.col("pos") < hb.train_end), df.filter(F.col("pos") >= hb.test_start)
+
+
+@register("drf1")
+def q_drf1(spark, sf):
+    tr, te = _drift_sides(spark, sf)
+    return _round_all(DR.feature_psi(tr, te, DRIFT_FEATURES))
+
+
+@register("drf2")
+def q_drf2(spark, sf):
+    tr, te = _drift_sides(spark, sf)
+    return _round_all(DR.score_psi(tr, te, "fraud_score"))
+
+
+@register("drf3")
+def q_drf3(spark, sf):
+    tr, te = _drift_sides(spark, sf)
+    return _round_all(DR.wasserstein_drift(tr, te, DRIFT_FEATURES))
+
+
+@register("srt4")
+def q_srt4(spark, sf):
+    tr, te = _drift_sides(spark, sf)
+    return _round_all(DR.top_drifted(DR.wasserstein_drift(tr, te, DRIFT_FEATURES), "wasserstein_distance", 5))
+
+
+# --- fairness ------------------------------------------------------------------------------------
+
+def _routed(spark, sf):
+    return RT.route_transactions(_base(spark, sf))
+
+
+@register("fai1")
+def q_fai1(spark, sf):
+    return _round_all(FA.demographic_parity(_routed(spark, sf)))
+
+
+@register("fai2")
+def q_fai2(spark, sf):
+    return _round_all(FA.equalized_odds(_routed(spark, sf)))
+
+
+@register("fai3")
+def q_fai3(spark, sf):
+    return _round_all(FA.full_report(_routed(spark, sf)))

@@ -59,6 +59,11 @@ def txn(spark: SparkSession, sf_dir: str, with_v: bool = True) -> DataFrame:
         F.when((etype == "error") & (value > 75), F.lit(1)).otherwise(F.lit(0)).alias("isFraud"),
         F.round(F.lit(0.6) * F.when(etype == "error", F.least(value / F.lit(150.0), F.lit(1.0)))
                 .otherwise(F.lit(0.0)) + F.lit(0.4) * k / F.lit(100.0), 3).alias("fraud_score"),
+        # second, weaker score for paired comparisons (STA1-3, JN4)
+        # (coefficients chosen so the unrounded value is never an exact decimal half)
+        F.round(F.lit(0.5) * F.when(etype == "error", F.least(value / F.lit(157.0), F.lit(1.0)))
+                .otherwise(F.lit(0.0)) + F.lit(0.4) * F.pmod(k * 37 + uid, F.lit(100)) / F.lit(100.0),
+                3).alias("score_b"),
     ]
     if with_v:
         for i in range(1, N_V_COLUMNS + 1):
