@@ -571,3 +571,68 @@ q("fai3", f"""SELECT d.card4, d.size, {R('block_rate')} AS block_rate, {R('dp_di
     {R('fpr_difference')} AS fpr_difference,
     CASE WHEN dp_difference >= 0.05 OR tpr_difference >= 0.05 OR fpr_difference >= 0.05 THEN 1 ELSE 0 END AS warning
   FROM dpg d JOIN eog e USING (card4), dpd, eod""", FAIR)
+
+
+# ============================ models / stacking (SQL-checkable parts) =====================
+q("mod7", f"""SELECT {R('avg((0.75 * y + 0.25 * (1 - y)) * pow(1 - exp(-bce), 2) * bce)')} AS focal_loss FROM (
+    SELECT y, -(y * ln(p) + (1 - y) * ln(1 - p)) AS bce FROM (
+      SELECT CAST(isFraud AS DOUBLE) AS y, least(greatest(fraud_score, 1e-7), 1 - 1e-7) AS p FROM txn))""")
+
+
+def _auc_of(col: str) -> str:
+    return f"""(SELECT sum(neg * (2 * tp - pos)) / (2.0 * max(P) * max(N)) FROM (
+      SELECT *, sum(pos) OVER (ORDER BY s DESC) AS tp, sum(pos) OVER () AS P, sum(neg) OVER () AS N FROM (
+        SELECT {col} AS s, sum(isFraud) AS pos, count(*) - sum(isFraud) AS neg FROM txn GROUP BY {col})))"""
+
+
+GATES = f"""gates AS (
+  SELECT 'fraud_score' AS model, {_auc_of('fraud_score')} AS auc UNION ALL
+  SELECT 'score_b', {_auc_of('score_b')}),
+gw AS (SELECT model, auc, least(1.0, pow(auc / 0.6, 2)) AS gate_weight FROM gates)"""
+q("stk1", f"SELECT model, {R('auc')} AS auc, {R('gate_weight')} AS gate_weight FROM gw", GATES)
+q("stk2", f"""SELECT TransactionID,
+    {R("fraud_score * (SELECT gate_weight FROM gw WHERE model = 'fraud_score')")} AS fraud_score_gated,
+    {R("score_b * (SELECT gate_weight FROM gw WHERE model = 'score_b')")} AS score_b_gated FROM txn""", GATES)
+q("stk6", f"""SELECT TransactionID, {R('CASE WHEN count(fraud_score) OVER (PARTITION BY UID) >= 2 '
+    'THEN 0.7 * fraud_score + (1.0 - 0.7) * avg(fraud_score) OVER (PARTITION BY UID) ELSE fraud_score END')}
+    AS fraud_score FROM feat2""")
+q("stk7", f"SELECT TransactionID, {R('avg(fraud_score) OVER (PARTITION BY UID)')} AS uid_mean_score FROM feat2")
+q("bal4", "SELECT TransactionID, isFraud FROM pos, hb WHERE pos < train_end", POS)
+
+_VS = [f"V{i}" for i in range(1, 13)]
+q("enc5", """SELECT CAST(dense_rank() OVER (ORDER BY f.first_ord) - 1 AS INTEGER) AS pca_group, masks.v AS v_column
+  FROM masks JOIN (SELECT m, min(ord) AS first_ord FROM masks GROUP BY m) f USING (m)""",
+  POS + ", f100 AS (SELECT * FROM pos, hb WHERE pos < train_end ORDER BY pos LIMIT 100), masks AS ("
+  + " UNION ALL ".join(f"SELECT '{v}' AS v, {i} AS ord, "
+                       f"string_agg(CASE WHEN {v} IS NULL THEN '1' ELSE '0' END, '' ORDER BY pos) AS m FROM f100"
+                       for i, v in enumerate(_VS)) + ")")
+
+# ============================ explanations with unit weights =============================
+_XF = ["TransactionAmt", "C1", "C13", "C14", "D1", "D15", "V1", "V5"]
+_XSEL = ", ".join(f"coalesce(CAST({c} AS DOUBLE), -999e0) AS {c}" for c in _XF)
+_XIDX = ", ".join(f"('{c}', {i})" for i, c in enumerate(_XF))
+XAI = f"""
+bgl AS (SELECT feature, value FROM (UNPIVOT (SELECT {_XSEL} FROM pos WHERE pos < 500)
+        ON {', '.join(_XF)} INTO NAME feature VALUE value)),
+bgs AS (SELECT feature, quantile_cont(value, 0.5) AS med, stddev_pop(value) + 1e-6 AS sc,
+               quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM bgl GROUP BY feature),
+fidx AS (SELECT * FROM (VALUES {_XIDX}) v(feature, idx)),
+xl AS (SELECT TransactionID, fraud_score, feature, value FROM (UNPIVOT (SELECT TransactionID, fraud_score, {_XSEL} FROM pos)
+       ON {', '.join(_XF)} INTO NAME feature VALUE value)),
+contrib AS (SELECT x.TransactionID, x.fraud_score, x.feature, f.idx, x.value, b.q1, b.q3,
+                   (x.value - b.med) / b.sc * 1.0 AS contribution
+            FROM xl x JOIN bgs b USING (feature) JOIN fidx f USING (feature)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY TransactionID ORDER BY abs(contribution) DESC, idx DESC) AS rank
+           FROM contrib)"""
+q("agg9", f"SELECT feature, {R('med')} AS median, {R('sc')} AS scale, {R('q1')} AS q1, {R('q3')} AS q3 FROM bgs",
+  POS + "," + XAI)
+q("xai3", f"SELECT TransactionID, feature, {R('contribution')} AS contribution FROM contrib", POS + "," + XAI)
+q("xai4", f"""SELECT TransactionID, CAST(rank AS INTEGER) AS rank, feature, {R('contribution')} AS weight
+  FROM ranked WHERE rank <= 10""", POS + "," + XAI)
+q("srt5", "SELECT TransactionID, CAST(rank AS INTEGER) AS rank, feature FROM ranked WHERE rank <= 3", POS + "," + XAI)
+q("xai6", f"""SELECT TransactionID, CAST(rank AS INTEGER) AS rank, feature,
+    CASE WHEN value >= q3 THEN '>=' WHEN value <= q1 THEN '<=' ELSE 'between' END AS kind,
+    {R('q1')} AS q1, {R('q3')} AS q3,
+    {R('greatest(fraud_score, 1 - fraud_score)')} AS anchor_precision,
+    {R('1.0 / 3')} AS anchor_coverage
+  FROM ranked WHERE rank <= 3""", POS + "," + XAI)

@@ -74,14 +74,14 @@ def roc_auc(curve: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """EVL1: trapezoid area under the ROC curve (ties count one half)."""
     by = _by(by)
     area = F.sum(F.col("neg") * (2 * F.col("tp") - F.col("pos")))
-    agg = [(area / (2.0 * F.first("P") * F.first("N"))).alias("roc_auc")]
+    agg = [F.try_divide(area, 2.0 * F.first("P") * F.first("N")).alias("roc_auc")]
     return curve.groupBy(*by).agg(*agg) if by else curve.agg(*agg)
 
 
 def average_precision(curve: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """EVL2: step-wise average precision ``sum(dR * P)``."""
     by = _by(by)
-    ap = F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))) / F.first("P")
+    ap = F.try_divide(F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))), F.first("P"))
     return curve.groupBy(*by).agg(ap.alias("pr_auc")) if by else curve.agg(ap.alias("pr_auc"))
 
 

@@ -148,7 +148,7 @@ def summarize_contributions(per_run: DataFrame, key: str = "meta_feature") -> Da
     return (per_run.groupBy(key).agg(
         F.avg("mean_abs_contribution").alias("mean_abs_contribution_mean"),
         F.stddev_samp("mean_abs_contribution").alias("mean_abs_contribution_std"),
-        F.avg("mean_signed_contribution").alias("mean_signed_contribution"),
+        F.avg("mean_signed_contribution").alias("mean_signed_contribution_mean"),
         F.avg("coefficient").alias("coefficient_mean"),
         F.avg("holdout_mean").alias("holdout_mean"),
         F.avg("background_mean").alias("background_mean"))

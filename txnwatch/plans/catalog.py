@@ -558,3 +558,349 @@ def q_fai2(spark, sf):
 @register("fai3")
 def q_fai3(spark, sf):
     return _round_all(FA.full_report(_routed(spark, sf)))
+
+
+# --- models, stacking, calibration (rows-only unless noted) ------------------------------------
+
+from txnwatch.operators import balance as BA  # noqa: E402
+from txnwatch.operators import explain as XP  # noqa: E402
+from txnwatch.operators import models as MD  # noqa: E402
+from txnwatch.operators import smooth as SM  # noqa: E402
+from txnwatch.operators import pca as PC  # noqa: E402
+from txnwatch.plans import experiment as XE  # noqa: E402
+
+ML_FEATURES = ["TransactionAmt", "C1", "C13", "C14", "D1", "D15", "hour", "is_night", "is_weekend", "addr1",
+               "Card_Velocity_7d", "Card_Amt_Std_7d", "Card_Prior_Txn_Count"]
+
+
+def _ml_prepared(spark, sf) -> XE.Prepared:
+    """Light feature frame for model queries: time + velocity features."""
+    df, n = _positioned(spark, sf)
+    gap = split_gap(n)
+    feats = FE.engineer_velocity(FE.build_uid(FE.extract_time_features(df)))
+    feats = feats.withColumn("is_new_client", F.lit(0))
+    return XE.Prepared(feats.drop("fraud_score", "score_b"), n, SP.holdout_bounds(n, gap=gap), ML_FEATURES, gap)
+
+
+def _single_model(kind):
+    def q(spark, sf):
+        p = _ml_prepared(spark, sf)
+        train = p.frame.filter(F.col("pos") < p.holdout.train_end)
+        hold = p.frame.filter(F.col("pos") >= p.holdout.test_start)
+        return XE._fit_and_score(kind, train, None, hold, p.features, 42, "tiny", 0.0)
+    return q
+
+
+for _id, _kind in (("mod1", "rf"), ("mod2", "xgb"), ("mod3", "lgb"), ("mod4", "cat"), ("mod5", "mlp")):
+    register(_id)(_single_model(_kind))
+
+
+@register("mod6")
+def q_mod6(spark, sf):
+    """Sequence view re-aimed: pooled statistics of the previous 10 rows of the
+    card (WIN12 history) feed a boosted-tree classifier."""
+    p = _ml_prepared(spark, sf)
+    seq = FE.build_sequences(p.frame, "card1", ["TransactionAmt"], 10, out_col="seq")
+    hist = F.transform(F.slice(F.col("seq"), F.lit(10) - F.col("seq_len") + 1, F.col("seq_len")), lambda v: v[0])
+    pooled = seq.withColumns({
+        "seq_mean": F.coalesce(F.try_divide(F.aggregate(hist, F.lit(0.0), lambda a, x: a + x), F.col("seq_len")),
+                               F.lit(0.0)),
+        "seq_last": F.coalesce(F.element_at(hist, -1), F.lit(0.0)),
+        "seq_len_d": F.col("seq_len").cast("double"),
+    }).withColumn("seq_delta", F.col("TransactionAmt") - F.col("seq_last"))
+    feats = p.features + ["seq_mean", "seq_last", "seq_len_d", "seq_delta"]
+    train = pooled.filter(F.col("pos") < p.holdout.train_end)
+    hold = pooled.filter(F.col("pos") >= p.holdout.test_start)
+    return XE._fit_and_score("xgb", train, None, hold, feats, 42, "tiny", 0.0).withColumnRenamed("xgb", "seq_gbt")
+
+
+@register("mod7")
+def q_mod7(spark, sf):
+    return _round_all(MD.focal_loss(_base(spark, sf), "fraud_score", "isFraud"))
+
+
+@register("mod9")
+def q_mod9(spark, sf):
+    p = _ml_prepared(spark, sf)
+    ib = SP.internal_eval_bounds(p.holdout.train_end, gap=p.gap)
+    fit_rows = p.frame.filter(F.col("pos") < ib.train_end)
+    val_rows = p.frame.filter((F.col("pos") >= ib.test_start) & (F.col("pos") < p.holdout.train_end))
+    hold = p.frame.filter(F.col("pos") >= p.holdout.test_start)
+    return XE._fit_and_score("xgb", fit_rows, val_rows, hold, p.features, 42, "tiny", 0.0)
+
+
+@register("mod10")
+def q_mod10(spark, sf):
+    return XE.out_of_fold(_ml_prepared(spark, sf), ["rf", "xgb"], "tiny").scores.drop("pos")
+
+
+@register("mod11")
+def q_mod11(spark, sf):
+    return XE.refit_and_score_holdout(_ml_prepared(spark, sf), ["rf", "xgb"], "tiny").select(
+        "TransactionID", "rf", "xgb")
+
+
+@register("spl4")
+def q_spl4(spark, sf):
+    oof = XE.out_of_fold(_ml_prepared(spark, sf), ["rf", "xgb"], "tiny")
+    return SP.oof_coverage_summary(oof.scores, oof.models)
+
+
+def _fixture_models(spark, sf):
+    """Two fixture score columns standing in for two model outputs."""
+    df, n = _positioned(spark, sf)
+    hb = SP.holdout_bounds(n, gap=split_gap(n))
+    return df, hb
+
+
+@register("stk1")
+def q_stk1(spark, sf):
+    df, _ = _fixture_models(spark, sf)
+    return _round_all(MD.gate_weights(df, ["fraud_score", "score_b"]))
+
+
+@register("stk2")
+def q_stk2(spark, sf):
+    df, _ = _fixture_models(spark, sf)
+    w = MD.gate_weights(df, ["fraud_score", "score_b"])
+    return _round_all(MD.apply_gates(df, w, ["fraud_score", "score_b"], suffix="_gated").select(
+        "TransactionID", "fraud_score_gated", "score_b_gated"))
+
+
+@register("stk3")
+def q_stk3(spark, sf):
+    df, hb = _fixture_models(spark, sf)
+    m = MD.fit_logistic(df.filter(F.col("pos") < hb.train_end), ["fraud_score", "score_b"], C=MD.META_C)
+    rows = [(f, float(w)) for f, w in zip(m.features, m.coef)] + [("intercept", m.intercept)]
+    return spark.createDataFrame(rows, "term string, coefficient double")
+
+
+@register("stk4")
+def q_stk4(spark, sf):
+    df, hb = _fixture_models(spark, sf)
+    meta = MD.fit_meta_learner(df.filter(F.col("pos") < hb.train_end), ["fraud_score", "score_b"])
+    return df.filter(F.col("pos") >= hb.test_start).select("TransactionID", meta.proba().alias("meta_score"))
+
+
+@register("stk5")
+def q_stk5(spark, sf):
+    df, hb = _fixture_models(spark, sf)
+    tr, te = df.filter(F.col("pos") < hb.train_end), df.filter(F.col("pos") >= hb.test_start)
+    sig = MD.fit_calibrator(tr, "score_b", method="sigmoid")
+    iso = MD.fit_calibrator(tr, "score_b", method="isotonic")
+    out = sig.transform(te, "score_b", "sigmoid_cal")
+    return iso.transform(out, "score_b", "isotonic_cal").select("TransactionID", "sigmoid_cal", "isotonic_cal")
+
+
+@register("stk6")
+def q_stk6(spark, sf):
+    u = FE.build_uid(_base(spark, sf))
+    return _round_all(SM.uid_average_predictions(u, "fraud_score", "UID").select("TransactionID", "fraud_score"))
+
+
+@register("stk7")
+def q_stk7(spark, sf):
+    u = FE.build_uid(_base(spark, sf))
+    return _round_all(SM.uid_full_average(u, "fraud_score", "UID").select("TransactionID", "uid_mean_score"))
+
+
+@register("stk8")
+def q_stk8(spark, sf):
+    df, hb = _fixture_models(spark, sf)
+    return MD.leave_one_out_ablation(df.filter(F.col("pos") < hb.train_end), ["fraud_score", "score_b"])
+
+
+# --- balancing -------------------------------------------------------------------------------------
+
+def _train_rows(spark, sf):
+    p = _ml_prepared(spark, sf)
+    return p.frame.filter(F.col("pos") < p.holdout.train_end), p.features
+
+
+@register("bal1")
+def q_bal1(spark, sf):
+    tr, _ = _train_rows(spark, sf)
+    return BA.random_oversample(tr, "isFraud", 0.10, seed=42).select("TransactionID", "isFraud")
+
+
+@register("bal2")
+def q_bal2(spark, sf):
+    tr, feats = _train_rows(spark, sf)
+    return BA.smote(tr, feats, "isFraud", 0.30, seed=42, use_clusters=True).select("TransactionID", "isFraud", *feats)
+
+
+@register("bal3")
+def q_bal3(spark, sf):
+    tr, feats = _train_rows(spark, sf)
+    return BA.smote(tr, feats, "isFraud", 0.30, seed=42, use_clusters=False).select("TransactionID", "isFraud",
+                                                                                     *feats)
+
+
+@register("bal4")
+def q_bal4(spark, sf):
+    tr, feats = _train_rows(spark, sf)
+    return BA.prepare_training_data(tr, feats, "isFraud", strategy=0).select("TransactionID", "isFraud")
+
+
+# --- V-column PCA and the full feature pipeline ---------------------------------------------------------
+
+@register("enc5")
+def q_enc5(spark, sf):
+    df, n = _positioned(spark, sf, with_v=True)
+    hb = SP.holdout_bounds(n, gap=split_gap(n))
+    rows = PC.pca_groups_frame(df, F.col("pos") < hb.train_end)
+    return spark.createDataFrame(rows, "pca_group int, v_column string")
+
+
+@register("enc6")
+def q_enc6(spark, sf):
+    df, n = _positioned(spark, sf, with_v=True)
+    hb = SP.holdout_bounds(n, gap=split_gap(n))
+    out = PC.v_column_pca(df, F.col("pos") < hb.train_end, n_components=3)
+    return _round_all(out.select("TransactionID", *[c for c in out.columns if c.startswith("V_PCA_")]))
+
+
+@register("enc7")
+def q_enc7(spark, sf):
+    return XE.prepare(spark, sf, checkpoint=False).frame
+
+
+# --- explanations ------------------------------------------------------------------------------------------
+
+XAI_FEATURES = ["TransactionAmt", "C1", "C13", "C14", "D1", "D15", "V1", "V5"]
+
+
+def _xai_base(spark, sf):
+    df, n = _positioned(spark, sf, with_v=True)
+    hb = SP.holdout_bounds(n, gap=split_gap(n))
+    bg = df.filter(F.col("pos") < XP.BACKGROUND_ROWS)
+    return df, bg, hb
+
+
+def _unit_explained(spark, sf):
+    df, bg, _ = _xai_base(spark, sf)
+    stats = XP.background_stats(bg, XAI_FEATURES)
+    return XP.explain_rows(df, stats, None, weights=None, score_col="fraud_score"), stats
+
+
+@register("agg9")
+def q_agg9(spark, sf):
+    _, bg, _ = _xai_base(spark, sf)
+    st = XP.background_stats(bg, XAI_FEATURES)
+    rows = [(f, st.median[i], st.scale[i], st.q1[i], st.q3[i]) for i, f in enumerate(st.features)]
+    return _round_all(spark.createDataFrame(rows, "feature string, median double, scale double, q1 double, q3 double"))
+
+
+@register("xai3")
+def q_xai3(spark, sf):
+    ex, _ = _unit_explained(spark, sf)
+    long = ex.select("TransactionID", F.explode("_contrib").alias("c")).select(
+        "TransactionID", F.col("c.feature").alias("feature"), F.col("c.contribution").alias("contribution"))
+    return _round_all(long)
+
+
+@register("xai4")
+def q_xai4(spark, sf):
+    ex, _ = _unit_explained(spark, sf)
+    return _round_all(ex.select("TransactionID", F.posexplode("lime_top").alias("rank", "p")).select(
+        "TransactionID", (F.col("rank") + 1).alias("rank"), F.col("p.feature").alias("feature"),
+        F.col("p.weight").alias("weight")))
+
+
+@register("srt5")
+def q_srt5(spark, sf):
+    ex, _ = _unit_explained(spark, sf)
+    return _round_all(ex.select("TransactionID", F.posexplode(F.slice("lime_top", 1, 3)).alias("rank", "p")).select(
+        "TransactionID", (F.col("rank") + 1).alias("rank"), F.col("p.feature").alias("feature")))
+
+
+@register("xai6")
+def q_xai6(spark, sf):
+    ex, _ = _unit_explained(spark, sf)
+    return _round_all(ex.select("TransactionID", "anchor_precision", "anchor_coverage",
+                                F.posexplode("anchors").alias("rank", "a")).select(
+        "TransactionID", (F.col("rank") + 1).alias("rank"), F.col("a.feature").alias("feature"),
+        F.col("a.kind").alias("kind"), F.col("a.q1").alias("q1"), F.col("a.q3").alias("q3"),
+        "anchor_precision", "anchor_coverage"))
+
+
+@register("xai7")
+def q_xai7(spark, sf):
+    ex, _ = _unit_explained(spark, sf)
+    return ex.select("TransactionID", "narrative")
+
+
+def _meta_explained(spark, sf):
+    df, bg, hb = _xai_base(spark, sf)
+    feats = ["fraud_score", "score_b"]
+    model = MD.fit_logistic(df.filter(F.col("pos") < hb.train_end), feats, C=MD.META_C)
+    stats = XP.background_stats(bg, feats)
+    hold = df.filter(F.col("pos") >= hb.test_start)
+    return XP.explain_rows(hold, stats, model), stats, model, hold, bg
+
+
+@register("xai1")
+def q_xai1(spark, sf):
+    _, _, model, hold, bg = _meta_explained(spark, sf)
+    return XP.linear_contribution_table(hold, bg, model)
+
+
+@register("xai2")
+def q_xai2(spark, sf):
+    _, _, model, hold, bg = _meta_explained(spark, sf)
+    return XP.top_risk_local_table(hold, bg, model, "fraud_score")
+
+
+@register("xai5")
+def q_xai5(spark, sf):
+    ex, *_ = _meta_explained(spark, sf)
+    return ex.select("TransactionID", F.posexplode("counterfactuals").alias("step", "c")).select(
+        "TransactionID", "step", "c.*")
+
+
+@register("xai8")
+def q_xai8(spark, sf):
+    ex, *_ = _meta_explained(spark, sf)
+    return ex.select("TransactionID", "xai_score", "lime_top", "counterfactuals", "anchors", "narrative")
+
+
+@register("xai9")
+def q_xai9(spark, sf):
+    ex, stats, model, *_ = _meta_explained(spark, sf)
+    return XP.harness_metrics(ex, stats, model).select("TransactionID", "frd_proxy")
+
+
+@register("xai10")
+def q_xai10(spark, sf):
+    ex, stats, model, *_ = _meta_explained(spark, sf)
+    return XP.lime_fidelity(ex, stats, model)
+
+
+@register("xai11")
+def q_xai11(spark, sf):
+    ex, stats, model, *_ = _meta_explained(spark, sf)
+    return XP.harness_metrics(ex, stats, model).select("TransactionID", "dice_validity_rate", "anchor_precision_m",
+                                                       "nl_completeness")
+
+
+@register("xai12")
+def q_xai12(spark, sf):
+    ex, stats, model, *_ = _meta_explained(spark, sf)
+    m = XP.harness_metrics(ex, stats, model).join(XP.lime_fidelity(ex, stats, model), "TransactionID")
+    return XP.harness_rollup(m)
+
+
+@register("agg8")
+def q_agg8(spark, sf):
+    """Meta-contribution summary over runs (one run per day-of-week slice)."""
+    df, bg, hb = _xai_base(spark, sf)
+    feats = ["fraud_score", "score_b"]
+    model = MD.fit_logistic(df.filter(F.col("pos") < hb.train_end), feats, C=MD.META_C)
+    hold = FE.extract_time_features(df.filter(F.col("pos") >= hb.test_start))
+    runs = [XP.linear_contribution_table(hold.filter(F.col("day_of_week") == d), bg, model)
+            .withColumn("run", F.lit(d)) for d in range(7)]
+    allr = runs[0]
+    for r in runs[1:]:
+        allr = allr.unionByName(r)
+    return ST.summarize_contributions(allr.withColumnRenamed("background_mean_score", "background_mean")
+                                      .withColumnRenamed("holdout_mean_score", "holdout_mean"))
