@@ -605,7 +605,7 @@ def q_mod6(spark, sf):
     pooled = seq.withColumns({
         "seq_mean": F.coalesce(F.try_divide(F.aggregate(hist, F.lit(0.0), lambda a, x: a + x), F.col("seq_len")),
                                F.lit(0.0)),
-        "seq_last": F.coalesce(F.element_at(hist, -1), F.lit(0.0)),
+        "seq_last": F.coalesce(F.try_element_at(hist, F.lit(-1)), F.lit(0.0)),
         "seq_len_d": F.col("seq_len").cast("double"),
     }).withColumn("seq_delta", F.col("TransactionAmt") - F.col("seq_last"))
     feats = p.features + ["seq_mean", "seq_last", "seq_len_d", "seq_delta"]
