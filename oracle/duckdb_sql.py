@@ -636,3 +636,21 @@ q("xai6", f"""SELECT TransactionID, CAST(rank AS INTEGER) AS rank, feature,
     {R('greatest(fraud_score, 1 - fraud_score)')} AS anchor_precision,
     {R('1.0 / 3')} AS anchor_coverage
   FROM ranked WHERE rank <= 3""", POS + "," + XAI)
+
+
+# ============================ sequence views =============================================
+def _seq_sql(where: str, out_where: str) -> str:
+    return f"""
+s AS (SELECT TransactionID, pos, coalesce(list(CAST(round(TransactionAmt * 100) AS BIGINT) || ',' || hour || ','
+             || CAST(C1 AS BIGINT)) OVER (PARTITION BY card1 ORDER BY TransactionDT, TransactionID
+                                           ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING), []::VARCHAR[]) AS hist
+      FROM (SELECT p.*, CAST((TransactionDT % 86400) // 3600 AS INTEGER) AS hour FROM pos p, hb WHERE {where}))
+SELECT TransactionID, CAST(len(hist) AS INTEGER) AS seq_len,
+       array_to_string(list_concat(list_transform(range(10 - len(hist)), lambda x: '0,0,0'), hist), ',') AS seq_flat
+FROM s, hb WHERE {out_where}"""
+
+
+ORACLES["win12"] = "WITH " + TXN + "," + POS + "," + _seq_sql("TRUE", "TRUE")
+ORACLES["win13"] = "WITH " + TXN + "," + POS + "," + _seq_sql("pos < train_end OR pos >= test_start",
+                                                              "pos >= test_start")
+ORACLES["str3"] = ORACLES["rte2"]

@@ -192,7 +192,7 @@ from txnwatch.operators import split as SP  # noqa: E402
 from txnwatch.operators import stats as ST  # noqa: E402
 from txnwatch.operators import drift as DR  # noqa: E402
 from txnwatch.operators import fairness as FA  # noqa: E402
-from txnwatch.operators.scan import add_global_position, exact_quantile_row  # noqa: E402
+from txnwatch.operators.scan import add_global_position, exact_quantile_row, exact_quantiles  # noqa: E402
 from txnwatch.sources.fixtures import identity, paysim_raw  # noqa: E402
 from txnwatch.sources.loaders import canonicalize_paysim  # noqa: E402
 
@@ -904,3 +904,99 @@ def q_agg8(spark, sf):
         allr = allr.unionByName(r)
     return ST.summarize_contributions(allr.withColumnRenamed("background_mean_score", "background_mean")
                                       .withColumnRenamed("holdout_mean_score", "holdout_mean"))
+
+
+# --- sequence views -----------------------------------------------------------------------------------
+
+SEQ_FEATURES = ["amt_cents", "hour", "C1"]
+
+
+def _seq_input(df):
+    return FE.extract_time_features(df).withColumn(
+        "amt_cents", F.round(F.col("TransactionAmt") * 100).cast("long"))
+
+
+def _seq_out(seq):
+    flat = F.array_join(F.transform(F.flatten("seq"), lambda x: x.cast("long").cast("string")), ",")
+    return seq.select("TransactionID", F.col("seq_len"), flat.alias("seq_flat"))
+
+
+@register("win12")
+def q_win12(spark, sf):
+    seq = FE.build_sequences(_seq_input(_base(spark, sf)), "card1", SEQ_FEATURES, 10, out_col="seq")
+    return _seq_out(seq)
+
+
+@register("win13")
+def q_win13(spark, sf):
+    """Holdout sequences see the final-train rows and earlier holdout rows
+    only: gap rows are not history."""
+    df, n = _positioned(spark, sf)
+    hb = SP.holdout_bounds(n, gap=split_gap(n))
+    keep = df.filter((F.col("pos") < hb.train_end) | (F.col("pos") >= hb.test_start))
+    seq = FE.build_sequences(_seq_input(keep), "card1", SEQ_FEATURES, 10, out_col="seq")
+    return _seq_out(seq.filter(F.col("pos") >= hb.test_start))
+
+
+# --- streaming and change detection ----------------------------------------------------------------------
+
+from txnwatch.streaming import adwin as AD  # noqa: E402
+from txnwatch.streaming import features as SF  # noqa: E402
+from txnwatch.streaming import jobs as SJ  # noqa: E402
+
+
+@register("str1")
+def q_str1(spark, sf):
+    out, _ = SJ.run_to_table(SF.stream_card_features(SF.txn_stream(spark, sf)), "str1")
+    return out
+
+
+@register("str2")
+def q_str2(spark, sf):
+    out, _ = SJ.run_to_table(SJ.stream_adwin(SF.txn_stream(spark, sf), "card4", "TransactionID", "fraud_score"),
+                             "str2")
+    return out
+
+
+@register("str3")
+def q_str3(spark, sf):
+    p95 = exact_quantile_row(_base(spark, sf), "TransactionAmt", [0.95], ["p"]).first()["p"]
+    out, _ = SJ.run_to_table(SJ.stream_routing(SF.txn_stream(spark, sf), p95), "str3")
+    return out.select("TransactionID", "decision")
+
+
+@register("str4")
+def q_str4(spark, sf):
+    df, n = _positioned(spark, sf)
+    hb = SP.holdout_bounds(n, gap=split_gap(n))
+    ref = df.filter(F.col("pos") < hb.train_end)
+    q = exact_quantiles(ref, "fraud_score", [i / 10 for i in range(11)])
+    bps = sorted({r["value"] for r in q.collect()})  # at most 11 values
+    nb = len(bps) - 1
+    b = F.lit(0)
+    for e in bps[1:-1]:
+        b = b + F.when(F.col("fraud_score") >= F.lit(e), F.lit(1)).otherwise(F.lit(0))
+    ref_counts = (ref.filter((F.col("fraud_score") >= bps[0]) & (F.col("fraud_score") <= bps[-1]))
+                  .groupBy(F.least(b, F.lit(nb - 1)).alias("bin")).agg(F.count(F.lit(1)).alias("ref_n")))
+    ref_counts = spark.range(nb).select(F.col("id").cast("int").alias("bin")).join(ref_counts, "bin", "left") \
+        .fillna(0, ["ref_n"])
+    bins, _ = SJ.run_to_table(SJ.stream_window_bins(SF.txn_stream(spark, sf), bps), "str4", output_mode="complete")
+    return SJ.window_psi(bins.withColumn("bin", F.col("bin").cast("int")), ref_counts)
+
+
+@register("drf4")
+def q_drf4(spark, sf):
+    """ADWIN over the train-then-observed score stream, one detector per card
+    network; changes reported inside the observed part."""
+    df, n = _positioned(spark, sf)
+    hb = SP.holdout_bounds(n, gap=split_gap(n))
+    stream = df.filter((F.col("pos") < hb.train_end) | (F.col("pos") >= hb.test_start))
+    changes = AD.adwin_changes(stream, ["card4"], "pos", "fraud_score")
+    return AD.changes_in_observed(changes, "pos", hb.test_start)
+
+
+@register("evl13")
+def q_evl13(spark, sf):
+    (out, progress), wall = SJ.timed(lambda: SJ.run_to_table(
+        SJ.stream_routing(SF.txn_stream(spark, sf), float("inf")), "evl13"))
+    return SJ.to_frame(spark, SJ.progress_report(progress, wall))
