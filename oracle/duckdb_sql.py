@@ -654,3 +654,80 @@ ORACLES["win12"] = "WITH " + TXN + "," + POS + "," + _seq_sql("TRUE", "TRUE")
 ORACLES["win13"] = "WITH " + TXN + "," + POS + "," + _seq_sql("pos < train_end OR pos >= test_start",
                                                               "pos >= test_start")
 ORACLES["str3"] = ORACLES["rte2"]
+
+
+# ============================ sources / sinks ===========================================
+_PS = f"""SELECT CAST(r AS BIGINT) AS TransactionID, CAST(step AS BIGINT) * 3600 AS TransactionDT,
+    {R('amount')} AS TransactionAmt, CAST(c1 AS INTEGER) AS card1, CAST(a1 AS INTEGER) AS addr1, type AS card4,
+    0e0 AS D1, isFraud, {R('oldbalanceOrg - newbalanceOrig')} AS origin_delta,
+    {R('newbalanceDest - oldbalanceDest')} AS dest_delta, {R('oldbalanceOrg - oldbalanceDest')} AS balance_gap,
+    CAST(floor(step / 24) AS INTEGER) AS StepBlock
+  FROM (SELECT p.*, row_number() OVER (ORDER BY TransactionID) AS r,
+               dense_rank() OVER (ORDER BY fo) - 1 AS c1, dense_rank() OVER (ORDER BY fd) - 1 AS a1
+        FROM (SELECT *, min(TransactionID) OVER (PARTITION BY nameOrig) AS fo,
+                        min(TransactionID) OVER (PARTITION BY nameDest) AS fd FROM praw_in) p)"""
+ORACLES["src1"] = "WITH " + PRAW + ", praw_in AS (SELECT * FROM praw)\n" + _PS
+ORACLES["src3"] = ORACLES["src1"]
+ORACLES["src4"] = ("WITH " + PRAW + ", praw_in AS (SELECT * FROM praw ORDER BY TransactionID LIMIT 1000)\n" + _PS)
+q("src2", f"""SELECT e.event_id AS TransactionID, {R('e.value')} AS TransactionAmt,
+    CASE WHEN e.event_type = 'error' AND e.value > 75 THEN 1 ELSE 0 END AS isFraud,
+    CASE WHEN e.event_id % 4 = 0 THEN (CASE WHEN e.k % 2 = 0 THEN 'mobile' ELSE 'desktop' END) END AS DeviceType
+  FROM ev e""")
+q("src7", "SELECT TransactionID, hour, day_of_week FROM feat2")
+q("snk1", f"SELECT TransactionID, UID, isFraud, {R('fraud_score')} AS fraud_score, {_DEC} AS decision FROM feat2")
+q("snk6", """SELECT TransactionID, 1 AS seed FROM pos, hb WHERE pos < train_end
+  UNION ALL SELECT TransactionID, 2 FROM pos, hb WHERE pos >= test_start
+  UNION ALL SELECT TransactionID, -1 FROM pos, hb WHERE pos >= test_start""", POS)
+
+# ============================ documented extensions ======================================
+_RANGES = [(3600, "1h"), (21600, "6h"), (86400, "24h"), (604800, "7d"), (1209600, "14d"), (2592000, "30d")]
+q("doc1", "SELECT TransactionID, " + ", ".join(
+    f"CAST(count(*) OVER (PARTITION BY card1 ORDER BY TransactionDT RANGE BETWEEN {s} PRECEDING AND CURRENT ROW)"
+    f" AS BIGINT) AS txn_count_{lab}, "
+    f"{R(f'coalesce(sum(TransactionAmt) OVER (PARTITION BY card1 ORDER BY TransactionDT RANGE BETWEEN {s} PRECEDING AND CURRENT ROW), 0)')}"
+    f" AS amt_sum_{lab}, "
+    f"{R(f'avg(TransactionAmt) OVER (PARTITION BY card1 ORDER BY TransactionDT RANGE BETWEEN {s} PRECEDING AND CURRENT ROW)')}"
+    f" AS amt_mean_{lab}" for s, lab in _RANGES) + " FROM txn")
+q("doc2", f"""SELECT TransactionID, {R('oldbalanceOrg - amount - newbalanceOrig')} AS balance_error,
+    {R('amount / (oldbalanceOrg + 1.0)')} AS amt_to_balance,
+    CASE WHEN oldbalanceOrg > 0 AND amount >= oldbalanceOrg THEN 1 ELSE 0 END AS is_full_transfer,
+    {R('sin(CAST(step % 24 AS DOUBLE) * (2 * pi() / 24))')} AS hour_sin,
+    {R('cos(CAST(step % 24 AS DOUBLE) * (2 * pi() / 24))')} AS hour_cos FROM praw""", PRAW)
+q("doc3", """SELECT TransactionID, CAST(sum(first_seen) OVER (PARTITION BY card1 ORDER BY TransactionDT, TransactionID
+                 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS distinct_counterparties
+  FROM (SELECT *, CASE WHEN row_number() OVER (PARTITION BY card1, card4 ORDER BY TransactionDT, TransactionID) = 1
+                  THEN 1 ELSE 0 END AS first_seen FROM txn)""")
+q("doc5", f"""SELECT policy, {R('threshold')} AS threshold, {R('precision')} AS precision, {R('recall')} AS recall,
+    {R('f2')} AS f2, {R('cost')} AS cost FROM (
+  SELECT 'best_f2' AS policy, * FROM (SELECT * FROM pc ORDER BY f2 DESC, threshold ASC LIMIT 1)
+  UNION ALL SELECT 'recall_at_precision', * FROM (SELECT * FROM pc ORDER BY CASE WHEN precision >= 0.5 THEN recall ELSE -1 END DESC, threshold ASC LIMIT 1)
+  UNION ALL SELECT 'min_cost', * FROM (SELECT * FROM pc ORDER BY cost ASC, threshold ASC LIMIT 1))""",
+  CURVE.strip() + """,
+pc AS (SELECT threshold, precision, recall,
+              CASE WHEN 4 * precision + recall > 0 THEN 5 * precision * recall / (4 * precision + recall) ELSE 0 END AS f2,
+              1.0 * fp + 10.0 * (P - tp) AS cost FROM pr)""")
+_DAYAUC = """
+dd2 AS (SELECT *, CAST(floor(TransactionDT / 86400) AS INTEGER) AS block FROM txn),
+lng AS (SELECT block, isFraud, 'fraud_score' AS model, fraud_score AS s FROM dd2
+        UNION ALL SELECT block, isFraud, 'score_b', score_b FROM dd2),
+pts2 AS (SELECT model, block, s, sum(isFraud) AS pos, count(*) - sum(isFraud) AS neg FROM lng GROUP BY 1, 2, 3),
+cum2 AS (SELECT *, sum(pos) OVER (PARTITION BY model, block ORDER BY s DESC) AS tp,
+                sum(pos) OVER (PARTITION BY model, block) AS P, sum(neg) OVER (PARTITION BY model, block) AS N FROM pts2),
+auc2 AS (SELECT model, block, sum(neg * (2 * tp - pos)) / (2.0 * max(P) * max(N)) AS roc_auc FROM cum2 GROUP BY 1, 2),
+rec AS (SELECT model, avg(roc_auc) AS recent_mean_auc, CAST(count(*) AS BIGINT) AS n_blocks FROM auc2
+        WHERE block > (SELECT max(block) FROM dd2) - 7 GROUP BY model)"""
+q("doc6", f"""SELECT model, {R('recent_mean_auc')} AS recent_mean_auc, n_blocks,
+    CASE WHEN model = (SELECT model FROM rec ORDER BY recent_mean_auc DESC, model DESC LIMIT 1) THEN 1 ELSE 0 END
+      AS selected FROM rec""", _DAYAUC)
+q("doc7", f"""SELECT p.TransactionID,
+    {R('(coalesce(s.sy, 0) + 10.0 * pr.prior) / (coalesce(s.n, 0) + 10.0)')} AS card4_te
+  FROM pos p LEFT JOIN (SELECT card4, sum(isFraud) AS sy, count(*) AS n FROM pos, hb WHERE pos < train_end GROUP BY card4) s
+    ON p.card4 = s.card4,
+  (SELECT avg(isFraud) AS prior FROM pos, hb WHERE pos < train_end) pr""", POS)
+q("doc8", f"""SELECT TransactionID,
+    {R('CASE WHEN Card_Prior_Txn_Count < 3 THEN (SELECT avg(isFraud) FROM pos, hb WHERE pos < train_end) ELSE score_b END')}
+      AS seq_score,
+    CASE WHEN Card_Prior_Txn_Count < 3 THEN 0 ELSE 1 END AS view_mask_seq FROM velo""", POS + "," + VELO)
+q("doc9", f"""SELECT 'fraud_score' AS model_a, 'fraud_score' AS model_b, {R('corr(fraud_score, fraud_score)')} AS corr FROM txn
+  UNION ALL SELECT 'fraud_score', 'score_b', {R('corr(fraud_score, score_b)')} FROM txn
+  UNION ALL SELECT 'score_b', 'score_b', {R('corr(score_b, score_b)')} FROM txn""")

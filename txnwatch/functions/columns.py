@@ -100,3 +100,20 @@ def cross_feature_columns(amount="TransactionAmt", hour="hour",
 
 def new_client_flag(count_col="UID_txn_count") -> Column:
     return (col(count_col) < 2).cast("int")
+
+
+# --- DOC2: PaySim balance features -----------------------------------------------------
+
+def paysim_balance_columns(step="step", amount="amount", old_orig="oldbalanceOrg", new_orig="newbalanceOrig",
+                           ) -> dict[str, Column]:
+    """Balance error, amount-to-balance ratio (``amount / (old balance + 1)``),
+    full-transfer flag (the whole positive balance moved) and cyclical hour."""
+    import math
+    hour = F.pmod(col(step), F.lit(24)).cast("double")
+    return {
+        "balance_error": col(old_orig) - col(amount) - col(new_orig),
+        "amt_to_balance": col(amount) / (col(old_orig) + F.lit(1.0)),
+        "is_full_transfer": ((col(old_orig) > 0) & (col(amount) >= col(old_orig))).cast("int"),
+        "hour_sin": F.sin(hour * F.lit(2 * math.pi / 24)),
+        "hour_cos": F.cos(hour * F.lit(2 * math.pi / 24)),
+    }

@@ -95,3 +95,18 @@ def transform_standard_scaler(df: DataFrame, stats: DataFrame, columns: Sequence
     else:
         cols = {c: (F.col(c) - F.col(f"{c}__mu")) / F.col(f"{c}__sd") for c in columns}
     return j.withColumns(cols).drop(*[f"{c}__{s}" for c in columns for s in ("mu", "sd")])
+
+
+def target_encode(df: DataFrame, col: str, label: str, fit: Column | None = None, smoothing: float = 10.0,
+                  out_col: str | None = None) -> DataFrame:
+    """DOC7: fold-local smoothed target encoding
+    ``(sum_y + m * prior) / (n + m)`` learned on the fit rows; unseen -> prior."""
+    out_col = out_col or f"{col}_te"
+    fit_rows = df if fit is None else df.filter(fit)
+    prior = fit_rows.agg(F.avg(F.col(label).cast("double")).alias("_prior"))
+    stats = fit_rows.groupBy(col).agg(F.sum(F.col(label).cast("double")).alias("_sy"),
+                                      F.count(F.lit(1)).alias("_n"))
+    j = df.join(stats, col, "left").crossJoin(F.broadcast(prior))  # one-row prior
+    te = (F.coalesce(F.col("_sy"), F.lit(0.0)) + F.lit(smoothing) * F.col("_prior")) / (
+        F.coalesce(F.col("_n"), F.lit(0)) + F.lit(smoothing))
+    return j.withColumn(out_col, te).drop("_sy", "_n", "_prior")

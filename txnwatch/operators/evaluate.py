@@ -389,3 +389,54 @@ def window_free_rate(df: DataFrame, label: str = "isFraud") -> DataFrame:
     """AGG3: class counts and positive rate."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
     return counts.withColumn("rate", F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(1))))
+
+
+# --- DOC5 / DOC6 / DOC9 ------------------------------------------------------------------
+
+MIN_PRECISION = 0.5
+COST_FP, COST_FN = 1.0, 10.0
+
+
+def threshold_policies(curve: DataFrame, min_precision: float = MIN_PRECISION, cost_fp: float = COST_FP,
+                       cost_fn: float = COST_FN) -> DataFrame:
+    """DOC5: thresholds by best F2, best recall with precision >= ``min_precision``
+    and minimum expected cost ``cost_fp * fp + cost_fn * fn`` (ties: lowest threshold)."""
+    c = _pr(curve).withColumns({
+        "f2": F.when(4 * F.col("precision") + F.col("recall") > 0,
+                     5 * F.col("precision") * F.col("recall") / (4 * F.col("precision") + F.col("recall")))
+        .otherwise(F.lit(0.0)),
+        "cost": F.lit(cost_fp) * F.col("fp") + F.lit(cost_fn) * (F.col("P") - F.col("tp")),
+    })
+    pick = lambda key: F.max_by(F.struct("threshold", "precision", "recall", "f2", "cost"), key)
+    agg = c.agg(
+        pick(F.struct(F.col("f2"), -F.col("threshold"))).alias("best_f2"),
+        pick(F.struct(F.when(F.col("precision") >= min_precision, F.col("recall")).otherwise(F.lit(-1.0)),
+                      -F.col("threshold"))).alias("recall_at_precision"),
+        pick(F.struct(-F.col("cost"), -F.col("threshold"))).alias("min_cost"))
+    rows = [F.struct(F.lit(n).alias("policy"), F.col(f"{n}.threshold").alias("threshold"),
+                     F.col(f"{n}.precision").alias("precision"), F.col(f"{n}.recall").alias("recall"),
+                     F.col(f"{n}.f2").alias("f2"), F.col(f"{n}.cost").alias("cost"))
+            for n in ("best_f2", "recall_at_precision", "min_cost")]
+    return agg.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+
+
+def temporal_model_selection(df: DataFrame, models: Sequence[str], label: str = "isFraud",
+                             block_col: str = "block", recent_blocks: int = 7) -> DataFrame:
+    """DOC6: AUC of every candidate per time block (one job), mean over the
+    most recent ``recent_blocks`` blocks, best candidate flagged."""
+    long = df.select(block_col, label, *models).unpivot([block_col, label], list(models), "model", "score")
+    per = roc_auc(threshold_curve(long, "score", label, by=["model", block_col]), by=["model", block_col])
+    last = df.agg(F.max(block_col).alias("_last"))
+    recent = per.crossJoin(F.broadcast(last)).filter(F.col(block_col) > F.col("_last") - recent_blocks)
+    g = recent.groupBy("model").agg(F.avg("roc_auc").alias("recent_mean_auc"), F.count(F.lit(1)).alias("n_blocks"))
+    best = g.agg(F.max_by("model", F.struct(F.col("recent_mean_auc"), F.col("model"))).alias("_best"))
+    return g.crossJoin(best).withColumn("selected", (F.col("model") == F.col("_best")).cast("int")).drop("_best")
+
+
+def prediction_correlation(df: DataFrame, models: Sequence[str]) -> DataFrame:
+    """DOC9: Pearson correlation for every pair of model score columns (one pass)."""
+    pairs = [(a, b) for i, a in enumerate(models) for b in models[i:]]
+    agg = df.agg(*[F.corr(a, b).alias(f"{a}__{b}") for a, b in pairs])
+    rows = [F.struct(F.lit(a).alias("model_a"), F.lit(b).alias("model_b"), F.col(f"{a}__{b}").alias("corr"))
+            for a, b in pairs]
+    return agg.select(F.explode(F.array(*rows)).alias("r")).select("r.*")

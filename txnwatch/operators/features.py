@@ -242,3 +242,83 @@ def build_sequences(df: DataFrame, entity: str, features: Sequence[str], seq_len
     n_hist = F.size(F.col("_hist"))
     padded = F.concat(F.array_repeat(zero_vec, F.lit(seq_len) - n_hist), ordered)
     return rolled.withColumns({out_col: padded, f"{out_col}_len": n_hist}).drop("_hist", "_seq_rn")
+
+
+# --- DOC1 / DOC3 / DOC8: documented extensions ----------------------------------------------
+
+TIME_RANGES = [(3600, "1h"), (21600, "6h"), (86400, "24h"), (7 * 86400, "7d"), (14 * 86400, "14d"),
+               (30 * 86400, "30d")]
+
+
+def time_range_velocity(df: DataFrame, card: str = "card1", amount: str = "TransactionAmt",
+                        time_col: str = "TransactionDT", id_col: str = "TransactionID",
+                        ranges: Sequence[tuple[int, str]] = TIME_RANGES, n_chunks: int = 1) -> DataFrame:
+    """DOC1: count / sum / mean of the card's amounts with time in
+    ``[t - s, t]`` (same-second rows included, as a RANGE frame).
+
+    Computed as an as-of count: every row adds probe rows at ``t`` (after
+    the data rows of that second) and at ``t - s`` (before them); one keyed,
+    time-chunked running sum over data + probes gives ``C(<= t) - C(< t - s)``
+    without a range join and without one task per hot card.
+    """
+    from txnwatch.operators.scan import keyed_prefix_sums, with_value_chunks
+    base = df.select(card, id_col, time_col, amount)
+    data = base.select(card, F.col(time_col).alias("_t"), F.lit(1).alias("_kind"), F.col(id_col).alias("_id"),
+                       F.lit(-1).alias("_probe"), F.lit(1).alias("_c"), F.col(amount).cast("double").alias("_a"),
+                       F.when(F.col(amount).isNotNull(), F.lit(1)).otherwise(F.lit(0)).alias("_ca"))
+    probes = [base.select(card, F.col(time_col).alias("_t"), F.lit(2).alias("_kind"), F.col(id_col).alias("_id"),
+                          F.lit(len(ranges)).alias("_probe"))]
+    for i, (s, _) in enumerate(ranges):
+        probes.append(base.select(card, (F.col(time_col) - s).alias("_t"), F.lit(0).alias("_kind"),
+                                  F.col(id_col).alias("_id"), F.lit(i).alias("_probe")))
+    allp = probes[0]
+    for p in probes[1:]:
+        allp = allp.unionByName(p)
+    allp = allp.select("*", F.lit(0).alias("_c"), F.lit(None).cast("double").alias("_a"), F.lit(0).alias("_ca"))
+    events = data.unionByName(allp)
+    chunk = None
+    if n_chunks > 1:
+        events = with_value_chunks(events, [card], "_t", "_tchunk", n_chunks)
+        chunk = "_tchunk"
+    cum = keyed_prefix_sums(events, [card], ["_t", "_kind", "_id", "_probe"],
+                            {"c": F.col("_c"), "a": F.coalesce(F.col("_a"), F.lit(0.0)), "ca": F.col("_ca")}, chunk)
+    pr = cum.filter(F.col("_kind") != 1).select("_id", "_probe", "c__cum", "a__cum", "ca__cum")
+    upper = pr.filter(F.col("_probe") == len(ranges)).select(
+        "_id", F.col("c__cum").alias("_uc"), F.col("a__cum").alias("_ua"), F.col("ca__cum").alias("_uca"))
+    lower = pr.filter(F.col("_probe") < len(ranges)).groupBy("_id").pivot("_probe", list(range(len(ranges)))).agg(
+        F.first("c__cum").alias("c"), F.first("a__cum").alias("a"), F.first("ca__cum").alias("ca"))
+    j = upper.join(lower, "_id")
+    out = {}
+    for i, (_, lab) in enumerate(ranges):
+        cnt = F.col("_uc") - F.col(f"{i}_c")
+        sm = F.col("_ua") - F.col(f"{i}_a")
+        n_amt = F.col("_uca") - F.col(f"{i}_ca")
+        out[f"txn_count_{lab}"] = cnt.cast("long")
+        out[f"amt_sum_{lab}"] = sm
+        out[f"amt_mean_{lab}"] = F.when(n_amt > 0, sm / n_amt)
+    feats = j.select(F.col("_id").alias(id_col), *[c.alias(n) for n, c in out.items()])
+    return df.join(feats, id_col, "left")
+
+
+def distinct_counterparties(df: DataFrame, account: str, counterparty: str,
+                            order_cols: Sequence[str] = ORDER, chunk_col: str | None = None,
+                            out_col: str = "distinct_counterparties") -> DataFrame:
+    """DOC3 / DOC7 degree: distinct counterparties of the account so far
+    (current row included): a first-seen flag per (account, counterparty),
+    then a running sum per account."""
+    from txnwatch.operators.scan import keyed_prefix_sums
+    first = keyed_expanding(df, [account, counterparty], order_cols, None, rn_col="_pair_rn", chunk_col=chunk_col)
+    flagged = first.withColumn("_first", (F.col("_pair_rn") == 1).cast("long")).drop("_pair_rn")
+    cum = keyed_prefix_sums(flagged, [account], list(order_cols), {"d": F.col("_first")}, chunk_col)
+    return cum.withColumnRenamed("d__cum", out_col).drop("_first")
+
+
+def view_mask_fill(df: DataFrame, score: str, history_len: str, prior: float | Column, min_history: int = 3,
+                   out_col: str | None = None, mask_col: str = "view_mask_seq") -> DataFrame:
+    """DOC8: rows with fewer than ``min_history`` earlier rows get the class
+    prior instead of the view's score, plus a 0/1 mask column."""
+    out_col = out_col or score
+    short = F.col(history_len) < min_history
+    p = prior if isinstance(prior, Column) else F.lit(float(prior))
+    return df.withColumns({out_col: F.when(short, p).otherwise(F.col(score)),
+                           mask_col: F.when(short, F.lit(0)).otherwise(F.lit(1))})

@@ -333,3 +333,28 @@ def leave_one_out_ablation(oof: DataFrame, model_cols: Sequence[str], label: str
     out = spark.createDataFrame(rows, "model string, full_auc double, auc_without double, auc_drop double")
     mvp = max(rows, key=lambda r: r[3])[0]
     return out.withColumn("is_mvp", (F.col("model") == mvp).cast("int"))
+
+
+# --- DOC4: feature stability over folds ----------------------------------------------------
+
+def feature_stability(importances: DataFrame, n_folds: int) -> tuple[DataFrame, DataFrame]:
+    """Per (model, feature) and overall: mean, std, fold coverage (share of
+    folds with importance > 0), cv = std / mean, and
+    ``stability_score = mean * coverage / (1 + cv)`` (our choice; the source
+    names the score without defining it).  Input: model, fold, feature, importance."""
+    def summarize(by):
+        g = importances.groupBy(*by).agg(
+            F.avg("importance").alias("mean_importance"),
+            F.coalesce(F.stddev_samp("importance"), F.lit(0.0)).alias("std_importance"),
+            (F.count_if(F.col("importance") > 0) / F.lit(float(n_folds))).alias("fold_coverage"))
+        cv = F.when(F.col("mean_importance") > 0, F.col("std_importance") / F.col("mean_importance")).otherwise(
+            F.lit(0.0))
+        return g.withColumn("cv_importance", cv).withColumn(
+            "stability_score", F.col("mean_importance") * F.col("fold_coverage") / (1 + F.col("cv_importance")))
+    return summarize(["model", "feature"]), summarize(["feature"])
+
+
+def fold_importances(model, features: Sequence[str], model_name: str, fold: int) -> list[tuple]:
+    """Rows (model, fold, feature, importance) of a fitted tree ensemble."""
+    imp = model.featureImportances.toArray()
+    return [(model_name, fold, f, float(v)) for f, v in zip(features, imp)]

@@ -1000,3 +1000,206 @@ def q_evl13(spark, sf):
     (out, progress), wall = SJ.timed(lambda: SJ.run_to_table(
         SJ.stream_routing(SF.txn_stream(spark, sf), float("inf")), "evl13"))
     return SJ.to_frame(spark, SJ.progress_report(progress, wall))
+
+
+# --- sources and sinks (files go to the shared checkpoint folder) -----------------------------------------
+
+import uuid  # noqa: E402
+
+from txnwatch.session import checkpoint_dir  # noqa: E402
+from txnwatch.sources import loaders as LD  # noqa: E402
+from txnwatch.sources import sinks as SK  # noqa: E402
+
+
+def _shared(spark, name: str) -> str:
+    return f"{checkpoint_dir(spark).rstrip('/')}/fixtures/{name}-{uuid.uuid4().hex[:8]}"
+
+
+def _write_csv(df, path: str, order_col: str, n_parts: int = 4, drop_order: bool = False):
+    """Range-partitioned, sorted CSV parts: file order equals ``order_col`` order."""
+    out = df.repartitionByRange(n_parts, order_col).sortWithinPartitions(order_col)
+    if drop_order:
+        out = out.drop(order_col)
+    out.write.mode("overwrite").option("header", True).csv(path)
+
+
+def _paysim_csv(spark, sf) -> str:
+    root = _shared(spark, "paysim")
+    raw = paysim_raw(spark, sf)
+    _write_csv(raw.select("TransactionID", *LD.PAYSIM_REQUIRED), f"{root}/nested/deeper/log", "TransactionID",
+               drop_order=True)
+    # a decoy CSV without the PaySim columns
+    _write_csv(_base(spark, sf).select("TransactionID", "TransactionAmt"), f"{root}/nested/decoy", "TransactionID", 1)
+    return root
+
+
+@register("src1")
+def q_src1(spark, sf):
+    return _round_all(LD.load_dataset(spark, _paysim_csv(spark, sf), "  PaySim "))
+
+
+@register("src3")
+def q_src3(spark, sf):
+    root = _paysim_csv(spark, sf)
+    return _round_all(LD.load_paysim(spark, f"{root}/nested/deeper/log"))
+
+
+@register("src4")
+def q_src4(spark, sf):
+    return _round_all(LD.load_paysim(spark, _paysim_csv(spark, sf), max_rows=1000))
+
+
+@register("src5")
+def q_src5(spark, sf):
+    root = _paysim_csv(spark, sf)
+    found = LD.discover_by_schema(spark, root)
+    return found.select(F.regexp_extract("path", r"/nested/(.*)/part-", 1).alias("folder"), "matches").distinct()
+
+
+@register("src2")
+def q_src2(spark, sf):
+    root = _shared(spark, "ieee")
+    _write_csv(_base(spark, sf).select("TransactionID", "TransactionDT", "TransactionAmt", "card1", "card4",
+                                       "isFraud"), f"{root}/train_transaction.csv", "TransactionID")
+    _write_csv(identity(spark, sf), f"{root}/train_identity.csv", "TransactionID")
+    df = LD.load_ieee(spark, root)
+    return _round_all(df.select(F.col("TransactionID").cast("long").alias("TransactionID"),
+                                F.col("TransactionAmt").cast("double").alias("TransactionAmt"),
+                                "isFraud", "DeviceType"))
+
+
+@register("src7")
+def q_src7(spark, sf):
+    root = _shared(spark, "cache")
+    inputs = [f"{sf.rstrip('/')}/events.parquet"]
+
+    def build():
+        return FE.extract_time_features(_base(spark, sf))
+    LD.cached_features(spark, root, inputs, "time-v1", {"sf": sf}, build)
+    return LD.cached_features(spark, root, inputs, "time-v1", {"sf": sf}, build).select(
+        "TransactionID", "hour", "day_of_week")
+
+
+@register("snk1")
+def q_snk1(spark, sf):
+    root = _shared(spark, "artifacts")
+    routed = RT.route_transactions(FE.build_uid(_base(spark, sf)))
+    path = SK.save_holdout_predictions(routed, root, "ieee")
+    back = spark.read.option("header", True).schema(
+        "TransactionID long, UID string, isFraud int, fraud_score double, decision string").csv(path)
+    return _round_all(back)
+
+
+@register("snk2")
+def q_snk2(spark, sf):
+    root = _shared(spark, "metrics")
+    df = _base(spark, sf).withColumn("day", F.floor(F.col("TransactionDT") / 86400).cast("int"))
+    runs = EV.seed_metric_row(df, by=["day"]).select("day", "roc_auc", "pr_auc", "brier")
+    SK.save_metrics_summary(runs, f"{root}/summary.json", ["roc_auc", "pr_auc", "brier"])
+    return spark.read.json(f"{root}/summary.json")
+
+
+@register("snk4")
+def q_snk4(spark, sf):
+    root = _shared(spark, "tables")
+    base = _base(spark, sf)
+    tables = {"calibration_bins": EV.calibration_table(base), "score_deciles": EV.score_deciles(base),
+              "topk": EV.topk_capture(base), "policy": EV.policy_metrics(RT.route_transactions(base))}
+    paths = SK.save_tables(tables, root)
+    parts = [spark.read.option("header", True).csv(p).select(F.lit(p.rsplit("/", 1)[-1]).alias("table"))
+             for p in paths]
+    allp = parts[0]
+    for p in parts[1:]:
+        allp = allp.unionByName(p)
+    return allp.groupBy("table").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+@register("snk3")
+def q_snk3(spark, sf):
+    root = _shared(spark, "xai")
+    _, _, model, hold, bg = _meta_explained(spark, sf)
+    SK.save_tables({"meta_shap_global": XP.linear_contribution_table(hold, bg, model),
+                    "meta_shap_top_risk_local": XP.top_risk_local_table(hold, bg, model, "fraud_score")}, root)
+    return spark.read.option("header", True).option("inferSchema", True).csv(f"{root}/meta_shap_global")
+
+
+@register("snk6")
+def q_snk6(spark, sf):
+    root = _shared(spark, "seeds")
+    df, n = _positioned(spark, sf)
+    hb = SP.holdout_bounds(n, gap=split_gap(n))
+    routed = RT.route_transactions(FE.build_uid(df))
+    SK.save_holdout_predictions(routed.filter(F.col("pos") < hb.train_end), f"{root}/seed_1", "ieee")
+    SK.save_holdout_predictions(routed.filter(F.col("pos") >= hb.test_start), f"{root}/seed_2", "ieee")
+    SK.save_holdout_predictions(routed.filter(F.col("pos") >= hb.test_start), f"{root}/unseeded", "ieee")
+    back = SK.read_seed_predictions(spark, root)
+    return back.select(F.col("TransactionID").cast("long").alias("TransactionID"), "seed")
+
+
+# --- documented extensions (DOC1-DOC9) --------------------------------------------------------------------
+
+@register("doc1")
+def q_doc1(spark, sf):
+    out = FE.time_range_velocity(_base(spark, sf))
+    cols = [c for c in out.columns if c.startswith(("txn_count_", "amt_sum_", "amt_mean_"))]
+    return _round_all(out.select("TransactionID", *cols))
+
+
+@register("doc2")
+def q_doc2(spark, sf):
+    raw = paysim_raw(spark, sf)
+    return _round_all(raw.select("TransactionID", *[c.alias(n) for n, c in C.paysim_balance_columns().items()]))
+
+
+@register("doc3")
+def q_doc3(spark, sf):
+    out = FE.distinct_counterparties(_base(spark, sf), "card1", "card4")
+    return out.select("TransactionID", "distinct_counterparties")
+
+
+@register("doc4")
+def q_doc4(spark, sf):
+    p = _ml_prepared(spark, sf)
+    train_all = p.frame.filter(F.col("pos") < p.holdout.train_end)
+    folds = SP.walk_forward_folds(p.holdout.train_end, SP.N_SPLITS, p.gap)
+    rows = []
+    for f in folds:
+        tr = MD.assemble(train_all.filter(F.col("pos") < f.train_end), p.features)
+        for kind in ("rf", "xgb"):
+            m = MD.build_estimator(kind, 42 + f.fold, "tiny").fit(tr)
+            rows += MD.fold_importances(m, p.features, kind, f.fold)
+    imp = spark.createDataFrame(rows, "model string, fold int, feature string, importance double")
+    by_model, _ = MD.feature_stability(imp, len(folds))
+    return by_model
+
+
+@register("doc5")
+def q_doc5(spark, sf):
+    return _round_all(EV.threshold_policies(EV.threshold_curve(_base(spark, sf))))
+
+
+@register("doc6")
+def q_doc6(spark, sf):
+    df = _base(spark, sf).withColumn("block", F.floor(F.col("TransactionDT") / 86400).cast("int"))
+    return _round_all(EV.temporal_model_selection(df, ["fraud_score", "score_b"]))
+
+
+@register("doc7")
+def q_doc7(spark, sf):
+    df, fit = _fit_rows(spark, sf)
+    te = EN.target_encode(df, "card4", "isFraud", fit)
+    return _round_all(te.select("TransactionID", "card4_te"))
+
+
+@register("doc8")
+def q_doc8(spark, sf):
+    df, fit = _fit_rows(spark, sf)
+    prior = df.filter(fit).agg(F.avg(F.col("isFraud").cast("double")).alias("p")).first()["p"]
+    v = FE.engineer_velocity(df)
+    out = FE.view_mask_fill(v, "score_b", "Card_Prior_Txn_Count", prior, out_col="seq_score")
+    return _round_all(out.select("TransactionID", "seq_score", "view_mask_seq"))
+
+
+@register("doc9")
+def q_doc9(spark, sf):
+    return _round_all(EV.prediction_correlation(_base(spark, sf), ["fraud_score", "score_b"]))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import os
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +11,7 @@ from pyspark.sql import types as T
 
 from txnwatch.operators.encode import factorize
 from txnwatch.operators.scan import add_global_position
+from txnwatch.sources import fs
 
 # PaySim column contract and candidate file names.
 PAYSIM_REQUIRED = ["step", "type", "amount", "nameOrig", "oldbalanceOrg", "newbalanceOrig",
@@ -63,8 +63,8 @@ def canonicalize_paysim(raw: DataFrame, order_col: str = "TransactionID", preser
 
 def load_ieee(spark: SparkSession, data_dir: str) -> DataFrame:
     """SRC2: transactions LEFT JOIN identity on TransactionID; label NULL -> 0."""
-    paths = [os.path.join(data_dir, f) for f in IEEE_FILES]
-    missing = [p for p in paths if not os.path.exists(p)]
+    paths = [f"{data_dir.rstrip('/')}/{f}" for f in IEEE_FILES]
+    missing = [p for p in paths if not fs.exists(spark, p)]
     if missing:
         raise FileNotFoundError(f"IEEE files not found: {missing}")
     trans = spark.read.csv(paths[0], header=True, inferSchema=True)
@@ -73,38 +73,48 @@ def load_ieee(spark: SparkSession, data_dir: str) -> DataFrame:
     return df.withColumn("isFraud", F.coalesce(F.col("isFraud").cast("int"), F.lit(0)))
 
 
-def _csv_files(data_dir: str) -> list[str]:
-    out = []
-    for root, _, files in os.walk(data_dir):
-        out += [os.path.join(root, f) for f in files if f.lower().endswith(".csv")]
-    return sorted(out)
-
-
-def _header(path: str) -> list[str]:
+def _header(spark: SparkSession, path: str) -> list[str]:
     try:
-        with open(path, encoding="utf-8", errors="replace") as fh:
-            return [c.strip().strip('"') for c in fh.readline().strip().split(",")]
-    except OSError:
+        return [c.strip().strip('"') for c in fs.first_line(spark, path).strip().split(",")]
+    except Exception:  # noqa: BLE001 - unreadable files are skipped
         return []
 
 
-def resolve_paysim_path(data_dir: str) -> str:
+def _folder(path: str) -> str:
+    return path.rsplit("/", 1)[0]
+
+
+def _is_part_file(path: str) -> bool:
+    return path.rsplit("/", 1)[-1].startswith("part-")
+
+
+def resolve_paysim_path(spark: SparkSession, data_dir: str) -> str:
     """SRC5: a candidate name in the root, then recursively, then the first
-    (sorted) CSV whose header holds every required column."""
+    (sorted) CSV whose header holds every required column.  A folder of
+    ``part-`` files (a Spark CSV output) is judged by its first part."""
+    root = data_dir.rstrip("/")
     for name in PAYSIM_CANDIDATES:
-        p = os.path.join(data_dir, name)
-        if os.path.exists(p):
-            return p
-    files = _csv_files(data_dir)
+        if fs.exists(spark, f"{root}/{name}"):
+            return f"{root}/{name}"
+    files = fs.list_files(spark, root, ".csv")
     for f in files:
-        if os.path.basename(f) in PAYSIM_CANDIDATES:
-            return f
+        if f.rsplit("/", 1)[-1] in PAYSIM_CANDIDATES:
+            return _folder(f) if _is_part_file(f) else f
     missing_best = None
+    seen_folders = set()
     for f in files:
-        hdr = set(_header(f))
+        target = f
+        if _is_part_file(f):
+            target = _folder(f)
+            if target in seen_folders:
+                continue
+            seen_folders.add(target)
+        hdr = set(_header(spark, f))
+        if not hdr or hdr == {""}:
+            continue
         missing = sorted(set(PAYSIM_REQUIRED) - hdr)
         if not missing:
-            return f
+            return target
         if missing_best is None or len(missing) < len(missing_best):
             missing_best = missing
     raise FileNotFoundError(f"No PaySim CSV under {data_dir}; missing columns: {missing_best or PAYSIM_REQUIRED}")
@@ -123,20 +133,43 @@ def discover_by_schema(spark: SparkSession, data_dir: str, required: Sequence[st
     return first.select("path", ok.alias("matches"))
 
 
+def with_file_order(df: DataFrame, out_cols: tuple[str, str, str] = ("_file_rank", "_file_block", "_file_row")
+                    ) -> DataFrame:
+    """Attach a total order equal to the rows' order in the files: rank of the
+    file path (one row per file, joined back), byte offset of the split, and
+    a per-split increasing id.  A file scan bin-packs splits by size, so
+    partition order alone is not file order."""
+    rank_c, block_c, row_c = out_cols
+    meta = df.select("*", F.col("_metadata.file_path").alias("_fp"),
+                     F.col("_metadata.file_block_start").alias(block_c),
+                     F.monotonically_increasing_id().alias(row_c))
+    files = meta.select("_fp").distinct()
+    ranked = add_global_position(files, order_cols=("_fp",), pos_col=rank_c, rows_per_bucket=1 << 40)
+    return meta.join(ranked, "_fp").drop("_fp")
+
+
 def load_paysim(spark: SparkSession, data_dir: str, max_rows: int | None = None,
                 step_block_size: int | None = STEP_BLOCK_SIZE) -> DataFrame:
-    """SRC3/SRC4: explicit schema; ``max_rows`` keeps the first rows in file order."""
-    path = resolve_paysim_path(data_dir) if os.path.isdir(data_dir) else data_dir
-    hdr = _header(path)
-    schema = T.StructType([f for f in PAYSIM_SCHEMA.fields if f.name in hdr]) if hdr else PAYSIM_SCHEMA
-    raw = spark.read.schema(schema).option("header", True).csv(path)
-    raw = raw.withColumn("_file_row", F.monotonically_increasing_id())  # file order within a scan
+    """SRC3/SRC4: typed by the PaySim contract, in header order; ``max_rows``
+    keeps the first rows in file order (a position filter, never a bare
+    ``limit``); ids are 1..n in file order."""
+    files = fs.list_files(spark, data_dir, ".csv")
+    if fs.is_dir(spark, data_dir) and not all(_is_part_file(f) and _folder(f) == data_dir.rstrip("/")
+                                               for f in files):
+        path = resolve_paysim_path(spark, data_dir)
+    else:
+        path = data_dir
+    first = (fs.list_files(spark, path, ".csv") or [path])[0]
+    hdr = _header(spark, first)
+    types = {f.name: f.dataType for f in PAYSIM_SCHEMA.fields}
+    # CSV columns bind by position: the schema follows the header order
+    schema = T.StructType([T.StructField(c, types.get(c, T.StringType())) for c in hdr])
+    raw = with_file_order(spark.read.schema(schema).option("header", True).csv(path))
+    raw = add_global_position(raw, order_cols=("_file_rank", "_file_block", "_file_row"), pos_col="_fpos")
     if max_rows is not None:
-        raw = add_global_position(raw, order_cols=("_file_row",), pos_col="_fpos")
-        raw = raw.filter(F.col("_fpos") < max_rows).drop("_fpos")
-    canon = canonicalize_paysim(raw.withColumn("TransactionID", F.col("_file_row")), order_col="_file_row",
-                                preserve_ids=False, step_block_size=step_block_size)
-    return canon
+        raw = raw.filter(F.col("_fpos") < max_rows)
+    raw = raw.withColumn("TransactionID", F.col("_fpos") + 1).drop("_file_rank", "_file_block", "_file_row", "_fpos")
+    return canonicalize_paysim(raw, order_col="TransactionID", preserve_ids=True, step_block_size=step_block_size)
 
 
 def load_dataset(spark: SparkSession, data_dir: str, dataset: str, **kwargs) -> DataFrame:
@@ -154,27 +187,22 @@ load_and_merge = load_dataset  # legacy alias
 
 # --- SRC7: feature cache ------------------------------------------------------------
 
-def _fingerprint(paths: Sequence[str], tag: str, params: dict) -> dict:
-    files = []
-    for p in paths:
-        st = os.stat(p)
-        files.append({"path": os.path.abspath(p), "size": st.st_size, "mtime_ns": st.st_mtime_ns})
+def _fingerprint(spark: SparkSession, paths: Sequence[str], tag: str, params: dict) -> dict:
+    files = [fs.file_info(spark, p) for p in paths]
     return {"files": files, "pipeline": tag, "params": params}
 
 
 def cached_features(spark: SparkSession, cache_dir: str, inputs: Sequence[str], tag: str, params: dict,
                     build) -> DataFrame:
-    """Reuse the parquet feature table under ``cache_dir`` when its metadata
-    equals the current fingerprint exactly; otherwise rebuild and rewrite it."""
-    meta_path = os.path.join(cache_dir, "metadata.json")
-    data_path = os.path.join(cache_dir, "features.parquet")
-    want = _fingerprint(inputs, tag, params)
-    if os.path.exists(meta_path) and os.path.exists(data_path):
-        with open(meta_path) as fh:
-            if json.load(fh) == want:
-                return spark.read.parquet(data_path)
+    """SRC7: reuse the parquet feature table under ``cache_dir`` when its
+    metadata equals the current fingerprint exactly (input paths, sizes,
+    modification times, pipeline tag, parameters); otherwise rebuild it."""
+    meta_path = f"{cache_dir.rstrip('/')}/metadata.json"
+    data_path = f"{cache_dir.rstrip('/')}/features.parquet"
+    want = json.loads(json.dumps(_fingerprint(spark, inputs, tag, params), sort_keys=True))
+    have = fs.read_text(spark, meta_path)
+    if have is not None and fs.exists(spark, data_path) and json.loads(have) == want:
+        return spark.read.parquet(data_path)
     build().write.mode("overwrite").parquet(data_path)
-    os.makedirs(cache_dir, exist_ok=True)
-    with open(meta_path, "w") as fh:
-        json.dump(want, fh, sort_keys=True)
+    fs.write_text(spark, meta_path, json.dumps(want, sort_keys=True))
     return spark.read.parquet(data_path)
