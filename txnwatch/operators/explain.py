@@ -48,16 +48,32 @@ class Background:
     mean: list[float]
 
 
-def background_stats(bg: DataFrame, features: Sequence[str]) -> Background:
+def background_slice(df: DataFrame, order_cols: Sequence[str] = ("TransactionDT", "TransactionID"),
+                     n: int = BACKGROUND_ROWS) -> DataFrame:
+    """The first ``n`` rows in time order (a top-k, bounded), kept in memory."""
+    from pyspark import StorageLevel
+    return df.orderBy(*order_cols).limit(n).persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def background_stats(bg: DataFrame, features: Sequence[str], bounded: bool = True) -> Background:
     """AGG9: median, population std + 1e-6, quartiles and mean per feature of
     the background rows, on the same -999-filled values the rows are explained with."""
     features = list(features)
     long = bg.select(*[_x(c).alias(c) for c in features]).unpivot([], features, "feature", "value")
-    q = exact_quantiles(long, "value", [0.25, 0.5, 0.75], keys=["feature"])
-    qw = q.groupBy("feature").agg(*[F.max(F.when(F.col("q_index") == i, F.col("value"))).alias(n)
-                                    for i, n in enumerate(["q1", "median", "q3"])])
-    mom = long.groupBy("feature").agg(F.stddev_pop("value").alias("sd"), F.avg("value").alias("mean"))
-    rows = {r["feature"]: r for r in qw.join(mom, "feature").collect()}  # one row per feature
+    if bounded:
+        # the background is a bounded slice: one exact aggregation
+        q = F.percentile("value", [0.25, 0.5, 0.75])
+        stats = long.groupBy("feature").agg(q.alias("_q"), F.stddev_pop("value").alias("sd"),
+                                            F.avg("value").alias("mean")).select(
+            "feature", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q3"),
+            "sd", "mean")
+    else:
+        q = exact_quantiles(long, "value", [0.25, 0.5, 0.75], keys=["feature"])
+        qw = q.groupBy("feature").agg(*[F.max(F.when(F.col("q_index") == i, F.col("value"))).alias(n)
+                                        for i, n in enumerate(["q1", "median", "q3"])])
+        mom = long.groupBy("feature").agg(F.stddev_pop("value").alias("sd"), F.avg("value").alias("mean"))
+        stats = qw.join(mom, "feature")
+    rows = {r["feature"]: r for r in stats.collect()}  # one row per feature
     get = lambda f, k, d=float("nan"): (rows[f][k] if f in rows and rows[f][k] is not None else d)
     return Background(features,
                       [get(f, "median") for f in features],
@@ -99,8 +115,16 @@ def _by_abs_desc(a, b) -> Column:
 
 
 def ranked_contributions(arr: Column) -> Column:
-    """SRT5: contributions by |value| descending (ties: later feature first)."""
-    return F.array_sort(arr, _by_abs_desc)
+    """SRT5: contributions by |value| descending (ties: later feature first).
+
+    Sorted with the natural (codegen) struct ordering on ``(-|c|, -idx)``
+    rather than an interpreted comparator lambda."""
+    keyed = F.transform(arr, lambda s: F.struct(
+        (-F.abs(s["contribution"])).alias("k1"), (-s["idx"]).alias("k2"), s["idx"].alias("idx"),
+        s["feature"].alias("feature"), s["x"].alias("x"), s["contribution"].alias("contribution")))
+    return F.transform(F.sort_array(keyed), lambda s: F.struct(
+        s["idx"].alias("idx"), s["feature"].alias("feature"), s["x"].alias("x"),
+        s["contribution"].alias("contribution")))
 
 
 def top_pairs(arr: Column, k: int) -> Column:

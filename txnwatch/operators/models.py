@@ -12,6 +12,7 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.ml.classification import (GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier,
                                        RandomForestClassifier)
 from pyspark.ml.feature import VectorAssembler
@@ -21,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from txnwatch.operators.evaluate import roc_auc, threshold_curve
-from txnwatch.operators.scan import keyed_expanding
+from txnwatch.operators.scan import compact_for_fit, keyed_expanding
 
 # Fixed hyper-parameter profiles (research / fast) plus a tiny test profile.
 PROFILES = {
@@ -210,7 +211,7 @@ def fit_logistic(df: DataFrame, features: Sequence[str], label: str = "isFraud",
     if weight_col:
         lr = lr.setWeightCol(weight_col)
     data = VectorAssembler(inputCols=list(features), outputCol="_x").transform(
-        df.select(*features, label, *([weight_col] if weight_col else [])))
+        compact_for_fit(df.select(*features, label, *([weight_col] if weight_col else []))))
     m = lr.fit(data)
     return LinearModel(list(features), [float(v) for v in m.coefficients], float(m.intercept))
 
@@ -263,11 +264,13 @@ def fit_meta_learner(oof: DataFrame, model_cols: Sequence[str], label: str = "is
                      order_col: str = "TransactionID", calibrate: bool = True) -> CalibratedLinear:
     """STK3 + STK4: base LR on all rows, then three stratified contiguous folds
     each refitting the LR on two folds and Platt-scaling it on the third."""
+    oof = oof.select(order_col, label, *model_cols).persist(StorageLevel.MEMORY_AND_DISK)
     n = oof.count()
     base = fit_logistic(oof, model_cols, label, C, n)
     if not calibrate:
+        oof.unpersist()
         return CalibratedLinear(base)
-    folded = stratified_contiguous_folds(oof.select(order_col, label, *model_cols), label, order_col)
+    folded = stratified_contiguous_folds(oof, label, order_col).persist(StorageLevel.MEMORY_AND_DISK)
     folds = []
     for j in range(CALIBRATION_FOLDS):
         tr = folded.filter(F.col("_cal_fold") != j)
@@ -275,6 +278,8 @@ def fit_meta_learner(oof: DataFrame, model_cols: Sequence[str], label: str = "is
         m = fit_logistic(tr, model_cols, label, C)
         a, b = fit_platt(te, m.logit(), label)
         folds.append((m, a, b))
+    folded.unpersist()
+    oof.unpersist()
     return CalibratedLinear(base, folds)
 
 

@@ -11,7 +11,7 @@ uncentred rows.
 from __future__ import annotations
 
 import re
-from pyspark.ml.feature import PCA, VectorAssembler
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,38 +40,68 @@ def null_pattern_groups(df: DataFrame, fit: Column | None, pos: str = "pos",
     return list(groups.values())
 
 
-def v_column_pca(df: DataFrame, fit: Column | None = None, pos: str = "pos",
-                 n_components: int = N_COMPONENTS) -> DataFrame:
-    """ENC6: ``V_PCA_g{g}_pc{i}`` per group with at least ``n_components``
-    columns; all V-columns dropped.  Skipped (frame unchanged) with fewer than
-    10 V-columns or an empty fit slice."""
+def fit_v_pca(df: DataFrame, fit: Column | None = None, pos: str = "pos",
+              n_components: int = N_COMPONENTS) -> tuple[dict[str, Column], list[str]]:
+    """Fit ENC6 on ``df`` and return (projection columns, V-columns to drop).
+
+    All groups are fitted together: one aggregation for the fit-row count and
+    the column means, one for the centred cross-products of every group
+    (``sum_g d_g^2`` numbers, bounded by the V-column count), then a small
+    symmetric eigen-decomposition per group on the driver - the covariance
+    route ``RowMatrix`` takes, done for every group in two passes.  The
+    projections are column expressions usable on any later frame that still
+    has the V-columns.  Skipped (nothing projected or dropped) with fewer
+    than 10 V-columns or an empty fit slice."""
     vcols = v_columns(df)
     if len(vcols) < MIN_V_COLUMNS:
-        return df
+        return {}, []
     fit_rows = df if fit is None else df.filter(fit)
-    n_fit = fit_rows.count()
-    if n_fit == 0:
-        return df
     groups = null_pattern_groups(df, fit, pos)
+    if not groups:
+        return {}, []
+    used = [(gi, cols) for gi, cols in enumerate(groups) if len(cols) >= n_components]
+    x = {c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in vcols}
+    first = fit_rows.agg(F.count(F.lit(1)).alias("_n"), *[F.avg(x[c]).alias(c) for gi, cols in used
+                                                          for c in cols]).first()
+    n_fit = first["_n"]
+    if n_fit == 0:
+        return {}, []
+    means = {c: float(first[c]) for _, cols in used for c in cols}
+    prods = []
+    for gi, cols in used:
+        for i, a in enumerate(cols):
+            for b in cols[i:]:
+                prods.append(F.sum((x[a] - F.lit(means[a])) * (x[b] - F.lit(means[b]))).alias(f"g{gi}|{a}|{b}"))
+    sums = fit_rows.agg(*prods).first() if prods else None
     out_cols: dict[str, Column] = {}
-    for gi, cols in enumerate(groups):
-        if len(cols) < n_components:
-            continue
-        k = min(n_components, len(cols), n_fit)
-        filled = fit_rows.select(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in cols])
-        vec = VectorAssembler(inputCols=cols, outputCol="_v").transform(filled)
-        model = PCA(k=k, inputCol="_v", outputCol="_p").fit(vec)
-        pcs = model.pc.toArray()  # len(cols) x k, bounded by the V-column count
-        means = filled.agg(*[F.avg(c).alias(c) for c in cols]).first()
+    for gi, cols in used:
+        d = len(cols)
+        cov = np.zeros((d, d))
+        for i, a in enumerate(cols):
+            for j in range(i, d):
+                v = float(sums[f"g{gi}|{a}|{cols[j]}"]) / max(n_fit - 1, 1)
+                cov[i, j] = cov[j, i] = v
+        vals, vecs = np.linalg.eigh(cov)
+        order = np.argsort(vals)[::-1]
+        k = min(n_components, d, n_fit)
         for i in range(k):
-            comp = pcs[:, i]
-            sign = 1.0 if comp[abs(comp).argmax()] >= 0 else -1.0
+            comp = vecs[:, order[i]]
+            sign = 1.0 if comp[np.abs(comp).argmax()] >= 0 else -1.0
             expr = F.lit(0.0)
             for j, c in enumerate(cols):
-                w = float(sign * comp[j])
-                expr = expr + F.lit(w) * (F.coalesce(F.col(c).cast("double"), F.lit(0.0)) - F.lit(float(means[c])))
+                expr = expr + F.lit(float(sign * comp[j])) * (x[c] - F.lit(means[c]))
             out_cols[f"V_PCA_g{gi}_pc{i}"] = expr
-    return df.withColumns(out_cols).drop(*vcols) if out_cols else df.drop(*vcols)
+    return out_cols, vcols
+
+
+def v_column_pca(df: DataFrame, fit: Column | None = None, pos: str = "pos",
+                 n_components: int = N_COMPONENTS) -> DataFrame:
+    """ENC6: ``V_PCA_g{g}_pc{i}`` per group with at least ``n_components``
+    columns; all V-columns dropped."""
+    cols, vcols = fit_v_pca(df, fit, pos, n_components)
+    if not vcols:
+        return df
+    return df.withColumns(cols).drop(*vcols) if cols else df.drop(*vcols)
 
 
 def pca_groups_frame(df: DataFrame, fit: Column | None, pos: str = "pos") -> list[tuple[int, str]]:

@@ -31,6 +31,48 @@ DEFAULT_ROWS_PER_BUCKET = 4_000_000
 DEFAULT_MAX_BUCKETS = 100_000
 # Rows per sub-chunk of one entity for rolling frames.
 DEFAULT_SUB_ROWS = 4_000_000
+# Below this optimizer size estimate a frame is scanned as one bucket without
+# first paying for a count (an estimate, so only a performance knob).
+SMALL_FRAME_BYTES = 256 << 20
+
+
+MIN_ROWS_PER_BUCKET = 10_000
+
+
+def _parallelism(df: DataFrame) -> int:
+    spark = df.sparkSession
+    try:
+        return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    except Exception:  # noqa: BLE001
+        return spark.sparkContext.defaultParallelism
+
+
+def estimated_bytes(df: DataFrame) -> int | None:
+    """Catalyst's size estimate of ``df`` (no job is run)."""
+    try:
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # noqa: BLE001 - estimates are optional
+        return None
+
+
+FIT_PARTITION_BYTES = 128 << 20
+
+
+def compact_for_fit(df: DataFrame, target_bytes: int = FIT_PARTITION_BYTES) -> DataFrame:
+    """Coalesce an iterative fit's input to ~``target_bytes`` per partition
+    (by the optimizer's estimate): a tiny training set should not pay
+    per-task overhead on every optimizer iteration.  Large inputs keep their
+    partitioning."""
+    est = estimated_bytes(df)
+    if est is None:
+        return df
+    k = max(1, math.ceil(est / target_bytes))
+    return df.coalesce(k) if k < df.rdd.getNumPartitions() else df
+
+
+def is_small(df: DataFrame) -> bool:
+    est = estimated_bytes(df)
+    return est is not None and est <= SMALL_FRAME_BYTES
 
 
 def _as_list(x) -> list:
@@ -96,9 +138,28 @@ def with_value_bucket(df: DataFrame, c: str, cuts: list[float], out_col: str) ->
             .drop(tmp, out_col + "_d"))
 
 
+CUT_GRID = 1024
+
+
+def count_and_grid(df: DataFrame, col: str, grid: int = CUT_GRID) -> tuple[int, list[float]]:
+    """Row count and ``grid`` approximate quantiles of ``col`` in ONE pass."""
+    probs = [i / grid for i in range(1, grid)]
+    r = df.agg(F.count(F.lit(1)).alias("n"),
+               F.percentile_approx(F.col(col).cast("double"), probs, 8 * grid).alias("g")).first()
+    return int(r["n"]), [float(v) for v in (r["g"] or []) if v is not None]
+
+
+def cuts_from_grid(grid: list[float], n_buckets: int) -> list[float]:
+    if n_buckets <= 1 or not grid:
+        return []
+    g = len(grid) + 1
+    return sorted({grid[(i * g) // n_buckets - 1] for i in range(1, n_buckets) if (i * g) // n_buckets >= 1})
+
+
 def add_global_position(df: DataFrame, order_cols: Sequence[str] = ("TransactionDT", "TransactionID"),
                         pos_col: str = "pos", rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET,
-                        max_buckets: int = DEFAULT_MAX_BUCKETS, n_rows: int | None = None) -> DataFrame:
+                        max_buckets: int = DEFAULT_MAX_BUCKETS, n_rows: int | None = None,
+                        grid: list[float] | None = None) -> DataFrame:
     """SPL0: 0-based position of each row in ``order_cols`` order.
 
     Equal to ``row_number() over (order by order_cols) - 1`` without pulling
@@ -106,9 +167,22 @@ def add_global_position(df: DataFrame, order_cols: Sequence[str] = ("Transaction
     unique id) for the position to be deterministic.
     """
     order_cols = list(order_cols)
-    n = df.count() if n_rows is None else n_rows
-    nb = max(1, min(max_buckets, math.ceil(n / max(1, rows_per_bucket))))
-    cuts = value_range_buckets(df, order_cols[0], nb) if nb > 1 else []
+    if n_rows is None and is_small(df):
+        nb = 1
+    else:
+        if n_rows is None:
+            n_rows, grid = count_and_grid(df, order_cols[0])
+        n = n_rows
+        nb = max(1, min(max_buckets, math.ceil(n / max(1, rows_per_bucket))))
+        # keep the output spread over the cluster: one bucket would leave every
+        # downstream narrow operator in a single task
+        nb = max(nb, min(_parallelism(df), n // MIN_ROWS_PER_BUCKET, max_buckets))
+    if nb <= 1:
+        cuts = []
+    elif grid is not None and nb < len(grid):
+        cuts = cuts_from_grid(grid, nb)
+    else:
+        cuts = value_range_buckets(df, order_cols[0], nb)
     b = "_pos_bucket"
     staged = with_value_bucket(df, order_cols[0], cuts, b)
     w = Window.partitionBy(b).orderBy(*_order_exprs(order_cols))
@@ -130,6 +204,8 @@ def plan_time_chunks(df: DataFrame, time_col: str = "TransactionDT", chunk_col:
                      max_chunks: int = DEFAULT_MAX_BUCKETS, n_rows: int | None = None
                      ) -> tuple[DataFrame, str | None]:
     """Attach a value-range time chunk id, or return ``None`` if one chunk suffices."""
+    if n_rows is None and is_small(df) and rows_per_chunk >= DEFAULT_ROWS_PER_BUCKET:
+        return df, None
     n = df.count() if n_rows is None else n_rows
     nb = max(1, min(max_chunks, math.ceil(n / max(1, rows_per_chunk))))
     if nb <= 1:
@@ -309,7 +385,8 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float], keys=
     vc = (df.filter(x.isNotNull() & ~F.isnan(x)).groupBy(*keys, x.alias("_v"))
           .agg(F.count(F.lit(1)).alias("_c")))
     if n_chunks is None:
-        n_chunks = max(1, min(DEFAULT_MAX_BUCKETS, math.ceil(vc.count() / DEFAULT_ROWS_PER_BUCKET)))
+        n_chunks = 1 if is_small(df) else max(1, min(DEFAULT_MAX_BUCKETS,
+                                                    math.ceil(vc.count() / DEFAULT_ROWS_PER_BUCKET)))
     chunk = None
     if n_chunks > 1:
         vc = with_value_chunks(vc, keys, "_v", "_qchunk", n_chunks)

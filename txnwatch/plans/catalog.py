@@ -203,9 +203,13 @@ def split_gap(n: int, n_splits: int = SP.N_SPLITS) -> int:
 
 
 def _positioned(spark, sf, with_v=False):
+    """Transactions with their global time position, kept for reuse: most
+    queries run several jobs (counts, quantiles, fits) over it."""
+    from pyspark import StorageLevel
+    from txnwatch.operators.scan import count_and_grid
     df = txn(spark, sf, with_v=with_v)
-    n = df.count()
-    return add_global_position(df, n_rows=n), n
+    n, grid = count_and_grid(df, "TransactionDT")  # one pass: row count and cut-point sketch
+    return add_global_position(df, n_rows=n, grid=grid).persist(StorageLevel.MEMORY_AND_DISK), n
 
 
 @register("spl0")
@@ -773,7 +777,7 @@ XAI_FEATURES = ["TransactionAmt", "C1", "C13", "C14", "D1", "D15", "V1", "V5"]
 def _xai_base(spark, sf):
     df, n = _positioned(spark, sf, with_v=True)
     hb = SP.holdout_bounds(n, gap=split_gap(n))
-    bg = df.filter(F.col("pos") < XP.BACKGROUND_ROWS)
+    bg = XP.background_slice(df)
     return df, bg, hb
 
 

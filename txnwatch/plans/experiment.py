@@ -16,6 +16,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,8 +28,8 @@ from txnwatch.operators import models as MD
 from txnwatch.operators import route as RT
 from txnwatch.operators import smooth as SM
 from txnwatch.operators import split as SP
-from txnwatch.operators.pca import v_column_pca
-from txnwatch.operators.scan import add_global_position, plan_time_chunks
+from txnwatch.operators.pca import fit_v_pca
+from txnwatch.operators.scan import add_global_position, compact_for_fit, count_and_grid, plan_time_chunks
 from txnwatch.session import cut_lineage
 from txnwatch.sources.fixtures import txn
 
@@ -45,6 +46,8 @@ def feature_pipeline(df: DataFrame, fit: Column, pos: str = "pos", chunk_rows: i
     flags arrive as codes (the T/F mapping only applies to raw strings).
     """
     chunk_col = None
+    # V-PCA only reads the raw V-columns: fit it on the input, apply later
+    pca_cols, v_cols = fit_v_pca(df, fit, pos)
     if chunk_rows:
         df, chunk_col = plan_time_chunks(df, "TransactionDT", rows_per_chunk=chunk_rows)
     out = FE.extract_time_features(df)
@@ -52,12 +55,15 @@ def feature_pipeline(df: DataFrame, fit: Column, pos: str = "pos", chunk_rows: i
     out = EN.encode_categoricals(out, fit, pos=pos, columns=strings)
     out = FE.build_uid(out)
     out = FE.uid_aggregations(out, chunk_col=chunk_col)
-    out = v_column_pca(out, fit, pos)
+    if v_cols:
+        out = (out.withColumns(pca_cols) if pca_cols else out).drop(*v_cols)
     out = FE.cross_feature_interactions(out)
     out = FE.new_client_flag(out)
     out = FE.engineer_velocity(out, chunk_col=chunk_col)
     if chunk_col:
         out = out.drop(chunk_col)
+    # the null-ratio decision is an action: compute the feature frame once
+    out = out.persist(StorageLevel.MEMORY_AND_DISK)
     return FE.clean_high_nan_columns(out, null_threshold, fit, preserve=[c for c in preserve if c in out.columns])
 
 
@@ -75,9 +81,9 @@ def prepare(spark: SparkSession, sf_dir: str, gap: int | None = None, checkpoint
     base = txn(spark, sf_dir, with_v=True)
     if exclude_scores:
         base = base.drop("fraud_score", "score_b")  # fixture scores are not model inputs
-    n = base.count()
+    n, grid = count_and_grid(base, "TransactionDT")  # one pass: row count and cut-point sketch
     gap = gap if gap is not None else (SP.GAP_SIZE if n // (SP.N_SPLITS + 1) > SP.GAP_SIZE else n // 100)
-    positioned = add_global_position(base, n_rows=n)
+    positioned = add_global_position(base, n_rows=n, grid=grid).persist(StorageLevel.MEMORY_AND_DISK)
     hb = SP.holdout_bounds(n, gap=gap)
     feats = feature_pipeline(positioned, F.col("pos") < hb.train_end)
     if checkpoint:
@@ -106,7 +112,13 @@ def _fit_and_score(kind: str, train: DataFrame, val: DataFrame | None, score_row
     else:
         score_in = MD.assemble(score_rows, features)
     est = MD.build_estimator(kind, seed, profile, n_features=len(features))
-    model = MD.fit_model(est, tr, va if kind != "mlp" else None)
+    # iterative fits scan their input many times: keep it materialised for the fit only
+    tr = compact_for_fit(tr.select("features", "isFraud")).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        model = MD.fit_model(est, tr, va.select("features", "isFraud") if va is not None and kind != "mlp"
+                             else None)
+    finally:
+        tr.unpersist()
     return MD.score_with(model, score_in, out_col=kind).select("TransactionID", kind)
 
 
@@ -116,7 +128,8 @@ def out_of_fold(prep: Prepared, models: Sequence[str] = ("rf", "xgb"), profile:
     model (seed + fold) and scores its validation rows."""
     if len(models) < 2:
         raise ValueError("at least two models are required for stacking")
-    train_all = prep.frame.filter(F.col("pos") < prep.holdout.train_end)
+    frame = prep.frame.persist(StorageLevel.MEMORY_AND_DISK)
+    train_all = frame.filter(F.col("pos") < prep.holdout.train_end)
     folds = SP.walk_forward_folds(prep.holdout.train_end, n_splits, prep.gap)
     parts = []
     for f in folds:
@@ -130,7 +143,10 @@ def out_of_fold(prep: Prepared, models: Sequence[str] = ("rf", "xgb"), profile:
         long = long.unionByName(p)
     wide = long.groupBy("TransactionID").pivot("model", list(models)).agg(F.first("score"))
     labels = train_all.select("TransactionID", "isFraud", "pos")
-    return OOFResult(labels.join(wide, "TransactionID", "left"), list(models))
+    # reliable checkpoint: the fold loop's lineage is cut and survives executor loss
+    scores = cut_lineage(labels.join(wide, "TransactionID", "left"))
+    frame.unpersist()
+    return OOFResult(scores, list(models))
 
 
 def refit_and_score_holdout(prep: Prepared, models: Sequence[str], profile: str = "tiny", seed: int = 42,
