@@ -731,3 +731,24 @@ q("doc8", f"""SELECT TransactionID,
 q("doc9", f"""SELECT 'fraud_score' AS model_a, 'fraud_score' AS model_b, {R('corr(fraud_score, fraud_score)')} AS corr FROM txn
   UNION ALL SELECT 'fraud_score', 'score_b', {R('corr(fraud_score, score_b)')} FROM txn
   UNION ALL SELECT 'score_b', 'score_b', {R('corr(score_b, score_b)')} FROM txn""")
+
+
+# ============================ remaining projections =====================================
+_TXN_ALL = _TXN_COLS
+_ratio = " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", avg(CASE WHEN {c} IS NULL THEN 1e0 ELSE 0e0 END) AS null_ratio FROM fitv"
+    for c in _TXN_ALL)
+ORACLES["prj10"] = ("WITH " + TXN + "," + POS + ", fitv AS (SELECT * FROM pos, hb WHERE pos < train_end), "
+                    f"r AS ({_ratio})\nSELECT \"column\", {R('null_ratio')} AS null_ratio, "
+                    "CASE WHEN null_ratio IS NULL OR null_ratio < 0.7 OR \"column\" = 'TransactionID' "
+                    "THEN 1 ELSE 0 END AS kept FROM r")
+_MCOLS = ["TransactionAmt", "addr1", "D1", "D15", "C1", "C13", "C14"] + [f"V{i}" for i in range(1, 13)]
+q("prj11", "SELECT TransactionID, " + ", ".join(
+    f"{R(f'coalesce(CAST({c} AS DOUBLE), -999e0)')} AS {c}" for c in _MCOLS) + " FROM txn")
+q("prj12", "SELECT TransactionID, " + ", ".join(
+    f"{R(f'CAST({c} AS DOUBLE)')} AS {c}" for c in reversed(_MCOLS)) + " FROM txn")
+q("prj13", """SELECT TransactionID, 'fraud_only' AS predicate FROM velo WHERE isFraud = 1
+  UNION ALL SELECT TransactionID, 'group_non_null' FROM velo WHERE card4 IS NOT NULL
+  UNION ALL SELECT TransactionID, 'cold_start' FROM velo WHERE Card_Prior_Txn_Count < 3
+  UNION ALL SELECT TransactionID, 'finite_scores' FROM velo WHERE fraud_score IS NOT NULL AND NOT isnan(fraud_score)
+            AND score_b IS NOT NULL AND NOT isnan(score_b)""", VELO)

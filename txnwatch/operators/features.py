@@ -86,6 +86,20 @@ def clean_high_nan_columns(df: DataFrame, threshold: float = 0.7, fit: Column |
     return df.select(*keep)
 
 
+def null_cleanup_report(df: DataFrame, threshold: float = 0.7, fit: Column | None = None,
+                        preserve: Sequence[str] = ()) -> DataFrame:
+    """PRJ10 as a table: ``column, null_ratio, kept`` (one aggregation pass)."""
+    fit_frame = df if fit is None else df.filter(fit)
+    cols = list(df.columns)
+    ratios = null_ratios(fit_frame, cols)
+    rows = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").alias("null_ratio"))
+                               for c in cols]))
+    long = ratios.select(rows.alias("r")).select("r.*")
+    kept = (F.col("null_ratio").isNull() | (F.col("null_ratio") < threshold)
+            | F.col("column").isin(list(preserve) or [""]))
+    return long.withColumn("kept", kept.cast("int"))
+
+
 # --- PRJ2 -----------------------------------------------------------------------------
 
 _INT_TYPES = [(T.ByteType(), 127), (T.ShortType(), 32767), (T.IntegerType(), 2147483647)]

@@ -1207,3 +1207,60 @@ def q_doc8(spark, sf):
 @register("doc9")
 def q_doc9(spark, sf):
     return _round_all(EV.prediction_correlation(_base(spark, sf), ["fraud_score", "score_b"]))
+
+
+# --- remaining projections / predicates / set operations -------------------------------------------------
+
+MATRIX_COLS = ["TransactionAmt", "addr1", "D1", "D15", "C1", "C13", "C14"] + [f"V{i}" for i in range(1, 13)]
+
+
+@register("prj2")
+def q_prj2(spark, sf):
+    return FE.reduce_mem_usage(txn(spark, sf, with_v=False).drop("card4", "M4", "M9"))
+
+
+@register("prj10")
+def q_prj10(spark, sf):
+    df, fit = _fit_rows_v(spark, sf)
+    return _round_all(FE.null_cleanup_report(df.drop("pos"), 0.7, fit, preserve=["TransactionID"]))
+
+
+def _fit_rows_v(spark, sf):
+    df, n = _positioned(spark, sf, with_v=True)
+    hb = SP.holdout_bounds(n, gap=split_gap(n))
+    return df, F.col("pos") < hb.train_end
+
+
+@register("prj11")
+def q_prj11(spark, sf):
+    df = txn(spark, sf)
+    feats = MD.feature_columns(df.select(*MATRIX_COLS, "isFraud", "TransactionID"))
+    filled = MD.assemble(df, feats).select("TransactionID", *feats)
+    return _round_all(filled.withColumns({c: F.col(c).cast("double") for c in feats}))
+
+
+@register("prj12")
+def q_prj12(spark, sf):
+    order = list(reversed(MATRIX_COLS))
+    df = txn(spark, sf).withColumn("addr1", F.col("addr1").cast("double"))
+    return _round_all(MD.align_features(df, ["TransactionID"] + order))
+
+
+@register("prj13")
+def q_prj13(spark, sf):
+    v = FE.engineer_velocity(_base(spark, sf))
+    fraud = v.filter(F.col("isFraud") == 1).select("TransactionID", F.lit("fraud_only").alias("predicate"))
+    group = v.filter(F.col("card4").isNotNull()).select("TransactionID", F.lit("group_non_null").alias("predicate"))
+    cold = v.filter(F.col("Card_Prior_Txn_Count") < 3).select("TransactionID", F.lit("cold_start").alias("predicate"))
+    finite = SP.oof_coverage(v, ["fraud_score", "score_b"]).select("TransactionID",
+                                                                    F.lit("finite_scores").alias("predicate"))
+    return fraud.unionByName(group).unionByName(cold).unionByName(finite)
+
+
+@register("set2")
+def q_set2(spark, sf):
+    """Real + synthetic rows (KMeans-SMOTE union), tagged by origin."""
+    tr, feats = _train_rows(spark, sf)
+    out = BA.smote(tr, feats, "isFraud", 0.30, seed=42, use_clusters=False)
+    return out.select(F.when(F.col("TransactionID").isNull(), F.lit("synthetic")).otherwise(F.lit("real"))
+                      .alias("origin"), "isFraud").groupBy("origin", "isFraud").agg(F.count(F.lit(1)).alias("n"))
