@@ -187,7 +187,8 @@ def uid_aggregations(df: DataFrame, uid: str = "UID", order_cols: Sequence[str]
                 cols[f"{d}_uid_diff"] = F.coalesce(F.col(d) - prev, zero)
                 cols[f"{d}_uid_pct"] = F.coalesce(F.try_divide(F.col(d), prev) - F.lit(1.0), zero)
             return cols
-        result = keyed_rolling(result, uid, "_uid_rn", 1, lags, sub_rows=sub_rows)
+        result = keyed_rolling(result, uid, "_uid_rn", 1, lags, sub_rows=sub_rows,
+                               order_cols=None if chunk_col else order_cols)
     return result.drop("_uid_rn")
 
 
@@ -215,7 +216,8 @@ def engineer_velocity(df: DataFrame, card: str = "card1", amount: str = "Transac
             w.rowsBetween(-(SPENDING_WINDOW - 1), 0)).cast("double")
         return cols
 
-    rolled = keyed_rolling(ranked, card, "_card_rn", lookback, frames, sub_rows=sub_rows)
+    rolled = keyed_rolling(ranked, card, "_card_rn", lookback, frames, sub_rows=sub_rows,
+                           order_cols=None if chunk_col else order_cols)
     null_key = F.col(card).isNull()
     rn = F.col("_card_rn")
     return rolled.withColumns({
@@ -251,7 +253,8 @@ def build_sequences(df: DataFrame, entity: str, features: Sequence[str], seq_len
             w.rowsBetween(-seq_len, -1))
         return {"_hist": hist}
 
-    rolled = keyed_rolling(ranked, entity, "_seq_rn", seq_len, frames, sub_rows=sub_rows)
+    rolled = keyed_rolling(ranked, entity, "_seq_rn", seq_len, frames, sub_rows=sub_rows,
+                           order_cols=None if chunk_col else order_cols)
     ordered = F.transform(F.array_sort(F.col("_hist")), lambda s: s["v"])
     n_hist = F.size(F.col("_hist"))
     padded = F.concat(F.array_repeat(zero_vec, F.lit(seq_len) - n_hist), ordered)

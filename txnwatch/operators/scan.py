@@ -297,7 +297,7 @@ def keyed_expanding(df: DataFrame, keys, order_cols: Sequence[str], values: dict
 
 def keyed_rolling(df: DataFrame, keys, rn_col: str, lookback: int,
                   build: Callable[[Window], dict[str, Column]],
-                  sub_rows: int = DEFAULT_SUB_ROWS) -> DataFrame:
+                  sub_rows: int = DEFAULT_SUB_ROWS, order_cols: Sequence[str] | None = None) -> DataFrame:
     """Per-entity frames that look back at most ``lookback`` rows.
 
     ``build(w)`` receives ``Window.partitionBy(keys, sub).orderBy(rn_col)`` and
@@ -305,9 +305,15 @@ def keyed_rolling(df: DataFrame, keys, rn_col: str, lookback: int,
     Rows are grouped into sub-chunks of ``sub_rows`` consecutive entity rows;
     the last ``lookback`` rows of each sub-chunk are copied into the next one
     as context, so every frame is complete and a hot entity is spread over
-    ``rows / sub_rows`` tasks.
+    ``rows / sub_rows`` tasks.  With ``order_cols`` (no chunking needed) the
+    frame is a plain per-entity window in that order.
     """
     keys = _as_list(keys)
+    if order_cols is not None:
+        # unchunked data: same partitioning and order as the expanding scan,
+        # so Spark chains both windows without another exchange or sort
+        w = Window.partitionBy(*keys).orderBy(*_order_exprs(order_cols))
+        return df.withColumns(build(w))
     sub_rows = max(sub_rows, lookback + 1)
     rn0 = F.col(rn_col).cast("long") - 1
     is_ctx = F.lit(False) if lookback <= 0 else (F.pmod(rn0, F.lit(sub_rows)) >= F.lit(sub_rows - lookback))

@@ -37,7 +37,7 @@ NULL_THRESHOLD = 0.7
 PRESERVE = ["TransactionID", "TransactionDT", "isFraud", "UID", "pos", "card1", "fraud_score", "score_b"]
 
 
-def feature_pipeline(df: DataFrame, fit: Column, pos: str = "pos", chunk_rows: int | None = None,
+def feature_pipeline(df: DataFrame, fit: Column, pos: str = "pos", chunk_rows: int | None = 4_000_000,
                      null_threshold: float = NULL_THRESHOLD, preserve: Sequence[str] = PRESERVE) -> DataFrame:
     """ENC7: time -> encode (fit rows) -> UID -> UID stats -> V-PCA (fit rows)
     -> cross features -> new-client flag -> velocity -> null cleanup (fit rows).

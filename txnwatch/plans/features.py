@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from txnwatch.operators import features as FE
-from txnwatch.operators.scan import plan_time_chunks
+from txnwatch.operators.scan import DEFAULT_ROWS_PER_BUCKET, plan_time_chunks
 
 
-def behavioural_frame(df: DataFrame, chunk_rows: int | None = None) -> DataFrame:
+def behavioural_frame(df: DataFrame, chunk_rows: int | None = DEFAULT_ROWS_PER_BUCKET) -> DataFrame:
     """time features -> UID -> UID expanding stats -> cross -> new client -> velocity.
 
-    With ``chunk_rows`` set, entity windows are split into time chunks of
-    about that many rows (hot-entity safe); the cut points cost one
-    ``approxQuantile`` pass.
+    Entity windows are split into time chunks of about ``chunk_rows`` rows
+    when the input is larger than that (hot-entity safe; the cut points cost
+    one quantile pass); small inputs, judged by the optimizer's estimate, use
+    plain per-entity windows at no planning cost.
     """
     chunk_col = None
     if chunk_rows:
