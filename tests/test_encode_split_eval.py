@@ -155,3 +155,12 @@ def test_txn_fixture_facts(spark):
     df = txn(spark, SF_SMALL)
     assert df.count() == 1000
     assert df.select("card1").distinct().count() == 15
+
+
+def test_diagnostic_sample_exact_topk(spark):
+    df = spark.range(5000).select(F.col("id").alias("TransactionID"))
+    got = sorted(r["TransactionID"] for r in SP.diagnostic_sample(df, 300, seed=7).collect())
+    want = sorted(r["TransactionID"] for r in df.withColumn("h", F.xxhash64(F.col("TransactionID"), F.lit(7)))
+                  .orderBy("h", "TransactionID").limit(300).collect())
+    assert got == want
+    assert SP.diagnostic_sample(df, 10_000).count() == 5000

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from txnwatch.operators.scan import exact_quantiles, keyed_prefix_sums
+from txnwatch.operators.scan import auto_chunks, exact_quantiles, keyed_prefix_sums
 
 # Fixed tiers and defaults.
 N_PSI_BINS = 10
@@ -83,7 +83,7 @@ def score_psi(expected: DataFrame, actual: DataFrame, score: str = "fraud_score"
 
 def wasserstein_drift(reference: DataFrame, observed: DataFrame, features: Sequence[str],
                       threshold: float = WASSERSTEIN_THRESHOLD, fill: float | None = None,
-                      n_chunks: int = 1) -> DataFrame:
+                      n_chunks: int | None = None) -> DataFrame:
     """DRF3: 1-D Wasserstein distance per feature (NULLs dropped, features with
     an empty side skipped), ``DRIFT`` above ``threshold``, sorted descending.
 
@@ -98,6 +98,8 @@ def wasserstein_drift(reference: DataFrame, observed: DataFrame, features: Seque
     n = vc.groupBy("feature").agg(F.sum("ca").alias("na"), F.sum("cb").alias("nb")).filter(
         (F.col("na") > 0) & (F.col("nb") > 0))
     chunk = None
+    if n_chunks is None:
+        n_chunks = auto_chunks(vc)
     if n_chunks > 1:
         from txnwatch.operators.scan import with_value_chunks
         vc = with_value_chunks(vc, ["feature"], "value", "_wchunk", n_chunks)

@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from txnwatch.operators.scan import add_global_position, keyed_prefix_sums, with_value_chunks
+from txnwatch.operators.scan import add_global_position, auto_chunks, keyed_prefix_sums, with_value_chunks
 
 # Fixed report parameters.
 SWEEP_START, SWEEP_STOP, SWEEP_STEP = 0.05, 0.95, 0.05
@@ -45,7 +45,7 @@ def _attach(df: DataFrame, small: DataFrame, by: list[str]) -> DataFrame:
 
 
 def threshold_curve(df: DataFrame, score: str = "fraud_score", label: str = "isFraud",
-                    by: Sequence[str] = (), n_chunks: int = 1) -> DataFrame:
+                    by: Sequence[str] = (), n_chunks: int | None = None) -> DataFrame:
     """EVL0: ``by..., threshold, pos, neg, tp, fp, P, N`` per distinct score.
 
     ``tp``/``fp`` count rows with ``score >= threshold``.  ``n_chunks > 1``
@@ -58,6 +58,8 @@ def threshold_curve(df: DataFrame, score: str = "fraud_score", label: str = "isF
            .agg(F.sum(y).alias("pos"), F.sum(1 - y).alias("neg"))
            .withColumn("_desc", -F.col("threshold")))
     chunk = None
+    if n_chunks is None:
+        n_chunks = auto_chunks(pts)
     if n_chunks > 1:
         pts = with_value_chunks(pts, by, "_desc", "_chunk", n_chunks)
         chunk = "_chunk"

@@ -269,7 +269,7 @@ TIME_RANGES = [(3600, "1h"), (21600, "6h"), (86400, "24h"), (7 * 86400, "7d"), (
 
 def time_range_velocity(df: DataFrame, card: str = "card1", amount: str = "TransactionAmt",
                         time_col: str = "TransactionDT", id_col: str = "TransactionID",
-                        ranges: Sequence[tuple[int, str]] = TIME_RANGES, n_chunks: int = 1) -> DataFrame:
+                        ranges: Sequence[tuple[int, str]] = TIME_RANGES, n_chunks: int | None = None) -> DataFrame:
     """DOC1: count / sum / mean of the card's amounts with time in
     ``[t - s, t]`` (same-second rows included, as a RANGE frame).
 
@@ -294,6 +294,9 @@ def time_range_velocity(df: DataFrame, card: str = "card1", amount: str = "Trans
     allp = allp.select("*", F.lit(0).alias("_c"), F.lit(None).cast("double").alias("_a"), F.lit(0).alias("_ca"))
     events = data.unionByName(allp)
     chunk = None
+    if n_chunks is None:
+        from txnwatch.operators.scan import auto_chunks
+        n_chunks = auto_chunks(events)
     if n_chunks > 1:
         events = with_value_chunks(events, [card], "_t", "_tchunk", n_chunks)
         chunk = "_tchunk"

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from txnwatch.operators.evaluate import roc_auc, threshold_curve
-from txnwatch.operators.scan import compact_for_fit, keyed_expanding
+from txnwatch.operators.scan import compact_for_fit, keyed_expanding, plan_time_chunks
 
 # Fixed hyper-parameter profiles (research / fast) plus a tiny test profile.
 PROFILES = {
@@ -250,7 +250,11 @@ def stratified_contiguous_folds(df: DataFrame, label: str, order_col: str, k: in
             cum.append(acc)
         bounds[c] = cum
         start += n_c
-    ranked = keyed_expanding(df, label, [order_col], None, rn_col="_cls_rn")
+    # two keys, one of them ~all rows: rank within class over time chunks
+    chunked, chunk_col = plan_time_chunks(df, order_col, "_cls_chunk")
+    ranked = keyed_expanding(chunked, label, [order_col], None, rn_col="_cls_rn", chunk_col=chunk_col)
+    if chunk_col:
+        ranked = ranked.drop(chunk_col)
     fold = F.lit(k - 1)
     for c in classes:
         expr = F.lit(k - 1)

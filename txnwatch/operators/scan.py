@@ -70,6 +70,14 @@ def compact_for_fit(df: DataFrame, target_bytes: int = FIT_PARTITION_BYTES) -> D
     return df.coalesce(k) if k < df.rdd.getNumPartitions() else df
 
 
+def auto_chunks(df: DataFrame, rows_per_chunk: int = DEFAULT_ROWS_PER_BUCKET) -> int:
+    """Chunk count for a keyed scan: 1 for frames the optimizer deems small
+    (no job), else ``ceil(rows / rows_per_chunk)`` from a count."""
+    if is_small(df):
+        return 1
+    return max(1, min(DEFAULT_MAX_BUCKETS, math.ceil(df.count() / rows_per_chunk)))
+
+
 def is_small(df: DataFrame) -> bool:
     est = estimated_bytes(df)
     return est is not None and est <= SMALL_FRAME_BYTES

@@ -124,10 +124,19 @@ def oof_coverage_summary(df: DataFrame, model_cols: list[str], label: str = "isF
 
 def diagnostic_sample(df: DataFrame, max_rows: int = DIAGNOSTIC_ROWS, seed: int = 42,
                       id_col: str = "TransactionID") -> DataFrame:
-    """SPL5: at most ``max_rows`` rows without replacement, deterministic in
-    ``seed``: the rows with the smallest ``xxhash64(id, seed)`` (a top-k, so
-    Spark keeps only ``max_rows`` per task before the final merge)."""
+    """SPL5: the ``max_rows`` rows with the smallest ``xxhash64(id, seed)``
+    (without replacement, deterministic in ``seed``); all rows when there are
+    fewer.  A hash-quantile prefilter keeps about ``max_rows`` rows, then an
+    exact distributed rank trims them, so no task merges k x partitions rows."""
     if max_rows <= 0:
         return df
-    h = F.xxhash64(F.col(id_col), F.lit(seed))
-    return df.withColumn("_h", h).orderBy("_h", id_col).limit(max_rows).drop("_h")
+    from txnwatch.operators.scan import add_global_position, count_and_grid
+    h = df.withColumn("_h", F.xxhash64(F.col(id_col), F.lit(seed)))
+    n, grid = count_and_grid(h, "_h")
+    if n <= max_rows:
+        return df
+    # the cut at ~(max_rows / n) plus slack: at least max_rows rows survive
+    i = min(len(grid) - 1, int((max_rows / n) * (len(grid) + 1)) + 2)
+    keep = h.filter(F.col("_h") <= F.lit(int(grid[i]))) if grid else h
+    ranked = add_global_position(keep, order_cols=("_h", id_col), pos_col="_sample_pos")
+    return ranked.filter(F.col("_sample_pos") < max_rows).drop("_h", "_sample_pos")
