@@ -50,7 +50,11 @@ def feature_psi(expected: DataFrame, actual: DataFrame, features: Sequence[str],
     act_long = long_form(actual, features, fill)
     probs = [i / n_bins for i in range(n_bins + 1)]
     q = exact_quantiles(exp_long, "value", probs, keys=["feature"])
-    bps = q.groupBy("feature").agg(F.array_sort(F.array_distinct(F.collect_list("value"))).alias("bp"))
+    # at most n_bins + 1 breakpoints per feature: compute once, reuse as a small table
+    bp_rows = q.groupBy("feature").agg(F.array_sort(F.array_distinct(F.collect_list("value"))).alias("bp")).collect()
+    spark = expected.sparkSession
+    bps = spark.createDataFrame([(r["feature"], [float(v) for v in r["bp"]]) for r in bp_rows],
+                                "feature string, bp array<double>")
     nb = F.size("bp") - 1
     both = (exp_long.withColumn("side", F.lit("e")).unionByName(act_long.withColumn("side", F.lit("a"))))
     j = both.join(F.broadcast(bps), "feature")  # one row per feature (bounded by the feature list)
