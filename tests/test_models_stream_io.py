@@ -1,9 +1,8 @@
 """Model smoke tests, calibration mapping, streaming equality, ADWIN, I/O."""
 
 import numpy as np
-from pyspark.sql import functions as F
 
-from conftest import SF_MID, SF_SMALL
+from conftest import SF_SMALL
 from txnwatch.operators import balance as BA
 from txnwatch.operators import evaluate as EV
 from txnwatch.operators import features as FE

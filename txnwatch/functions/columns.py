@@ -28,9 +28,17 @@ def safe_div(num, den) -> Column:
 
 
 def seconds_since(ts, epoch: str = "2024-01-01 00:00:00") -> Column:
-    """Whole seconds from ``epoch`` to a TIMESTAMP_NTZ (session time zone free)."""
+    """Whole seconds (floor) from ``epoch`` to a TIMESTAMP_NTZ.
+
+    Built from the date difference and the wall-clock fields, which never
+    consult the session time zone (a zone-based cast would shift by an hour
+    across a daylight-saving change)."""
     c = col(ts).cast("timestamp_ntz")
-    return F.timestamp_diff("SECOND", F.lit(epoch).cast("timestamp_ntz"), c)
+    e_date, _, e_time = epoch.partition(" ")
+    hh, mm, ss = (int(x) for x in (e_time or "00:00:00").split(":"))
+    days = F.datediff(c.cast("date"), F.lit(e_date).cast("date")).cast("long")
+    return (days * SECONDS_PER_DAY + F.hour(c) * 3600 + F.minute(c) * 60 + F.second(c)
+            - F.lit(hh * 3600 + mm * 60 + ss)).cast("long")
 
 
 def days_since(ts, epoch: str = "1995-01-01") -> Column:
