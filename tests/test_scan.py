@@ -47,3 +47,15 @@ def test_exact_quantiles_match_numpy(spark):
     forced = exact_quantiles(df, "x", probs, n_chunks=4).orderBy("q_index").collect()
     want = np.percentile(vals, [p * 100 for p in probs])
     assert all(abs(r["value"] - w) < 1e-9 for r, w in zip(forced, want))
+
+
+def test_hot_key_gets_several_value_ranges(spark):
+    # key 0 holds a third of the rows
+    df = spark.range(3000).select(F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id") % 50).alias("g"),
+                                  (F.col("id") * 7 % 1000).alias("v"))
+    ch = with_value_chunks(df, ["g"], "v", "_c", 8)
+    hot = ch.filter("g = 0").select("_c").distinct().count()
+    assert hot >= 2
+    # chunks are monotone in the value inside the key
+    r = ch.filter("g = 0").groupBy("_c").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).orderBy("_c").collect()
+    assert all(a["hi"] < b["lo"] for a, b in zip(r, r[1:]))

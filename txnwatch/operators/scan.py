@@ -334,27 +334,27 @@ def keyed_rolling(df: DataFrame, keys, rn_col: str, lookback: int,
 
 
 def with_value_chunks(df: DataFrame, keys, value_col: str, chunk_col: str = "_vchunk",
-                      n_chunks: int = 1, accuracy: int = 10000) -> DataFrame:
-    """Per-key value-range chunk id (``n_chunks`` approximate quantile ranges).
-
-    For a global order (no keys) the cut points come from ``approxQuantile``;
-    per key they come from one grouped ``percentile_approx`` whose result has
-    ``#keys x n_chunks`` values (bounded by the key count, joined back).
-    Equal values always share a chunk.
+                      n_chunks: int = 1) -> DataFrame:
+    """Chunk id that increases with ``value_col`` inside every key.
+
+    Global order: value-range buckets from one quantile sketch.  Per key:
+    ``repartitionByRange(n_chunks, keys, value)`` - Spark's range partitioner
+    samples the data, gives a hot key several value ranges (and many small
+    keys one), and finds a row's range by binary search - and the chunk is the
+    resulting partition id.  Equal (key, value) pairs always share a chunk.
+    The keyed assignment is persisted (see below).
     """
     keys = _as_list(keys)
     if n_chunks <= 1:
         return df.withColumn(chunk_col, F.lit(0))
     if not keys:
         return with_value_bucket(df, value_col, value_range_buckets(df, value_col, n_chunks), chunk_col)
-    probs = [i / n_chunks for i in range(1, n_chunks)]
-    cuts = df.groupBy(*keys).agg(
-        F.percentile_approx(F.col(value_col).cast("double"), probs, accuracy).alias("_cuts"))
-    x = F.col(value_col).cast("double")
-    return (df.join(cuts, keys, "left")
-            .withColumn(chunk_col, F.coalesce(F.size(F.filter(F.array_distinct("_cuts"), lambda c: c <= x)),
-                                              F.lit(0)))
-            .drop("_cuts"))
+    # Range bounds are sampled per exchange (seeded by RDD id): persist the
+    # assignment so every consumer sees the same chunk ids.  A lost cached
+    # block is rebuilt from the same shuffle, i.e. with the same bounds.
+    from pyspark import StorageLevel
+    return (df.repartitionByRange(n_chunks, *[F.col(k) for k in keys], F.col(value_col))
+            .withColumn(chunk_col, F.spark_partition_id()).persist(StorageLevel.MEMORY_AND_DISK))
 
 
 def keyed_prefix_sums(df: DataFrame, keys, order_cols: Sequence[str], sums: dict[str, Column],
