@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
@@ -275,13 +276,17 @@ def fit_meta_learner(oof: DataFrame, model_cols: Sequence[str], label: str = "is
         oof.unpersist()
         return CalibratedLinear(base)
     folded = stratified_contiguous_folds(oof, label, order_col).persist(StorageLevel.MEMORY_AND_DISK)
-    folds = []
-    for j in range(CALIBRATION_FOLDS):
+
+    def fold_fit(j):
         tr = folded.filter(F.col("_cal_fold") != j)
         te = folded.filter(F.col("_cal_fold") == j)
         m = fit_logistic(tr, model_cols, label, C)
         a, b = fit_platt(te, m.logit(), label)
-        folds.append((m, a, b))
+        return m, a, b
+
+    # the three calibration folds are independent fits: run them concurrently
+    with ThreadPoolExecutor(max_workers=CALIBRATION_FOLDS) as pool:
+        folds = list(pool.map(fold_fit, range(CALIBRATION_FOLDS)))
     folded.unpersist()
     oof.unpersist()
     return CalibratedLinear(base, folds)

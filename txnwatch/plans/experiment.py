@@ -14,6 +14,7 @@ recompute the window plan.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
@@ -123,21 +124,29 @@ def _fit_and_score(kind: str, train: DataFrame, val: DataFrame | None, score_row
 
 
 def out_of_fold(prep: Prepared, models: Sequence[str] = ("rf", "xgb"), profile: str = "tiny", seed: int = 42,
-                n_splits: int = SP.N_SPLITS, balance: float = 0.0) -> OOFResult:
+                n_splits: int = SP.N_SPLITS, balance: float = 0.0, parallelism: int = 4) -> OOFResult:
     """MOD10: walk-forward folds over the training slice; each fold fits every
-    model (seed + fold) and scores its validation rows."""
+    model (seed + fold) and scores its validation rows.  Independent
+    (fold, model) fits are submitted from ``parallelism`` threads so Spark
+    schedules their jobs concurrently (as ``CrossValidator(parallelism=)``)."""
     if len(models) < 2:
         raise ValueError("at least two models are required for stacking")
     frame = prep.frame.persist(StorageLevel.MEMORY_AND_DISK)
     train_all = frame.filter(F.col("pos") < prep.holdout.train_end)
     folds = SP.walk_forward_folds(prep.holdout.train_end, n_splits, prep.gap)
-    parts = []
+    tasks = []
     for f in folds:
         tr = train_all.filter(F.col("pos") < f.train_end)
         va = train_all.filter((F.col("pos") >= f.val_start) & (F.col("pos") < f.val_end))
-        for m in models:
-            parts.append(_fit_and_score(m, tr, None, va, prep.features, seed + f.fold, profile, balance)
-                         .withColumn("model", F.lit(m)).withColumnRenamed(m, "score"))
+        tasks += [(m, tr, va, seed + f.fold) for m in models]
+
+    def run(task):
+        m, tr, va, s = task
+        return (_fit_and_score(m, tr, None, va, prep.features, s, profile, balance)
+                .withColumn("model", F.lit(m)).withColumnRenamed(m, "score"))
+
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+        parts = list(pool.map(run, tasks))
     long = parts[0]
     for p in parts[1:]:
         long = long.unionByName(p)
