@@ -146,7 +146,7 @@ def with_value_bucket(df: DataFrame, c: str, cuts: list[float], out_col: str) ->
             .drop(tmp, out_col + "_d"))
 
 
-CUT_GRID = 1024
+CUT_GRID = 256
 
 
 def count_and_grid(df: DataFrame, col: str, grid: int = CUT_GRID) -> tuple[int, list[float]]:
@@ -197,8 +197,10 @@ def add_global_position(df: DataFrame, order_cols: Sequence[str] = ("Transaction
     local = staged.withColumn("_pos_local", F.row_number().over(w) - 1)
     if not cuts:
         return local.withColumn(pos_col, F.col("_pos_local").cast("long")).drop(b, "_pos_local")
-    # one row per bucket: size bounded by len(cuts) + 1 <= max_buckets
-    counts = staged.groupBy(b).agg(F.count(F.lit(1)).alias("_n"))
+    # one row per bucket (bounded by len(cuts) + 1 <= max_buckets), taken from
+    # the windowed frame so the source is scanned and shuffled once (the
+    # window's exchange is reused by this branch)
+    counts = local.groupBy(b).agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.select(
         b, F.coalesce(F.sum("_n").over(Window.orderBy(b).rowsBetween(Window.unboundedPreceding, -1)),
                       F.lit(0)).alias("_pos_offset"))

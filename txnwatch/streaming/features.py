@@ -55,6 +55,42 @@ def _rolling(ring: list) -> dict:
     return out
 
 
+def _vectorized_batch(key, pdf: pd.DataFrame, st: tuple) -> tuple[pd.DataFrame, tuple]:
+    """All rows in order after the state: rolling windows over (ring + batch)
+    and expanding moments from cumulative sums about the carried mean."""
+    n0, na0, mean0, m20, _, _, ring = st
+    amt = pd.to_numeric(pdf["TransactionAmt"], errors="coerce").to_numpy(dtype=float)
+    k = len(amt)
+    full = pd.Series(list(ring) + list(amt), dtype=float)
+    tail = slice(len(full) - k, len(full))
+    out = pd.DataFrame({"card1": int(key[0]), "TransactionID": pdf["TransactionID"].astype("int64").to_numpy(),
+                        "TransactionDT": pdf["TransactionDT"].astype("int64").to_numpy(), "TransactionAmt": amt})
+    cnt = n0 + np.arange(1, k + 1)
+    out["Card_Tx_Count"] = cnt
+    out["Card_Prior_Txn_Count"] = cnt - 1
+    m = ~np.isnan(amt)
+    cna = na0 + np.cumsum(m)
+    d = np.where(m, amt - mean0, 0.0)
+    s1, s2 = np.cumsum(d), np.cumsum(d * d)
+    safe = np.maximum(cna, 1)
+    mean = np.where(cna > 0, mean0 + s1 / safe, 0.0)
+    m2 = np.maximum(m20 + s2 - s1 * s1 / safe, 0.0)
+    out["card_amt_mean"] = mean
+    out["card_amt_std"] = np.where(cna >= 2, np.sqrt(m2 / np.maximum(cna - 1, 1)), 0.0)
+    for w, lab in WINDOWS:
+        out[f"Card_Velocity_{lab}"] = full.rolling(w, min_periods=1).mean().to_numpy()[tail]
+        out[f"Card_Amt_Std_{lab}"] = full.rolling(w, min_periods=2).std().fillna(0.0).to_numpy()[tail]
+    out["Card_Spending_Velocity"] = full.rolling(SPENDING, min_periods=1).count().to_numpy()[tail]
+    out["late"] = 0
+    last = pdf.iloc[-1]
+    ring_new = [None if np.isnan(v) else float(v) for v in full.to_numpy()[-RING:]]
+    new_state = (int(cnt[-1]), int(cna[-1]), float(mean[-1]), float(m2[-1]), int(last.TransactionDT),
+                 int(last.TransactionID), ring_new)
+    out = out.astype({"Card_Tx_Count": "int64", "Card_Prior_Txn_Count": "int64"})
+    out["TransactionAmt"] = out["TransactionAmt"].where(~np.isnan(amt), None)
+    return out[[f.name for f in OUTPUT_SCHEMA.fields]], new_state
+
+
 def _card_state_fn(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
     pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(["TransactionDT", "TransactionID"])
     if state.exists:
@@ -62,6 +98,12 @@ def _card_state_fn(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.Data
         ring = list(ring)
     else:
         n, n_amt, mean, m2, last_dt, last_id, ring = 0, 0, 0.0, 0.0, None, None, []
+    first = pdf.iloc[0]
+    if last_dt is None or (int(first.TransactionDT), int(first.TransactionID)) > (last_dt, last_id):
+        out, new_state = _vectorized_batch(key, pdf, (n, n_amt, mean, m2, last_dt, last_id, ring))
+        state.update(new_state)
+        yield out
+        return
     rows = []
     for r in pdf.itertuples(index=False):
         amt = None if pd.isna(r.TransactionAmt) else float(r.TransactionAmt)
