@@ -148,3 +148,12 @@ def test_entry_smoke(spark):
     out = E.entry(spark).collect()
     assert sum(r["n"] for r in out) == 1000
     assert set(E.oracle_sql()) <= set(E.queries())
+
+
+def test_full_experiment_smoke(spark, tmp_path):
+    from txnwatch.plans.experiment import run_experiment
+    out = run_experiment(spark, SF_SMALL, f"file://{tmp_path}", seeds=[1], models=["rf", "xgb"], profile="tiny")
+    row = out["seed_metrics"].first()
+    assert row["n_holdout"] > 0 and 0.0 <= row["roc_auc"] <= 1.0
+    assert {r["metric"] for r in out["summary"].collect()} >= {"roc_auc", "brier"}
+    assert (tmp_path / "seed_1" / "experiment_holdout_predictions.csv").exists()
