@@ -363,15 +363,15 @@ def seed_metric_row(df: DataFrame, score: str = "fraud_score", label: str = "isF
              _ece_table_based(df, score, label, by), opt]
     out = base
     for p in parts:
-        out = out.join(p, by, "left") if by else out.crossJoin(p)
+        out = out.join(p, by, "left") if by else out.crossJoin(F.broadcast(p))  # one row
     at = df.join(opt.select(*by, "best_f1_threshold"), by, "left") if by else df.crossJoin(
-        opt.select("best_f1_threshold"))
+        F.broadcast(opt.select("best_f1_threshold")))  # one row
     pred = F.col(score) >= F.col("best_f1_threshold")
     y = F.col(label) == 1
     cm_aggs = [F.count_if(pred & y).alias("tp_at_best_f1"), F.count_if(pred & ~y).alias("fp_at_best_f1"),
                F.count_if(~pred & ~y).alias("tn_at_best_f1"), F.count_if(~pred & y).alias("fn_at_best_f1")]
     cm = at.groupBy(*by).agg(*cm_aggs) if by else at.agg(*cm_aggs)
-    return out.join(cm, by, "left") if by else out.crossJoin(cm)
+    return out.join(cm, by, "left") if by else out.crossJoin(F.broadcast(cm))  # one row
 
 
 def _ece_table_based(df: DataFrame, score: str, label: str, by: list[str]) -> DataFrame:
@@ -432,7 +432,7 @@ def temporal_model_selection(df: DataFrame, models: Sequence[str], label: str =
     recent = per.crossJoin(F.broadcast(last)).filter(F.col(block_col) > F.col("_last") - recent_blocks)
     g = recent.groupBy("model").agg(F.avg("roc_auc").alias("recent_mean_auc"), F.count(F.lit(1)).alias("n_blocks"))
     best = g.agg(F.max_by("model", F.struct(F.col("recent_mean_auc"), F.col("model"))).alias("_best"))
-    return g.crossJoin(best).withColumn("selected", (F.col("model") == F.col("_best")).cast("int")).drop("_best")
+    return g.crossJoin(F.broadcast(best)).withColumn("selected", (F.col("model") == F.col("_best")).cast("int")).drop("_best")
 
 
 def prediction_correlation(df: DataFrame, models: Sequence[str]) -> DataFrame:
