@@ -58,7 +58,8 @@ def _adwin_state_fn(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.Dat
         if pd.notna(v) and det.update(float(v)):
             hits.append((str(key[0]), int(pos), int(det.width)))
     state.update((det.to_json(),))
-    yield pd.DataFrame(hits, columns=["key", "position", "window_width"])
+    if hits:
+        yield pd.DataFrame(hits, columns=["key", "position", "window_width"])
 
 
 def stream_adwin(stream: DataFrame, key: str, position: str, value: str) -> DataFrame:
