@@ -61,14 +61,21 @@ def canonicalize_paysim(raw: DataFrame, order_col: str = "TransactionID", preser
     return out.select(*keep)
 
 
-def load_ieee(spark: SparkSession, data_dir: str) -> DataFrame:
-    """SRC2: transactions LEFT JOIN identity on TransactionID; label NULL -> 0."""
+def load_ieee(spark: SparkSession, data_dir: str, transaction_schema: T.StructType | str | None = None,
+              identity_schema: T.StructType | str | None = None) -> DataFrame:
+    """SRC2: transactions LEFT JOIN identity on TransactionID; label NULL -> 0.
+
+    Without schemas the CSVs are type-inferred (an extra pass over each file);
+    pass explicit schemas at scale to read them in a single pass."""
     paths = [f"{data_dir.rstrip('/')}/{f}" for f in IEEE_FILES]
     missing = [p for p in paths if not fs.exists(spark, p)]
     if missing:
         raise FileNotFoundError(f"IEEE files not found: {missing}")
-    trans = spark.read.csv(paths[0], header=True, inferSchema=True)
-    ident = spark.read.csv(paths[1], header=True, inferSchema=True)
+    def read(path, schema):
+        r = spark.read.option("header", True)
+        return r.schema(schema).csv(path) if schema is not None else r.option("inferSchema", True).csv(path)
+    trans = read(paths[0], transaction_schema)
+    ident = read(paths[1], identity_schema)
     df = trans.join(ident, "TransactionID", "left")  # JN1
     return df.withColumn("isFraud", F.coalesce(F.col("isFraud").cast("int"), F.lit(0)))
 
