@@ -84,7 +84,8 @@ def prepare(spark: SparkSession, sf_dir: str, gap: int | None = None, checkpoint
         base = base.drop("fraud_score", "score_b")  # fixture scores are not model inputs
     n, grid = count_and_grid(base, "TransactionDT")  # one pass: row count and cut-point sketch
     gap = gap if gap is not None else (SP.GAP_SIZE if n // (SP.N_SPLITS + 1) > SP.GAP_SIZE else n // 100)
-    positioned = add_global_position(base, n_rows=n, grid=grid).persist(StorageLevel.MEMORY_AND_DISK)
+    # reliable checkpoint: later actions plan against a short lineage
+    positioned = cut_lineage(add_global_position(base, n_rows=n, grid=grid))
     hb = SP.holdout_bounds(n, gap=gap)
     feats = feature_pipeline(positioned, F.col("pos") < hb.train_end)
     if checkpoint:
