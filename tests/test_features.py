@@ -136,3 +136,17 @@ def test_time_range_velocity_chunked(spark):
     cols = ["txn_count_1h", "amt_sum_24h", "txn_count_30d"]
     _compare(plain, chunked, cols)
     assert all(not math.isnan(r["amt_sum_1h"]) for r in plain.select("amt_sum_1h").collect())
+
+
+def test_null_card_is_not_an_entity(spark):
+    df = spark.createDataFrame([(1, 0, None, 10.0), (2, 1, None, 20.0), (3, 2, 5, 30.0), (4, 3, 5, 50.0)],
+                               "TransactionID long, TransactionDT long, card1 int, TransactionAmt double")
+    for chunked in (False, True):
+        base = df
+        chunk_col = None
+        if chunked:
+            base, chunk_col = plan_time_chunks(df, rows_per_chunk=1, n_rows=4)
+        out = {r["TransactionID"]: r for r in FE.engineer_velocity(base, chunk_col=chunk_col, sub_rows=2).collect()}
+        assert out[1]["Card_Tx_Count"] is None and out[1]["Card_Velocity_7d"] is None
+        assert out[1]["Card_Amt_Std_7d"] == 0.0
+        assert out[4]["Card_Tx_Count"] == 2 and out[4]["Card_Velocity_7d"] == 40.0

@@ -220,6 +220,12 @@ def engineer_velocity(df: DataFrame, card: str = "card1", amount: str = "Transac
                            order_cols=None if chunk_col else order_cols)
     null_key = F.col(card).isNull()
     rn = F.col("_card_rn")
+    # a missing card is no entity: no velocity or count, the filled std is 0
+    rolled = rolled.withColumns(
+        {**{f"Card_Velocity_{lab}": F.when(~null_key, F.col(f"Card_Velocity_{lab}")) for _, lab in VELOCITY_WINDOWS},
+         **{f"Card_Amt_Std_{lab}": F.when(~null_key, F.col(f"Card_Amt_Std_{lab}")).otherwise(F.lit(0.0))
+            for _, lab in VELOCITY_WINDOWS},
+         "Card_Spending_Velocity": F.when(~null_key, F.col("Card_Spending_Velocity"))})
     return rolled.withColumns({
         "Card_Tx_Count": F.when(~null_key, rn.cast("long")),
         "Card_Prior_Txn_Count": F.when(~null_key, (rn - 1).cast("long")),

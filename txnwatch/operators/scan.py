@@ -91,6 +91,18 @@ def _as_list(x) -> list:
     return [x]
 
 
+def _join_null_safe(left: DataFrame, right: DataFrame, cols: Sequence[str], how: str = "left") -> DataFrame:
+    """Equi-join on ``cols`` where NULL keys match NULL keys (a NULL entity is
+    one group, as in the window it came from)."""
+    r = right.select(*[F.col(c).alias(f"_r_{c}") for c in cols],
+                     *[c for c in right.columns if c not in cols])
+    cond = None
+    for c in cols:
+        e = left[c].eqNullSafe(r[f"_r_{c}"])
+        cond = e if cond is None else cond & e
+    return left.join(r, cond, how).drop(*[f"_r_{c}" for c in cols])
+
+
 def _order_exprs(order_cols: Sequence[str]) -> list[Column]:
     return [F.col(c).asc_nulls_first() for c in order_cols]
 
@@ -286,7 +298,7 @@ def keyed_expanding(df: DataFrame, keys, order_cols: Sequence[str], values: dict
             m2_o + q_o - F.when(n_o > 0, s_o * s_o / n_o).otherwise(F.lit(0.0)), F.lit(0.0))
     offsets = totals.withColumns(pre_cols).select(*part, *pre_cols.keys())
 
-    joined = local.join(offsets, part, "left")
+    joined = _join_null_safe(local, offsets, part)
     out = {rn_col: (F.col("_rows_o") + F.col("_rn_l")).cast("int")}
     for n in values:
         n_o, mo, m2o = F.col(f"_n_o_{n}"), F.col(f"_mean_o_{n}"), F.col(f"_m2_o_{n}")
@@ -382,7 +394,7 @@ def keyed_prefix_sums(df: DataFrame, keys, order_cols: Sequence[str], sums: dict
         .rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*part, *[F.coalesce(F.sum(f"_t_{n}").over(wp), F.lit(0)).alias(f"_o_{n}")
                                      for n in sums])
-    joined = local.join(offsets, part, "left")
+    joined = _join_null_safe(local, offsets, part)
     return joined.withColumns({f"{n}__cum": F.col(f"_o_{n}") + F.col(f"_l_{n}") for n in sums}).drop(
         *[f"_{p}_{n}" for n in sums for p in ("s", "l", "o")])
 
