@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -31,3 +32,21 @@ def op9_minhash_near_dedup(spark, sf_dir):
     from txnwatch.llm.minhash import near_duplicates
     found = near_duplicates(table(spark, sf_dir, "documents"), shingle=3, num=85, den=100)
     return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+@query
+def op2_benchmark_decontamination(spark, sf_dir):
+    """Words of documents inside any ten-word window of a benchmark item."""
+    from txnwatch.llm.decontaminate import decontaminate
+    found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), clean=False)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+@query
+def op4_bpe_encoding(spark, sf_dir):
+    """Token ids of whole texts and the texts that they decode to, as digests."""
+    import public_tokenizers
+    from txnwatch.llm.bpe import encode_decode
+    found = encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), ids=False)
+    return found.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
