@@ -132,18 +132,20 @@ def parse_ids(text: str) -> np.ndarray:
 
 
 def _vocabulary(spark, path: str):
-    """The vocabulary file, read by Spark and broadcast; its size is that of the file, not of the data."""
+    """Digest and broadcast text of a vocabulary file; its size is that of the file, not of the data."""
     with open(path, encoding="utf-8") as f:
-        return spark.sparkContext.broadcast(json.load(f))
+        spec = f.read()
+    return hashlib.sha256(spec.encode()).hexdigest(), spark.sparkContext.broadcast(spec)
 
 
-_built: dict[int, ByteBPE] = {}
+_built: dict[str, ByteBPE] = {}
 
 
-def _tokenizer(known) -> ByteBPE:
-    if known.id not in _built:
-        _built[known.id] = ByteBPE(known.value)
-    return _built[known.id]
+def _tokenizer(digest: str, spec) -> ByteBPE:
+    """A worker's tokenizer for a broadcast vocabulary, built once and kept with its words."""
+    if digest not in _built:
+        _built[digest] = ByteBPE(json.loads(spec.value))
+    return _built[digest]
 
 
 def encode_decode(docs: DataFrame, vocabulary: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), ids: bool = True) -> DataFrame:
@@ -154,13 +156,13 @@ def encode_decode(docs: DataFrame, vocabulary: str, text_col: str = "text", keep
     whether the decoded text equals the given one.  A null text is encoded
     as the empty one, which has no tokens.
     """
-    known = _vocabulary(docs.sparkSession, vocabulary)
+    digest, spec = _vocabulary(docs.sparkSession, vocabulary)
     df = docs.select(*keep, F.col(text_col).alias("__text"))
     ddl = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
     ddl += ", n_tokens long, token_ids array<int>, ids_sha256 string, decoded_sha256 string, round_trip boolean"
 
     def run(batches):
-        bpe = _tokenizer(known)
+        bpe = _tokenizer(digest, spec)
         for batch in batches:
             n, rows, codes = [], [], []
             for x in batch.column(len(keep)):
