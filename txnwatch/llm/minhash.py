@@ -3,15 +3,16 @@
 1. Every document becomes the set of its distinct word shingles; ``bands * rows``
    universal hash functions give its minima, ``rows`` minima each give a band key.
    Documents of one set are one *node* (a 128-bit set fingerprint).
-2. Candidates of the first round are stars: each node with a few hubs of each
-   of its buckets, so a bucket of n nodes gives O(n) pairs and never n**2.
+2. Candidates of the first round are stars: each node with ``HUBS`` members of its
+   buckets, so n nodes give O(n) pairs whatever their buckets hold.
 3. A candidate pair is first verified on signatures (its estimated similarity
    may be ``SIGMAS`` standard errors below the threshold), then on full sets.
 4. Links give components by alternating large-star and small-star.
-5. Buckets that still hold several components go through a second round, which
-   compares every pair of nodes of different components by signature, in tiles of bounded
-   size; the plausible ones are verified on full sets as before.  No pair that
-   shares a band goes untested, and pairs inside a component are not made.
+5. Buckets that still hold several components go through a second round in
+   tiles of bounded size.  Every pair of nodes of different components is
+   compared by signature; nodes with a plausible partner meet again with their
+   full sets, and a tile gives a spanning forest of its links.  So no pair that
+   shares a band goes untested, and no group's pairs are written out.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from txnwatch.session import cut_lineage
 
 #: Standard errors below the threshold at which a signature still counts as plausible.
 SIGMAS = 4.5
-#: Hubs of a bucket in the first round.
+#: Hubs of a node in the first round.
 HUBS = 3
 #: Nodes of one side of a tile in the second round.
 TILE = 2048
@@ -132,74 +133,124 @@ def _lanes(column: pa.Array, lanes: int) -> np.ndarray:
     return np.frombuffer(column.buffers()[2], np.uint16)[: (column.offset + len(column)) * lanes].reshape(-1, lanes)[column.offset:]
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, sig: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Links (u, v) between nodes among the candidate pairs (a, b), on full sets."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
+def _sets_of(wanted: DataFrame, docs: DataFrame, sig: DataFrame, k: int) -> DataFrame:
+    """(h, node, shingles) of each set whose fingerprint ``h`` is in ``wanted``; only texts that hold them are read again."""
     ids = sig.join(wanted, "h", "left_semi").groupBy("node").agg(F.min("id").alias("id")).select("id").distinct()
     texts = docs.join(ids.withColumnRenamed("id", "want"), F.col("id").eqNullSafe(F.col("want")), "left_semi")
-    sets = _full_sets(texts, k).join(wanted, "h", "left_semi").dropDuplicates(["node"])
-    sets = cut_lineage(sets)
+    return cut_lineage(_full_sets(texts, k).join(wanted, "h", "left_semi").dropDuplicates(["node"]))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (u, v) between nodes among the candidate pairs (a, b), on full sets."""
     one = lambda s: sets.select(F.col("h").alias(s), F.col("node").alias("node_" + s), F.col("shingles").alias("s_" + s))
     both = pairs.join(one("a"), "a").join(one("b"), "b")
     both = both.withColumn("inter", F.size(F.array_intersect("s_a", "s_b")).cast("long")).withColumn("uni", F.size("s_a") + F.size("s_b") - F.col("inter"))
     return cut_lineage(both.filter(F.lit(den) * F.col("inter") >= F.lit(num) * F.col("uni")).select(F.col("node_a").alias("u"), F.col("node_b").alias("v")))
 
 
-def _cross_pairs(members: DataFrame, info: DataFrame, labels: DataFrame, num: int, den: int, lanes: int) -> DataFrame:
-    """Plausible pairs (a, b) of different components that share a bucket."""
-    cut, tile = _cut(num, den, lanes), TILE
-    node = info.join(labels, "node", "left").select("h", "n", "sig", F.coalesce("root", "node").alias("root"))
-    rooted = members.join(node.select("h", F.xxhash64("root").alias("r")), "h")
+def _groups(batches, keys: list[str]):
+    """Tables of the rows of each key, from batches that are sorted by the keys."""
+    rest = None
+    for batch in batches:
+        now = pa.Table.from_batches([batch])
+        rest = pa.concat_tables([rest, now]).combine_chunks() if rest is not None and rest.num_rows else now
+        cols = [rest[c].to_numpy() for c in keys]
+        at = [0, *(np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols], axis=0)) + 1).tolist()]
+        for p, q in zip(at[:-1], at[1:], strict=True):
+            yield rest.slice(p, q - p)
+        rest = rest.slice(at[-1])
+    if rest is not None and rest.num_rows:
+        yield rest
+
+
+def _sides(g: pa.Table) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Rows of a tile's two sides, and whether the sides are the same."""
+    t, minor = g["t"].to_numpy(), g["minor"].to_numpy(zero_copy_only=False)
+    kind, i, j = (g[c][0].as_py() for c in ("kind", "i", "j"))
+    return (np.flatnonzero(minor), np.flatnonzero(~minor), False) if kind else (np.flatnonzero(t == i), np.flatnonzero(t == j), i == j)
+
+
+def _tiles(members: DataFrame, info: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows (bh, kind, i, j, band, minor, t, h, r) of the tiles of all buckets that hold several components."""
+    node = info.join(labels, "node", "left").select("h", F.xxhash64(F.coalesce("root", "node")).alias("r"))
+    rooted = members.join(node, "h")
     still = rooted.groupBy("bh").agg(F.min("r").alias("lo"), F.max("r").alias("hi")).filter("lo != hi").select("bh")
-    rooted = cut_lineage(rooted.join(still, "bh").select("bh", "h", "r"))
+    rooted = cut_lineage(rooted.join(still, "bh").select("bh", "band", "h", "r"))
     sizes = rooted.groupBy("bh", "r").agg(F.count(F.lit(1)).alias("c"))
     sizes = sizes.groupBy("bh").agg(F.sum("c").alias("all"), F.max(F.struct("c", "r")).alias("top"))
-    sizes = sizes.select("bh", F.col("top.r").alias("major"),
-                         F.ceil((F.col("all") - F.col("top.c")) / tile).cast("int").alias("mt"), F.ceil(F.col("top.c") / tile).cast("int").alias("jt"))
-    x = rooted.join(sizes, "bh")
-    is_minor = F.col("r") != F.col("major")
-    x = x.withColumn("minor", is_minor).withColumn("t", F.when(is_minor, F.pmod(F.xxhash64("h"), "mt")).otherwise(F.pmod(F.xxhash64("h"), "jt")).cast("int"))
-    # A minor tile i meets every minor tile j >= i and every tile of the largest component; that one's tiles meet the minor ones only.
-    minor = "transform(sequence(0, mt - 1), j -> struct(0 as kind, least(t, j) as i, greatest(t, j) as j))"
-    major = "transform(sequence(0, jt - 1), j -> struct(1 as kind, t as i, j as j))"
+    sizes = sizes.select("bh", F.col("top.r").alias("major"), F.ceil((F.col("all") - F.col("top.c")) / TILE).cast("int").alias("mt"),
+                         F.ceil(F.col("top.c") / TILE).cast("int").alias("jt"))
+    x = rooted.join(sizes, "bh").withColumn("minor", F.col("r") != F.col("major"))
+    x = x.withColumn("t", F.pmod(F.xxhash64("h"), F.when(F.col("minor"), F.col("mt")).otherwise(F.col("jt"))).cast("int"))
+    # A tile i of the lesser components meets their tiles j >= i and every tile of the largest one, whose tiles don't meet each other.
+    lesser = "transform(sequence(0, mt - 1), j -> struct(0 as kind, least(t, j) as i, greatest(t, j) as j))"
+    largest = "transform(sequence(0, jt - 1), j -> struct(1 as kind, t as i, j as j))"
     back = "transform(sequence(0, mt - 1), i -> struct(1 as kind, i as i, t as j))"
-    x = x.select("bh", "h", "r", "minor", "t", F.explode(F.expr(f"if(minor, concat({minor}, {major}), {back})")).alias("key"))
-    x = x.join(node.select("h", "n", "sig"), "h").select("bh", "key.kind", "key.i", "key.j", "minor", "t", "h", "r", "n", "sig")
-    x = x.repartition("bh", "kind", "i", "j").sortWithinPartitions("bh", "kind", "i", "j", "h")
-
-    def pairs_of(g):
-        h, r, n, t, minor = (g[c].to_numpy(zero_copy_only=False) for c in ("h", "r", "n", "t", "minor"))
-        sig, kind, i, j = _lanes(g["sig"].combine_chunks(), lanes), g["kind"][0].as_py(), g["i"][0].as_py(), g["j"][0].as_py()
-        left = np.flatnonzero(minor) if kind else np.flatnonzero(t == i)
-        right = np.flatnonzero(~minor) if kind else np.flatnonzero(t == j)
-        out = []
-        for p in left:
-            near = right[(r[right] != r[p]) & (n[right] * den >= n[p] * num) & (n[p] * den >= n[right] * num)]
-            if not kind and i == j:
-                near = near[near > p]
-            if len(near):
-                near = near[(sig[near] == sig[p]).mean(axis=1) >= cut]
-                out.append(np.stack([np.minimum(h[p], h[near]), np.maximum(h[p], h[near])], axis=1))
-        return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
+    x = x.withColumn("key", F.explode(F.expr(f"if(minor, concat({lesser}, {largest}), {back})")))
+    return x.select("bh", "key.kind", "key.i", "key.j", "band", "minor", "t", "h", "r")
+
+
+KEYS = ["bh", "kind", "i", "j"]
+
+
+def _candidates(tiles: DataFrame, info: DataFrame, num: int, den: int, bands: int, rows: int) -> DataFrame:
+    """The rows of ``tiles`` that have a plausible partner of another component in their tile; a pair counts in the first bucket that it shares."""
+    lanes = bands * rows
+    cut = _cut(num, den, lanes)
+    x = tiles.join(info.select("h", "n", "sig"), "h").select(*KEYS, "band", "minor", "t", "h", "r", "n", "sig")
 
     def run(batches):
-        rest = None
-        for batch in batches:
-            now = pa.Table.from_batches([batch])
-            rest = pa.concat_tables([rest, now]).combine_chunks() if rest is not None and rest.num_rows else now
-            cols = [rest[c].to_numpy() for c in ("bh", "kind", "i", "j")]
-            new = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols], axis=0)) + 1
-            at = [0, *new.tolist()]
-            found = [pairs_of(rest.slice(p, q - p)) for p, q in zip(at[:-1], at[1:], strict=True)]
-            rest = rest.slice(at[-1])
-            if found:
-                m = np.concatenate(found)
-                yield pa.RecordBatch.from_arrays([pa.array(m[:, 0]), pa.array(m[:, 1])], names=["a", "b"])
-        if rest is not None and rest.num_rows:
-            m = pairs_of(rest)
-            yield pa.RecordBatch.from_arrays([pa.array(m[:, 0]), pa.array(m[:, 1])], names=["a", "b"])
-
-    return x.mapInArrow(run, "a long, b long").filter("a != b").distinct()
+        for g in _groups(batches, KEYS):
+            r, n, sig, band = g["r"].to_numpy(), g["n"].to_numpy(), _lanes(g["sig"].combine_chunks(), lanes), g["band"][0].as_py()
+            left, right, same = _sides(g)
+            some = np.zeros(g.num_rows, bool)
+            for p in left.tolist():
+                near = right[right > p] if same else right
+                near = near[(r[near] != r[p]) & (n[near] * den >= n[p] * num) & (n[p] * den >= n[near] * num)]
+                if len(near):
+                    equal = sig[near] == sig[p]
+                    near = near[(equal.mean(axis=1) >= cut) & ~equal[:, :band * rows].reshape(len(near), band, rows).all(axis=2).any(axis=1)]
+                    some[near] = True
+                    some[p] |= len(near) > 0
+            if some.any():
+                yield from g.select([*KEYS, "minor", "t", "h", "r"]).filter(pa.array(some)).combine_chunks().to_batches()
+
+    ddl = "bh long, kind int, i int, j int, minor boolean, t int, h long, r long"
+    return x.repartition(*KEYS).sortWithinPartitions(*KEYS, "h").mapInArrow(run, ddl)
+
+
+def _tile_links(tiles: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (u, v) between components inside each tile, on full sets; a spanning forest of them."""
+    x = tiles.join(sets.select("h", "node", "shingles"), "h").select(*KEYS, "minor", "t", "r", "node", "shingles")
+
+    def forest(g):
+        node, r = g["node"].to_pylist(), g["r"].to_numpy()
+        lists = g["shingles"].combine_chunks()
+        size = np.diff(np.asarray(lists.offsets))
+        owner = np.repeat(np.arange(len(node)), size)
+        code = np.unique(np.asarray(lists.flatten()), return_inverse=True)[1]
+        by = np.argsort(code, kind="stable")
+        posting, at = owner[by], np.concatenate([[0], np.cumsum(np.bincount(code))])
+        begins = np.concatenate([[0], np.cumsum(size)])
+        left, right, same = _sides(g)
+        root = np.unique(r, return_inverse=True)[1]
+        for p in left.tolist():
+            near = right[right > p] if same else right
+            near = near[root[near] != root[p]]
+            if not len(near):
+                continue
+            inter = np.bincount(np.concatenate([posting[at[c]:at[c + 1]] for c in code[begins[p]:begins[p + 1]].tolist()]), minlength=len(node))[near]
+            for q in near[inter * den >= num * (size[p] + size[near] - inter)].tolist():
+                if root[q] != root[p]:
+                    root[root == root[q]] = root[p]
+                    yield node[p], node[q]
+
+    def run(batches):
+        for g in _groups(batches, KEYS):
+            if found := list(forest(g)):
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*found, strict=True)], names=["u", "v"])
+
+    return x.repartition(*KEYS).sortWithinPartitions(*KEYS, "node").mapInArrow(run, "u binary, v binary")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5,
@@ -220,21 +271,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sig = cut_lineage(signatures(src, "id", "text", shingle, bands, rows))
     info = sig.filter("n > 0").select("h", "node", "n", "sig").dropDuplicates(["node"])
     info = cut_lineage(info)
-    each = sig.filter("n > 0").select("h", F.explode("bands").alias("bh"))
-    hub = [F.min(F.xxhash64(F.col("h"), F.lit(s))).alias(f"p{s}") for s in range(HUBS)]
+    each = sig.filter("n > 0").select("h", F.posexplode("bands").alias("band", "bh"))
+    # Under each salt a node's hub is the member of its buckets whose salted fingerprint is least: a pair for each node and salt at most.
+    salts = [(0x9E3779B97F4A7C15 * (2 * i + 1)) % 2**63 for i in range(HUBS)]
+    hub = [F.min(F.col("h").bitwiseXOR(F.lit(x))).alias(f"p{i}") for i, x in enumerate(salts)]
     buckets = each.groupBy("bh").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), *hub).filter("lo != hi").drop("lo", "hi")
     members = cut_lineage(each.join(buckets, "bh").distinct())
-    # A hub is the member with the least salted hash, so that each salt gives one pair per member at most.
-    picks = [members.filter(F.xxhash64(F.col("h"), F.lit(s)) == F.col(f"p{s}")).select("bh", F.col("h").alias("hub")) for s in range(HUBS)]
-    hubs = picks[0]
-    for p in picks[1:]:
-        hubs = hubs.union(p)
-    pairs = members.select("bh", "h").join(hubs.distinct(), "bh").filter("h != hub")
+    hubs = members.groupBy("h").agg(*[F.min(f"p{i}").alias(f"p{i}") for i in range(HUBS)])
+    pairs = hubs.select("h", F.explode(F.array(*[F.col(f"p{i}").bitwiseXOR(F.lit(x)) for i, x in enumerate(salts)])).alias("hub")).filter("h != hub")
     pairs = cut_lineage(pairs.select(F.least("h", "hub").alias("a"), F.greatest("h", "hub").alias("b")).distinct())
-    first = _verified(cut_lineage(_plausible(pairs, info, num, den, lanes)), src, sig, shingle, num, den)
+    plausible = cut_lineage(_plausible(pairs, info, num, den, lanes))
+    wanted = plausible.select(F.explode(F.array("a", "b")).alias("h")).distinct()
+    first = _verified(plausible, _sets_of(wanted, src, sig, shingle), num, den)
     labels = connected_components(first, "u", "v")
-    more = _cross_pairs(members.select("bh", "h"), info, labels, num, den, lanes).join(pairs, ["a", "b"], "left_anti")
-    second = _verified(cut_lineage(more), src, sig, shingle, num, den)
+    tiles = cut_lineage(_candidates(_tiles(members, info, labels), info, num, den, bands, rows))
+    second = cut_lineage(_tile_links(tiles, _sets_of(tiles.select("h").distinct(), src, sig, shingle), num, den))
     labels = connected_components(first.union(second), "u", "v")
     rooted = sig.select("id", "n", "node").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
     rooted = cut_lineage(rooted)
