@@ -50,3 +50,18 @@ def op4_bpe_encoding(spark, sf_dir):
     from txnwatch.llm.bpe import encode_decode
     found = encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), ids=False)
     return found.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+def toxicity_fold(ids):
+    """Whether a document is held out of the fit: crc32 of its id as text, modulo 4, is 2."""
+    return F.coalesce(F.crc32(ids.cast("string")) % 4 == 2, F.lit(False))
+
+
+@query
+def op7_toxicity(spark, sf_dir):
+    """Toxicity scores of documents, learned from the labels of three folds of four."""
+    from txnwatch.llm import toxicity
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.filter(~toxicity_fold(F.col("doc_id"))))
+    found = toxicity.score(docs, model)
+    return found.select("doc_id", toxicity_fold(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
