@@ -14,8 +14,6 @@ run once for each block and hand the spans found so far on.
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -222,14 +220,15 @@ def _pass(df: DataFrame, phrases, last: bool, clean: bool) -> DataFrame:
     ddl += ", spans array<int>, items array<string>" + ", n_words long, n_hit long, clean string" * last
 
     def finish(shard):
-        """Documents of a shard, each [starts, ends, symbols, word hashes gone, ...] -> their spans and items."""
+        """Index a shard, given as (first row, first words, symbols) of its slices: the phrases found in each row as (first word, last word, phrase)."""
         p = phrases.value
-        s, doc, word, base = [], [], [], 0
+        s, doc, word = [], [], []
         for at, first, symbols in shard:
             x, w = _runs(symbols, first, p.shortest)
             s.append(x)
-            word.append(w)
-            doc.append(at + np.searchsorted(first, w, "right") - 1)
+            own = np.maximum(np.searchsorted(first, w, "right") - 1, 0)  # of separators, which are never located, anything
+            word.append(w - first[own])
+            doc.append(at + own)
         found: dict[int, list] = {}
         s = np.concatenate(s) if s else np.zeros(0, np.int64)
         if len(s):
@@ -322,8 +321,3 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         known = spark.sparkContext.broadcast(Phrases([(r.item, r.text) for r in part.toLocalIterator()], window))
         df = _pass(df, known, b == blocks - 1, clean)
     return df
-
-
-def items_digest(items) -> str:
-    """The contract's digest of item ids."""
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()

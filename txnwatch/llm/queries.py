@@ -65,3 +65,30 @@ def op7_toxicity(spark, sf_dir):
     model = toxicity.fit(docs, labels.filter(~toxicity_fold(F.col("doc_id"))))
     found = toxicity.score(docs, model)
     return found.select("doc_id", toxicity_fold(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query
+def op1_line_dedup(spark, sf_dir):
+    """Documents without the later occurrences of repeated three-line windows."""
+    from txnwatch.llm.line_dedup import dedup_lines
+    found = dedup_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), F.col("clean_text").alias("text"))
+
+
+SQL["op1_line_dedup"] = r"""
+WITH docs AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
+grams AS (
+  SELECT doc_id, i AS p, lines[i + 1] || chr(10) || lines[i + 2] || chr(10) || lines[i + 3] AS w
+  FROM (SELECT doc_id, lines, unnest(range(0, len(lines) - 2)) AS i FROM docs WHERE text IS NOT NULL AND len(lines) >= 3)),
+later AS (
+  SELECT doc_id, p FROM (SELECT *, row_number() OVER (PARTITION BY w ORDER BY doc_id NULLS FIRST, p) AS n FROM grams WHERE regexp_matches(w, '[^\s]'))
+  WHERE n > 1),
+gone AS (SELECT DISTINCT doc_id, p + k AS p FROM later, (SELECT unnest(range(0, 3)) AS k)),
+kept AS (
+  SELECT d.doc_id, count(g.p) AS n_removed, string_agg(CASE WHEN g.p IS NULL THEN d.l END, chr(10) ORDER BY d.p) AS text
+  FROM (SELECT doc_id, unnest(lines) AS l, unnest(range(0, len(lines))) AS p FROM docs WHERE text IS NOT NULL) d
+  LEFT JOIN gone g ON g.doc_id = d.doc_id AND g.p = d.p GROUP BY d.doc_id)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN 0 ELSE len(d.lines) END AS n_lines, coalesce(k.n_removed, 0) AS n_removed,
+  CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text
+FROM docs d LEFT JOIN kept k ON k.doc_id = d.doc_id
+"""

@@ -305,7 +305,8 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[str
     number by chance.  A null or wordless text has no segment.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    df = docs.select(*keep, F.col(text_col).alias("__text"))
+    carried = keep if text_col in keep else (*keep, text_col)
+    df = docs.select(*carried)
     ddl = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
     kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("score", pa.float64()), ("expected", pa.float64())]))
 
@@ -313,7 +314,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[str
         m = shared.value
         for batch in batches:
             sizes, probs, passages = [], [], []
-            for _, levels in _documents(batch.column(len(keep))):
+            for _, levels in _documents(batch.column(carried.index(text_col))):
                 found, n = segments(m.word_scores(levels)), len(levels[0])
                 x1, x2 = document_inputs(m, found, n)
                 sizes.append(n)
