@@ -92,3 +92,14 @@ SELECT d.doc_id, CASE WHEN d.text IS NULL THEN 0 ELSE len(d.lines) END AS n_line
   CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text
 FROM docs d LEFT JOIN kept k ON k.doc_id = d.doc_id
 """
+
+
+@query
+def op8_language_id(spark, sf_dir):
+    """Languages of documents, learned from four folds of five."""
+    from txnwatch.llm import language_id
+    docs = table(spark, sf_dir, "documents")
+    fold = F.crc32(F.col("doc_id").cast("string")) % 5
+    profiles = language_id.fit(docs.filter(fold != 0))
+    found = language_id.predict(docs, profiles)
+    return found.select("doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
