@@ -148,21 +148,6 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     return cut_lineage(both.filter(F.lit(den) * F.col("inter") >= F.lit(num) * F.col("uni")).select(F.col("node_a").alias("u"), F.col("node_b").alias("v")))
 
 
-def _groups(batches, keys: list[str]):
-    """Tables of the rows of each key, from batches that are sorted by the keys."""
-    rest = None
-    for batch in batches:
-        now = pa.Table.from_batches([batch])
-        rest = pa.concat_tables([rest, now]).combine_chunks() if rest is not None and rest.num_rows else now
-        cols = [rest[c].to_numpy() for c in keys]
-        at = [0, *(np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols], axis=0)) + 1).tolist()]
-        for p, q in zip(at[:-1], at[1:], strict=True):
-            yield rest.slice(p, q - p)
-        rest = rest.slice(at[-1])
-    if rest is not None and rest.num_rows:
-        yield rest
-
-
 def _sides(g: pa.Table) -> tuple[np.ndarray, np.ndarray, bool]:
     """Rows of a tile's two sides, and whether the sides are the same."""
     t, minor = g["t"].to_numpy(), g["minor"].to_numpy(zero_copy_only=False)
@@ -200,7 +185,7 @@ def _candidates(tiles: DataFrame, info: DataFrame, num: int, den: int, bands: in
     x = tiles.join(info.select("h", "n", "sig"), "h").select(*KEYS, "band", "minor", "t", "h", "r", "n", "sig")
 
     def run(batches):
-        for g in _groups(batches, KEYS):
+        for g in T.groups(batches, KEYS):
             r, n, sig, band = g["r"].to_numpy(), g["n"].to_numpy(), _lanes(g["sig"].combine_chunks(), lanes), g["band"][0].as_py()
             left, right, same = _sides(g)
             some = np.zeros(g.num_rows, bool)
@@ -246,7 +231,7 @@ def _tile_links(tiles: DataFrame, sets: DataFrame, num: int, den: int) -> DataFr
                     yield node[p], node[q]
 
     def run(batches):
-        for g in _groups(batches, KEYS):
+        for g in T.groups(batches, KEYS):
             if found := list(forest(g)):
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*found, strict=True)], names=["u", "v"])
 

@@ -7,11 +7,14 @@ twins of those that SQL can express.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from txnwatch.session import checkpoint_dir
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
@@ -103,3 +106,20 @@ def op8_language_id(spark, sf_dir):
     profiles = language_id.fit(docs.filter(fold != 0))
     found = language_id.predict(docs, profiles)
     return found.select("doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op6_warc(spark, sf_dir):
+    """Pages written to WARC archives in the shared folder, and what is read back."""
+    from txnwatch.llm import warc
+    path = f"{checkpoint_dir(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write_archive(warc.with_revisits(table(spark, sf_dir, "pages")), path)
+    found = warc.read_archive(spark, path, payload=False, verify=True)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query
+def op10_embedding_near_dedup(spark, sf_dir):
+    """Links and components of embeddings with a cosine of 0.95 or more."""
+    from txnwatch.llm.embedding_dedup import near_vectors
+    return near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.95)

@@ -131,3 +131,18 @@ def list_column(parts: list, kind: pa.DataType) -> pa.Array:
     np.cumsum([len(x) for x in parts], out=offs[1:])
     values = np.concatenate(parts) if parts else np.zeros(0)
     return pa.ListArray.from_arrays(pa.array(offs), pa.array(values, kind))
+
+
+def groups(batches, keys: list[str]):
+    """Tables of the rows of each key, from batches that are sorted by the keys."""
+    rest = None
+    for batch in batches:
+        now = pa.Table.from_batches([batch])
+        rest = pa.concat_tables([rest, now]).combine_chunks() if rest is not None and rest.num_rows else now
+        cols = [rest[c].to_numpy() for c in keys]
+        at = [0, *(np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols], axis=0)) + 1).tolist()]
+        for p, q in zip(at[:-1], at[1:], strict=True):
+            yield rest.slice(p, q - p)
+        rest = rest.slice(at[-1])
+    if rest is not None and rest.num_rows:
+        yield rest
