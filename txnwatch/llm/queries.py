@@ -123,3 +123,30 @@ def op10_embedding_near_dedup(spark, sf_dir):
     """Links and components of embeddings with a cosine of 0.95 or more."""
     from txnwatch.llm.embedding_dedup import near_vectors
     return near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
+#: The contract's rules: host, path, verdict.
+URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+
+
+@query
+def op3_url_filter(spark, sf_dir):
+    """Verdicts on the URLs of pages."""
+    from txnwatch.llm.url_filter import judge_urls
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return judge_urls(table(spark, sf_dir, "pages"), rules).select("page_id", "host", "path", "rule", "verdict")
+
+
+SQL["op3_url_filter"] = r"""
+WITH rules(host, path, verdict) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+rest AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS r FROM pages),
+parts AS (
+  SELECT page_id, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substr(r, length(h) + 1), '^[^?#]*', 0) AS path
+  FROM (SELECT page_id, coalesce(r, '') AS r, regexp_extract(coalesce(r, ''), '^[^/?#]*', 0) AS h FROM rest))
+SELECT p.page_id, p.host, p.path,
+  (SELECT arg_max(r.host || r.path, length(r.host || r.path) * 1000 + length(r.host)) FROM rules r
+   WHERE (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path)) AS rule,
+  coalesce((SELECT arg_max(r.verdict, length(r.host || r.path) * 1000 + length(r.host)) FROM rules r
+   WHERE (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path)), 'allow') AS verdict
+FROM parts p
+"""
