@@ -150,3 +150,12 @@ SELECT p.page_id, p.host, p.path,
    WHERE (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path)), 'allow') AS verdict
 FROM parts p
 """
+
+
+@query
+def op5_license_scan(spark, sf_dir):
+    """Licence families that documents carry notices of."""
+    from txnwatch.llm import licenses
+    docs = table(spark, sf_dir, "documents")
+    found = licenses.scan(docs, licenses.fit(docs))
+    return found.select("doc_id", "n_paragraphs", F.size("notices").cast("long").alias("n_notices"), F.array_join("licenses", ",").alias("licenses"))
