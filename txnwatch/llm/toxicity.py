@@ -257,7 +257,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     n = y.count()
     if n > max_fit:
         y = y.filter(F.pmod(F.xxhash64("__id"), F.lit(1_000_000)) < int(1_000_000 * max_fit / n))
-    train = docs.filter(F.col(text_col).isNotNull()).join(F.broadcast(y), F.col(id_col) == F.col("__id")).select(F.col(text_col).alias("text"), "y")
+    texts = docs.select(F.col(id_col).alias("__own"), F.col(text_col).alias("text")).filter("text is not null")
+    train = texts.join(F.broadcast(y), F.col("__own") == F.col("__id")).select("text", "y")
     size = {r.y: r.n for r in train.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_pos, n_neg = size.get(1, 0), size.get(0, 0)
     if not n_pos or not n_neg:

@@ -67,7 +67,8 @@ def record(page_id, record_type: str, url, refers_to, payload: bytes, date: str)
     """One WARC/1.1 record; a revisit holds the HTTP headers only."""
     digest = payload_digest(payload)
     head = [("WARC-Type", record_type), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}/{record_type}/{url}/{digest}')}>"), ("WARC-Date", date)]
-    head += [("WARC-Target-URI", _header(url))] * (url is not None)
+    if url is not None:
+        head.append(("WARC-Target-URI", _header(url)))
     head += [("WARC-Payload-Digest", f"sha1:{digest}"), ("X-Payload-Length", str(len(payload)))]
     head += [("X-Page-ID", str(page_id))] * (page_id is not None)
     body = b""
@@ -141,10 +142,12 @@ _TESTS = {
 }
 
 
-def parse_headers(stream) -> dict[str, str] | None:
-    """Headers of the next record by lower-cased name, or None at the end."""
+def parse_headers(stream, end: int = -1) -> dict[str, str] | None:
+    """Headers by lower-cased name of the next record that begins before ``end``; None if there is none."""
     line = stream.readline()
     while line in (b"\r\n", b"\n"):
+        if 0 <= end <= stream.tell():
+            return None
         line = stream.readline()
     if not line:
         return None
@@ -199,6 +202,8 @@ class WarcReader(DataSourceReader):
         return [Share(n, 0, -1) for n in names if n.endswith((".warc", ".warc.gz"))]
 
     def read(self, partition):
+        if partition is None:  # of an empty archive
+            return
         fs, folder = file_system(self.uri)
         rows, held = [], 0
         batch = lambda: pa.RecordBatch.from_pylist(rows, schema=_ARROW)
@@ -206,9 +211,7 @@ class WarcReader(DataSourceReader):
         packed = partition.file.endswith(".gz")
         with io.BufferedReader(gzip.GzipFile(fileobj=raw) if packed else raw, 1 << 18) as stream:
             stream.seek(partition.start)
-            while partition.end < 0 or stream.tell() < partition.end:
-                if (head := parse_headers(stream)) is None:
-                    break
+            while (head := parse_headers(stream, partition.end)) is not None:
                 size, row = int(head["content-length"]), _columns(head)
                 if not all(_TESTS[type(f)](f, row[f.attribute[0]]) for f in self.filters):
                     stream.seek(size, io.SEEK_CUR)
