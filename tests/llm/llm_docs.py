@@ -1,13 +1,11 @@
-import os
-import sys
+"""A fixture of the tests in this folder; their modules import it by name."""
 
 import pytest
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
 
 @pytest.fixture(scope="session")
 def docs(spark):
-    """Makes a documents table from (doc_id, text) rows, with further columns."""
+    """Makes a documents table from (doc_id, text) rows, with further columns of clashing names."""
     def make(rows, extra=False):
         df = spark.createDataFrame([(i, t, "en", "src0", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
         if extra:

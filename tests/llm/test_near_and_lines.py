@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from llm_docs import docs  # noqa: F401
 
 ODD = [None, "", " \n\t ", "...!?", "a", "Ünïcödé ÀÉ 日本語 ½ ٣", "\x00\x01 x\x7f", "\n\n\n\n", "<|endoftext|>", "http://x.y/z"]
 
