@@ -205,7 +205,7 @@ q("agg5", f"""SELECT decision, CAST(count(*) AS BIGINT) AS n, {R('count(*) / sum
 POS = """
 pos AS (SELECT t.*, CAST(row_number() OVER (ORDER BY TransactionDT, TransactionID) - 1 AS BIGINT) AS pos FROM txn t),
 prm AS (SELECT count(*) AS n, count(*) // 6 AS fs,
-               CASE WHEN count(*) // 6 > 1000 THEN 1000 ELSE count(*) // 100 END AS gap FROM txn),
+               100 AS gap FROM txn),
 hb AS (SELECT n, gap, CAST(floor(n * (1 - 0.15::DOUBLE)) AS BIGINT) AS train_end,
               CASE WHEN CAST(floor(n * (1 - 0.15::DOUBLE)) AS BIGINT) + gap >= n
                    THEN CAST(floor(n * (1 - 0.15::DOUBLE)) AS BIGINT)
@@ -250,9 +250,9 @@ praw AS (
   FROM orders o CROSS JOIN ns
   LEFT JOIN customer c ON o.o_custkey = c.c_custkey
   LEFT JOIN supplier s ON s.s_suppkey = o.o_orderkey % ns.n_supp),
-oc AS (SELECT nameOrig, CAST(row_number() OVER (ORDER BY min(TransactionID)) - 1 AS INTEGER) AS orig_code
+oc AS (SELECT nameOrig, CAST(row_number() OVER (ORDER BY min(TransactionID)) - 1 AS BIGINT) AS orig_code
        FROM praw GROUP BY nameOrig),
-dc AS (SELECT nameDest, CAST(row_number() OVER (ORDER BY min(TransactionID)) - 1 AS INTEGER) AS dest_code
+dc AS (SELECT nameDest, CAST(row_number() OVER (ORDER BY min(TransactionID)) - 1 AS BIGINT) AS dest_code
        FROM praw GROUP BY nameDest)"""
 
 q("enc1", """SELECT p.TransactionID, coalesce(oc.orig_code, -1) AS orig_code, coalesce(dc.dest_code, -1) AS dest_code
@@ -270,7 +270,7 @@ q("prj1", f"""SELECT p.TransactionID, CAST(step AS BIGINT) * 3600 AS Transaction
 def _fit_codes(col: str, keep_null_as_missing: bool = True) -> str:
     v = f"coalesce({col}, '__MISSING__')" if keep_null_as_missing else col
     where = "" if keep_null_as_missing else f" AND {col} IS NOT NULL"
-    return (f"c_{col} AS (SELECT v, CAST(row_number() OVER (ORDER BY mp) - 1 AS INTEGER) AS code FROM ("
+    return (f"c_{col} AS (SELECT v, CAST(row_number() OVER (ORDER BY mp) - 1 AS BIGINT) AS code FROM ("
             f"SELECT {v} AS v, min(pos) AS mp FROM pos, hb WHERE pos < train_end{where} GROUP BY 1))")
 
 
@@ -602,9 +602,9 @@ q("bal4", "SELECT TransactionID, isFraud FROM pos, hb WHERE pos < train_end", PO
 _VS = [f"V{i}" for i in range(1, 13)]
 q("enc5", """SELECT CAST(dense_rank() OVER (ORDER BY f.first_ord) - 1 AS INTEGER) AS pca_group, masks.v AS v_column
   FROM masks JOIN (SELECT m, min(ord) AS first_ord FROM masks GROUP BY m) f USING (m)""",
-  POS + ", f100 AS (SELECT * FROM pos, hb WHERE pos < train_end ORDER BY pos LIMIT 100), masks AS ("
+  POS + ", fitm AS (SELECT * FROM pos, hb WHERE pos < train_end), masks AS ("
   + " UNION ALL ".join(f"SELECT '{v}' AS v, {i} AS ord, "
-                       f"string_agg(CASE WHEN {v} IS NULL THEN '1' ELSE '0' END, '' ORDER BY pos) AS m FROM f100"
+                       f"string_agg(CASE WHEN {v} IS NULL THEN '1' ELSE '0' END, '' ORDER BY pos) AS m FROM fitm"
                        for i, v in enumerate(_VS)) + ")")
 
 # ============================ explanations with unit weights =============================
@@ -612,7 +612,7 @@ _XF = ["TransactionAmt", "C1", "C13", "C14", "D1", "D15", "V1", "V5"]
 _XSEL = ", ".join(f"coalesce(CAST({c} AS DOUBLE), -999e0) AS {c}" for c in _XF)
 _XIDX = ", ".join(f"('{c}', {i})" for i, c in enumerate(_XF))
 XAI = f"""
-bgl AS (SELECT feature, value FROM (UNPIVOT (SELECT {_XSEL} FROM pos WHERE pos < 500)
+bgl AS (SELECT feature, value FROM (UNPIVOT (SELECT {_XSEL} FROM pos, hb WHERE pos < train_end)
         ON {', '.join(_XF)} INTO NAME feature VALUE value)),
 bgs AS (SELECT feature, quantile_cont(value, 0.5) AS med, stddev_pop(value) + 1e-6 AS sc,
                quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM bgl GROUP BY feature),
@@ -668,7 +668,10 @@ _PS = f"""SELECT CAST(r AS BIGINT) AS TransactionID, CAST(step AS BIGINT) * 3600
                         min(TransactionID) OVER (PARTITION BY nameDest) AS fd FROM praw_in) p)"""
 ORACLES["src1"] = "WITH " + PRAW + ", praw_in AS (SELECT * FROM praw)\n" + _PS
 ORACLES["src3"] = ORACLES["src1"]
-ORACLES["src4"] = ("WITH " + PRAW + ", praw_in AS (SELECT * FROM praw ORDER BY TransactionID LIMIT 1000)\n" + _PS)
+ORACLES["src4"] = ORACLES["src1"]
+q("spl5", "SELECT TransactionID FROM txn ORDER BY md5(TransactionID || ':42'), TransactionID LIMIT 500")
+q("snk2", f"""SELECT (SELECT count(*) FROM dm) AS n_seeds, metric, {R('avg(value)')} AS mean, {R('stddev_samp(value)')} AS std
+  FROM runs WHERE metric <> 'ece_10bin' GROUP BY metric""", DAYCURVE)
 q("src2", f"""SELECT e.event_id AS TransactionID, {R('e.value')} AS TransactionAmt,
     CASE WHEN e.event_type = 'error' AND e.value > 75 THEN 1 ELSE 0 END AS isFraud,
     CASE WHEN e.event_id % 4 = 0 THEN (CASE WHEN e.k % 2 = 0 THEN 'mobile' ELSE 'desktop' END) END AS DeviceType

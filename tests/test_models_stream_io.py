@@ -51,7 +51,7 @@ def test_models_beat_chance_and_gates(spark):
 
 def test_calibrated_meta_is_probability(spark):
     df = txn(spark, SF_SMALL, with_v=False)
-    meta = MD.fit_meta_learner(df, ["fraud_score", "score_b"])
+    meta = MD.fit_meta_learner(df, ["fraud_score", "score_b"], order_col="TransactionID")
     assert len(meta.folds) == 3
     p = [r[0] for r in df.select(meta.proba()).collect()]
     assert all(0 < v < 1 for v in p)
@@ -152,8 +152,14 @@ def test_entry_smoke(spark):
 
 def test_full_experiment_smoke(spark, tmp_path):
     from txnwatch.plans.experiment import run_experiment
-    out = run_experiment(spark, SF_SMALL, f"file://{tmp_path}", seeds=[1], models=["rf", "xgb"], profile="tiny")
+    out = run_experiment(spark, SF_SMALL, f"file://{tmp_path}", seeds=[1], models=["rf", "xgb"], profile="tiny", gap=10)
     row = out["seed_metrics"].first()
     assert row["n_holdout"] > 0 and 0.0 <= row["roc_auc"] <= 1.0
     assert {r["metric"] for r in out["summary"].collect()} >= {"roc_auc", "brier"}
-    assert (tmp_path / "seed_1" / "experiment_holdout_predictions.csv").exists()
+    for name in ("experiment_holdout_predictions.csv", "variants", "mcnemar_gated_ungated", "ablation", "feature_psi", "score_psi",
+                 "wasserstein", "meta_shap_top_risk_local", "harness"):
+        assert (tmp_path / "seed_1" / name).exists(), name
+    variants = spark.read.option("header", True).csv(f"file://{tmp_path}/seed_1/variants").collect()
+    assert {r["variant"] for r in variants} == {"gated", "ungated", "smoothed"}
+    doc = spark.read.json(f"file://{tmp_path}/metrics_summary.json").first()
+    assert doc["n_seeds"] == 1 and doc["seeds"][0]["seed"] == 1

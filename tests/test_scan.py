@@ -4,8 +4,8 @@ import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from txnwatch.operators.scan import (add_global_position, exact_quantiles, keyed_prefix_sums, with_value_bucket,
-                                     with_value_chunks)
+from txnwatch.operators.scan import (add_global_position, exact_quantiles, keyed_prefix_sums, order_cuts,
+                                     with_order_bucket, with_value_chunks)
 
 
 def test_global_position_bucketed(spark):
@@ -16,12 +16,26 @@ def test_global_position_bucketed(spark):
     assert bad == 0
 
 
-def test_bucketizer_path_for_many_cuts(spark):
-    df = spark.range(1000).select((F.col("id") * 1.0).alias("x"))
-    cuts = [float(c) for c in range(5, 1000, 10)]  # 100 cuts -> Bucketizer
-    out = with_value_bucket(df, "x", cuts, "b").collect()
-    for r in out:
-        assert r["b"] == sum(1 for c in cuts if c <= r["x"])
+def test_position_splits_a_column_full_of_ties(spark):
+    df = spark.range(4000).select(F.lit(7).alias("t"), F.col("id").alias("k"))
+    cuts = order_cuts(df, ["t", "k"], 8, 4000)
+    assert len(cuts) == 7
+    sizes = [r["count"] for r in with_order_bucket(df, ["t", "k"], cuts, "b").groupBy("b").count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 1500
+    got = add_global_position(df, ("t", "k"), rows_per_bucket=500)
+    assert got.filter(F.col("pos") != F.col("k")).count() == 0
+
+
+def test_order_bucket_is_a_binary_search(spark):
+    rows = [(None, None), (None, "b"), (1, None), (1, "a"), (1, "b"), (2, ""), (2, "é"), (5, "z"), (9, "q")]
+    df = spark.createDataFrame(rows, "n int, s string")
+    cuts = [(None, "b"), (1, "b"), (2, "é"), (7, "")]
+    key = lambda t: tuple((v is not None, v) for v in t)
+    for r in with_order_bucket(df, ["n", "s"], cuts, "b").collect():
+        assert r["b"] == sum(1 for c in cuts if key(c) <= key((r["n"], r["s"])))
+    many = [(i, "x") for i in range(0, 3000, 3)]
+    wide = spark.range(3000).select(F.col("id").cast("int").alias("n"), F.lit("x").alias("s"))
+    assert wide.count() and with_order_bucket(wide, ["n", "s"], many, "b").filter("b != n div 3 + 1").count() == 0
 
 
 def test_keyed_prefix_sums_chunked(spark):

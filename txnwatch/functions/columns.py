@@ -22,10 +22,6 @@ def r6(c) -> Column:
     return F.round(col(c) + F.lit(1e-9), 6)
 
 
-def safe_div(num, den) -> Column:
-    """Division that yields NULL on a zero denominator (ANSI mode safe)."""
-    return F.try_divide(col(num), col(den))
-
 
 def seconds_since(ts, epoch: str = "2024-01-01 00:00:00") -> Column:
     """Whole seconds (floor) from ``epoch`` to a TIMESTAMP_NTZ.

@@ -9,7 +9,7 @@
   minority rows along their first principal direction, so no task ever holds
   more than one bounded block (a hot cluster becomes many blocks).
 * BAL3 plain SMOTE: the same interpolation with blocks over all minority rows.
-* BAL4 guarded wrapper: strategy 0 -> unchanged; failures -> unchanged.
+* BAL4 dispatches on an explicit method; a failing method raises.
 """
 
 from __future__ import annotations
@@ -28,13 +28,15 @@ from txnwatch.operators.models import assemble
 from txnwatch.operators.scan import add_global_position
 
 # Fixed defaults.
-OVERSAMPLE_MIN_ROWS = 1_000_000
 OVERSAMPLE_MAX_RATIO = 0.10
 SMOTE_TARGET_RATIO = 0.30
 SMOTE_K = 5
 CLUSTER_BALANCE_THRESHOLD = 0.1
 N_CLUSTERS = 32
 BLOCK_ROWS = 4_000
+# Synthetic rows that one task makes at most.
+PART_ROWS = 50_000
+METHODS = ("cluster_smote", "smote", "oversample")
 
 
 def class_counts(df: DataFrame, label: str = "isFraud") -> tuple[int, int]:
@@ -67,8 +69,7 @@ def _interpolate_block(features: list[str], k: int, seed: int):
         if need <= 0 or len(pdf) < 2:
             return pd.DataFrame({c: pd.Series(dtype="float64") for c in features})
         x = pdf[features].to_numpy(dtype=float)
-        rng = np.random.default_rng(abs(hash((seed, int(pdf["_block"].iloc[0]), int(pdf["_cluster"].iloc[0]))))
-                                    % (2 ** 32))
+        rng = np.random.default_rng([seed, *(int(pdf[c].iloc[0]) for c in ("_cluster", "_block", "_part"))])
         kk = min(k, len(x) - 1)
         sq = (x * x).sum(1)
         d2 = sq[:, None] + sq[None, :] - 2.0 * (x @ x.T)  # block_rows^2 doubles at most
@@ -134,29 +135,31 @@ def smote(df: DataFrame, features: Sequence[str], label: str = "isFraud", target
     need = (nblk.join(per_c, "_cluster").join(alloc, "_cluster")
             .select("_cluster", "_block", F.floor(F.col("_alloc") * F.col("_bn") / F.col("_cn")).cast("long")
                     .alias("_need")))
-    work = blocked.join(need, ["_cluster", "_block"]).select("_cluster", "_block", "_need",
+    # a block that needs many rows goes, as a copy, to one task for each PART_ROWS of them
+    parts = F.ceil(F.col("_need") / PART_ROWS).cast("int")
+    need = (need.filter(F.col("_need") > 0).withColumn("_parts", parts)
+            .withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+            .withColumn("_need", F.floor(F.col("_need") * (F.col("_part") + 1) / F.col("_parts"))
+                        - F.floor(F.col("_need") * F.col("_part") / F.col("_parts"))))
+    work = blocked.join(need, ["_cluster", "_block"]).select("_cluster", "_block", "_part", "_need",
                                                            *[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f)
                                                              for f in features])
     schema = T.StructType([T.StructField(f, T.DoubleType()) for f in features])
-    synth = work.groupBy("_cluster", "_block").applyInPandas(_interpolate_block(features, k, seed), schema)
+    synth = work.groupBy("_cluster", "_block", "_part").applyInPandas(_interpolate_block(features, k, seed), schema)
     synth = synth.withColumn(label, F.lit(1).cast(dict(df.dtypes)[label]))
     return df.unionByName(synth, allowMissingColumns=True)
 
 
 def prepare_training_data(df: DataFrame, features: Sequence[str], label: str = "isFraud",
-                          strategy: float = SMOTE_TARGET_RATIO, seed: int = 42,
-                          oversample_min_rows: int = OVERSAMPLE_MIN_ROWS) -> DataFrame:
-    """BAL4: strategy 0 -> unchanged; large frames -> random oversampling
-    (ratio capped at 0.10); otherwise KMeans-SMOTE, then SMOTE, then unchanged."""
+                          strategy: float = SMOTE_TARGET_RATIO, seed: int = 42, method: str = "smote") -> DataFrame:
+    """BAL4: strategy 0 -> unchanged; else ``method`` at minority / majority =
+    ``strategy``: "cluster_smote" (BAL2), "smote" (BAL3) or "oversample" (BAL1,
+    whose customary ratio is ``OVERSAMPLE_MAX_RATIO``).  The caller chooses; no
+    size or failure changes the method."""
+    if method not in METHODS:
+        raise ValueError(f"unknown balancing method {method!r}")
     if not strategy or strategy <= 0:
         return df
-    n = df.count()
-    try:
-        if n >= oversample_min_rows:
-            return random_oversample(df, label, min(strategy, OVERSAMPLE_MAX_RATIO), seed)
-        try:
-            return smote(df, features, label, strategy, seed=seed, use_clusters=True)
-        except Exception:  # noqa: BLE001 - documented fallback chain
-            return smote(df, features, label, strategy, seed=seed, use_clusters=False)
-    except Exception:  # noqa: BLE001
-        return df
+    if method == "oversample":
+        return random_oversample(df, label, strategy, seed)
+    return smote(df, features, label, strategy, seed=seed, use_clusters=method == "cluster_smote")

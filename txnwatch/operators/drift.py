@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from txnwatch.operators.scan import auto_chunks, exact_quantiles, keyed_prefix_sums
+from txnwatch.session import cut_lineage
 
 # Fixed tiers and defaults.
 N_PSI_BINS = 10
@@ -97,8 +98,8 @@ def wasserstein_drift(reference: DataFrame, observed: DataFrame, features: Seque
     """
     ref = long_form(reference, features, fill).withColumn("side", F.lit(0))
     obs = long_form(observed, features, fill).withColumn("side", F.lit(1))
-    vc = (ref.unionByName(obs).groupBy("feature", "value")
-          .agg(F.count_if(F.col("side") == 0).alias("ca"), F.count_if(F.col("side") == 1).alias("cb")))
+    vc = cut_lineage(ref.unionByName(obs).groupBy("feature", "value")
+                     .agg(F.count_if(F.col("side") == 0).alias("ca"), F.count_if(F.col("side") == 1).alias("cb")))
     n = vc.groupBy("feature").agg(F.sum("ca").alias("na"), F.sum("cb").alias("nb")).filter(
         (F.col("na") > 0) & (F.col("nb") > 0))
     chunk = None

@@ -14,8 +14,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from txnwatch.operators.scan import add_global_position
+from txnwatch.session import cut_lineage
 
 MISSING = "__MISSING__"
+# Codes of all columns together up to which their maps are broadcast; beyond, they are shuffled.
+BROADCAST_CODES = 200_000
 
 
 def first_appearance_codes(df: DataFrame, col: str, order_col: str, code_col: str = "code",
@@ -24,7 +27,7 @@ def first_appearance_codes(df: DataFrame, col: str, order_col: str, code_col: st
     src = df if keep_null else df.filter(F.col(col).isNotNull())
     firsts = src.groupBy(col).agg(F.min(order_col).alias("_first"))
     ranked = add_global_position(firsts, order_cols=("_first",), pos_col=code_col)
-    return ranked.select(col, F.col(code_col).cast("int").alias(code_col))
+    return ranked.select(col, F.col(code_col).alias(code_col))
 
 
 def factorize(df: DataFrame, col: str, order_col: str, out_col: str | None = None) -> DataFrame:
@@ -43,7 +46,7 @@ def extend_code_map(code_map: DataFrame, chunk: DataFrame, col: str, order_col:
     fresh = first_appearance_codes(new_vals, col, order_col, "_new")
     base = code_map.agg(F.coalesce(F.max(code_col) + 1, F.lit(0)).alias("_base"))
     appended = fresh.crossJoin(F.broadcast(base)).select(
-        col, (F.col("_base") + F.col("_new")).cast("int").alias(code_col))
+        col, (F.col("_base") + F.col("_new")).alias(code_col))
     return code_map.select(col, code_col).unionByName(appended)
 
 
@@ -51,7 +54,7 @@ def apply_code_map(df: DataFrame, code_map: DataFrame, col: str, code_col: str =
                    default: int = -1) -> DataFrame:
     """JN2: lookup with a default for misses; the column is replaced by its code."""
     return (df.join(code_map.withColumnRenamed(code_col, "_code"), col, "left")
-            .withColumn(col, F.coalesce(F.col("_code"), F.lit(default)).cast("int"))
+            .withColumn(col, F.coalesce(F.col("_code"), F.lit(default).cast("long")))
             .drop("_code"))
 
 
@@ -67,12 +70,24 @@ def encode_categoricals(df: DataFrame, fit: Column | None = None, pos: str = "po
         return df
     filled = df.withColumns({c: F.coalesce(F.col(c), F.lit(MISSING)) for c in cols})
     fit_rows = filled if fit is None else filled.filter(fit)
+    codes = cut_lineage(code_maps(fit_rows, cols, pos))
+    small = codes.count() <= BROADCAST_CODES
     out = filled
     for c in cols:
-        out = apply_code_map(out, first_appearance_codes(fit_rows, c, pos, "code"), c)
+        own = codes.filter(F.col("_col") == c).select(F.col("_value").alias(c), "code")
+        out = apply_code_map(out, F.broadcast(own) if small else own, c)
     return out
 
 
+def code_maps(df: DataFrame, columns: Sequence[str], order_col: str) -> DataFrame:
+    """First-appearance codes of several columns in one job: ``_col, _value, code``."""
+    long = df.select(order_col, *columns).unpivot([order_col], list(columns), "_col", "_value")
+    firsts = long.groupBy("_col", "_value").agg(F.min(order_col).alias("_first"))
+    ranked = add_global_position(cut_lineage(firsts), order_cols=("_col", "_first"), pos_col="_rank")
+    start = ranked.groupBy("_col").agg(F.min("_rank").alias("_start"))  # one row per column
+    return ranked.join(F.broadcast(start), "_col").select("_col", "_value", (F.col("_rank") - F.col("_start")).alias("code"))
+
+
 def fit_standard_scaler(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """ENC4 fit: one-row frame of population mean and std per column
     (zero or undefined variance -> scale 1)."""

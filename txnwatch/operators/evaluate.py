@@ -16,7 +16,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from txnwatch.operators.scan import add_global_position, auto_chunks, keyed_prefix_sums, with_value_chunks
+from txnwatch.operators.scan import add_global_position, keyed_prefix_sums, n_ranges, with_value_chunks
+from txnwatch.session import cut_lineage
 
 # Fixed report parameters.
 SWEEP_START, SWEEP_STOP, SWEEP_STEP = 0.05, 0.95, 0.05
@@ -44,39 +45,52 @@ def _attach(df: DataFrame, small: DataFrame, by: list[str]) -> DataFrame:
     return df.join(small, by, "left") if by else df.crossJoin(F.broadcast(small))
 
 
-def threshold_curve(df: DataFrame, score: str = "fraud_score", label: str = "isFraud",
-                    by: Sequence[str] = (), n_chunks: int | None = None) -> DataFrame:
-    """EVL0: ``by..., threshold, pos, neg, tp, fp, P, N`` per distinct score.
+def score_counts(df: DataFrame, score: str = "fraud_score", label: str = "isFraud", by: Sequence[str] = ()) -> DataFrame:
+    """``by..., threshold, pos, neg`` per distinct score (NULL included), written
+    once: every curve and binned metric follows from it without another scan."""
+    y = F.col(label).cast("long")
+    return cut_lineage(df.groupBy(*_by(by), F.col(score).alias("threshold"))
+                       .agg(F.sum(y).alias("pos"), F.sum(1 - y).alias("neg")))
 
-    ``tp``/``fp`` count rows with ``score >= threshold``.  ``n_chunks > 1``
-    splits each group's distinct scores into value ranges scanned in parallel.
-    """
+
+def curve_of(counts: DataFrame, by: Sequence[str] = (), n_chunks: int | None = None) -> DataFrame:
+    """EVL0 from :func:`score_counts`."""
     by = _by(by)
-    y = F.col(label).cast("long")
-    pts = (df.filter(F.col(score).isNotNull())
-           .groupBy(*by, F.col(score).alias("threshold"))
-           .agg(F.sum(y).alias("pos"), F.sum(1 - y).alias("neg"))
-           .withColumn("_desc", -F.col("threshold")))
+    pts = counts.filter(F.col("threshold").isNotNull()).withColumn("_desc", -F.col("threshold"))
+    n = pts.count()
     chunk = None
-    if n_chunks is None:
-        n_chunks = auto_chunks(pts)
+    n_chunks = n_ranges(n) if n_chunks is None else n_chunks
     if n_chunks > 1:
-        pts = with_value_chunks(pts, by, "_desc", "_chunk", n_chunks)
+        pts = with_value_chunks(pts, by, "_desc", "_chunk", n_chunks, n)
         chunk = "_chunk"
     cum = keyed_prefix_sums(pts, by, ["_desc"], {"tp": F.col("pos"), "fp": F.col("neg")}, chunk)
     cum = cum.withColumnRenamed("tp__cum", "tp").withColumnRenamed("fp__cum", "fp")
     totals = pts.groupBy(*by).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N")) if by else \
         pts.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
     out = _attach(cum, totals, by)
-    drop = ["_desc"] + ([chunk] if chunk else [])
-    return out.drop(*drop)
+    return out.drop("_desc", *([chunk] if chunk else []))
+
+
+def threshold_curve(df: DataFrame, score: str = "fraud_score", label: str = "isFraud",
+                    by: Sequence[str] = (), n_chunks: int | None = None) -> DataFrame:
+    """EVL0: ``by..., threshold, pos, neg, tp, fp, P, N`` per distinct score.
+
+    ``tp``/``fp`` count rows with ``score >= threshold``.  ``n_chunks > 1``
+    splits each group's distinct scores into value ranges scanned in parallel.
+    """
+    return curve_of(score_counts(df, score, label, by), by, n_chunks)
+
+
+def _auc() -> Column:
+    """Trapezoid area; in doubles, as ``P * N`` outgrows a long near 1e10 rows."""
+    neg, tp, pos = (F.col(c).cast("double") for c in ("neg", "tp", "pos"))
+    return F.try_divide(F.sum(neg * (2 * tp - pos)), 2.0 * F.first("P") * F.first("N"))
 
 
 def roc_auc(curve: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """EVL1: trapezoid area under the ROC curve (ties count one half)."""
     by = _by(by)
-    area = F.sum(F.col("neg") * (2 * F.col("tp") - F.col("pos")))
-    agg = [F.try_divide(area, 2.0 * F.first("P") * F.first("N")).alias("roc_auc")]
+    agg = [_auc().alias("roc_auc")]
     return curve.groupBy(*by).agg(*agg) if by else curve.agg(*agg)
 
 
@@ -241,11 +255,6 @@ def calibration_table(df: DataFrame, score: str = "fraud_score", label: str = "i
                     F.abs(F.col("mean_score") - F.col("fraud_rate")).alias("abs_gap")))
 
 
-def ece_from_table(table: DataFrame, n_rows: Column | int) -> DataFrame:
-    """EVL7 headline: ``sum(n / N * abs_gap)`` over non-empty bins."""
-    return table.agg(F.sum(F.col("n") / n_rows * F.col("abs_gap")).alias("ece"))
-
-
 def brier_score(df: DataFrame, score: str = "fraud_score", label: str = "isFraud",
                 by: Sequence[str] = ()) -> DataFrame:
     """EVL8."""
@@ -274,18 +283,21 @@ def policy_metrics(df: DataFrame, decision: str = "decision", label: str = "isFr
 
 def rank_positions(df: DataFrame, score: str, order_cols: Sequence[str], descending: bool,
                    pos_col: str = "_rank") -> DataFrame:
-    """0-based rank by score (ties broken by ``order_cols``), distributed."""
-    key = F.col(score) * (-1.0 if descending else 1.0)
-    staged = df.withColumn("_rk", key)
-    return add_global_position(staged, order_cols=("_rk", *order_cols), pos_col=pos_col).drop("_rk")
+    """0-based rank by score (ties broken by ``order_cols``; NULL and NaN scores
+    last either way), distributed."""
+    key = F.nanvl(F.col(score).cast("double"), F.lit(None)) * (-1.0 if descending else 1.0)
+    staged = df.withColumns({"_rn": key.isNull().cast("int"), "_rk": key})
+    return add_global_position(staged, order_cols=("_rn", "_rk", *order_cols), pos_col=pos_col).drop("_rn", "_rk")
 
 
 def score_deciles(df: DataFrame, score: str = "fraud_score", label: str = "isFraud",
                   order_cols: Sequence[str] = ("TransactionID",), n_bins: int = N_DECILES) -> DataFrame:
-    """AGG6: quantile bins of the first-order rank (ties by ``order_cols``).
+    """AGG6: quantile bins of the first-order rank (ties by ``order_cols``); rows
+    without a score are in no bin.
 
     ``bin = max(0, ceil((r - 1) * n_bins / (n - 1)) - 1)`` in exact integers.
     """
+    df = df.filter(F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")))
     ranked = rank_positions(df, score, order_cols, descending=False)
     n = df.count()
     r0 = F.col("_rank")  # r - 1
@@ -350,41 +362,40 @@ def score_histogram(df: DataFrame, score: str = "fraud_score", label: str = "isF
 def seed_metric_row(df: DataFrame, score: str = "fraud_score", label: str = "isFraud",
                     by: Sequence[str] = ()) -> DataFrame:
     """EVL11: n, fraud_n, rate, AUC, AP, Brier, ECE and the descriptive best-F1
-    block with its confusion counts, one row per group."""
+    block with its confusion counts, one row per group; one scan of ``df``."""
     by = _by(by)
-    base = _group_totals(df, by, label).select(
-        *by, F.col("n_total").alias("n_holdout"), F.col("P").alias("fraud_n"),
-        (F.col("P") / F.col("n_total")).alias("fraud_rate"))
-    curve = threshold_curve(df, score, label, by)
+    counts = score_counts(df, score, label, by)
+    s, pos, neg = F.col("threshold"), F.col("pos").cast("double"), F.col("neg").cast("double")
+    n = F.col("pos") + F.col("neg")
+    scored = F.when(s.isNotNull(), n)
+    base = _grouped(counts, by, F.sum(n).alias("n_holdout"), F.sum("pos").alias("fraud_n"),
+                    F.try_divide(F.sum(pos * F.pow(s - 1, 2) + neg * F.pow(s, 2)), F.sum(scored)).alias("brier"))
+    base = base.withColumn("fraud_rate", F.col("fraud_n") / F.col("n_holdout"))
+    binned = counts.withColumn("_bin", _calibration_bin(s, N_CALIBRATION_BINS, closed_last=True)).filter(F.col("_bin").isNotNull())
+    per_bin = _grouped(binned, [*by, "_bin"], F.sum(n).alias("_n"), F.sum(s * n).alias("_s"), F.sum("pos").alias("_p"))
+    gap = F.sum(F.abs(F.col("_s") - F.col("_p"))).alias("_gap")
+    curve = cut_lineage(curve_of(counts, by))
+    area = _grouped(curve, by, _auc().alias("roc_auc"),
+                    F.try_divide(F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))), F.first("P")).alias("pr_auc"))
     opt = optimal_f1_descriptive(curve, by).select(
         *by, F.col("threshold").alias("best_f1_threshold"), F.col("precision").alias("best_f1_precision"),
         F.col("recall").alias("best_f1_recall"), F.col("f1").alias("best_f1"))
-    parts = [roc_auc(curve, by), average_precision(curve, by), brier_score(df, score, label, by),
-             _ece_table_based(df, score, label, by), opt]
+    at = F.col("threshold") >= F.col("best_f1_threshold")
+    cm = _grouped(_attach(curve, opt.select(*by, "best_f1_threshold"), by), by,
+                  F.coalesce(F.sum(F.when(at, F.col("pos"))), F.lit(0)).alias("tp_at_best_f1"),
+                  F.coalesce(F.sum(F.when(at, F.col("neg"))), F.lit(0)).alias("fp_at_best_f1"),
+                  F.coalesce(F.sum(F.when(~at, F.col("neg"))), F.lit(0)).alias("tn_at_best_f1"),
+                  F.coalesce(F.sum(F.when(~at, F.col("pos"))), F.lit(0)).alias("fn_at_best_f1"))
     out = base
-    for p in parts:
-        out = out.join(p, by, "left") if by else out.crossJoin(F.broadcast(p))  # one row
-    at = df.join(opt.select(*by, "best_f1_threshold"), by, "left") if by else df.crossJoin(
-        F.broadcast(opt.select("best_f1_threshold")))  # one row
-    pred = F.col(score) >= F.col("best_f1_threshold")
-    y = F.col(label) == 1
-    cm_aggs = [F.count_if(pred & y).alias("tp_at_best_f1"), F.count_if(pred & ~y).alias("fp_at_best_f1"),
-               F.count_if(~pred & ~y).alias("tn_at_best_f1"), F.count_if(~pred & y).alias("fn_at_best_f1")]
-    cm = at.groupBy(*by).agg(*cm_aggs) if by else at.agg(*cm_aggs)
-    return out.join(cm, by, "left") if by else out.crossJoin(F.broadcast(cm))  # one row
+    for part in (area, _grouped(per_bin, by, gap), opt, cm):
+        out = out.join(part, by, "left") if by else out.crossJoin(F.broadcast(part))  # one row
+    out = out.withColumn("ece_10bin", F.col("_gap") / F.col("n_holdout"))
+    return out.select(*by, "n_holdout", "fraud_n", "fraud_rate", "roc_auc", "pr_auc", "brier", "ece_10bin", "best_f1_threshold",
+                      "best_f1_precision", "best_f1_recall", "best_f1", "tp_at_best_f1", "fp_at_best_f1", "tn_at_best_f1", "fn_at_best_f1")
 
 
-def _ece_table_based(df: DataFrame, score: str, label: str, by: list[str]) -> DataFrame:
-    """EVL7's ECE (last bin closed), grouped."""
-    s = F.col(score)
-    binned = df.withColumn("_bin", _calibration_bin(s, N_CALIBRATION_BINS, closed_last=True))
-    totals = _group_totals(df, by, label).select(*by, "n_total")
-    per_bin = (binned.filter(F.col("_bin").isNotNull()).groupBy(*by, "_bin")
-               .agg(F.count(F.lit(1)).alias("n"), F.avg(s).alias("conf"),
-                    F.avg(F.col(label).cast("double")).alias("acc")))
-    j = _attach(per_bin, totals, by)
-    e = F.sum(F.col("n") / F.col("n_total") * F.abs(F.col("conf") - F.col("acc"))).alias("ece_10bin")
-    return j.groupBy(*by).agg(e) if by else j.agg(e)
+def _grouped(df: DataFrame, by: list[str], *aggs: Column) -> DataFrame:
+    return df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
 
 
 def window_free_rate(df: DataFrame, label: str = "isFraud") -> DataFrame:

@@ -1,8 +1,8 @@
 """Deterministic explanations for every row (XAI1-XAI12).
 
 The background statistics (per-feature median, population std, quartiles and
-mean of a background slice) are one small grouped aggregation collected to
-the driver (one row per feature).  Everything per row is an array/struct
+mean of all background rows) come from value counts and one grouped
+aggregation; one row per feature is collected to the driver.  Everything per row is an array/struct
 column expression: contributions, top-k pairs, greedy counterfactuals for a
 linear-logistic model, anchor rules and the narrative template.  Only the
 local-fidelity proxy (128 perturbations and a least-squares fit per row) runs
@@ -25,7 +25,6 @@ from txnwatch.operators.scan import exact_quantiles
 
 # Fixed report parameters and headings.
 SCALE_EPS = 1e-6
-BACKGROUND_ROWS = 500
 TOP_LIME = 10
 TOP_SHAP_LINES = 5
 TOP_ANCHORS = 3
@@ -48,31 +47,16 @@ class Background:
     mean: list[float]
 
 
-def background_slice(df: DataFrame, order_cols: Sequence[str] = ("TransactionDT", "TransactionID"),
-                     n: int = BACKGROUND_ROWS) -> DataFrame:
-    """The first ``n`` rows in time order (a top-k, bounded), kept in memory."""
-    from pyspark import StorageLevel
-    return df.orderBy(*order_cols).limit(n).persist(StorageLevel.MEMORY_AND_DISK)
-
-
-def background_stats(bg: DataFrame, features: Sequence[str], bounded: bool = True) -> Background:
-    """AGG9: median, population std + 1e-6, quartiles and mean per feature of
-    the background rows, on the same -999-filled values the rows are explained with."""
+def background_stats(bg: DataFrame, features: Sequence[str]) -> Background:
+    """AGG9: median, population std + 1e-6, quartiles and mean per feature over
+    all background rows, on the same -999-filled values the rows are explained with."""
     features = list(features)
     long = bg.select(*[_x(c).alias(c) for c in features]).unpivot([], features, "feature", "value")
-    if bounded:
-        # the background is a bounded slice: one exact aggregation
-        q = F.percentile("value", [0.25, 0.5, 0.75])
-        stats = long.groupBy("feature").agg(q.alias("_q"), F.stddev_pop("value").alias("sd"),
-                                            F.avg("value").alias("mean")).select(
-            "feature", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q3"),
-            "sd", "mean")
-    else:
-        q = exact_quantiles(long, "value", [0.25, 0.5, 0.75], keys=["feature"])
-        qw = q.groupBy("feature").agg(*[F.max(F.when(F.col("q_index") == i, F.col("value"))).alias(n)
-                                        for i, n in enumerate(["q1", "median", "q3"])])
-        mom = long.groupBy("feature").agg(F.stddev_pop("value").alias("sd"), F.avg("value").alias("mean"))
-        stats = qw.join(mom, "feature")
+    q = exact_quantiles(long, "value", [0.25, 0.5, 0.75], keys=["feature"])
+    qw = q.groupBy("feature").agg(*[F.max(F.when(F.col("q_index") == i, F.col("value"))).alias(n)
+                                    for i, n in enumerate(["q1", "median", "q3"])])
+    mom = long.groupBy("feature").agg(F.stddev_pop("value").alias("sd"), F.avg("value").alias("mean"))
+    stats = qw.join(mom, "feature")
     rows = {r["feature"]: r for r in stats.collect()}  # one row per feature
     get = lambda f, k, d=float("nan"): (rows[f][k] if f in rows and rows[f][k] is not None else d)
     return Background(features,
@@ -108,12 +92,6 @@ def contribution_array(bg: Background, weights: Sequence[float]) -> Column:
     return F.array(*items)
 
 
-def _by_abs_desc(a, b) -> Column:
-    ca, cb = F.abs(a["contribution"]), F.abs(b["contribution"])
-    return (F.when(ca > cb, F.lit(-1)).when(ca < cb, F.lit(1))
-            .when(a["idx"] > b["idx"], F.lit(-1)).when(a["idx"] < b["idx"], F.lit(1)).otherwise(F.lit(0)))
-
-
 def ranked_contributions(arr: Column) -> Column:
     """SRT5: contributions by |value| descending (ties: later feature first).
 
@@ -127,9 +105,9 @@ def ranked_contributions(arr: Column) -> Column:
         s["contribution"].alias("contribution")))
 
 
-def top_pairs(arr: Column, k: int) -> Column:
-    """XAI4: the first ``k`` (feature, contribution) pairs."""
-    return F.transform(F.slice(ranked_contributions(arr), 1, k),
+def top_pairs(ranked: Column, k: int) -> Column:
+    """XAI4: the first ``k`` (feature, contribution) pairs of ranked contributions."""
+    return F.transform(F.slice(ranked, 1, k),
                        lambda s: F.struct(s["feature"].alias("feature"), s["contribution"].alias("weight"),
                                           s["idx"].alias("idx")))
 
@@ -138,12 +116,11 @@ def _sigmoid(z: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
 
 
-def counterfactuals(arr: Column, bg: Background, model: LinearModel, total: int = TOTAL_CFS) -> Column:
+def counterfactuals(ranked: Column, bg: Background, model: LinearModel, total: int = TOTAL_CFS) -> Column:
     """XAI5: walk features by |contribution|, setting each to the background
     median cumulatively; keep steps up to ``total`` or the first flip."""
     w = F.array(*[F.lit(float(v)) for v in model.coef])
     med = F.array(*[F.lit(float(v)) for v in bg.median])
-    ranked = ranked_contributions(arr)
     z0 = model.logit_of({f: _x(f) for f in bg.features})
     steps = []
     delta = F.lit(0.0)
@@ -162,7 +139,7 @@ def counterfactuals(arr: Column, bg: Background, model: LinearModel, total: int
     return F.slice(arr_steps, 1, keep.cast("int"))
 
 
-def anchor_rules(arr: Column, bg: Background, k: int = TOP_ANCHORS) -> Column:
+def anchor_rules(ranked: Column, bg: Background, k: int = TOP_ANCHORS) -> Column:
     """XAI6: for the top ``k`` features: ``>= q3``, ``<= q1`` or ``q1 < f < q3``."""
     q1 = F.array(*[F.lit(float(v)) for v in bg.q1])
     q3 = F.array(*[F.lit(float(v)) for v in bg.q3])
@@ -175,7 +152,7 @@ def anchor_rules(arr: Column, bg: Background, k: int = TOP_ANCHORS) -> Column:
                 .otherwise(F.format_string("%.3f < %s < %.3f", lo, s["feature"], hi)))
         return F.struct(s["feature"].alias("feature"), kind.alias("kind"), lo.alias("q1"), hi.alias("q3"),
                         text.alias("rule"))
-    return F.transform(F.slice(ranked_contributions(arr), 1, k), rule)
+    return F.transform(F.slice(ranked, 1, k), rule)
 
 
 def risk_tier(score: Column) -> Column:
@@ -209,20 +186,21 @@ def explain_rows(df: DataFrame, bg: Background, model: LinearModel | None = None
     arr = contribution_array(bg, w)
     score = model.proba_of({f: _x(f) for f in bg.features}) if model else F.col(score_col)
     staged = df.withColumns({"xai_score": score, "_contrib": arr})
-    cols = {
-        "shap_top": top_pairs(F.col("_contrib"), TOP_SHAP_LINES),
-        "lime_top": top_pairs(F.col("_contrib"), TOP_LIME),
-        "anchors": anchor_rules(F.col("_contrib"), bg),
-    }
-    out = staged.withColumns(cols)
+    # sorted once; everything below slices this column
+    staged = staged.withColumn("_ranked", ranked_contributions(F.col("_contrib")))
+    out = staged.withColumns({
+        "shap_top": top_pairs(F.col("_ranked"), TOP_SHAP_LINES),
+        "lime_top": top_pairs(F.col("_ranked"), TOP_LIME),
+        "anchors": anchor_rules(F.col("_ranked"), bg),
+    })
     out = out.withColumns({
         "anchor_precision": F.greatest(F.col("xai_score"), 1 - F.col("xai_score")),
         "anchor_coverage": F.lit(1.0) / F.greatest(F.size("anchors"), F.lit(1)),
         "narrative": narrative(F.col("shap_top"), F.col("lime_top"), F.col("xai_score")),
     })
     if model is not None:
-        out = out.withColumn("counterfactuals", counterfactuals(F.col("_contrib"), bg, model))
-    return out
+        out = out.withColumn("counterfactuals", counterfactuals(F.col("_ranked"), bg, model))
+    return out.drop("_ranked")
 
 
 # --- XAI9-12: harness ------------------------------------------------------------------
@@ -263,24 +241,42 @@ def lime_fidelity(explained: DataFrame, bg: Background, model: LinearModel, id_c
                            F.transform(F.slice(F.col("lime_top"), 1, FIDELITY_TOP), lambda s: s["idx"]).alias("_top"))
     id_type = dict(explained.dtypes)[id_col]
 
+    def normals(seeds: np.ndarray, k: int) -> np.ndarray:
+        """(row, sample, k) standard normals, a function of each row's seed alone
+        (Box-Muller over a counter hash)."""
+        n = n_samples * k
+        counter = np.arange(1, 2 * n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        z = seeds[:, None] + counter[None, :]
+        for shift, mult in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            z = (z ^ (z >> np.uint64(shift))) * np.uint64(mult)
+        u = ((z ^ (z >> np.uint64(31))) >> np.uint64(11)).astype(float) * 2.0 ** -53
+        r = np.sqrt(-2.0 * np.log1p(-u[:, :n])) * np.cos(2.0 * np.pi * u[:, n:])
+        return r.reshape(len(seeds), n_samples, k)
+
+    def r_squared(seeds: np.ndarray, xs: np.ndarray, top: np.ndarray) -> np.ndarray:
+        """All rows of a batch at once: perturb the top features, score the linear
+        model, regress the score on them by the centred normal equations."""
+        moved = normals(seeds, top.shape[1]) * scale[top][:, None, :]
+        logit = (xs @ coef + intercept)[:, None] + np.einsum("bsk,bk->bs", moved, coef[top])
+        y = 1.0 / (1.0 + np.exp(-logit))
+        a = moved - moved.mean(axis=1, keepdims=True)
+        c = y - y.mean(axis=1, keepdims=True)
+        gram = np.einsum("bsk,bsl->bkl", a, a)
+        ridge = 1e-12 * np.einsum("bkk->b", gram)[:, None, None] * np.eye(gram.shape[1]) + 1e-300 * np.eye(gram.shape[1])
+        beta = np.linalg.solve(gram + ridge, np.einsum("bsk,bs->bk", a, c)[:, :, None])[:, :, 0]
+        left = ((c - np.einsum("bsk,bk->bs", a, beta)) ** 2).sum(axis=1)
+        total = (c ** 2).sum(axis=1)
+        return np.where(total > 0, 1.0 - left / np.where(total > 0, total, 1.0), 1.0)
+
     def fn(it):
         for pdf in it:
-            out = []
-            for sd, xs, top in zip(pdf["_seed"], pdf["_xs"], pdf["_top"]):
-                top = [int(t) for t in top]
-                if not top:
-                    out.append(float("nan"))
-                    continue
-                rng = np.random.default_rng(int(sd) % (2 ** 63))
-                nb = np.repeat(np.asarray(xs, dtype=float)[None, :], n_samples, axis=0)
-                for t in top:
-                    nb[:, t] += rng.normal(0.0, scale[t], n_samples)
-                y = 1.0 / (1.0 + np.exp(-(nb @ coef + intercept)))
-                a = np.column_stack([nb[:, top], np.ones(n_samples)])
-                beta, *_ = np.linalg.lstsq(a, y, rcond=None)
-                resid = y - a @ beta
-                ss_tot = ((y - y.mean()) ** 2).sum()
-                out.append(float(1.0 - (resid ** 2).sum() / ss_tot) if ss_tot > 0 else 1.0)
+            out = np.full(len(pdf), np.nan)
+            sizes = pdf["_top"].map(len).to_numpy()
+            for k in np.unique(sizes[sizes > 0]):
+                for rows in np.array_split(np.flatnonzero(sizes == k), max(1, int((sizes == k).sum()) // 1024)):
+                    out[rows] = r_squared(pdf["_seed"].to_numpy()[rows].astype(np.int64).view(np.uint64),
+                                          np.stack(pdf["_xs"].to_numpy()[rows]).astype(float),
+                                          np.stack(pdf["_top"].to_numpy()[rows]).astype(int))
             yield pd.DataFrame({id_col: pdf[id_col], "lime_local_fidelity_proxy_r2": out})
 
     schema = T.StructType([T.StructField(id_col, T.LongType() if id_type == "bigint" else T.IntegerType()),

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from txnwatch.functions import columns as C
-from txnwatch.operators.scan import DEFAULT_SUB_ROWS, keyed_expanding, keyed_rolling
+from txnwatch.operators.scan import (AUTO, DEFAULT_SUB_ROWS, keyed_expanding, keyed_prefix_sums, keyed_rolling, n_ranges,
+                                     split_entities, with_value_chunks)
 
 ORDER = ("TransactionDT", "TransactionID")
 
@@ -132,7 +133,7 @@ def reduce_mem_usage(df: DataFrame) -> DataFrame:
 # --- WIN1-5: UID expanding aggregations ------------------------------------------
 
 def uid_aggregations(df: DataFrame, uid: str = "UID", order_cols: Sequence[str] = ORDER,
-                     chunk_col: str | None = None, sub_rows: int = DEFAULT_SUB_ROWS,
+                     chunk_col: str | None = AUTO, sub_rows: int = DEFAULT_SUB_ROWS,
                      map_match_flags: bool = True) -> DataFrame:
     """Per-UID expanding statistics (current row included), one shared scan.
 
@@ -140,6 +141,7 @@ def uid_aggregations(df: DataFrame, uid: str = "UID", order_cols: Sequence[str]
     mean/std; M-columns mean (T/F mapped to 1/0/-1 when string-typed); D-columns
     mean/std/diff/pct against the previous row of the same UID.
     """
+    df, chunk_col, own = split_entities(df, order_cols, chunk_col)
     present = set(df.columns)
     dtypes = dict(df.dtypes)
     values: dict[str, Column] = {"amt": F.col("TransactionAmt")}
@@ -189,19 +191,20 @@ def uid_aggregations(df: DataFrame, uid: str = "UID", order_cols: Sequence[str]
             return cols
         result = keyed_rolling(result, uid, "_uid_rn", 1, lags, sub_rows=sub_rows,
                                order_cols=None if chunk_col else order_cols)
-    return result.drop("_uid_rn")
+    return result.drop("_uid_rn", *own)
 
 
 # --- WIN6-10: card velocity -----------------------------------------------------------
 
 def engineer_velocity(df: DataFrame, card: str = "card1", amount: str = "TransactionAmt",
-                      order_cols: Sequence[str] = ORDER, chunk_col: str | None = None,
+                      order_cols: Sequence[str] = ORDER, chunk_col: str | None = AUTO,
                       sub_rows: int = DEFAULT_SUB_ROWS) -> DataFrame:
     """Rolling mean/std of the amount over the last 7/14/30 rows of the card,
     non-null amounts in the last 10 rows, causal transaction counts.
 
     The ``7d/14d/30d`` names are kept for parity; the frames are row counts.
     """
+    df, chunk_col, own = split_entities(df, order_cols, chunk_col)
     ranked = keyed_expanding(df, card, order_cols, None, rn_col="_card_rn", chunk_col=chunk_col)
     lookback = max(k for k, _ in VELOCITY_WINDOWS) - 1
     a = F.col(amount)
@@ -231,7 +234,7 @@ def engineer_velocity(df: DataFrame, card: str = "card1", amount: str = "Transac
         "Card_Prior_Txn_Count": F.when(~null_key, (rn - 1).cast("long")),
         "Amt_Deviation": (a - F.col("Card_Velocity_7d")) / (F.col("Card_Amt_Std_7d") + F.lit(1.0)),
         "Amt_to_Mean_Ratio": a / (F.col("Card_Velocity_30d") + F.lit(1.0)),
-    }).drop("_card_rn")
+    }).drop("_card_rn", *own)
 
 
 def cold_start_count(df: DataFrame, prior_col: str = "Card_Prior_Txn_Count", limit: int = 3) -> DataFrame:
@@ -244,12 +247,13 @@ def cold_start_count(df: DataFrame, prior_col: str = "Card_Prior_Txn_Count", lim
 
 def build_sequences(df: DataFrame, entity: str, features: Sequence[str], seq_len: int = 10,
                     order_cols: Sequence[str] = ORDER, out_col: str = "sequence",
-                    chunk_col: str | None = None, sub_rows: int = DEFAULT_SUB_ROWS) -> DataFrame:
+                    chunk_col: str | None = AUTO, sub_rows: int = DEFAULT_SUB_ROWS) -> DataFrame:
     """Previous ``seq_len`` rows of the same entity (current row excluded),
     oldest first, left-padded with zero vectors: ``array<array<double>>``.
 
     Also adds ``{out_col}_len`` = number of real history rows.
     """
+    df, chunk_col, own = split_entities(df, order_cols, chunk_col)
     ranked = keyed_expanding(df, entity, order_cols, None, rn_col="_seq_rn", chunk_col=chunk_col)
     vec = F.array(*[F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in features])
     zero_vec = F.array(*[F.lit(0.0) for _ in features])
@@ -264,7 +268,7 @@ def build_sequences(df: DataFrame, entity: str, features: Sequence[str], seq_len
     ordered = F.transform(F.array_sort(F.col("_hist")), lambda s: s["v"])
     n_hist = F.size(F.col("_hist"))
     padded = F.concat(F.array_repeat(zero_vec, F.lit(seq_len) - n_hist), ordered)
-    return rolled.withColumns({out_col: padded, f"{out_col}_len": n_hist}).drop("_hist", "_seq_rn")
+    return rolled.withColumns({out_col: padded, f"{out_col}_len": n_hist}).drop("_hist", "_seq_rn", *own)
 
 
 # --- DOC1 / DOC3 / DOC8: documented extensions ----------------------------------------------
@@ -284,7 +288,6 @@ def time_range_velocity(df: DataFrame, card: str = "card1", amount: str = "Trans
     time-chunked running sum over data + probes gives ``C(<= t) - C(< t - s)``
     without a range join and without one task per hot card.
     """
-    from txnwatch.operators.scan import keyed_prefix_sums, with_value_chunks
     base = df.select(card, id_col, time_col, amount)
     data = base.select(card, F.col(time_col).alias("_t"), F.lit(1).alias("_kind"), F.col(id_col).alias("_id"),
                        F.lit(-1).alias("_probe"), F.lit(1).alias("_c"), F.col(amount).cast("double").alias("_a"),
@@ -301,8 +304,7 @@ def time_range_velocity(df: DataFrame, card: str = "card1", amount: str = "Trans
     events = data.unionByName(allp)
     chunk = None
     if n_chunks is None:
-        from txnwatch.operators.scan import auto_chunks
-        n_chunks = auto_chunks(events)
+        n_chunks = n_ranges(base.count() * (len(ranges) + 2))
     if n_chunks > 1:
         events = with_value_chunks(events, [card], "_t", "_tchunk", n_chunks)
         chunk = "_tchunk"
@@ -327,16 +329,16 @@ def time_range_velocity(df: DataFrame, card: str = "card1", amount: str = "Trans
 
 
 def distinct_counterparties(df: DataFrame, account: str, counterparty: str,
-                            order_cols: Sequence[str] = ORDER, chunk_col: str | None = None,
+                            order_cols: Sequence[str] = ORDER, chunk_col: str | None = AUTO,
                             out_col: str = "distinct_counterparties") -> DataFrame:
     """DOC3 / DOC7 degree: distinct counterparties of the account so far
     (current row included): a first-seen flag per (account, counterparty),
     then a running sum per account."""
-    from txnwatch.operators.scan import keyed_prefix_sums
+    df, chunk_col, own = split_entities(df, order_cols, chunk_col)
     first = keyed_expanding(df, [account, counterparty], order_cols, None, rn_col="_pair_rn", chunk_col=chunk_col)
     flagged = first.withColumn("_first", (F.col("_pair_rn") == 1).cast("long")).drop("_pair_rn")
     cum = keyed_prefix_sums(flagged, [account], list(order_cols), {"d": F.col("_first")}, chunk_col)
-    return cum.withColumnRenamed("d__cum", out_col).drop("_first")
+    return cum.withColumnRenamed("d__cum", out_col).drop("_first", *own)
 
 
 def view_mask_fill(df: DataFrame, score: str, history_len: str, prior: float | Column, min_history: int = 3,

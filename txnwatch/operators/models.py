@@ -236,14 +236,15 @@ def stratified_contiguous_folds(df: DataFrame, label: str, order_col: str, k: in
                                 out_col: str = "_cal_fold") -> DataFrame:
     """Stratified k folds without shuffling: inside each class, rows in order
     fill fold 0, then 1, ...; fold sizes follow the round-robin allocation of
-    the sorted labels (as a stratified splitter does)."""
-    counts = {int(r[label]): int(r["n"]) for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
-    classes = sorted(counts)
+    the labels, classes in order of first appearance (as a stratified splitter does)."""
+    seen = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"), F.min(order_col).alias("first")).collect()
+    counts = {int(r[label]): int(r["n"]) for r in seen}
+    classes = [int(r[label]) for r in sorted(seen, key=lambda r: r["first"])]
     start = 0
     bounds = {}
     for c in classes:
         n_c = counts[c]
-        # sorted labels dealt round-robin: fold i gets the j = i (mod k) positions
+        # labels, class after class, dealt round-robin: fold i gets the j = i (mod k) positions
         alloc = [(start + n_c - i + k - 1) // k - (start - i + k - 1) // k for i in range(k)]
         cum, acc = [], 0
         for a in alloc:
@@ -252,7 +253,7 @@ def stratified_contiguous_folds(df: DataFrame, label: str, order_col: str, k: in
         bounds[c] = cum
         start += n_c
     # two keys, one of them ~all rows: rank within class over time chunks
-    chunked, chunk_col = plan_time_chunks(df, order_col, "_cls_chunk")
+    chunked, chunk_col = plan_time_chunks(df, [order_col], "_cls_chunk", n_rows=sum(counts.values()))
     ranked = keyed_expanding(chunked, label, [order_col], None, rn_col="_cls_rn", chunk_col=chunk_col)
     if chunk_col:
         ranked = ranked.drop(chunk_col)
@@ -266,9 +267,10 @@ def stratified_contiguous_folds(df: DataFrame, label: str, order_col: str, k: in
 
 
 def fit_meta_learner(oof: DataFrame, model_cols: Sequence[str], label: str = "isFraud", C: float = META_C,
-                     order_col: str = "TransactionID", calibrate: bool = True) -> CalibratedLinear:
+                     order_col: str = "pos", calibrate: bool = True) -> CalibratedLinear:
     """STK3 + STK4: base LR on all rows, then three stratified contiguous folds
-    each refitting the LR on two folds and Platt-scaling it on the third."""
+    (in ``order_col``, the time position) each refitting the LR on two folds
+    and Platt-scaling it on the third."""
     oof = oof.select(order_col, label, *model_cols).persist(StorageLevel.MEMORY_AND_DISK)
     n = oof.count()
     base = fit_logistic(oof, model_cols, label, C, n)

@@ -1,23 +1,27 @@
 """V-column reduction (ENC5 / ENC6): group anonymous ``V<n>`` columns by null
-pattern on the first fit rows, fit a PCA per group on the fit rows and project
+pattern over all fit rows, fit a PCA per group on the fit rows and project
 every row.
 
-The null-pattern sample is bounded (100 rows x #V columns); the PCA fit is
-``pyspark.ml.feature.PCA`` (distributed covariance); projections are column
-arithmetic with explicit centring, since Spark's PCA model projects
+A column's pattern is an order-free fingerprint of its null rows (their count
+and the sum of their hashed positions): one aggregation over all fit rows.  The
+fit is ``pyspark.ml.feature.PCA`` (distributed covariance); projections are
+column arithmetic with explicit centring, since Spark's PCA model projects
 uncentred rows.
 """
 
 from __future__ import annotations
 
 import re
+
 import numpy as np
+from pyspark.ml.feature import PCA
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 V_PATTERN = re.compile(r"^V\d+$")
 MIN_V_COLUMNS = 10
-PATTERN_ROWS = 100
 N_COMPONENTS = 3
 
 
@@ -25,18 +29,21 @@ def v_columns(df: DataFrame) -> list[str]:
     return [c for c in df.columns if V_PATTERN.match(c)]
 
 
-def null_pattern_groups(df: DataFrame, fit: Column | None, pos: str = "pos",
-                        rows: int = PATTERN_ROWS) -> list[list[str]]:
-    """ENC5: V-columns sharing the null mask over the first ``rows`` fit rows,
-    groups in first-column order."""
+def null_pattern_groups(df: DataFrame, fit: Column | None, pos: str = "pos") -> list[list[str]]:
+    """ENC5: V-columns with the same null rows among all fit rows, groups in
+    first-column order; no groups without fit rows."""
     vcols = v_columns(df)
+    if not vcols:
+        return []
     fit_rows = df if fit is None else df.filter(fit)
-    sample = (fit_rows.orderBy(pos).limit(rows)
-              .select(*[F.col(c).isNull().cast("int").alias(c) for c in vcols]).collect())
+    h = F.xxhash64(pos).cast("decimal(38,0)")
+    aggs = [F.struct(F.count_if(F.col(c).isNull()).alias("n"), F.sum(F.when(F.col(c).isNull(), h)).alias("h")).alias(c) for c in vcols]
+    masks = fit_rows.agg(F.count(F.lit(1)).alias("_rows"), *aggs).first()
+    if not masks["_rows"]:
+        return []
     groups: dict[tuple, list[str]] = {}
     for c in vcols:
-        key = tuple(r[c] for r in sample)
-        groups.setdefault(key, []).append(c)
+        groups.setdefault((masks[c]["n"], masks[c]["h"]), []).append(c)
     return list(groups.values())
 
 
@@ -44,14 +51,11 @@ def fit_v_pca(df: DataFrame, fit: Column | None = None, pos: str = "pos",
               n_components: int = N_COMPONENTS) -> tuple[dict[str, Column], list[str]]:
     """Fit ENC6 on ``df`` and return (projection columns, V-columns to drop).
 
-    All groups are fitted together: one aggregation for the fit-row count and
-    the column means, one for the centred cross-products of every group
-    (``sum_g d_g^2`` numbers, bounded by the V-column count), then a small
-    symmetric eigen-decomposition per group on the driver - the covariance
-    route ``RowMatrix`` takes, done for every group in two passes.  The
-    projections are column expressions usable on any later frame that still
-    has the V-columns.  Skipped (nothing projected or dropped) with fewer
-    than 10 V-columns or an empty fit slice."""
+    One ``pyspark.ml`` PCA and one mean vector per null-pattern group of at
+    least ``n_components`` columns; components are signed so that their
+    largest weight is positive.  The projections are column expressions usable
+    on any later frame that still has the V-columns.  Skipped (nothing
+    projected or dropped) with fewer than 10 V-columns or without fit rows."""
     vcols = v_columns(df)
     if len(vcols) < MIN_V_COLUMNS:
         return {}, []
@@ -61,36 +65,18 @@ def fit_v_pca(df: DataFrame, fit: Column | None = None, pos: str = "pos",
         return {}, []
     used = [(gi, cols) for gi, cols in enumerate(groups) if len(cols) >= n_components]
     x = {c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in vcols}
-    first = fit_rows.agg(F.count(F.lit(1)).alias("_n"), *[F.avg(x[c]).alias(c) for gi, cols in used
-                                                          for c in cols]).first()
-    n_fit = first["_n"]
-    if n_fit == 0:
-        return {}, []
-    means = {c: float(first[c]) for _, cols in used for c in cols}
-    prods = []
-    for gi, cols in used:
-        for i, a in enumerate(cols):
-            for b in cols[i:]:
-                prods.append(F.sum((x[a] - F.lit(means[a])) * (x[b] - F.lit(means[b]))).alias(f"g{gi}|{a}|{b}"))
-    sums = fit_rows.agg(*prods).first() if prods else None
+    vectors = fit_rows.select(*[array_to_vector(F.array(*[x[c] for c in cols])).alias(f"g{gi}") for gi, cols in used])
+    means = vectors.select(F.count(F.lit(1)).alias("n"), *[Summarizer.mean(F.col(f"g{gi}")).alias(f"g{gi}") for gi, _ in used]).first()
     out_cols: dict[str, Column] = {}
     for gi, cols in used:
-        d = len(cols)
-        cov = np.zeros((d, d))
-        for i, a in enumerate(cols):
-            for j in range(i, d):
-                v = float(sums[f"g{gi}|{a}|{cols[j]}"]) / max(n_fit - 1, 1)
-                cov[i, j] = cov[j, i] = v
-        vals, vecs = np.linalg.eigh(cov)
-        order = np.argsort(vals)[::-1]
-        k = min(n_components, d, n_fit)
+        k = min(n_components, len(cols), means["n"])
+        weights = PCA(k=k, inputCol=f"g{gi}", outputCol="pc").fit(vectors.select(f"g{gi}")).pc.toArray()
+        mean = means[f"g{gi}"].toArray()
+        values = F.array(*[x[c] for c in cols])
         for i in range(k):
-            comp = vecs[:, order[i]]
-            sign = 1.0 if comp[np.abs(comp).argmax()] >= 0 else -1.0
-            expr = F.lit(0.0)
-            for j, c in enumerate(cols):
-                expr = expr + F.lit(float(sign * comp[j])) * (x[c] - F.lit(means[c]))
-            out_cols[f"V_PCA_g{gi}_pc{i}"] = expr
+            w = weights[:, i] * (1.0 if weights[np.abs(weights[:, i]).argmax(), i] >= 0 else -1.0)
+            terms = F.zip_with(values, F.array(*[F.lit(float(v)) for v in w]), lambda a, b: a * b)
+            out_cols[f"V_PCA_g{gi}_pc{i}"] = F.aggregate(terms, F.lit(-float(w @ mean)), lambda acc, t: acc + t)
     return out_cols, vcols
 
 

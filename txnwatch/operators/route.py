@@ -34,14 +34,17 @@ def route_transactions(df: DataFrame, score: str = "fraud_score", amount: str |
     The amount percentile is an exact, distributed linear-interpolation
     quantile joined back as a one-row broadcast.  ``amount_reference`` (default ``df``) is the
     frame the percentile is taken over; pass the un-featured source so the
-    percentile does not re-run the feature windows.
+    percentile does not re-run the feature windows.  With ``review <= auto_block``
+    the promotion cannot apply, and no percentile is taken.
     """
     s = F.col(score)
     decision = (F.when(s >= auto_block, F.lit(AUTO_BLOCK))
                 .when((s >= review) & (s < auto_block), F.lit(HITL_REVIEW))
                 .otherwise(F.lit(ALLOW)))
     staged = df
-    if amount is not None:
+    # the promotion needs an ALLOW row with score >= review: there is none where the tiers meet
+    high_value = amount is not None and review > auto_block
+    if high_value:
         ref = df if amount_reference is None else amount_reference
         p = exact_quantile_row(ref, amount, [amount_percentile / 100.0], ["_amt_pctl"])
         staged = staged.crossJoin(F.broadcast(p))
@@ -54,7 +57,7 @@ def route_transactions(df: DataFrame, score: str = "fraud_score", amount: str |
         decision = F.when((F.col(new_client) == 1) & (decision == ALLOW) & (s >= soft_review),
                           F.lit(HITL_REVIEW)).otherwise(decision)
     out = staged.withColumn(out_col, decision)
-    return out.drop("_amt_pctl") if amount is not None else out
+    return out.drop("_amt_pctl") if high_value else out
 
 
 def decision_summary(df: DataFrame, decision: str = "decision") -> DataFrame:

@@ -3,84 +3,67 @@
 Two building blocks carry every causal feature, split and ranking metric:
 
 * :func:`add_global_position` (SPL0) - a row's 0-based position in a total
-  order, computed as a *bucketed prefix scan*: value-range buckets from
-  ``approxQuantile`` (ties share a bucket), a ``row_number`` inside each
-  bucket, and bucket offsets from a one-row-per-bucket table whose size is
-  bounded by the bucket count.  No window ever runs without a partition key.
+  order, computed as a *bucketed prefix scan*: ranges of the whole order tuple
+  (cut points from a hashed sample, so a column full of ties still splits), a
+  ``row_number`` inside each range, and range offsets from a one-row-per-range
+  table.  No window ever runs without a partition key.
 
 * :func:`keyed_expanding` / :func:`keyed_rolling` - per-entity windows that
   survive a hot entity (one card may own a third of all rows).  Expanding
-  statistics are computed per (entity, time chunk) and stitched with the
-  carried moments of earlier chunks (Chan et al. parallel variance), so no
-  task ever holds more than one chunk of one entity.  Rolling frames over the
+  statistics are computed per (entity, order range) and stitched with the
+  carried moments of earlier ranges (Chan et al. parallel variance), so no
+  task ever holds more than one range of one entity.  Rolling frames over the
   last ``k`` rows are cut into sub-chunks of the in-entity row number, each
   sub-chunk carrying a copy of the ``k - 1`` rows before it.
+
+Ranges are planned from the counted rows, never from a size estimate, and the
+same code runs at every size: one range is the case of few rows.
 """
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Rows per value-range bucket for global positions and per time chunk for
-# keyed expanding scans.  Both bound the rows a single task sorts.
+from txnwatch.session import cut_lineage
+
+# Rows per range for global positions and per (entity, range) for keyed scans:
+# what a single task sorts.  Read at call time.
 DEFAULT_ROWS_PER_BUCKET = 4_000_000
-DEFAULT_MAX_BUCKETS = 100_000
 # Rows per sub-chunk of one entity for rolling frames.
 DEFAULT_SUB_ROWS = 4_000_000
-# Below this optimizer size estimate a frame is scanned as one bucket without
-# first paying for a count (an estimate, so only a performance knob).
-SMALL_FRAME_BYTES = 256 << 20
-
-
+# Sampled order tuples per range from which the cut points are taken.
+SAMPLES_PER_BUCKET = 48
 MIN_ROWS_PER_BUCKET = 10_000
+# Rows per partition of an iterative fit's input.
+FIT_PARTITION_ROWS = 200_000
 
 
 def _parallelism(df: DataFrame) -> int:
     spark = df.sparkSession
-    try:
-        return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    except Exception:  # noqa: BLE001
-        return spark.sparkContext.defaultParallelism
-
-
-def estimated_bytes(df: DataFrame) -> int | None:
-    """Catalyst's size estimate of ``df`` (no job is run)."""
-    try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # noqa: BLE001 - estimates are optional
-        return None
-
-
-FIT_PARTITION_BYTES = 128 << 20
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
 
-def compact_for_fit(df: DataFrame, target_bytes: int = FIT_PARTITION_BYTES) -> DataFrame:
-    """Coalesce an iterative fit's input to ~``target_bytes`` per partition
-    (by the optimizer's estimate): a tiny training set should not pay
-    per-task overhead on every optimizer iteration.  Large inputs keep their
-    partitioning."""
-    est = estimated_bytes(df)
-    if est is None:
-        return df
-    k = max(1, math.ceil(est / target_bytes))
-    return df.coalesce(k) if k < df.rdd.getNumPartitions() else df
+def compact_for_fit(df: DataFrame, n_rows: int | None = None) -> DataFrame:
+    """Deal an iterative fit's input to partitions of ``FIT_PARTITION_ROWS``
+    rows where it has more partitions than that: a tiny training set should
+    not pay per-task overhead on every optimizer iteration.  A shuffle, not a
+    coalesce, so whatever computes the rows keeps its parallelism."""
+    k = max(1, math.ceil((df.count() if n_rows is None else n_rows) / FIT_PARTITION_ROWS))
+    return df.repartition(k) if k < df.rdd.getNumPartitions() else df
 
 
-def auto_chunks(df: DataFrame, rows_per_chunk: int = DEFAULT_ROWS_PER_BUCKET) -> int:
-    """Chunk count for a keyed scan: 1 for frames the optimizer deems small
-    (no job), else ``ceil(rows / rows_per_chunk)`` from a count."""
-    if is_small(df):
-        return 1
-    return max(1, min(DEFAULT_MAX_BUCKETS, math.ceil(df.count() / rows_per_chunk)))
+def n_ranges(n_rows: int, rows_per_range: int | None = None) -> int:
+    return max(1, math.ceil(n_rows / max(1, rows_per_range or DEFAULT_ROWS_PER_BUCKET)))
 
 
-def is_small(df: DataFrame) -> bool:
-    est = estimated_bytes(df)
-    return est is not None and est <= SMALL_FRAME_BYTES
+def auto_chunks(df: DataFrame, rows_per_chunk: int | None = None) -> int:
+    """Ranges for a keyed scan of ``df``, from a count."""
+    return n_ranges(df.count(), rows_per_chunk)
 
 
 def _as_list(x) -> list:
@@ -107,79 +90,47 @@ def _order_exprs(order_cols: Sequence[str]) -> list[Column]:
     return [F.col(c).asc_nulls_first() for c in order_cols]
 
 
-def value_range_buckets(df: DataFrame, col_name: str, n_buckets: int,
-                        relative_error: float | None = None) -> list[float]:
-    """Cut points that split ``col_name`` into ~``n_buckets`` value ranges.
+def order_cuts(df: DataFrame, order_cols: Sequence[str], n_buckets: int, n_rows: int) -> list[tuple]:
+    """Cut points that split the order tuple into ~``n_buckets`` ranges.
 
-    Cutting by value (not by row) keeps equal values in one bucket, which the
-    prefix scan needs for a consistent tiebreak inside a bucket.
+    Taken from about ``SAMPLES_PER_BUCKET`` rows per range, chosen by a hash of
+    the tuple, so they are the same however the rows are partitioned.  They
+    only place the borders; no result depends on them.
     """
     if n_buckets <= 1:
         return []
-    probs = [i / n_buckets for i in range(1, n_buckets)]
-    err = relative_error if relative_error is not None else 1.0 / (8 * n_buckets)
-    cuts = df.approxQuantile(col_name, probs, err)
-    return sorted({float(c) for c in cuts if c is not None and not math.isnan(c)})
+    one_in = max(1, n_rows // (SAMPLES_PER_BUCKET * n_buckets))
+    rows = df.select(*order_cols).filter(F.pmod(F.xxhash64(*order_cols), F.lit(one_in)) == 0).distinct().collect()
+    real = [tuple(r) for r in rows if not any(isinstance(v, float) and math.isnan(v) for v in r)]
+    real.sort(key=lambda t: tuple((v is not None, v) for v in t))
+    picks = sorted({(i * len(real)) // n_buckets for i in range(1, n_buckets)}) if real else []
+    return [real[i] for i in picks if i > 0]
 
 
-def bucket_column(c: str | Column, cuts: list[float]) -> Column:
-    """Number of cuts ``<= c`` as a balanced ``when`` tree (NULL -> bucket 0).
-
-    Only for short cut lists (the tree has ``2 * len(cuts)`` nodes); use
-    :func:`with_value_bucket` for arbitrary lengths.
-    """
-    x = (F.col(c) if isinstance(c, str) else c).cast("double")
+def with_order_bucket(df: DataFrame, order_cols: Sequence[str], cuts: list[tuple], out_col: str) -> DataFrame:
+    """Attach the number of ``cuts`` that are <= the row's order tuple (NULLs
+    first): a binary search over one constant array, whatever its length."""
     if not cuts:
-        return F.lit(0)
-
-    def tree(lo: int, hi: int) -> Column:
-        # number of cuts <= x, knowing it lies in [lo, hi]
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi + 1) // 2
-        return F.when(x >= F.lit(cuts[mid - 1]), tree(mid, hi)).otherwise(tree(lo, mid - 1))
-    return F.when(x.isNull(), F.lit(0)).otherwise(tree(0, len(cuts)))
-
-
-SMALL_CUTS = 64
-
-
-def with_value_bucket(df: DataFrame, c: str, cuts: list[float], out_col: str) -> DataFrame:
-    """Attach the value-range bucket of ``c``: a ``when`` tree for short cut
-    lists, ``Bucketizer`` (binary search in the JVM) for long ones."""
-    if len(cuts) <= SMALL_CUTS:
-        return df.withColumn(out_col, bucket_column(c, cuts))
-    from pyspark.ml.feature import Bucketizer
-    tmp = f"{out_col}_in"
-    staged = df.withColumn(tmp, F.coalesce(F.col(c).cast("double"), F.lit(float("-inf"))))
-    bz = Bucketizer(splits=[float("-inf")] + cuts + [float("inf")], inputCol=tmp,
-                    outputCol=out_col + "_d", handleInvalid="keep")
-    return (bz.transform(staged).withColumn(out_col, F.col(out_col + "_d").cast("int"))
-            .drop(tmp, out_col + "_d"))
-
-
-CUT_GRID = 256
-
-
-def count_and_grid(df: DataFrame, col: str, grid: int = CUT_GRID) -> tuple[int, list[float]]:
-    """Row count and ``grid`` approximate quantiles of ``col`` in ONE pass."""
-    probs = [i / grid for i in range(1, grid)]
-    r = df.agg(F.count(F.lit(1)).alias("n"),
-               F.percentile_approx(F.col(col).cast("double"), probs, 8 * grid).alias("g")).first()
-    return int(r["n"]), [float(v) for v in (r["g"] or []) if v is not None]
-
-
-def cuts_from_grid(grid: list[float], n_buckets: int) -> list[float]:
-    if n_buckets <= 1 or not grid:
-        return []
-    g = len(grid) + 1
-    return sorted({grid[(i * g) // n_buckets - 1] for i in range(1, n_buckets) if (i * g) // n_buckets >= 1})
+        return df.withColumn(out_col, F.lit(0))
+    types = [df.schema[c].dataType.simpleString() for c in order_cols]
+    names = [f"k{i}" for i in range(len(order_cols))]
+    text = json.dumps([dict(zip(names, cut)) for cut in cuts], default=str)
+    array = F.from_json(F.lit(text), f"array<struct<{', '.join(f'{n}: {t}' for n, t in zip(names, types))}>>")
+    key = F.struct(*[F.col(c).alias(n) for c, n in zip(order_cols, names)])
+
+    def halve(acc: Column, _: Column) -> Column:
+        mid = F.floor((acc["lo"] + acc["hi"]) / 2).cast("int")
+        below = F.get(array, mid) <= key
+        searching = acc["lo"] < acc["hi"]
+        return F.struct(F.when(searching & below, mid + 1).otherwise(acc["lo"]).alias("lo"),
+                        F.when(searching & ~below, mid).otherwise(acc["hi"]).alias("hi"))
+    steps = F.array(*[F.lit(i) for i in range(len(cuts).bit_length() + 1)])
+    start = F.struct(F.lit(0).alias("lo"), F.lit(len(cuts)).alias("hi"))
+    return df.withColumn(out_col, F.aggregate(steps, start, halve)["lo"])
 
 
 def add_global_position(df: DataFrame, order_cols: Sequence[str] = ("TransactionDT", "TransactionID"),
-                        pos_col: str = "pos", rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET,
-                        max_buckets: int = DEFAULT_MAX_BUCKETS, n_rows: int | None = None,
-                        grid: list[float] | None = None) -> DataFrame:
+                        pos_col: str = "pos", rows_per_bucket: int | None = None, n_rows: int | None = None) -> DataFrame:
     """SPL0: 0-based position of each row in ``order_cols`` order.
 
     Equal to ``row_number() over (order by order_cols) - 1`` without pulling
@@ -187,55 +138,50 @@ def add_global_position(df: DataFrame, order_cols: Sequence[str] = ("Transaction
     unique id) for the position to be deterministic.
     """
     order_cols = list(order_cols)
-    if n_rows is None and is_small(df):
-        nb = 1
-    else:
-        if n_rows is None:
-            n_rows, grid = count_and_grid(df, order_cols[0])
-        n = n_rows
-        nb = max(1, min(max_buckets, math.ceil(n / max(1, rows_per_bucket))))
-        # keep the output spread over the cluster: one bucket would leave every
-        # downstream narrow operator in a single task
-        nb = max(nb, min(_parallelism(df), n // MIN_ROWS_PER_BUCKET, max_buckets))
-    if nb <= 1:
-        cuts = []
-    elif grid is not None and nb < len(grid):
-        cuts = cuts_from_grid(grid, nb)
-    else:
-        cuts = value_range_buckets(df, order_cols[0], nb)
+    n = df.count() if n_rows is None else n_rows
+    # at least a range for each core where there are rows for it: one range
+    # would leave every downstream narrow operator in a single task
+    nb = max(n_ranges(n, rows_per_bucket), min(_parallelism(df), n // MIN_ROWS_PER_BUCKET))
+    cuts = order_cuts(df, order_cols, nb, n)
     b = "_pos_bucket"
-    staged = with_value_bucket(df, order_cols[0], cuts, b)
+    staged = with_order_bucket(df, order_cols, cuts, b)
     w = Window.partitionBy(b).orderBy(*_order_exprs(order_cols))
     local = staged.withColumn("_pos_local", F.row_number().over(w) - 1)
     if not cuts:
         return local.withColumn(pos_col, F.col("_pos_local").cast("long")).drop(b, "_pos_local")
-    # one row per bucket (bounded by len(cuts) + 1 <= max_buckets), taken from
-    # the windowed frame so the source is scanned and shuffled once (the
-    # window's exchange is reused by this branch)
+    # one row per range, taken from the windowed frame so the source is scanned
+    # and shuffled once (the window's exchange is reused by this branch)
     counts = local.groupBy(b).agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.select(
         b, F.coalesce(F.sum("_n").over(Window.orderBy(b).rowsBetween(Window.unboundedPreceding, -1)),
                       F.lit(0)).alias("_pos_offset"))
-    return (local.join(F.broadcast(offsets), b, "left")
+    return (local.join(F.broadcast(offsets), b, "left")  # one row per range, len(cuts) + 1 at most
             .withColumn(pos_col, (F.col("_pos_offset") + F.col("_pos_local")).cast("long"))
             .drop(b, "_pos_local", "_pos_offset"))
 
 
-def plan_time_chunks(df: DataFrame, time_col: str = "TransactionDT", chunk_col: str = "_chunk",
-                     rows_per_chunk: int = DEFAULT_ROWS_PER_BUCKET,
-                     max_chunks: int = DEFAULT_MAX_BUCKETS, n_rows: int | None = None
+def plan_time_chunks(df: DataFrame, order_cols: Sequence[str] = ("TransactionDT", "TransactionID"),
+                     chunk_col: str = "_chunk", rows_per_chunk: int | None = None, n_rows: int | None = None
                      ) -> tuple[DataFrame, str | None]:
-    """Attach a value-range time chunk id, or return ``None`` if one chunk suffices."""
-    if n_rows is None and is_small(df) and rows_per_chunk >= DEFAULT_ROWS_PER_BUCKET:
-        return df, None
+    """Attach a chunk id that rises with the order tuple, or return ``None``
+    if the counted rows fit one chunk (which then is what a task sorts)."""
+    cols = _as_list(order_cols)
     n = df.count() if n_rows is None else n_rows
-    nb = max(1, min(max_chunks, math.ceil(n / max(1, rows_per_chunk))))
-    if nb <= 1:
-        return df, None
-    cuts = value_range_buckets(df, time_col, nb)
-    if not cuts:
-        return df, None
-    return with_value_bucket(df, time_col, cuts, chunk_col), chunk_col
+    cuts = order_cuts(df, cols, n_ranges(n, rows_per_chunk), n)
+    return (with_order_bucket(df, cols, cuts, chunk_col), chunk_col) if cuts else (df, None)
+
+
+AUTO = "auto"
+
+
+def split_entities(df: DataFrame, order_cols: Sequence[str], chunk_col: str | None = AUTO
+                   ) -> tuple[DataFrame, str | None, list[str]]:
+    """(frame, chunk column or None, columns to drop afterwards) of an entity
+    scan: ``AUTO`` plans the chunks here, a name or None is taken as it is."""
+    if chunk_col != AUTO:
+        return df, chunk_col, []
+    df, planned = plan_time_chunks(df, order_cols, "_entity_chunk")
+    return df, planned, [planned] if planned else []
 
 
 def keyed_expanding(df: DataFrame, keys, order_cols: Sequence[str], values: dict[str, Column] | None = None,
@@ -299,7 +245,7 @@ def keyed_expanding(df: DataFrame, keys, order_cols: Sequence[str], values: dict
     offsets = totals.withColumns(pre_cols).select(*part, *pre_cols.keys())
 
     joined = _join_null_safe(local, offsets, part)
-    out = {rn_col: (F.col("_rows_o") + F.col("_rn_l")).cast("int")}
+    out = {rn_col: F.col("_rows_o") + F.col("_rn_l")}
     for n in values:
         n_o, mo, m2o = F.col(f"_n_o_{n}"), F.col(f"_mean_o_{n}"), F.col(f"_m2_o_{n}")
         n_l, ml, m2l = F.col(f"_n_l_{n}"), F.col(f"_mean_l_{n}"), F.col(f"_m2_l_{n}")
@@ -348,27 +294,16 @@ def keyed_rolling(df: DataFrame, keys, rn_col: str, lookback: int,
 
 
 def with_value_chunks(df: DataFrame, keys, value_col: str, chunk_col: str = "_vchunk",
-                      n_chunks: int = 1) -> DataFrame:
+                      n_chunks: int = 1, n_rows: int | None = None) -> DataFrame:
     """Chunk id that increases with ``value_col`` inside every key.
 
-    Global order: value-range buckets from one quantile sketch.  Per key:
-    ``repartitionByRange(n_chunks, keys, value)`` - Spark's range partitioner
-    samples the data, gives a hot key several value ranges (and many small
-    keys one), and finds a row's range by binary search - and the chunk is the
-    resulting partition id.  Equal (key, value) pairs always share a chunk.
-    The keyed assignment is persisted (see below).
+    Chunks are ranges of the tuple (keys, value): a hot key gets several value
+    ranges, many small keys share one, and equal (key, value) pairs always
+    share a chunk.
     """
-    keys = _as_list(keys)
-    if n_chunks <= 1:
-        return df.withColumn(chunk_col, F.lit(0))
-    if not keys:
-        return with_value_bucket(df, value_col, value_range_buckets(df, value_col, n_chunks), chunk_col)
-    # Range bounds are sampled per exchange (seeded by RDD id): persist the
-    # assignment so every consumer sees the same chunk ids.  A lost cached
-    # block is rebuilt from the same shuffle, i.e. with the same bounds.
-    from pyspark import StorageLevel
-    return (df.repartitionByRange(n_chunks, *[F.col(k) for k in keys], F.col(value_col))
-            .withColumn(chunk_col, F.spark_partition_id()).persist(StorageLevel.MEMORY_AND_DISK))
+    cols = [*_as_list(keys), value_col]
+    n = (df.count() if n_rows is None else n_rows) if n_chunks > 1 else 0
+    return with_order_bucket(df, cols, order_cuts(df, cols, n_chunks, n), chunk_col)
 
 
 def keyed_prefix_sums(df: DataFrame, keys, order_cols: Sequence[str], sums: dict[str, Column],
@@ -413,8 +348,8 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float], keys=
     vc = (df.filter(x.isNotNull() & ~F.isnan(x)).groupBy(*keys, x.alias("_v"))
           .agg(F.count(F.lit(1)).alias("_c")))
     if n_chunks is None:
-        n_chunks = 1 if is_small(df) else max(1, min(DEFAULT_MAX_BUCKETS,
-                                                    math.ceil(vc.count() / DEFAULT_ROWS_PER_BUCKET)))
+        vc = cut_lineage(vc)  # the distinct values are counted, ranged and scanned from here
+        n_chunks = auto_chunks(vc)
     chunk = None
     if n_chunks > 1:
         vc = with_value_chunks(vc, keys, "_v", "_qchunk", n_chunks)

@@ -26,17 +26,6 @@ def uid_average_predictions(df: DataFrame, score: str = "fraud_score", uid: str
     return j.withColumn(out_col, smoothed).drop("_uid_mean", "_uid_n")
 
 
-def smoothing_report(before: DataFrame, score: str = "fraud_score", uid: str = "UID",
-                     blend_ratio: float = BLEND_RATIO) -> DataFrame:
-    """Rows smoothed and mean absolute score change (one row)."""
-    j = _uid_group_stats(before, uid, score)
-    smoothed = F.when(F.col("_uid_n") >= 2,
-                      F.lit(blend_ratio) * F.col(score) + F.lit(1.0 - blend_ratio) * F.col("_uid_mean")
-                      ).otherwise(F.col(score))
-    return j.agg(F.count_if(F.col("_uid_n") >= 2).alias("n_smoothed"),
-                 F.count(F.lit(1)).alias("n_rows"),
-                 F.avg(F.abs(smoothed - F.col(score))).alias("mean_abs_delta"))
-
 
 def uid_full_average(df: DataFrame, score: str = "fraud_score", uid: str = "UID",
                      out_col: str = "uid_mean_score") -> DataFrame:

@@ -16,7 +16,6 @@ N_SPLITS = 5
 GAP_SIZE = 1000
 TEST_RATIO = 0.15
 EVAL_RATIO = 0.10
-DIAGNOSTIC_ROWS = 300_000
 
 
 @dataclass(frozen=True)
@@ -122,21 +121,14 @@ def oof_coverage_summary(df: DataFrame, model_cols: list[str], label: str = "isF
                        F.coalesce(F.sum(label), F.lit(0)).cast("long").alias("n_positive"))
 
 
-def diagnostic_sample(df: DataFrame, max_rows: int = DIAGNOSTIC_ROWS, seed: int = 42,
+def diagnostic_sample(df: DataFrame, max_rows: int | None = None, seed: int = 42,
                       id_col: str = "TransactionID") -> DataFrame:
-    """SPL5: the ``max_rows`` rows with the smallest ``xxhash64(id, seed)``
-    (without replacement, deterministic in ``seed``); all rows when there are
-    fewer.  A hash-quantile prefilter keeps about ``max_rows`` rows, then an
-    exact distributed rank trims them, so no task merges k x partitions rows."""
-    if max_rows <= 0:
+    """SPL5: without ``max_rows`` every row; else the ``max_rows`` rows with the
+    smallest ``md5("id:seed")`` (without replacement, deterministic in
+    ``seed``), cut by an exact distributed rank."""
+    if not max_rows or max_rows <= 0:
         return df
-    from txnwatch.operators.scan import add_global_position, count_and_grid
-    h = df.withColumn("_h", F.xxhash64(F.col(id_col), F.lit(seed)))
-    n, grid = count_and_grid(h, "_h")
-    if n <= max_rows:
-        return df
-    # the cut at ~(max_rows / n) plus slack: at least max_rows rows survive
-    i = min(len(grid) - 1, int((max_rows / n) * (len(grid) + 1)) + 2)
-    keep = h.filter(F.col("_h") <= F.lit(int(grid[i]))) if grid else h
-    ranked = add_global_position(keep, order_cols=("_h", id_col), pos_col="_sample_pos")
+    from txnwatch.operators.scan import add_global_position
+    h = df.withColumn("_h", F.md5(F.concat_ws(":", F.col(id_col).cast("string"), F.lit(str(seed)))))
+    ranked = add_global_position(h, order_cols=("_h", id_col), pos_col="_sample_pos")
     return ranked.filter(F.col("_sample_pos") < max_rows).drop("_h", "_sample_pos")

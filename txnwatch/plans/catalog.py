@@ -193,23 +193,22 @@ from txnwatch.operators import stats as ST  # noqa: E402
 from txnwatch.operators import drift as DR  # noqa: E402
 from txnwatch.operators import fairness as FA  # noqa: E402
 from txnwatch.operators.scan import add_global_position, exact_quantile_row, exact_quantiles  # noqa: E402
+from txnwatch.session import cut_lineage  # noqa: E402
 from txnwatch.sources.fixtures import identity, paysim_raw  # noqa: E402
 from txnwatch.sources.loaders import canonicalize_paysim  # noqa: E402
 
 
-def split_gap(n: int, n_splits: int = SP.N_SPLITS) -> int:
-    """Default gap, or n // 100 when the default leaves no usable fold."""
-    return SP.GAP_SIZE if n // (n_splits + 1) > SP.GAP_SIZE else n // 100
+#: The gap between training and test positions in the registered queries; an argument
+#: of every split, chosen here to leave usable folds in the smallest test table.
+QUERY_GAP = 100
 
 
 def _positioned(spark, sf, with_v=False):
-    """Transactions with their global time position, kept for reuse: most
-    queries run several jobs (counts, quantiles, fits) over it."""
-    from pyspark import StorageLevel
-    from txnwatch.operators.scan import count_and_grid
+    """Transactions with their global time position, written to the checkpoint
+    folder: most queries run several jobs (counts, quantiles, fits) over it."""
     df = txn(spark, sf, with_v=with_v)
-    n, grid = count_and_grid(df, "TransactionDT")  # one pass: row count and cut-point sketch
-    return add_global_position(df, n_rows=n, grid=grid).persist(StorageLevel.MEMORY_AND_DISK), n
+    n = df.count()
+    return cut_lineage(add_global_position(df, n_rows=n)), n
 
 
 @register("spl0")
@@ -227,26 +226,26 @@ def q_srt1(spark, sf):
 @register("spl1")
 def q_spl1(spark, sf):
     df, n = _positioned(spark, sf)
-    return SP.assign_folds(df, n, gap=split_gap(n)).select("TransactionID", "fold", "role")
+    return SP.assign_folds(df, n, gap=QUERY_GAP).select("TransactionID", "fold", "role")
 
 
 @register("spl2")
 def q_spl2(spark, sf):
     df, n = _positioned(spark, sf)
-    return SP.split_holdout(df, n, gap=split_gap(n)).select("TransactionID", "role")
+    return SP.split_holdout(df, n, gap=QUERY_GAP).select("TransactionID", "role")
 
 
 @register("spl3")
 def q_spl3(spark, sf):
     df, n = _positioned(spark, sf)
-    hb = SP.holdout_bounds(n, gap=split_gap(n))
+    hb = SP.holdout_bounds(n, gap=QUERY_GAP)
     train = df.filter(F.col("pos") < hb.train_end)
-    return SP.split_internal_eval(train, hb.train_end, gap=split_gap(n)).select("TransactionID", "inner_role")
+    return SP.split_internal_eval(train, hb.train_end, gap=QUERY_GAP).select("TransactionID", "inner_role")
 
 
 @register("spl5")
 def q_spl5(spark, sf):
-    return SP.diagnostic_sample(_base(spark, sf), max_rows=SP.DIAGNOSTIC_ROWS, seed=42).select("TransactionID")
+    return SP.diagnostic_sample(_base(spark, sf), max_rows=500, seed=42).select("TransactionID")
 
 
 @register("set1")
@@ -261,7 +260,7 @@ def q_set1(spark, sf):
 @register("set3")
 def q_set3(spark, sf):
     df, n = _positioned(spark, sf)
-    hb = SP.holdout_bounds(n, gap=split_gap(n))
+    hb = SP.holdout_bounds(n, gap=QUERY_GAP)
     tr = df.filter(F.col("pos") < hb.train_end).select("TransactionID", "fraud_score", F.lit("train").alias("src"))
     ob = df.filter(F.col("pos") >= hb.test_start).select("TransactionID", "fraud_score",
                                                           F.lit("observed").alias("src"))
@@ -299,7 +298,7 @@ def q_enc2(spark, sf):
 
 def _fit_rows(spark, sf):
     df, n = _positioned(spark, sf)
-    hb = SP.holdout_bounds(n, gap=split_gap(n))
+    hb = SP.holdout_bounds(n, gap=QUERY_GAP)
     return df, F.col("pos") < hb.train_end
 
 
@@ -515,7 +514,7 @@ DRIFT_FEATURES = ["TransactionAmt", "C1", "C13", "C14", "D1", "D15", "V1", "V5",
 
 def _drift_sides(spark, sf):
     df, n = _positioned(spark, sf, with_v=True)
-    hb = SP.holdout_bounds(n, gap=split_gap(n))
+    hb = SP.holdout_bounds(n, gap=QUERY_GAP)
     return df.filter(F.col("pos") < hb.train_end), df.filter(F.col("pos") >= hb.test_start)
 
 
@@ -580,7 +579,7 @@ ML_FEATURES = ["TransactionAmt", "C1", "C13", "C14", "D1", "D15", "hour", "is_ni
 def _ml_prepared(spark, sf) -> XE.Prepared:
     """Light feature frame for model queries: time + velocity features."""
     df, n = _positioned(spark, sf)
-    gap = split_gap(n)
+    gap = QUERY_GAP
     feats = FE.engineer_velocity(FE.build_uid(FE.extract_time_features(df)))
     feats = feats.withColumn("is_new_client", F.lit(0))
     return XE.Prepared(feats.drop("fraud_score", "score_b"), n, SP.holdout_bounds(n, gap=gap), ML_FEATURES, gap)
@@ -653,7 +652,7 @@ def q_spl4(spark, sf):
 def _fixture_models(spark, sf):
     """Two fixture score columns standing in for two model outputs."""
     df, n = _positioned(spark, sf)
-    hb = SP.holdout_bounds(n, gap=split_gap(n))
+    hb = SP.holdout_bounds(n, gap=QUERY_GAP)
     return df, hb
 
 
@@ -751,7 +750,7 @@ def q_bal4(spark, sf):
 @register("enc5")
 def q_enc5(spark, sf):
     df, n = _positioned(spark, sf, with_v=True)
-    hb = SP.holdout_bounds(n, gap=split_gap(n))
+    hb = SP.holdout_bounds(n, gap=QUERY_GAP)
     rows = PC.pca_groups_frame(df, F.col("pos") < hb.train_end)
     return spark.createDataFrame(rows, "pca_group int, v_column string")
 
@@ -759,14 +758,14 @@ def q_enc5(spark, sf):
 @register("enc6")
 def q_enc6(spark, sf):
     df, n = _positioned(spark, sf, with_v=True)
-    hb = SP.holdout_bounds(n, gap=split_gap(n))
+    hb = SP.holdout_bounds(n, gap=QUERY_GAP)
     out = PC.v_column_pca(df, F.col("pos") < hb.train_end, n_components=3)
     return _round_all(out.select("TransactionID", *[c for c in out.columns if c.startswith("V_PCA_")]))
 
 
 @register("enc7")
 def q_enc7(spark, sf):
-    return XE.prepare(spark, sf, checkpoint=False).frame
+    return XE.prepare(spark, sf, gap=QUERY_GAP).frame
 
 
 # --- explanations ------------------------------------------------------------------------------------------
@@ -776,9 +775,8 @@ XAI_FEATURES = ["TransactionAmt", "C1", "C13", "C14", "D1", "D15", "V1", "V5"]
 
 def _xai_base(spark, sf):
     df, n = _positioned(spark, sf, with_v=True)
-    hb = SP.holdout_bounds(n, gap=split_gap(n))
-    bg = XP.background_slice(df)
-    return df, bg, hb
+    hb = SP.holdout_bounds(n, gap=QUERY_GAP)
+    return df, df.filter(F.col("pos") < hb.train_end), hb
 
 
 def _unit_explained(spark, sf):
@@ -936,7 +934,7 @@ def q_win13(spark, sf):
     """Holdout sequences see the final-train rows and earlier holdout rows
     only: gap rows are not history."""
     df, n = _positioned(spark, sf)
-    hb = SP.holdout_bounds(n, gap=split_gap(n))
+    hb = SP.holdout_bounds(n, gap=QUERY_GAP)
     keep = df.filter((F.col("pos") < hb.train_end) | (F.col("pos") >= hb.test_start))
     seq = FE.build_sequences(_seq_input(keep), "card1", SEQ_FEATURES, 10, out_col="seq")
     return _seq_out(seq.filter(F.col("pos") >= hb.test_start))
@@ -955,10 +953,20 @@ def q_str1(spark, sf):
     return out
 
 
+#: Change detection: cards are dealt to this many detectors; at the given second, or position, the score moves up.
+ADWIN_KEYS, SHIFT_AT, SHIFT = 32, 15 * 86400, 0.5
+
+
+def _detector():
+    return F.pmod(F.xxhash64("card1"), F.lit(ADWIN_KEYS)).alias("detector")
+
+
 @register("str2")
 def q_str2(spark, sf):
-    out, _ = SJ.run_to_table(SJ.stream_adwin(SF.txn_stream(spark, sf), "card4", "TransactionID", "fraud_score"),
-                             "str2")
+    txns = SF.txn_stream(spark, sf)
+    moved = F.col("fraud_score") + F.when(F.col("TransactionDT") >= SHIFT_AT, SHIFT).otherwise(0.0)
+    stream = txns.select(_detector(), "TransactionID", moved.alias("score"))
+    out, _ = SJ.run_to_table(SJ.stream_adwin(stream, "detector", "TransactionID", "score"), "str2")
     return out
 
 
@@ -972,7 +980,7 @@ def q_str3(spark, sf):
 @register("str4")
 def q_str4(spark, sf):
     df, n = _positioned(spark, sf)
-    hb = SP.holdout_bounds(n, gap=split_gap(n))
+    hb = SP.holdout_bounds(n, gap=QUERY_GAP)
     ref = df.filter(F.col("pos") < hb.train_end)
     q = exact_quantiles(ref, "fraud_score", [i / 10 for i in range(11)])
     bps = sorted({r["value"] for r in q.collect()})  # at most 11 values
@@ -984,18 +992,22 @@ def q_str4(spark, sf):
                   .groupBy(F.least(b, F.lit(nb - 1)).alias("bin")).agg(F.count(F.lit(1)).alias("ref_n")))
     ref_counts = spark.range(nb).select(F.col("id").cast("int").alias("bin")).join(ref_counts, "bin", "left") \
         .fillna(0, ["ref_n"])
-    bins, _ = SJ.run_to_table(SJ.stream_window_bins(SF.txn_stream(spark, sf), bps), "str4", output_mode="complete")
-    return SJ.window_psi(bins.withColumn("bin", F.col("bin").cast("int")), ref_counts)
+    # files come in any order: rows may be as late as the whole log is long
+    windows = SJ.stream_window_bins(SF.txn_stream(spark, sf), bps, watermark="60 days")
+    updates, _ = SJ.run_to_table(windows, "str4", output_mode="update")
+    bins = SJ.latest_bins(updates)
+    return _round_all(SJ.window_psi(bins.withColumn("bin", F.col("bin").cast("int")), ref_counts))
 
 
 @register("drf4")
 def q_drf4(spark, sf):
-    """ADWIN over the train-then-observed score stream, one detector per card
-    network; changes reported inside the observed part."""
+    """ADWIN over the train-then-observed score stream, whose scores move up in
+    the observed part; changes reported there."""
     df, n = _positioned(spark, sf)
-    hb = SP.holdout_bounds(n, gap=split_gap(n))
+    hb = SP.holdout_bounds(n, gap=QUERY_GAP)
     stream = df.filter((F.col("pos") < hb.train_end) | (F.col("pos") >= hb.test_start))
-    changes = AD.adwin_changes(stream, ["card4"], "pos", "fraud_score")
+    moved = F.col("fraud_score") + F.when(F.col("pos") >= hb.test_start, SHIFT).otherwise(0.0)
+    changes = AD.adwin_changes(stream.select(_detector(), "pos", moved.alias("score")), ["detector"], "pos", "score")
     return AD.changes_in_observed(changes, "pos", hb.test_start)
 
 
@@ -1050,7 +1062,8 @@ def q_src3(spark, sf):
 
 @register("src4")
 def q_src4(spark, sf):
-    return _round_all(LD.load_paysim(spark, _paysim_csv(spark, sf), max_rows=1000))
+    n = paysim_raw(spark, sf).count()  # the caller's bound on rows: here, all of them
+    return _round_all(LD.load_paysim(spark, _paysim_csv(spark, sf), max_rows=n))
 
 
 @register("src5")
@@ -1066,7 +1079,8 @@ def q_src2(spark, sf):
     _write_csv(_base(spark, sf).select("TransactionID", "TransactionDT", "TransactionAmt", "card1", "card4",
                                        "isFraud"), f"{root}/train_transaction.csv", "TransactionID")
     _write_csv(identity(spark, sf), f"{root}/train_identity.csv", "TransactionID")
-    df = LD.load_ieee(spark, root)
+    df = LD.load_ieee(spark, root, "TransactionID long, TransactionDT long, TransactionAmt double, card1 long, card4 string, isFraud int",
+                      ", ".join(f"{c} {t}" for c, t in identity(spark, sf).dtypes))
     return _round_all(df.select(F.col("TransactionID").cast("long").alias("TransactionID"),
                                 F.col("TransactionAmt").cast("double").alias("TransactionAmt"),
                                 "isFraud", "DeviceType"))
@@ -1099,8 +1113,9 @@ def q_snk2(spark, sf):
     root = _shared(spark, "metrics")
     df = _base(spark, sf).withColumn("day", F.floor(F.col("TransactionDT") / 86400).cast("int"))
     runs = EV.seed_metric_row(df, by=["day"]).select("day", "roc_auc", "pr_auc", "brier")
-    SK.save_metrics_summary(runs, f"{root}/summary.json", ["roc_auc", "pr_auc", "brier"])
-    return spark.read.json(f"{root}/summary.json")
+    SK.save_metrics_summary(runs, f"{root}/summary.json", ["roc_auc", "pr_auc", "brier"], ("day",))
+    back = spark.read.json(f"{root}/summary.json")
+    return _round_all(back.select("n_seeds", F.explode("summary").alias("s")).select("n_seeds", "s.metric", "s.mean", "s.std"))
 
 
 @register("snk4")
@@ -1131,7 +1146,7 @@ def q_snk3(spark, sf):
 def q_snk6(spark, sf):
     root = _shared(spark, "seeds")
     df, n = _positioned(spark, sf)
-    hb = SP.holdout_bounds(n, gap=split_gap(n))
+    hb = SP.holdout_bounds(n, gap=QUERY_GAP)
     routed = RT.route_transactions(FE.build_uid(df))
     SK.save_holdout_predictions(routed.filter(F.col("pos") < hb.train_end), f"{root}/seed_1", "ieee")
     SK.save_holdout_predictions(routed.filter(F.col("pos") >= hb.test_start), f"{root}/seed_2", "ieee")
@@ -1227,7 +1242,7 @@ def q_prj10(spark, sf):
 
 def _fit_rows_v(spark, sf):
     df, n = _positioned(spark, sf, with_v=True)
-    hb = SP.holdout_bounds(n, gap=split_gap(n))
+    hb = SP.holdout_bounds(n, gap=QUERY_GAP)
     return df, F.col("pos") < hb.train_end
 
 

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from txnwatch.operators import balance as BA
+from txnwatch.operators import drift as DR
 from txnwatch.operators import encode as EN
 from txnwatch.operators import evaluate as EV
 from txnwatch.operators import features as FE
@@ -29,8 +30,9 @@ from txnwatch.operators import models as MD
 from txnwatch.operators import route as RT
 from txnwatch.operators import smooth as SM
 from txnwatch.operators import split as SP
+from txnwatch.operators import stats as ST
 from txnwatch.operators.pca import fit_v_pca
-from txnwatch.operators.scan import add_global_position, compact_for_fit, count_and_grid, plan_time_chunks
+from txnwatch.operators.scan import add_global_position, compact_for_fit, plan_time_chunks
 from txnwatch.session import cut_lineage
 from txnwatch.sources.fixtures import txn
 
@@ -46,11 +48,9 @@ def feature_pipeline(df: DataFrame, fit: Column, pos: str = "pos", chunk_rows: i
     String columns are label-encoded before the UID statistics, so match
     flags arrive as codes (the T/F mapping only applies to raw strings).
     """
-    chunk_col = None
     # V-PCA only reads the raw V-columns: fit it on the input, apply later
     pca_cols, v_cols = fit_v_pca(df, fit, pos)
-    if chunk_rows:
-        df, chunk_col = plan_time_chunks(df, "TransactionDT", rows_per_chunk=chunk_rows)
+    df, chunk_col = plan_time_chunks(df, rows_per_chunk=chunk_rows)
     out = FE.extract_time_features(df)
     strings = [c for c, t in out.dtypes if t == "string"]
     out = EN.encode_categoricals(out, fit, pos=pos, columns=strings)
@@ -64,7 +64,7 @@ def feature_pipeline(df: DataFrame, fit: Column, pos: str = "pos", chunk_rows: i
     if chunk_col:
         out = out.drop(chunk_col)
     # the null-ratio decision is an action: compute the feature frame once
-    out = out.persist(StorageLevel.MEMORY_AND_DISK)
+    out = cut_lineage(out)
     return FE.clean_high_nan_columns(out, null_threshold, fit, preserve=[c for c in preserve if c in out.columns])
 
 
@@ -77,19 +77,15 @@ class Prepared:
     gap: int
 
 
-def prepare(spark: SparkSession, sf_dir: str, gap: int | None = None, checkpoint: bool = True,
-            exclude_scores: bool = True) -> Prepared:
+def prepare(spark: SparkSession, sf_dir: str, gap: int = SP.GAP_SIZE, exclude_scores: bool = True) -> Prepared:
     base = txn(spark, sf_dir, with_v=True)
     if exclude_scores:
         base = base.drop("fraud_score", "score_b")  # fixture scores are not model inputs
-    n, grid = count_and_grid(base, "TransactionDT")  # one pass: row count and cut-point sketch
-    gap = gap if gap is not None else (SP.GAP_SIZE if n // (SP.N_SPLITS + 1) > SP.GAP_SIZE else n // 100)
+    n = base.count()
     # reliable checkpoint: later actions plan against a short lineage
-    positioned = cut_lineage(add_global_position(base, n_rows=n, grid=grid))
+    positioned = cut_lineage(add_global_position(base, n_rows=n))
     hb = SP.holdout_bounds(n, gap=gap)
     feats = feature_pipeline(positioned, F.col("pos") < hb.train_end)
-    if checkpoint:
-        feats = cut_lineage(feats)
     cols = MD.feature_columns(feats, exclude=MD.EXCLUDED + ("pos",))
     return Prepared(feats, n, hb, cols, gap)
 
@@ -101,9 +97,9 @@ class OOFResult:
 
 
 def _fit_and_score(kind: str, train: DataFrame, val: DataFrame | None, score_rows: DataFrame, features: list[str],
-                   seed: int, profile: str, balance: float) -> DataFrame:
+                   seed: int, profile: str, balance: float, method: str = "smote") -> DataFrame:
     if kind in MD.TREE_MODELS and balance:
-        train = BA.prepare_training_data(train, features, "isFraud", balance, seed)
+        train = BA.prepare_training_data(train, features, "isFraud", balance, seed, method)
     tr = MD.assemble(train, features)
     va = MD.assemble(val, features) if val is not None else None
     if kind == "mlp":
@@ -124,8 +120,8 @@ def _fit_and_score(kind: str, train: DataFrame, val: DataFrame | None, score_row
     return MD.score_with(model, score_in, out_col=kind).select("TransactionID", kind)
 
 
-def out_of_fold(prep: Prepared, models: Sequence[str] = ("rf", "xgb"), profile: str = "tiny", seed: int = 42,
-                n_splits: int = SP.N_SPLITS, balance: float = 0.0, parallelism: int = 4) -> OOFResult:
+def out_of_fold(prep: Prepared, models: Sequence[str] = ("rf", "xgb"), profile: str = "fast", seed: int = 42,
+                n_splits: int = SP.N_SPLITS, balance: float = 0.0, parallelism: int = 4, method: str = "smote") -> OOFResult:
     """MOD10: walk-forward folds over the training slice; each fold fits every
     model (seed + fold) and scores its validation rows.  Independent
     (fold, model) fits are submitted from ``parallelism`` threads so Spark
@@ -143,7 +139,7 @@ def out_of_fold(prep: Prepared, models: Sequence[str] = ("rf", "xgb"), profile:
 
     def run(task):
         m, tr, va, s = task
-        return (_fit_and_score(m, tr, None, va, prep.features, s, profile, balance)
+        return (_fit_and_score(m, tr, None, va, prep.features, s, profile, balance, method)
                 .withColumn("model", F.lit(m)).withColumnRenamed(m, "score"))
 
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
@@ -159,8 +155,8 @@ def out_of_fold(prep: Prepared, models: Sequence[str] = ("rf", "xgb"), profile:
     return OOFResult(scores, list(models))
 
 
-def refit_and_score_holdout(prep: Prepared, models: Sequence[str], profile: str = "tiny", seed: int = 42,
-                            balance: float = 0.0) -> DataFrame:
+def refit_and_score_holdout(prep: Prepared, models: Sequence[str], profile: str = "fast", seed: int = 42,
+                            balance: float = 0.0, method: str = "smote") -> DataFrame:
     """MOD11: refit each model on the internal-fit rows with the internal
     validation rows for early stopping, then score the holdout."""
     ib = SP.internal_eval_bounds(prep.holdout.train_end, gap=prep.gap)
@@ -170,7 +166,7 @@ def refit_and_score_holdout(prep: Prepared, models: Sequence[str], profile: str
     out = hold.select("TransactionID", "isFraud", "UID", "TransactionAmt", "card4", "pos",
                       *[c for c in ("Card_Prior_Txn_Count", "is_new_client") if c in prep.frame.columns])
     for m in models:
-        s = _fit_and_score(m, fit_rows, val_rows, hold, prep.features, seed + 999, profile, balance)
+        s = _fit_and_score(m, fit_rows, val_rows, hold, prep.features, seed + 999, profile, balance, method)
         out = out.join(s, "TransactionID", "left")
     return out
 
@@ -183,18 +179,28 @@ class StackResult:
     holdout: DataFrame
 
 
-def stack(oof: OOFResult, holdout_scores: DataFrame) -> StackResult:
-    """STK1-STK4 on the covered OOF rows, applied to the holdout."""
+def stack(oof: OOFResult, holdout_scores: DataFrame, gated: bool = True) -> StackResult:
+    """STK1-STK4 on the covered OOF rows, applied to the holdout; without
+    ``gated`` every model keeps weight 1 (the comparison stack)."""
     covered = SP.oof_coverage(oof.scores, oof.models)
     weights = MD.gate_weights(covered, oof.models)
-    gated = MD.apply_gates(covered, weights, oof.models)
-    meta = MD.fit_meta_learner(gated, oof.models)
+    if not gated:
+        weights = weights.withColumn("gate_weight", F.lit(1.0))
+    weights = cut_lineage(weights)
+    train = MD.apply_gates(covered, weights, oof.models)
+    meta = MD.fit_meta_learner(train, oof.models)
     hold = MD.apply_gates(holdout_scores, weights, oof.models).withColumn("fraud_score", meta.proba())
-    return StackResult(gated.withColumn("meta_score", meta.proba()), weights, meta, hold)
+    return StackResult(train.withColumn("meta_score", meta.proba()), weights, meta, hold)
+
+
+def smoothed_oof(stacked: StackResult, prep: Prepared) -> DataFrame:
+    """OOF rows with their meta score averaged per UID (STK6), as decisions use it."""
+    ids = prep.frame.select("TransactionID", "UID")
+    return SM.uid_average_predictions(stacked.oof.join(ids, "TransactionID"), "meta_score", "UID")
 
 
 def decide(stacked: StackResult) -> DataFrame:
-    """Threshold from OOF (EVL4), UID smoothing (STK6), routing (RTE1-4)."""
+    """UID smoothing (STK6) and routing (RTE1-4)."""
     smoothed = SM.uid_average_predictions(stacked.holdout, "fraud_score", "UID")
     return RT.route_transactions(smoothed, "fraud_score", amount="TransactionAmt",
                                  prior_count="Card_Prior_Txn_Count" if "Card_Prior_Txn_Count" in smoothed.columns
@@ -202,8 +208,9 @@ def decide(stacked: StackResult) -> DataFrame:
                                  new_client="is_new_client" if "is_new_client" in smoothed.columns else None)
 
 
-def oof_threshold(stacked: StackResult) -> DataFrame:
-    return EV.optimal_f1_threshold(EV.threshold_curve(stacked.oof, "meta_score"))
+def oof_threshold(oof: DataFrame, score: str = "meta_score") -> float:
+    """EVL4 on out-of-fold scores."""
+    return float(EV.optimal_f1_threshold(EV.threshold_curve(oof, score)).first()["threshold"])
 
 
 # --- the whole experiment ----------------------------------------------------------------------
@@ -211,32 +218,56 @@ def oof_threshold(stacked: StackResult) -> DataFrame:
 SUMMARY_METRICS = ["roc_auc", "pr_auc", "brier", "ece_10bin", "best_f1", "best_f1_precision", "best_f1_recall"]
 
 
+def variant_report(variants: dict[str, tuple[DataFrame, float]]) -> DataFrame:
+    """Precision, recall, F1 and confusion counts of each (scored holdout, threshold)."""
+    out = None
+    for name, (df, threshold) in variants.items():
+        rep = EV.classification_report(df, threshold=threshold).filter("label = '1'").select(
+            F.lit(name).alias("variant"), F.lit(threshold).alias("threshold"), "precision", "recall", "f1", "support")
+        out = rep if out is None else out.unionByName(rep)
+    return out
+
+
+def drift_tables(prep: Prepared, oof: DataFrame, holdout: DataFrame) -> dict[str, DataFrame]:
+    """DRF1-DRF3 between training slice and holdout, for features and the score."""
+    train = prep.frame.filter(F.col("pos") < prep.holdout.train_end)
+    hold = prep.frame.filter(F.col("pos") >= prep.holdout.test_start)
+    return {"feature_psi": DR.feature_psi(train, hold, prep.features),
+            "score_psi": DR.score_psi(oof.select(F.col("meta_score").alias("fraud_score")), holdout, "fraud_score"),
+            "wasserstein": DR.wasserstein_drift(train, hold, prep.features)}
+
+
 def run_experiment(spark: SparkSession, sf_dir: str, out_dir: str, seeds: Sequence[int] = (42,),
-                   models: Sequence[str] = ("rf", "xgb"), profile: str = "tiny", balance: float = 0.0,
-                   gap: int | None = None) -> dict[str, DataFrame]:
+                   models: Sequence[str] = ("rf", "xgb"), profile: str = "fast", balance: float = 0.0,
+                   gap: int = SP.GAP_SIZE, balance_method: str = "smote") -> dict[str, DataFrame]:
     """Lifecycle A: features once (shared by all seeds), then per seed OOF ->
-    gate/stack/calibrate -> refit + holdout scores -> OOF threshold -> UID
-    smoothing -> routing -> metrics, fairness, explanations -> artifacts under
-    ``out_dir/seed_<n>``; finally the multi-seed summary (mean, std, 95% CI)."""
+    gate/stack/calibrate (and an ungated stack to compare) -> refit + holdout
+    scores -> threshold from UID-smoothed OOF scores -> routing -> metrics,
+    McNemar, ablation, drift, fairness, explanations -> artifacts under
+    ``out_dir/seed_<n>``; finally the multi-seed summary."""
     from txnwatch.operators import explain as XP
     from txnwatch.operators import fairness as FA
-    from txnwatch.operators.stats import summarize_runs
     from txnwatch.sources import sinks as SK
 
     prep = prepare(spark, sf_dir, gap=gap)
     seed_rows = []
     for seed in seeds:
-        oof = out_of_fold(prep, models, profile, seed, balance=balance)
-        hold = refit_and_score_holdout(prep, models, profile, seed, balance)
-        st = stack(oof, hold)
-        thr = oof_threshold(st).first()["threshold"]
-        decided = decide(st).withColumn("oof_threshold", F.lit(float(thr)))
-        decided = cut_lineage(decided)
+        oof = out_of_fold(prep, models, profile, seed, balance=balance, method=balance_method)
+        hold = cut_lineage(refit_and_score_holdout(prep, models, profile, seed, balance, balance_method))
+        st, plain = stack(oof, hold), stack(oof, hold, gated=False)
+        smoothed = cut_lineage(smoothed_oof(st, prep))
+        thr, raw_thr, plain_thr = oof_threshold(smoothed), oof_threshold(st.oof), oof_threshold(plain.oof)
+        decided = cut_lineage(decide(st).withColumn("oof_threshold", F.lit(thr)))
         seed_dir = f"{out_dir.rstrip('/')}/seed_{seed}"
         SK.save_holdout_predictions(decided, seed_dir, "experiment")
         metrics = EV.seed_metric_row(decided).withColumn("seed", F.lit(seed))
-        bg = XP.background_slice(st.oof.withColumnRenamed("pos", "_p"), ("_p",))
+        both = st.holdout.select("TransactionID", "isFraud", F.col("fraud_score").alias("gated")).join(
+            plain.holdout.select("TransactionID", F.col("fraud_score").alias("ungated")), "TransactionID")
+        bg = smoothed
         stats = XP.background_stats(bg, list(models))
+        explained = XP.explain_rows(decided, stats, st.meta.base)
+        harness = XP.harness_metrics(explained, stats, st.meta.base).join(
+            XP.lime_fidelity(explained, stats, st.meta.base), "TransactionID")
         SK.save_tables({
             "seed_metrics": metrics,
             "decision_mix": RT.decision_summary(decided),
@@ -245,15 +276,19 @@ def run_experiment(spark: SparkSession, sf_dir: str, out_dir: str, seeds: Sequen
             "calibration_bins": EV.calibration_table(decided),
             "score_deciles": EV.score_deciles(decided),
             "fairness": FA.full_report(decided),
+            "variants": variant_report({"gated": (st.holdout, raw_thr), "ungated": (plain.holdout, plain_thr), "smoothed": (decided, thr)}),
+            "mcnemar_gated_ungated": ST.mcnemar_test(both, "isFraud", F.col("gated") >= raw_thr, F.col("ungated") >= plain_thr),
+            "ablation": MD.leave_one_out_ablation(st.oof, list(models)),
+            **drift_tables(prep, st.oof, decided),
             "meta_shap_global": XP.linear_contribution_table(decided, bg, st.meta.base),
-            "harness": XP.harness_rollup(XP.harness_metrics(XP.explain_rows(decided, stats, st.meta.base), stats,
-                                                            st.meta.base)),
+            "meta_shap_top_risk_local": XP.top_risk_local_table(decided, bg, st.meta.base, "fraud_score"),
+            "harness": XP.harness_rollup(harness),
         }, seed_dir)
         seed_rows.append(metrics)
     allm = seed_rows[0]
     for r in seed_rows[1:]:
         allm = allm.unionByName(r)
-    summary = SK.save_metrics_summary(allm, f"{out_dir.rstrip('/')}/metrics_summary.json", SUMMARY_METRICS)
+    summary = SK.save_metrics_summary(allm, f"{out_dir.rstrip('/')}/metrics_summary.json", SUMMARY_METRICS, ("seed",))
     return {"seed_metrics": allm, "summary": summary}
 
 
@@ -267,10 +302,13 @@ def main(argv: Sequence[str] | None = None) -> None:
     ap.add_argument("--seeds", default="42")
     ap.add_argument("--models", default="rf,xgb")
     ap.add_argument("--profile", default="fast", choices=sorted(MD.PROFILES))
+    ap.add_argument("--gap", type=int, default=SP.GAP_SIZE)
+    ap.add_argument("--balance", type=float, default=0.0)
+    ap.add_argument("--balance-method", default="smote", choices=BA.METHODS)
     args = ap.parse_args(argv)
     spark = get_spark()
     out = run_experiment(spark, args.sf_dir, args.out, [int(s) for s in args.seeds.split(",")],
-                         args.models.split(","), args.profile)
+                         args.models.split(","), args.profile, args.balance, args.gap, args.balance_method)
     out["summary"].show(truncate=False)
 
 

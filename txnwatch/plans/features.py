@@ -11,14 +11,10 @@ from txnwatch.operators.scan import DEFAULT_ROWS_PER_BUCKET, plan_time_chunks
 def behavioural_frame(df: DataFrame, chunk_rows: int | None = DEFAULT_ROWS_PER_BUCKET) -> DataFrame:
     """time features -> UID -> UID expanding stats -> cross -> new client -> velocity.
 
-    Entity windows are split into time chunks of about ``chunk_rows`` rows
-    when the input is larger than that (hot-entity safe; the cut points cost
-    one quantile pass); small inputs, judged by the optimizer's estimate, use
-    plain per-entity windows at no planning cost.
+    Entity windows are split into order ranges of about ``chunk_rows`` rows,
+    planned once for both entities from the counted rows (hot-entity safe).
     """
-    chunk_col = None
-    if chunk_rows:
-        df, chunk_col = plan_time_chunks(df, "TransactionDT", rows_per_chunk=chunk_rows)
+    df, chunk_col = plan_time_chunks(df, rows_per_chunk=chunk_rows)
     out = FE.extract_time_features(df)
     out = FE.build_uid(out)
     out = FE.uid_aggregations(out, chunk_col=chunk_col)

@@ -37,9 +37,9 @@ def get_spark(master: str | None = None, app: str = "txnwatch",
 def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the cluster.
 
-    The cluster's ``spark.checkpoint.dir`` wins.  Only when it is unset (unit
-    tests, a laptop session) do we create a scratch folder, so a cluster job
-    never writes to a machine-local temp folder.
+    The cluster's ``spark.checkpoint.dir`` wins.  Only a local session (unit
+    tests, a laptop) that has none gets a scratch folder; on a cluster that is
+    an error, as executors share no temp folder.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -47,6 +47,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="txnwatch-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured

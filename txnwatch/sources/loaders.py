@@ -61,22 +61,24 @@ def canonicalize_paysim(raw: DataFrame, order_col: str = "TransactionID", preser
     return out.select(*keep)
 
 
-def load_ieee(spark: SparkSession, data_dir: str, transaction_schema: T.StructType | str | None = None,
-              identity_schema: T.StructType | str | None = None) -> DataFrame:
-    """SRC2: transactions LEFT JOIN identity on TransactionID; label NULL -> 0.
+def nan_to_null(df: DataFrame) -> DataFrame:
+    """Missing floating values as NULL, so that averages and windows skip them."""
+    floating = [c for c, t in df.dtypes if t in ("double", "float")]
+    return df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in floating}) if floating else df
 
-    Without schemas the CSVs are type-inferred (an extra pass over each file);
-    pass explicit schemas at scale to read them in a single pass."""
+
+def load_ieee(spark: SparkSession, data_dir: str, transaction_schema: T.StructType | str,
+              identity_schema: T.StructType | str) -> DataFrame:
+    """SRC2: transactions LEFT JOIN identity on TransactionID; label NULL -> 0;
+    NaN -> NULL.  The schemas, in column order of the files, are required, so
+    each file is read in a single pass."""
     paths = [f"{data_dir.rstrip('/')}/{f}" for f in IEEE_FILES]
     missing = [p for p in paths if not fs.exists(spark, p)]
     if missing:
         raise FileNotFoundError(f"IEEE files not found: {missing}")
-    def read(path, schema):
-        r = spark.read.option("header", True)
-        return r.schema(schema).csv(path) if schema is not None else r.option("inferSchema", True).csv(path)
-    trans = read(paths[0], transaction_schema)
-    ident = read(paths[1], identity_schema)
-    df = trans.join(ident, "TransactionID", "left")  # JN1
+    trans, ident = (spark.read.option("header", True).schema(s).csv(p)
+                    for p, s in zip(paths, (transaction_schema, identity_schema)))
+    df = nan_to_null(trans.join(ident, "TransactionID", "left"))  # JN1
     return df.withColumn("isFraud", F.coalesce(F.col("isFraud").cast("int"), F.lit(0)))
 
 
@@ -130,9 +132,10 @@ def resolve_paysim_path(spark: SparkSession, data_dir: str) -> str:
 def discover_by_schema(spark: SparkSession, data_dir: str, required: Sequence[str] = PAYSIM_REQUIRED) -> DataFrame:
     """SRC5 at scale: one distributed pass reads the first line of every CSV
     under ``data_dir`` and keeps the files whose header has all ``required``."""
-    lines = (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv")
-             .text(data_dir).select("value", F.col("_metadata.file_path").alias("path")))
-    first = lines.groupBy("path").agg(F.first("value").alias("header"))
+    lines = (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").text(data_dir)
+             .filter("_metadata.file_block_start = 0")  # the split that holds the header
+             .select("value", F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("row")))
+    first = lines.groupBy("path").agg(F.min_by("value", "row").alias("header"))
     cols = F.split(F.regexp_replace(F.col("header"), '"', ""), ",")
     ok = F.lit(True)
     for c in required:
@@ -183,7 +186,7 @@ def load_dataset(spark: SparkSession, data_dir: str, dataset: str, **kwargs) ->
     """SRC1: dispatch on the dataset name."""
     name = dataset.strip().lower()
     if name == "ieee":
-        return load_ieee(spark, data_dir)
+        return load_ieee(spark, data_dir, **kwargs)
     if name == "paysim":
         return load_paysim(spark, data_dir, **kwargs)
     raise ValueError(f"Unknown dataset: {dataset!r} (expected 'ieee' or 'paysim')")
@@ -195,15 +198,22 @@ load_and_merge = load_dataset  # legacy alias
 # --- SRC7: feature cache ------------------------------------------------------------
 
 def _fingerprint(spark: SparkSession, paths: Sequence[str], tag: str, params: dict) -> dict:
-    files = [fs.file_info(spark, p) for p in paths]
-    return {"files": files, "pipeline": tag, "params": params}
+    """What a cached table depends on: of each input path, how many files it has and a
+    digest of every file's path, size and modification time (listed by Spark)."""
+    files = {}
+    for p in paths:
+        listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(p).select("path", "length", "modificationTime")
+        r = listed.agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("bytes"),
+                       F.sum(F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)")).alias("digest")).first()
+        files[p] = {"files": r["n"], "bytes": r["bytes"], "digest": str(r["digest"])}
+    return {"inputs": files, "pipeline": tag, "params": params}
 
 
 def cached_features(spark: SparkSession, cache_dir: str, inputs: Sequence[str], tag: str, params: dict,
                     build) -> DataFrame:
     """SRC7: reuse the parquet feature table under ``cache_dir`` when its
-    metadata equals the current fingerprint exactly (input paths, sizes,
-    modification times, pipeline tag, parameters); otherwise rebuild it."""
+    metadata equals the current fingerprint exactly (every input file's path,
+    size and modification time, pipeline tag, parameters); otherwise rebuild it."""
     meta_path = f"{cache_dir.rstrip('/')}/metadata.json"
     data_path = f"{cache_dir.rstrip('/')}/features.parquet"
     want = json.loads(json.dumps(_fingerprint(spark, inputs, tag, params), sort_keys=True))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,21 +18,20 @@ def save_holdout_predictions(df: DataFrame, out_dir: str, dataset: str) -> str:
     return path
 
 
-def json_safe(value):
-    """Non-finite floats -> None (for JSON summaries)."""
-    if isinstance(value, float) and not math.isfinite(value):
-        return None
-    if isinstance(value, dict):
-        return {k: json_safe(v) for k, v in value.items()}
-    if isinstance(value, (list, tuple)):
-        return [json_safe(v) for v in value]
-    return value
+def _finite(column, dtype: str):
+    return F.when(~F.isnan(column) & (F.abs(column) != float("inf")), F.col(column)) if dtype in ("double", "float") else F.col(column)
 
 
-def save_metrics_summary(seed_metrics: DataFrame, out_path: str, metric_cols: list[str]) -> DataFrame:
-    """SNK2: per-seed rows plus mean/std (ddof=1) summary when there are 2+ seeds."""
-    summary = summarize_runs(seed_metrics, metric_cols)
-    summary.coalesce(1).write.mode("overwrite").json(out_path)
+def save_metrics_summary(seed_metrics: DataFrame, out_path: str, metric_cols: list[str], id_cols: tuple[str, ...] = ()) -> DataFrame:
+    """SNK2: one JSON document with ``n_seeds``, the per-seed rows and, per metric,
+    mean and std (ddof=1); values that aren't finite are null.  One row per seed is
+    gathered, not data."""
+    rows = seed_metrics.select(*id_cols, *[F.col(c).cast("double").alias(c) for c in metric_cols])
+    rows = rows.select(*[_finite(c, t).alias(c) for c, t in rows.dtypes])
+    summary = summarize_runs(rows, metric_cols)
+    per_seed = rows.agg(F.count(F.lit(1)).alias("n_seeds"), F.sort_array(F.collect_list(F.struct(*rows.columns))).alias("seeds"))
+    per_metric = summary.agg(F.sort_array(F.collect_list(F.struct("metric", "mean", "std"))).alias("summary"))
+    per_seed.crossJoin(F.broadcast(per_metric)).coalesce(1).write.mode("overwrite").option("ignoreNullFields", False).json(out_path)
     return summary
 
 
@@ -57,8 +54,3 @@ def read_seed_predictions(spark: SparkSession, root: str, name: str = "*_holdout
     path = F.col("_metadata.file_path")
     seed = F.regexp_extract(path, SEED_PATTERN, 1)
     return df.withColumn("seed", F.when(seed == "", F.lit(-1)).otherwise(seed.cast("int")))
-
-
-def parse_seed_column(path_col) -> F.Column:
-    seed = F.regexp_extract(path_col, SEED_PATTERN, 1)
-    return F.when(seed == "", F.lit(-1)).otherwise(seed.cast("int"))

@@ -5,7 +5,8 @@ the last (time, id) seen) with ``applyInPandasWithState``; each micro-batch's
 rows of a card are processed in (time, id) order.  A row older than the
 card's last processed row is *late*: it is emitted with ``late = 1``,
 computed against the current state, and does not change the state.  With
-in-order input the output equals the batch operators WIN1/2/6/7/8.
+in-order input the output equals the batch operators WIN1/2/6/7/8.  Rows
+without a card are no entity: they pass by the state, as in the batch.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from txnwatch.functions.columns import seconds_since
+from txnwatch.sources import fs
 from txnwatch.sources.fixtures import TXN_EPOCH
 
 RING = 30
@@ -133,8 +135,13 @@ def stream_card_features(stream: DataFrame) -> DataFrame:
     """STR1 over a streaming frame with card1, TransactionID, TransactionDT, TransactionAmt."""
     src = stream.select(F.col("card1").cast("long").alias("card1"), F.col("TransactionID").cast("long"),
                         F.col("TransactionDT").cast("long"), F.col("TransactionAmt").cast("double"))
-    return src.groupBy("card1").applyInPandasWithState(
+    known = src.filter(F.col("card1").isNotNull()).groupBy("card1").applyInPandasWithState(
         _card_state_fn, OUTPUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
+    own = set(src.columns)
+    fixed = {**{f"Card_Amt_Std_{lab}": 0.0 for _, lab in WINDOWS}, "late": 0}
+    missing = src.filter(F.col("card1").isNull()).select(
+        *[(F.col(f.name) if f.name in own else F.lit(fixed.get(f.name))).cast(f.dataType).alias(f.name) for f in OUTPUT_SCHEMA.fields])
+    return known.unionByName(missing)
 
 
 # --- sources -------------------------------------------------------------------------------
@@ -146,15 +153,23 @@ EVENTS_SCHEMA = T.StructType([
 ])
 
 
-def events_stream(spark: SparkSession, sf_dir: str, max_files_per_trigger: int = 1) -> DataFrame:
-    """``events`` as a file stream (one micro-batch per file)."""
-    return (spark.readStream.schema(EVENTS_SCHEMA).option("pathGlobFilter", "events.parquet")
-            .option("maxFilesPerTrigger", max_files_per_trigger).parquet(sf_dir))
+def events_stream(spark: SparkSession, sf_dir: str, max_files_per_trigger: int | None = None) -> DataFrame:
+    """``events`` (a file or a folder of files) as a file stream.
 
+    A micro-batch holds all files that are there, or ``max_files_per_trigger``
+    of them; rows are put in order within a micro-batch only."""
+    reader = spark.readStream.schema(EVENTS_SCHEMA)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    path = f"{sf_dir.rstrip('/')}/events.parquet"
+    if fs.is_dir(spark, path):
+        return reader.parquet(path)
+    return reader.option("pathGlobFilter", "events.parquet").parquet(sf_dir)  # a stream reads folders
 
-def txn_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+
+def txn_stream(spark: SparkSession, sf_dir: str, max_files_per_trigger: int | None = None) -> DataFrame:
     """The canonical transaction columns derived per micro-batch (stateless)."""
-    ev = events_stream(spark, sf_dir)
+    ev = events_stream(spark, sf_dir, max_files_per_trigger)
     k = F.get_json_object("props", "$.k").cast("int")
     value = F.col("value")
     return ev.select(

@@ -21,25 +21,30 @@ from txnwatch.streaming.adwin import Adwin
 # --- runner --------------------------------------------------------------------------------
 
 
-def run_to_table(stream: DataFrame, name: str, output_mode: str = "append", timeout_s: int = 600
-                 ) -> tuple[DataFrame, list[dict]]:
+PROGRESS_KEPT = 1_000_000
+
+
+def run_to_table(stream: DataFrame, name: str, output_mode: str = "append") -> tuple[DataFrame, list[dict]]:
     """Drain ``stream`` (``availableNow``) into a parquet folder under the
     shared checkpoint directory; return the written rows and the progress
-    reports of the query."""
+    reports of the query.  Waits until the stream has ended; a failure raises.
+
+    In update mode each micro-batch's changed rows are kept with its ``epoch``:
+    a row's last version is the one of the greatest epoch."""
     spark = stream.sparkSession
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", PROGRESS_KEPT)  # a small report per micro-batch
     base = f"{checkpoint_dir(spark).rstrip('/')}/streams/{name}-{uuid.uuid4().hex[:8]}"
     out, ckpt = f"{base}/out", f"{base}/_checkpoint"
     if output_mode == "append":
         q = (stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", ckpt)
              .outputMode("append").trigger(availableNow=True).start())
     else:
-        def sink(batch_df, _epoch):
-            batch_df.write.mode("overwrite").parquet(out)
+        def sink(batch_df, epoch):
+            batch_df.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")  # a repeated batch replaces itself
         q = (stream.writeStream.foreachBatch(sink).option("checkpointLocation", ckpt)
              .outputMode(output_mode).trigger(availableNow=True).start())
-    q.awaitTermination(timeout_s)
+    q.awaitTermination()
     progress = [p for p in q.recentProgress]
-    q.stop()
     return spark.read.parquet(out), progress
 
 
@@ -89,7 +94,8 @@ def stream_routing(stream: DataFrame, amount_p95: float, score: str = "fraud_sco
 def stream_window_bins(stream: DataFrame, breakpoints: list[float], score: str = "fraud_score",
                        event_time: str = "event_time", window: str = "1 day", watermark: str = "1 hour") -> DataFrame:
     """Per tumbling event-time window, counts per reference bin (values
-    outside the reference range dropped; last bin closed)."""
+    outside the reference range dropped; last bin closed).  For update mode:
+    a window's counts may change until it is ``watermark`` old, then its state goes."""
     nb = len(breakpoints) - 1
     x = F.col(score)
     b = F.lit(0)
@@ -102,6 +108,11 @@ def stream_window_bins(stream: DataFrame, breakpoints: list[float], score: str =
             .select(F.col("w.start").alias("window_start"), "bin", "n"))
 
 
+def latest_bins(updates: DataFrame) -> DataFrame:
+    """The last version of each (window, bin) of an update-mode table."""
+    return updates.groupBy("window_start", "bin").agg(F.max_by("n", "epoch").alias("n"))
+
+
 def window_psi(bins: DataFrame, reference_counts: DataFrame) -> DataFrame:
     """PSI of each window's bin counts against reference bin counts
     (``bin, ref_n``), +1 smoothing over all reference bins."""
