@@ -186,17 +186,16 @@ q("rte3", f"""SELECT TransactionID,
 q("rte4", f"""SELECT TransactionID,
    CASE WHEN UID_txn_count < 2 AND {BASE_DECISION} = 'ALLOW' AND fraud_score >= 0.2 THEN 'HITL_REVIEW'
         ELSE {BASE_DECISION} END AS decision FROM uidagg""", UIDAGG)
-q("rte5", f"""SELECT decision, CAST(count(*) AS BIGINT) AS n,
-       {R('count(*) / sum(count(*)) OVER ()')} AS rate
-   FROM (
-     SELECT CASE WHEN v.Card_Prior_Txn_Count < 3 AND dec0 = 'ALLOW' AND v.fraud_score >= 0.2 THEN 'HITL_REVIEW'
+_ROUTED = f"""SELECT TransactionID, CASE WHEN v.Card_Prior_Txn_Count < 3 AND dec0 = 'ALLOW' AND v.fraud_score >= 0.2 THEN 'HITL_REVIEW'
                  WHEN u.UID_txn_count < 2 AND dec0 = 'ALLOW' AND v.fraud_score >= 0.2 THEN 'HITL_REVIEW'
                  ELSE dec0 END AS decision
      FROM (SELECT v.*, CASE WHEN TransactionAmt > (SELECT quantile_cont(TransactionAmt, 0.95) FROM txn)
                               AND fraud_score >= 0.35 AND {BASE_DECISION} = 'ALLOW' THEN 'HITL_REVIEW'
                          ELSE {BASE_DECISION} END AS dec0 FROM velo v) v
-     JOIN uidagg u USING (TransactionID)
-   ) GROUP BY decision""", VELO + "," + UIDAGG)
+     JOIN uidagg u USING (TransactionID)"""
+q("rte5", f"""SELECT decision, CAST(count(*) AS BIGINT) AS n, {R('count(*) / sum(count(*)) OVER ()')} AS rate
+   FROM ({_ROUTED}) GROUP BY decision""", VELO + "," + UIDAGG)
+q("str3", _ROUTED, VELO + "," + UIDAGG)
 q("agg5", f"""SELECT decision, CAST(count(*) AS BIGINT) AS n, {R('count(*) / sum(count(*)) OVER ()')} AS rate
    FROM (SELECT {BASE_DECISION} AS decision FROM txn) GROUP BY decision""")
 
@@ -354,8 +353,8 @@ pts AS (SELECT day, fraud_score AS s, sum(isFraud) AS pos, count(*) - sum(isFrau
 cum AS (SELECT *, sum(pos) OVER (PARTITION BY day ORDER BY s DESC) AS tp,
                sum(neg) OVER (PARTITION BY day ORDER BY s DESC) AS fp,
                sum(pos) OVER (PARTITION BY day) AS P, sum(neg) OVER (PARTITION BY day) AS N FROM pts),
-dm AS (SELECT day, sum(neg * (2 * tp - pos)) / (2.0 * max(P) * max(N)) AS roc_auc,
-              sum(pos * tp / (tp + fp)) / max(P) AS pr_auc FROM cum GROUP BY day),
+dm AS (SELECT day, sum(neg * (2 * tp - pos)) / nullif(2.0 * max(P) * max(N), 0) AS roc_auc,
+              sum(pos * tp / (tp + fp)) / nullif(max(P), 0) AS pr_auc FROM cum GROUP BY day),
 db AS (SELECT day, avg((fraud_score - isFraud) ^ 2) AS brier, count(*) AS nday FROM dd GROUP BY day),
 de AS (SELECT day, sum(n / nday * abs(conf - acc)) AS ece_10bin FROM (
          SELECT day, b, count(*) AS n, avg(fraud_score) AS conf, avg(isFraud) AS acc
@@ -653,7 +652,6 @@ FROM s, hb WHERE {out_where}"""
 ORACLES["win12"] = "WITH " + TXN + "," + POS + "," + _seq_sql("TRUE", "TRUE")
 ORACLES["win13"] = "WITH " + TXN + "," + POS + "," + _seq_sql("pos < train_end OR pos >= test_start",
                                                               "pos >= test_start")
-ORACLES["str3"] = ORACLES["rte2"]
 
 
 # ============================ sources / sinks ===========================================
@@ -755,3 +753,71 @@ q("prj13", """SELECT TransactionID, 'fraud_only' AS predicate FROM velo WHERE is
   UNION ALL SELECT TransactionID, 'cold_start' FROM velo WHERE Card_Prior_Txn_Count < 3
   UNION ALL SELECT TransactionID, 'finite_scores' FROM velo WHERE fraud_score IS NOT NULL AND NOT isnan(fraud_score)
             AND score_b IS NOT NULL AND NOT isnan(score_b)""", VELO)
+
+
+# ============================ explanations of a fixed linear model ==========================
+_W = {"fraud_score": "3.0::DOUBLE", "score_b": "1.5::DOUBLE"}
+_Z0 = "(-1.25::DOUBLE + 3.0::DOUBLE * fraud_score + 1.5::DOUBLE * score_b)"
+META = """
+hold AS (SELECT p.* FROM pos p, hb WHERE pos >= test_start),
+bgm AS (SELECT avg(fraud_score) AS m_fraud_score, avg(score_b) AS m_score_b,
+               quantile_cont(fraud_score, 0.5) AS med1, quantile_cont(score_b, 0.5) AS med2,
+               stddev_pop(fraud_score) + 1e-6 AS sc1, stddev_pop(score_b) + 1e-6 AS sc2
+        FROM pos, hb WHERE pos < train_end),
+ml AS (""" + " UNION ALL ".join(
+    f"SELECT TransactionID, day_of_week, fraud_score AS s, '{f}' AS meta_feature, {f} AS x, m_{f} AS bg, {w} AS w, ({f} - m_{f}) * {w} AS c "
+    f"FROM (SELECT h.*, CAST((TransactionDT // 86400) % 7 AS INTEGER) AS day_of_week FROM hold h), bgm" for f, w in _W.items()) + """),
+steps AS (
+  SELECT *, CASE WHEN a1 > a2 THEN 1 ELSE 2 END AS top FROM (
+    SELECT h.*, b.*, abs((fraud_score - med1) / sc1 * 3.0) AS a1, abs((score_b - med2) / sc2 * 1.5) AS a2,
+           3.0::DOUBLE * (med1 - fraud_score) AS dl1, 1.5::DOUBLE * (med2 - score_b) AS dl2, """ + _Z0 + """ AS z0
+    FROM hold h, bgm b)),
+cf AS (SELECT *, 1 / (1 + exp(-(z0 + CASE WHEN top = 1 THEN dl1 ELSE dl2 END))) AS s1, 1 / (1 + exp(-(z0 + dl1 + dl2))) AS s2 FROM steps)"""
+_MTAB = f"""meta_feature, {R('avg(x)')} AS holdout_mean_score, {R('avg(c)')} AS mean_signed_contribution,
+  {R('avg(abs(c))')} AS mean_abs_contribution, {R('coalesce(stddev_samp(c), 0)')} AS std_contribution,
+  {R('avg(CASE WHEN c > 0 THEN 1e0 ELSE 0e0 END)')} AS positive_contribution_rate, max(w) AS coefficient, {R('max(bg)')} AS background_mean_score"""
+q("xai1", f"SELECT {_MTAB} FROM ml GROUP BY meta_feature", POS + "," + META)
+ORACLES["snk3"] = ORACLES["xai1"]
+q("xai2", f"""SELECT TransactionID, meta_feature, {R('x')} AS base_model_score, {R('bg')} AS background_mean_score, w AS coefficient,
+    {R('c')} AS local_contribution, {R('abs(c)')} AS abs_local_contribution
+  FROM ml WHERE TransactionID = (SELECT TransactionID FROM hold ORDER BY fraud_score DESC, TransactionID LIMIT 1)""", POS + "," + META)
+q("agg8", f"""SELECT meta_feature, {R('avg(ma)')} AS mean_abs_contribution_mean, {R('stddev_samp(ma)')} AS mean_abs_contribution_std,
+    {R('avg(ms)')} AS mean_signed_contribution_mean, avg(w) AS coefficient_mean, {R('avg(hm)')} AS holdout_mean, {R('avg(bg)')} AS background_mean
+  FROM (SELECT meta_feature, day_of_week, avg(abs(c)) AS ma, avg(c) AS ms, max(w) AS w, avg(x) AS hm, max(bg) AS bg FROM ml GROUP BY 1, 2)
+  GROUP BY meta_feature""", POS + "," + META)
+q("xai5", f"""SELECT TransactionID, 0 AS step, CASE WHEN top = 1 THEN 'fraud_score' ELSE 'score_b' END AS feature,
+    {R('CASE WHEN top = 1 THEN fraud_score ELSE score_b END')} AS original_value, {R('CASE WHEN top = 1 THEN med1 ELSE med2 END')} AS suggested_value,
+    {R('s1')} AS new_score, s1 < 0.5 AS flipped FROM cf
+  UNION ALL SELECT TransactionID, 1, CASE WHEN top = 1 THEN 'score_b' ELSE 'fraud_score' END,
+    {R('CASE WHEN top = 1 THEN score_b ELSE fraud_score END')}, {R('CASE WHEN top = 1 THEN med2 ELSE med1 END')}, {R('s2')}, s2 < 0.5
+  FROM cf WHERE NOT s1 < 0.5""", POS + "," + META)
+q("xai9", f"SELECT TransactionID, {R('1 / (1 + exp(-z0)) - s2')} AS frd_proxy FROM cf", POS + "," + META)
+q("xai11", f"""SELECT TransactionID, {R('CASE WHEN s1 < 0.5 THEN 1 WHEN s2 < 0.5 THEN 0.5 ELSE 0 END')} AS dice_validity_rate,
+    {R('greatest(1 / (1 + exp(-z0)), 1 - 1 / (1 + exp(-z0)))')} AS anchor_precision_m, 1e0 AS nl_completeness FROM cf""", POS + "," + META)
+
+
+# ============================ streams, resampling, discovery ================================
+_EXP = f"{WCARD_ORD} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+q("str1", f"""SELECT CAST(card1 AS BIGINT) AS card1, TransactionID, TransactionDT, {R('TransactionAmt')} AS TransactionAmt, Card_Tx_Count, Card_Prior_Txn_Count,
+    {R(f'avg(TransactionAmt) OVER ({_EXP})')} AS card_amt_mean, {R(f'coalesce(stddev_samp(TransactionAmt) OVER ({_EXP}), 0)')} AS card_amt_std,
+    {', '.join(f"{R(f'Card_{k}_{w}')} AS Card_{k}_{w}" for k in ('Velocity', 'Amt_Std') for w in ('7d', '14d', '30d'))},
+    {R('Card_Spending_Velocity')} AS Card_Spending_Velocity, 0 AS late FROM velo""", VELO)
+q("str4", f"""SELECT window_day, {R('sum((a - e) * ln(a / e))')} AS psi FROM (
+    SELECT window_day, (n + 1) / (sum(n) OVER w + nb) AS a, (ref_n + 1) / (sum(ref_n) OVER w + nb) AS e FROM g WINDOW w AS (PARTITION BY window_day))
+  GROUP BY window_day""", POS + f""",
+bp AS (SELECT list_sort(list_distinct(quantile_cont(fraud_score, {PSI_PROBS}))) AS bp FROM pos, hb WHERE pos < train_end),
+binned AS (SELECT p.pos, strftime(to_timestamp(1704067200 + TransactionDT) AT TIME ZONE 'UTC', '%Y-%m-%d') AS window_day, len(bp) - 1 AS nb,
+                  len(list_filter(bp[2:len(bp) - 1], lambda x: x <= fraud_score)) AS bin
+           FROM pos p, bp WHERE fraud_score >= bp[1] AND fraud_score <= bp[len(bp)]),
+ref AS (SELECT bin, count(*) AS ref_n FROM binned, hb WHERE pos < train_end GROUP BY bin),
+obs AS (SELECT window_day, bin, count(*) AS n FROM binned GROUP BY 1, 2),
+g AS (SELECT d.window_day, b.bin, b.nb, coalesce(o.n, 0) AS n, coalesce(r.ref_n, 0) AS ref_n
+      FROM (SELECT DISTINCT window_day FROM obs) d CROSS JOIN (SELECT unnest(range(0, len(bp) - 1)) AS bin, len(bp) - 1 AS nb FROM bp) b
+      LEFT JOIN obs o ON o.window_day = d.window_day AND o.bin = b.bin LEFT JOIN ref r ON r.bin = b.bin)""")
+q("bal1", """SELECT TransactionID, isFraud FROM pos, hb WHERE pos < train_end
+  UNION ALL SELECT m.TransactionID, m.isFraud
+  FROM (SELECT CAST('0x' || substr(md5(i || ':42'), 1, 15) AS BIGINT) % np AS k
+        FROM (SELECT count(*) FILTER (WHERE isFraud = 1) AS np, count(*) FILTER (WHERE isFraud <> 1) AS nn FROM pos, hb WHERE pos < train_end),
+             LATERAL (SELECT unnest(range(0, greatest(0, CAST(floor(0.10::DOUBLE * nn) AS BIGINT) - np))) AS i)) d
+  JOIN (SELECT TransactionID, isFraud, row_number() OVER (ORDER BY TransactionID) - 1 AS k FROM pos, hb WHERE pos < train_end AND isFraud = 1) m USING (k)""", POS)
+q("src5", "SELECT * FROM (VALUES ('deeper/log', true), ('decoy', false)) v(folder, matches)")

@@ -54,8 +54,8 @@ def random_oversample(df: DataFrame, label: str = "isFraud", ratio: float = OVER
         return df
     minority = add_global_position(df.filter(F.col(label) == 1), order_cols=(id_col,), pos_col="_mpos",
                                    n_rows=n_min)
-    draws = df.sparkSession.range(m).select(
-        F.pmod(F.xxhash64(F.col("id"), F.lit(seed)), F.lit(n_min)).alias("_mpos"))
+    h = F.substring(F.md5(F.concat_ws(":", F.col("id").cast("string"), F.lit(str(seed)))), 1, 15)
+    draws = df.sparkSession.range(m).select((F.conv(h, 16, 10).cast("long") % n_min).alias("_mpos"))
     extra = draws.join(minority, "_mpos").drop("_mpos")
     return df.unionByName(extra.select(*df.columns))
 

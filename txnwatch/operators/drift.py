@@ -31,6 +31,15 @@ def long_form(df: DataFrame, features: Sequence[str], fill: float | None = MODEL
     return long.withColumn("value", F.coalesce(F.col("value"), F.lit(fill)))
 
 
+def side_counts(expected: DataFrame, actual: DataFrame, features: Sequence[str], fill: float | None) -> DataFrame:
+    """``(feature, value, e, a)``: how often each side has a value; both are
+    unpivoted once, and what the statistics need is written from here."""
+    both = long_form(expected, features, fill).withColumn("side", F.lit(0)).unionByName(
+        long_form(actual, features, fill).withColumn("side", F.lit(1)))
+    return cut_lineage(both.groupBy("feature", "value").agg(F.count_if(F.col("side") == 0).alias("e"),
+                                                            F.count_if(F.col("side") == 1).alias("a")))
+
+
 def psi_tier(psi) -> F.Column:
     return (F.when(psi >= PSI_SIGNIFICANT, F.lit("significant"))
             .when(psi >= PSI_MODERATE, F.lit("moderate")).otherwise(F.lit("stable")))
@@ -47,25 +56,22 @@ def feature_psi(expected: DataFrame, actual: DataFrame, features: Sequence[str],
     """DRF1: PSI per feature with breakpoints = distinct linear percentiles of
     the expected side; values outside the expected range are dropped; +1
     smoothing; fewer than three breakpoints -> PSI 0.  Sorted descending."""
-    exp_long = long_form(expected, features, fill)
-    act_long = long_form(actual, features, fill)
+    vc = side_counts(expected, actual, features, fill)
     probs = [i / n_bins for i in range(n_bins + 1)]
-    q = exact_quantiles(exp_long, "value", probs, keys=["feature"])
+    q = exact_quantiles(vc, "value", probs, keys=["feature"], count_col="e")
     # at most n_bins + 1 breakpoints per feature: compute once, reuse as a small table
     bp_rows = q.groupBy("feature").agg(F.array_sort(F.array_distinct(F.collect_list("value"))).alias("bp")).collect()
     spark = expected.sparkSession
     bps = spark.createDataFrame([(r["feature"], [float(v) for v in r["bp"]]) for r in bp_rows],
                                 "feature string, bp array<double>")
     nb = F.size("bp") - 1
-    both = (exp_long.withColumn("side", F.lit("e")).unionByName(act_long.withColumn("side", F.lit("a"))))
-    j = both.join(F.broadcast(bps), "feature")  # one row per feature (bounded by the feature list)
+    j = vc.join(F.broadcast(bps), "feature")  # one row per feature (bounded by the feature list)
     x = F.col("value")
     inner = F.slice(F.col("bp"), 2, F.greatest(nb - 1, F.lit(1)))
     b = F.when(nb <= 1, F.lit(0)).otherwise(F.size(F.filter(inner, lambda e: e <= x)))
     inside = (x >= F.element_at("bp", 1)) & (x <= F.element_at("bp", -1))
     counts = (j.filter(inside).withColumn("bin", b.cast("int"))
-              .groupBy("feature", "bin").agg(F.count_if(F.col("side") == "e").alias("ec"),
-                                             F.count_if(F.col("side") == "a").alias("ac")))
+              .groupBy("feature", "bin").agg(F.sum("e").alias("ec"), F.sum("a").alias("ac")))
     grid = bps.select("feature", nb.alias("nb"), F.explode(F.sequence(F.lit(0), nb - 1)).alias("bin"))
     g = grid.join(counts, ["feature", "bin"], "left").fillna(0, ["ec", "ac"])
     tot = g.groupBy("feature").agg(F.sum("ec").alias("E"), F.sum("ac").alias("A"), F.first("nb").alias("nb"))
@@ -96,10 +102,7 @@ def wasserstein_drift(reference: DataFrame, observed: DataFrame, features: Seque
     ``sum_j v_j (|D_j - d_j| - |D_j|)`` so every distinct value needs only its
     own running sum (no look-ahead across tasks).
     """
-    ref = long_form(reference, features, fill).withColumn("side", F.lit(0))
-    obs = long_form(observed, features, fill).withColumn("side", F.lit(1))
-    vc = cut_lineage(ref.unionByName(obs).groupBy("feature", "value")
-                     .agg(F.count_if(F.col("side") == 0).alias("ca"), F.count_if(F.col("side") == 1).alias("cb")))
+    vc = side_counts(reference, observed, features, fill).select("feature", "value", F.col("e").alias("ca"), F.col("a").alias("cb"))
     n = vc.groupBy("feature").agg(F.sum("ca").alias("na"), F.sum("cb").alias("nb")).filter(
         (F.col("na") > 0) & (F.col("nb") > 0))
     chunk = None

@@ -289,42 +289,36 @@ def time_range_velocity(df: DataFrame, card: str = "card1", amount: str = "Trans
     without a range join and without one task per hot card.
     """
     base = df.select(card, id_col, time_col, amount)
-    data = base.select(card, F.col(time_col).alias("_t"), F.lit(1).alias("_kind"), F.col(id_col).alias("_id"),
-                       F.lit(-1).alias("_probe"), F.lit(1).alias("_c"), F.col(amount).cast("double").alias("_a"),
-                       F.when(F.col(amount).isNotNull(), F.lit(1)).otherwise(F.lit(0)).alias("_ca"))
-    probes = [base.select(card, F.col(time_col).alias("_t"), F.lit(2).alias("_kind"), F.col(id_col).alias("_id"),
-                          F.lit(len(ranges)).alias("_probe"))]
-    for i, (s, _) in enumerate(ranges):
-        probes.append(base.select(card, (F.col(time_col) - s).alias("_t"), F.lit(0).alias("_kind"),
-                                  F.col(id_col).alias("_id"), F.lit(i).alias("_probe")))
-    allp = probes[0]
-    for p in probes[1:]:
-        allp = allp.unionByName(p)
-    allp = allp.select("*", F.lit(0).alias("_c"), F.lit(None).cast("double").alias("_a"), F.lit(0).alias("_ca"))
-    events = data.unionByName(allp)
+    t, known = F.col(time_col), F.col(amount).isNotNull()
+    # exact running sums: a difference of long double sums would lose digits
+    value = F.coalesce(F.col(amount).cast("decimal(28,8)"), F.lit(0).cast("decimal(28,8)"))
+    nothing = F.lit(0).cast("decimal(28,8)")
+
+    def event(at, kind: int, probe: int, c=F.lit(0), a=nothing, ca=F.lit(0)):
+        return F.struct(at.alias("_t"), F.lit(kind).alias("_kind"), F.lit(probe).alias("_probe"), c.alias("_c"), a.alias("_a"), ca.alias("_ca"))
+    upper = len(ranges)
+    rows = [event(t, 1, -1, F.lit(1), value, known.cast("int")), event(t, 2, upper)]
+    rows += [event(t - s, 0, i) for i, (s, _) in enumerate(ranges)]
+    events = base.select(card, F.col(id_col).alias("_id"), F.explode(F.array(*rows)).alias("_e")).select(card, "_id", "_e.*")
     chunk = None
+    n_rows = base.count() * (upper + 2)
     if n_chunks is None:
-        n_chunks = n_ranges(base.count() * (len(ranges) + 2))
+        n_chunks = n_ranges(n_rows)
     if n_chunks > 1:
-        events = with_value_chunks(events, [card], "_t", "_tchunk", n_chunks)
+        events = with_value_chunks(events, [card], "_t", "_tchunk", n_chunks, n_rows)
         chunk = "_tchunk"
     cum = keyed_prefix_sums(events, [card], ["_t", "_kind", "_id", "_probe"],
-                            {"c": F.col("_c"), "a": F.coalesce(F.col("_a"), F.lit(0.0)), "ca": F.col("_ca")}, chunk)
-    pr = cum.filter(F.col("_kind") != 1).select("_id", "_probe", "c__cum", "a__cum", "ca__cum")
-    upper = pr.filter(F.col("_probe") == len(ranges)).select(
-        "_id", F.col("c__cum").alias("_uc"), F.col("a__cum").alias("_ua"), F.col("ca__cum").alias("_uca"))
-    lower = pr.filter(F.col("_probe") < len(ranges)).groupBy("_id").pivot("_probe", list(range(len(ranges)))).agg(
-        F.first("c__cum").alias("c"), F.first("a__cum").alias("a"), F.first("ca__cum").alias("ca"))
-    j = upper.join(lower, "_id")
+                            {"c": F.col("_c"), "a": F.col("_a"), "ca": F.col("_ca")}, chunk)
+    at = lambda probe, name: F.max(F.when(F.col("_probe") == probe, F.col(f"{name}__cum")))
+    wide = cum.filter(F.col("_kind") != 1).groupBy("_id").agg(
+        *[at(i, n).alias(f"{n}_{i}") for i in range(upper + 1) for n in ("c", "a", "ca")])
     out = {}
     for i, (_, lab) in enumerate(ranges):
-        cnt = F.col("_uc") - F.col(f"{i}_c")
-        sm = F.col("_ua") - F.col(f"{i}_a")
-        n_amt = F.col("_uca") - F.col(f"{i}_ca")
+        cnt, total, n_amt = (F.col(f"{n}_{upper}") - F.col(f"{n}_{i}") for n in ("c", "a", "ca"))
         out[f"txn_count_{lab}"] = cnt.cast("long")
-        out[f"amt_sum_{lab}"] = sm
-        out[f"amt_mean_{lab}"] = F.when(n_amt > 0, sm / n_amt)
-    feats = j.select(F.col("_id").alias(id_col), *[c.alias(n) for n, c in out.items()])
+        out[f"amt_sum_{lab}"] = total.cast("double")
+        out[f"amt_mean_{lab}"] = F.when(n_amt > 0, total.cast("double") / n_amt)
+    feats = wide.select(F.col("_id").alias(id_col), *[c.alias(n) for n, c in out.items()])
     return df.join(feats, id_col, "left")
 
 

@@ -335,20 +335,25 @@ def keyed_prefix_sums(df: DataFrame, keys, order_cols: Sequence[str], sums: dict
 
 
 def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float], keys=None,
-                    n_chunks: int | None = None) -> DataFrame:
+                    n_chunks: int | None = None, count_col: str | None = None) -> DataFrame:
     """Exact linear-interpolation quantiles (NumPy ``linear`` / SQL
     ``quantile_cont``) without gathering a group's values in one buffer.
 
     Values are counted per (key, value), ranked by a chunked prefix sum, and
     only the rows holding the ``floor``/``ceil`` ranks of each requested
-    probability survive: ``keys..., q_index, q, value``.
+    probability survive: ``keys..., q_index, q, value``.  With ``count_col``
+    the rows are counted values already (one per key and value).
     """
     keys = _as_list(keys)
     x = F.col(value_col).cast("double")
-    vc = (df.filter(x.isNotNull() & ~F.isnan(x)).groupBy(*keys, x.alias("_v"))
-          .agg(F.count(F.lit(1)).alias("_c")))
+    real = df.filter(x.isNotNull() & ~F.isnan(x))
+    if count_col is None:
+        vc = real.groupBy(*keys, x.alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    else:
+        vc = real.filter(F.col(count_col) > 0).select(*keys, x.alias("_v"), F.col(count_col).alias("_c"))
     if n_chunks is None:
-        vc = cut_lineage(vc)  # the distinct values are counted, ranged and scanned from here
+        # the distinct values are counted, ranged and scanned from here
+        vc = vc if count_col else cut_lineage(vc)
         n_chunks = auto_chunks(vc)
     chunk = None
     if n_chunks > 1:

@@ -832,10 +832,14 @@ def q_xai7(spark, sf):
     return ex.select("TransactionID", "narrative")
 
 
+#: A fixed linear meta-model for the explanation queries (fitting is stk3's matter).
+META_FEATURES = ["fraud_score", "score_b"]
+META_MODEL = MD.LinearModel(META_FEATURES, [3.0, 1.5], -1.25)
+
+
 def _meta_explained(spark, sf):
     df, bg, hb = _xai_base(spark, sf)
-    feats = ["fraud_score", "score_b"]
-    model = MD.fit_logistic(df.filter(F.col("pos") < hb.train_end), feats, C=MD.META_C)
+    feats, model = META_FEATURES, META_MODEL
     stats = XP.background_stats(bg, feats)
     hold = df.filter(F.col("pos") >= hb.test_start)
     return XP.explain_rows(hold, stats, model), stats, model, hold, bg
@@ -844,20 +848,20 @@ def _meta_explained(spark, sf):
 @register("xai1")
 def q_xai1(spark, sf):
     _, _, model, hold, bg = _meta_explained(spark, sf)
-    return XP.linear_contribution_table(hold, bg, model)
+    return _round_all(XP.linear_contribution_table(hold, bg, model))
 
 
 @register("xai2")
 def q_xai2(spark, sf):
     _, _, model, hold, bg = _meta_explained(spark, sf)
-    return XP.top_risk_local_table(hold, bg, model, "fraud_score")
+    return _round_all(XP.top_risk_local_table(hold, bg, model, "fraud_score"))
 
 
 @register("xai5")
 def q_xai5(spark, sf):
     ex, *_ = _meta_explained(spark, sf)
-    return ex.select("TransactionID", F.posexplode("counterfactuals").alias("step", "c")).select(
-        "TransactionID", "step", "c.*")
+    return _round_all(ex.select("TransactionID", F.posexplode("counterfactuals").alias("step", "c")).select(
+        "TransactionID", "step", "c.*"))
 
 
 @register("xai8")
@@ -869,7 +873,7 @@ def q_xai8(spark, sf):
 @register("xai9")
 def q_xai9(spark, sf):
     ex, stats, model, *_ = _meta_explained(spark, sf)
-    return XP.harness_metrics(ex, stats, model).select("TransactionID", "frd_proxy")
+    return _round_all(XP.harness_metrics(ex, stats, model).select("TransactionID", "frd_proxy"))
 
 
 @register("xai10")
@@ -881,8 +885,8 @@ def q_xai10(spark, sf):
 @register("xai11")
 def q_xai11(spark, sf):
     ex, stats, model, *_ = _meta_explained(spark, sf)
-    return XP.harness_metrics(ex, stats, model).select("TransactionID", "dice_validity_rate", "anchor_precision_m",
-                                                       "nl_completeness")
+    return _round_all(XP.harness_metrics(ex, stats, model).select("TransactionID", "dice_validity_rate",
+                                                                  "anchor_precision_m", "nl_completeness"))
 
 
 @register("xai12")
@@ -896,16 +900,15 @@ def q_xai12(spark, sf):
 def q_agg8(spark, sf):
     """Meta-contribution summary over runs (one run per day-of-week slice)."""
     df, bg, hb = _xai_base(spark, sf)
-    feats = ["fraud_score", "score_b"]
-    model = MD.fit_logistic(df.filter(F.col("pos") < hb.train_end), feats, C=MD.META_C)
+    model = META_MODEL
     hold = FE.extract_time_features(df.filter(F.col("pos") >= hb.test_start))
     runs = [XP.linear_contribution_table(hold.filter(F.col("day_of_week") == d), bg, model)
             .withColumn("run", F.lit(d)) for d in range(7)]
     allr = runs[0]
     for r in runs[1:]:
         allr = allr.unionByName(r)
-    return ST.summarize_contributions(allr.withColumnRenamed("background_mean_score", "background_mean")
-                                      .withColumnRenamed("holdout_mean_score", "holdout_mean"))
+    return _round_all(ST.summarize_contributions(allr.withColumnRenamed("background_mean_score", "background_mean")
+                                                 .withColumnRenamed("holdout_mean_score", "holdout_mean")))
 
 
 # --- sequence views -----------------------------------------------------------------------------------
@@ -950,11 +953,11 @@ from txnwatch.streaming import jobs as SJ  # noqa: E402
 @register("str1")
 def q_str1(spark, sf):
     out, _ = SJ.run_to_table(SF.stream_card_features(SF.txn_stream(spark, sf)), "str1")
-    return out
+    return _round_all(out)
 
 
 #: Change detection: cards are dealt to this many detectors; at the given second, or position, the score moves up.
-ADWIN_KEYS, SHIFT_AT, SHIFT = 32, 15 * 86400, 0.5
+ADWIN_KEYS, SHIFT_AT, SHIFT = 16, 15 * 86400, 0.5
 
 
 def _detector():
@@ -973,7 +976,8 @@ def q_str2(spark, sf):
 @register("str3")
 def q_str3(spark, sf):
     p95 = exact_quantile_row(_base(spark, sf), "TransactionAmt", [0.95], ["p"]).first()["p"]
-    out, _ = SJ.run_to_table(SJ.stream_routing(SF.txn_stream(spark, sf), p95), "str3")
+    history = SJ.stream_history(SF.txn_stream(spark, sf))
+    out, _ = SJ.run_to_table(SJ.stream_routing(history, p95, prior_count="Card_Prior_Txn_Count", new_client="is_new_client"), "str3")
     return out.select("TransactionID", "decision")
 
 
@@ -996,7 +1000,8 @@ def q_str4(spark, sf):
     windows = SJ.stream_window_bins(SF.txn_stream(spark, sf), bps, watermark="60 days")
     updates, _ = SJ.run_to_table(windows, "str4", output_mode="update")
     bins = SJ.latest_bins(updates)
-    return _round_all(SJ.window_psi(bins.withColumn("bin", F.col("bin").cast("int")), ref_counts))
+    psi = SJ.window_psi(bins.withColumn("bin", F.col("bin").cast("int")), ref_counts)
+    return _round_all(psi.select(F.date_format("window_start", "yyyy-MM-dd").alias("window_day"), "psi"))
 
 
 @register("drf4")
@@ -1139,7 +1144,7 @@ def q_snk3(spark, sf):
     _, _, model, hold, bg = _meta_explained(spark, sf)
     SK.save_tables({"meta_shap_global": XP.linear_contribution_table(hold, bg, model),
                     "meta_shap_top_risk_local": XP.top_risk_local_table(hold, bg, model, "fraud_score")}, root)
-    return spark.read.option("header", True).option("inferSchema", True).csv(f"{root}/meta_shap_global")
+    return _round_all(spark.read.option("header", True).option("inferSchema", True).csv(f"{root}/meta_shap_global"))
 
 
 @register("snk6")

@@ -175,6 +175,9 @@ def txn_stream(spark: SparkSession, sf_dir: str, max_files_per_trigger: int | No
     return ev.select(
         F.col("event_id").alias("TransactionID"), seconds_since("ts", TXN_EPOCH).cast("long").alias("TransactionDT"),
         value.alias("TransactionAmt"), F.col("user_id").alias("card1"), F.col("event_type").alias("card4"),
+        F.when(F.pmod("user_id", F.lit(7)) != 0, F.pmod("user_id", F.lit(7))).cast("int").alias("addr1"),
+        F.when(F.pmod(k, F.lit(10)) != 0, F.floor(seconds_since("ts", TXN_EPOCH).cast("long") / F.lit(86400.0)).cast("double")
+               - F.pmod("user_id", F.lit(5))).cast("double").alias("D1"),
         F.col("ts").cast("timestamp").alias("event_time"),
         F.when((F.col("event_type") == "error") & (value > 75), F.lit(1)).otherwise(F.lit(0)).alias("isFraud"),
         F.round(F.lit(0.6) * F.when(F.col("event_type") == "error", F.least(value / F.lit(150.0), F.lit(1.0)))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from txnwatch.operators import features as FE
 from txnwatch.operators import route as RT
 from txnwatch.session import checkpoint_dir
 from txnwatch.streaming.adwin import Adwin
@@ -77,16 +78,49 @@ def stream_adwin(stream: DataFrame, key: str, position: str, value: str) -> Data
 
 # --- STR3: score + route ------------------------------------------------------------------------------
 
-def stream_routing(stream: DataFrame, amount_p95: float, score: str = "fraud_score",
-                   amount: str = "TransactionAmt") -> DataFrame:
-    """Stateless routing of a scored stream.  The amount percentile is a
-    snapshot from a reference table (a literal), not recomputed per batch."""
+HISTORY_STATE = T.StructType([T.StructField("n", T.LongType()), T.StructField("uids", T.ArrayType(T.LongType()))])
+HISTORY_OUT = T.StructType([T.StructField("TransactionID", T.LongType()), T.StructField("TransactionAmt", T.DoubleType()),
+                            T.StructField("fraud_score", T.DoubleType()), T.StructField("Card_Prior_Txn_Count", T.LongType()),
+                            T.StructField("is_new_client", T.IntegerType())])
+
+
+def _history_fn(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+    pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(["TransactionDT", "TransactionID"])
+    n, seen = state.get if state.exists else (0, [])
+    known = pdf["uid"].isin(set(seen)) | pdf["uid"].duplicated()
+    state.update((int(n + len(pdf)), [*seen, *(int(u) for u in pdf["uid"][~known])]))
+    out = pdf[["TransactionID", "TransactionAmt", "fraud_score"]].copy()
+    # a missing card is no entity: it has no prior count
+    out["Card_Prior_Txn_Count"] = pd.array([pd.NA if pd.isna(key[0]) else n + i for i in range(len(pdf))], dtype="Int64")
+    out["is_new_client"] = (~known).astype("int32")
+    yield out
+
+
+def stream_history(stream: DataFrame) -> DataFrame:
+    """Per card, how many transactions came before and whether the client (UID)
+    is new; the state is a count and the hashes of the card's clients.  In
+    time order within a micro-batch, as rows arrive between them."""
+    src = FE.build_uid(stream).select("card1", F.xxhash64("UID").alias("uid"), "TransactionDT", "TransactionID",
+                                      F.col("TransactionAmt").cast("double"), F.col("fraud_score").cast("double"))
+    return src.groupBy("card1").applyInPandasWithState(_history_fn, HISTORY_OUT, HISTORY_STATE, "append",
+                                                       GroupStateTimeout.NoTimeout)
+
+
+def stream_routing(stream: DataFrame, amount_p95: float, score: str = "fraud_score", amount: str = "TransactionAmt",
+                   prior_count: str | None = None, new_client: str | None = None) -> DataFrame:
+    """Routing of a scored stream; with the columns of :func:`stream_history`
+    also by cold start and new client.  The amount percentile is a snapshot
+    from a reference table (a literal), not recomputed per batch."""
     s = F.col(score)
     decision = (F.when(s >= RT.AUTO_BLOCK_THRESHOLD, F.lit(RT.AUTO_BLOCK))
                 .when(s >= RT.REVIEW_THRESHOLD, F.lit(RT.HITL_REVIEW)).otherwise(F.lit(RT.ALLOW)))
-    decision = F.when((F.col(amount) > F.lit(amount_p95)) & (s >= RT.REVIEW_THRESHOLD) & (decision == RT.ALLOW),
-                      F.lit(RT.HITL_REVIEW)).otherwise(decision)
-    return stream.withColumn("decision", decision)
+    promote = (F.col(amount) > F.lit(amount_p95)) & (s >= RT.REVIEW_THRESHOLD)
+    soft = s >= RT.SOFT_REVIEW_THRESHOLD
+    if prior_count is not None:
+        promote = promote | ((F.col(prior_count) < RT.COLD_START_LIMIT) & soft)
+    if new_client is not None:
+        promote = promote | ((F.col(new_client) == 1) & soft)
+    return stream.withColumn("decision", F.when((decision == RT.ALLOW) & promote, F.lit(RT.HITL_REVIEW)).otherwise(decision))
 
 
 # --- STR4: PSI per event-time window ----------------------------------------------------------------
