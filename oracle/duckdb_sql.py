@@ -378,7 +378,7 @@ cum AS (SELECT *, CAST(sum(pos) OVER (ORDER BY threshold DESC) AS BIGINT) AS tp,
                sum(pos) OVER () AS P, sum(neg) OVER () AS N FROM pts),
 pr AS (SELECT *, tp / (tp + fp) AS precision, tp / P AS recall FROM cum)"""
 q("evl0", f"SELECT {R('threshold')} AS threshold, pos, neg, tp, fp FROM cum", CURVE)
-q("evl1", f"SELECT {R('sum(neg * (2 * tp - pos)) / (2.0 * max(P) * max(N))')} AS roc_auc FROM cum", CURVE)
+q("evl1", f"SELECT {R('sum(neg * (2 * tp - pos)) / nullif(2.0 * max(P) * max(N), 0)')} AS roc_auc FROM cum", CURVE)
 q("evl2", f"SELECT {R('sum(pos * tp / (tp + fp)) / max(P)')} AS pr_auc FROM cum", CURVE)
 q("evl4", f"""SELECT {R('threshold')} AS threshold, {R('f1')} AS f1, {R('precision')} AS precision,
     {R('recall')} AS recall FROM (SELECT *, 2 * precision * recall / (precision + recall + 1e-9) AS f1 FROM pr)
@@ -451,7 +451,7 @@ q("evl11", f"""SELECT n_holdout, fraud_n, {R('fraud_rate')} AS fraud_rate, {R('r
     (SELECT count(*) FROM txn WHERE fraud_score < bt AND isFraud = 1) AS fn_at_best_f1
   FROM (SELECT count(*) AS n_holdout, CAST(sum(isFraud) AS BIGINT) AS fraud_n, avg(isFraud) AS fraud_rate,
                avg((fraud_score - isFraud) ^ 2) AS brier FROM txn),
-       (SELECT sum(neg * (2 * tp - pos)) / (2.0 * max(P) * max(N)) AS roc_auc, sum(pos * tp / (tp + fp)) / max(P) AS pr_auc
+       (SELECT sum(neg * (2 * tp - pos)) / nullif(2.0 * max(P) * max(N), 0) AS roc_auc, sum(pos * tp / (tp + fp)) / max(P) AS pr_auc
         FROM cum),
        (SELECT sum(n / total * abs(conf - acc)) AS ece_10bin FROM (
           SELECT b, count(*) AS n, avg(fraud_score) AS conf, avg(isFraud) AS acc, any_value(total) AS total
@@ -579,7 +579,7 @@ q("mod7", f"""SELECT {R('avg((0.75 * y + 0.25 * (1 - y)) * pow(1 - exp(-bce), 2)
 
 
 def _auc_of(col: str) -> str:
-    return f"""(SELECT sum(neg * (2 * tp - pos)) / (2.0 * max(P) * max(N)) FROM (
+    return f"""(SELECT sum(neg * (2 * tp - pos)) / nullif(2.0 * max(P) * max(N), 0) FROM (
       SELECT *, sum(pos) OVER (ORDER BY s DESC) AS tp, sum(pos) OVER () AS P, sum(neg) OVER () AS N FROM (
         SELECT {col} AS s, sum(isFraud) AS pos, count(*) - sum(isFraud) AS neg FROM txn GROUP BY {col})))"""
 
@@ -714,7 +714,7 @@ lng AS (SELECT block, isFraud, 'fraud_score' AS model, fraud_score AS s FROM dd2
 pts2 AS (SELECT model, block, s, sum(isFraud) AS pos, count(*) - sum(isFraud) AS neg FROM lng GROUP BY 1, 2, 3),
 cum2 AS (SELECT *, sum(pos) OVER (PARTITION BY model, block ORDER BY s DESC) AS tp,
                 sum(pos) OVER (PARTITION BY model, block) AS P, sum(neg) OVER (PARTITION BY model, block) AS N FROM pts2),
-auc2 AS (SELECT model, block, sum(neg * (2 * tp - pos)) / (2.0 * max(P) * max(N)) AS roc_auc FROM cum2 GROUP BY 1, 2),
+auc2 AS (SELECT model, block, sum(neg * (2 * tp - pos)) / nullif(2.0 * max(P) * max(N), 0) AS roc_auc FROM cum2 GROUP BY 1, 2),
 rec AS (SELECT model, avg(roc_auc) AS recent_mean_auc, CAST(count(*) AS BIGINT) AS n_blocks FROM auc2
         WHERE block > (SELECT max(block) FROM dd2) - 7 GROUP BY model)"""
 q("doc6", f"""SELECT model, {R('recent_mean_auc')} AS recent_mean_auc, n_blocks,
