@@ -18,10 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from txnwatch.llm import text as T
+
 #: Bytes up to which a word is merged by scans.
 SHORT = 128
+#: Tokens after which a task hands on what it has.
+FLUSH = 500_000
 #: Words that a task remembers before it starts afresh.
-CACHE = 1_000_000
+CACHE = 250_000
 #: Fixed value: how byte-level BPE splits a text before merging.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 NEVER = 1 << 60
@@ -46,7 +50,7 @@ class ByteBPE:
         raw = lambda s: b"".join(byte_of[c] for c in s)
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.ids = {raw(k): v for k, v in spec["model"]["vocab"].items() if k not in self.special}
-        pairs = (m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"])
+        pairs = (m if isinstance(m, list) else m.split(" ") for m in spec["model"].pop("merges"))
         pairs = [(raw(a), raw(b)) for a, b in pairs]
         self.letters = [self.ids.get(bytes([b]), -2) for b in range(256)]
         self.rank_of = {self.ids[a] << 32 | self.ids[b]: n for n, (a, b) in enumerate(pairs)}
@@ -138,14 +142,12 @@ def _vocabulary(spark, path: str):
     return hashlib.sha256(spec.encode()).hexdigest(), spark.sparkContext.broadcast(spec)
 
 
-_built: dict[str, ByteBPE] = {}
-
-
 def _tokenizer(digest: str, spec) -> ByteBPE:
     """A worker's tokenizer for a broadcast vocabulary, built once and kept with its words."""
-    if digest not in _built:
-        _built[digest] = ByteBPE(json.loads(spec.value))
-    return _built[digest]
+    built = T.worker_cache()
+    if digest not in built:
+        built[digest] = ByteBPE(json.loads(spec.value))
+    return built[digest]
 
 
 def encode_decode(docs: DataFrame, vocabulary: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), ids: bool = True) -> DataFrame:
@@ -164,19 +166,24 @@ def encode_decode(docs: DataFrame, vocabulary: str, text_col: str = "text", keep
     def run(batches):
         bpe = _tokenizer(digest, spec)
         for batch in batches:
-            n, rows, codes = [], [], []
-            for x in batch.column(len(keep)):
-                text = x.as_py() or ""
-                joined = bpe.encode(text)
-                found = parse_ids(joined)
-                back = bpe.decode(found)
-                n.append(len(found))
-                codes.append(found if ids else None)
-                rows.append((hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest(), back == text))
-            digests = list(zip(*rows, strict=True)) or [(), (), ()]
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(np.concatenate(codes) if codes else [], pa.int32())) if ids else pa.nulls(len(n), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(i) for i in range(len(keep))), pa.array(n, pa.int64()), lists, pa.array(digests[0], pa.string()), pa.array(digests[1], pa.string()), pa.array(digests[2], pa.bool_())],
-                names=[*keep, "n_tokens", "token_ids", "ids_sha256", "decoded_sha256", "round_trip"])
+            at = 0
+            while at < batch.num_rows:
+                first, n, codes, rows = at, [], [], []
+                while at < batch.num_rows and sum(n) < FLUSH:
+                    text = batch.column(len(keep))[at].as_py() or ""
+                    joined = bpe.encode(text)
+                    found = parse_ids(joined)
+                    back = bpe.decode(found)
+                    n.append(len(found))
+                    codes.append(found.astype(np.int32) if ids else None)
+                    rows.append((hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest(), back == text))
+                    at += 1
+                digests = list(zip(*rows, strict=True))
+                lists = T.list_column(codes, pa.int32()) if ids else pa.nulls(len(n), pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(i).slice(first, at - first) for i in range(len(keep))), pa.array(n, pa.int64()), lists,
+                     pa.array(digests[0], pa.string()), pa.array(digests[1], pa.string()), pa.array(digests[2], pa.bool_())],
+                    names=[*keep, "n_tokens", "token_ids", "ids_sha256", "decoded_sha256", "round_trip"])
+        bpe.known = {}  # the words go with the task; the tables stay with the worker
 
     return df.mapInArrow(run, ddl)

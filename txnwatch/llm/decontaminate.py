@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -254,7 +255,7 @@ def _pass(df: DataFrame, phrases, last: bool, clean: bool) -> DataFrame:
             texts = batch.column(batch.schema.get_field_index("text"))
             old_spans, old_items = (batch.column(batch.schema.get_field_index(c)) for c in ("spans", "items"))
             spans, items = [np.zeros(0, np.int64)] * n, [set() for _ in range(n)]
-            words, hits, cleaned = np.zeros(n, np.int64), np.zeros(n, np.int64), texts.to_pylist() if last and clean else None
+            words, hits, cleaned = np.zeros(n, np.int64), np.zeros(n, np.int64), {}
             shard, held, found = [], 0, {}
             for at, data, offs in T.slices(texts):
                 starts, ends, first = T.word_bounds(data, offs, T.WORD_BYTES)
@@ -272,19 +273,28 @@ def _pass(df: DataFrame, phrases, last: bool, clean: bool) -> DataFrame:
                 spans[i] = both.ravel()
                 items[i] = {*(old_items[i].as_py() or []), *(y for x in found.get(i, []) for y in p.items[x[2]])}
                 hits[i] = int((both[:, 1] - both[:, 0]).sum())
-                if last and clean:
-                    cleaned[i] = cut_words(cleaned[i], both)
+                if last and clean and len(both):
+                    cleaned[i] = cut_words(texts[i].as_py(), both)
             cols = {f.name: batch.column(batch.schema.get_field_index(f.name)) for f in own if f.name != "text"}
             if not last:
                 cols["text"] = texts
             cols |= {"spans": T.list_column(spans, pa.int32()), "items": pa.array([sorted(x) for x in items], pa.list_(pa.string()))}
             if last:
-                cols |= {"n_words": pa.array(words), "n_hit": pa.array(hits), "clean": pa.array(cleaned, pa.string()) if clean else pa.nulls(n, pa.string())}
+                cols |= {"n_words": pa.array(words), "n_hit": pa.array(hits), "clean": _replaced(texts, cleaned) if clean else pa.nulls(n, pa.string())}
             yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
 
     return df.mapInArrow(run, ddl)
 
 
+def _replaced(column: pa.Array, new: dict[int, str]) -> pa.Array:
+    """``column`` with the values at some rows replaced."""
+    if not new:
+        return column
+    mask = np.zeros(len(column), bool)
+    mask[list(new)] = True
+    return pc.replace_with_mask(column, pa.array(mask), pa.array([new[i] for i in sorted(new)], column.type))
+
+
 def cut_words(text: str, spans: np.ndarray) -> str:
     """``text`` without the words of disjoint sorted spans, and without what stands between them."""
     raw = text.encode()

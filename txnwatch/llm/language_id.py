@@ -21,13 +21,13 @@ from txnwatch.llm import text as T
 #: N-grams of a profile.
 TOP = 300
 UNKNOWN = "und"
-_letters: list[np.ndarray] = []
 
 
 def _is_letter() -> np.ndarray:
-    if not _letters:
-        _letters.append(np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000))
-    return _letters[0]
+    known = T.worker_cache()
+    if "letters" not in known:
+        known["letters"] = np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
+    return known["letters"]
 
 
 def _grams(column: pa.Array):
@@ -104,7 +104,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Prof
                     part = _counted(grams[own == k])
                     held.setdefault(names[int(np.flatnonzero(lang == k)[0])], []).append(part)
                     size += len(part[0])
-                if size > 2_000_000:
+                if size > 500_000:
                     yield out()
                     held, size = {}, 0
         if size:

@@ -7,15 +7,22 @@ longer than ``SLICE_BYTES`` is a slice of its own.
 
 from __future__ import annotations
 
+import sys
+import types
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that the kernels handle at once; bounds their scratch memory.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 M1, M2, M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0x5851F42D4C957F2D
-_powers: list = [np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
+
+
+def worker_cache() -> dict:
+    """A dict that lives as long as the Python worker, however often this code is shipped to it."""
+    return sys.modules.setdefault("txnwatch_worker_cache", types.ModuleType("txnwatch_worker_cache")).__dict__
 
 
 def _lowered() -> np.ndarray:
@@ -45,13 +52,15 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64, at least ``n`` of each."""
-    if len(_powers[0]) < n:
-        n = max(n, 2 * SLICE_BYTES)
-        for k, b in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            x = np.full(n, b, np.uint64)
+    known = worker_cache().get("powers")
+    if known is None or len(known[0]) < n:
+        known = []
+        for b in (_BASE, pow(_BASE, -1, 1 << 64)):
+            x = np.full(max(n, 2 * SLICE_BYTES), b, np.uint64)
             x[0] = 1
-            _powers[k] = np.multiply.accumulate(x)
-    return _powers[0][:n], _powers[1][:n]
+            known.append(np.multiply.accumulate(x))
+        worker_cache()["powers"] = known
+    return known[0][:n], known[1][:n]
 
 
 def slices(column: pa.Array, limit: int | None = None):
