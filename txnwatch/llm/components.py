@@ -7,12 +7,27 @@ the checkpoint folder, which cuts the lineage.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import gc
+import math
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from txnwatch.session import cut_lineage
 
 
+#: Edges of a task: a round is dealt to as many tasks as its edges ask for.
+EDGES_PER_TASK = 100_000
+
+
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of plans that nothing refers to any more:
+    its cleaner acts when the driver collects garbage, which a driver with
+    little to do may put off for long."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def _both(edges: DataFrame) -> DataFrame:
     return edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
@@ -38,10 +53,12 @@ def connected_components(edges: DataFrame, u: str, v: str) -> DataFrame:
     e = cut_lineage(edges.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).filter("u != v").distinct())
     before = state(e)
     while before.n:
-        e = _star(_both(e), True)
-        e = cut_lineage(_star(e, False))
+        tasks = math.ceil(before.n / EDGES_PER_TASK)
+        e = _star(_both(e.coalesce(tasks)), True).coalesce(tasks)
+        e = cut_lineage(_star(e, False).coalesce(tasks))
         now = state(e)
         if now == before:
             break
         before = now
+    release_shuffles(e.sparkSession)
     return e.select(F.col("u").alias("node"), F.col("v").alias("root"))

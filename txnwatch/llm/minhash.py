@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from txnwatch.llm import text as T
-from txnwatch.llm.components import connected_components
+from txnwatch.llm.components import connected_components, release_shuffles
 from txnwatch.session import cut_lineage
 
 #: Standard errors below the threshold at which a signature still counts as plausible.
@@ -133,11 +133,14 @@ def _lanes(column: pa.Array, lanes: int) -> np.ndarray:
     return np.frombuffer(column.buffers()[2], np.uint16)[: (column.offset + len(column)) * lanes].reshape(-1, lanes)[column.offset:]
 
 
-def _sets_of(wanted: DataFrame, docs: DataFrame, sig: DataFrame, k: int) -> DataFrame:
-    """(h, node, shingles) of each set whose fingerprint ``h`` is in ``wanted``; only texts that hold them are read again."""
+def _sets_of(wanted: DataFrame, docs: DataFrame, sig: DataFrame, k: int, unique: bool) -> DataFrame:
+    """(h, node, shingles) of each set whose fingerprint ``h`` is in ``wanted``; only texts that hold them are read again.
+
+    ``unique``: no two rows share an id and none is null, so each set comes from one row."""
     ids = sig.join(wanted, "h", "left_semi").groupBy("node").agg(F.min("id").alias("id")).select("id").distinct()
     texts = docs.join(ids.withColumnRenamed("id", "want"), F.col("id").eqNullSafe(F.col("want")), "left_semi")
-    return cut_lineage(_full_sets(texts, k).join(wanted, "h", "left_semi").dropDuplicates(["node"]))
+    sets = _full_sets(texts, k)
+    return cut_lineage(sets if unique else sets.join(wanted, "h", "left_semi").dropDuplicates(["node"]))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -254,23 +257,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lanes = bands * rows
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     sig = cut_lineage(signatures(src, "id", "text", shingle, bands, rows))
-    info = sig.filter("n > 0").select("h", "node", "n", "sig").dropDuplicates(["node"])
-    info = cut_lineage(info)
-    each = sig.filter("n > 0").select("h", F.posexplode("bands").alias("band", "bh"))
+    ids = sig.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("d")).first()
+    unique = ids.n == ids.d
+    info = cut_lineage(sig.filter("n > 0").select("h", "node", "n", "sig", "bands").dropDuplicates(["node"]))
+    each = info.select("h", F.posexplode("bands").alias("band", "bh"))
+    info = info.drop("bands")
     # Under each salt a node's hub is the member of its buckets whose salted fingerprint is least: a pair for each node and salt at most.
     salts = [(0x9E3779B97F4A7C15 * (2 * i + 1)) % 2**63 for i in range(HUBS)]
     hub = [F.min(F.col("h").bitwiseXOR(F.lit(x))).alias(f"p{i}") for i, x in enumerate(salts)]
-    buckets = each.groupBy("bh").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), *hub).filter("lo != hi").drop("lo", "hi")
-    members = cut_lineage(each.join(buckets, "bh").distinct())
-    hubs = members.groupBy("h").agg(*[F.min(f"p{i}").alias(f"p{i}") for i in range(HUBS)])
+    shared = each.groupBy("bh").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).filter("lo != hi").select("bh")
+    members = cut_lineage(each.join(shared, "bh"))
+    release_shuffles(docs.sparkSession)
+    hubs = members.join(members.groupBy("bh").agg(*hub), "bh").groupBy("h").agg(*[F.min(f"p{i}").alias(f"p{i}") for i in range(HUBS)])
     pairs = hubs.select("h", F.explode(F.array(*[F.col(f"p{i}").bitwiseXOR(F.lit(x)) for i, x in enumerate(salts)])).alias("hub")).filter("h != hub")
     pairs = cut_lineage(pairs.select(F.least("h", "hub").alias("a"), F.greatest("h", "hub").alias("b")).distinct())
     plausible = cut_lineage(_plausible(pairs, info, num, den, lanes))
     wanted = plausible.select(F.explode(F.array("a", "b")).alias("h")).distinct()
-    first = _verified(plausible, _sets_of(wanted, src, sig, shingle), num, den)
+    sets = _sets_of(wanted, src, sig, shingle, unique)
+    release_shuffles(docs.sparkSession)
+    first = _verified(plausible, sets, num, den)
     labels = connected_components(first, "u", "v")
     tiles = cut_lineage(_candidates(_tiles(members, info, labels), info, num, den, bands, rows))
-    second = cut_lineage(_tile_links(tiles, _sets_of(tiles.select("h").distinct(), src, sig, shingle), num, den))
+    release_shuffles(docs.sparkSession)
+    wanted = tiles.select("h").distinct().join(sets.select("h").distinct(), "h", "left_anti")
+    sets = sets.union(_sets_of(wanted, src, sig, shingle, unique))
+    release_shuffles(docs.sparkSession)
+    second = cut_lineage(_tile_links(tiles, sets, num, den))
     labels = connected_components(first.union(second), "u", "v")
     rooted = sig.select("id", "n", "node").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
     rooted = cut_lineage(rooted)
