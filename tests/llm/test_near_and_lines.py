@@ -151,7 +151,7 @@ def test_embeddings(spark):
     want = _components(len(x), links)
     degree = Counter(i for pair in links for i in pair)
     df = spark.createDataFrame([(i, v, 0, "clash") for i, v in rows], "vec_id long, embedding array<float>, label int, node string")
-    for tile in (8192, 16):
+    for tile in (4096, 16):
         got = {r.vec_id: r for r in near_vectors(df, tile=tile).collect()}
         assert len(got) == len(rows) and max(degree.values()) > 1
         for i in range(len(x)):

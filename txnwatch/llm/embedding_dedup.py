@@ -25,7 +25,7 @@ from txnwatch.llm.components import connected_components
 from txnwatch.session import cut_lineage
 
 #: Nodes of a tile, about.
-TILE = 8192
+TILE = 4096
 #: Rows of a tile that are multiplied with the other tile at once.
 STRIP = 256
 #: Slack for the rounding of the bounds themselves.
