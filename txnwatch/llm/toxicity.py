@@ -126,10 +126,12 @@ def _tally(df: DataFrame, known=None) -> DataFrame:
             for _, levels in _documents(batch.column(0)):
                 h = np.unique(np.concatenate(levels))
                 if known is not None:
-                    h = h[np.isin(h, known.value, assume_unique=True)]
+                    at = np.searchsorted(known.value, h)
+                    at[at == len(known.value)] = 0
+                    h = h[known.value[at] == h] if len(known.value) else h[:0]
                 held.append(h)
                 size += len(h)
-                if size > 2_000_000:
+                if size > 500_000:
                     yield out()
                     held, size = [], 0
         if size:
