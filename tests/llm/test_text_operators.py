@@ -261,3 +261,27 @@ def test_license_accuracy(spark):
     rows = [(c, t) for c, t in licenses.examples(lines, seed=99) if c != licenses.UNKNOWN]
     right = sum(model.classify(licenses._hashed(t)[:licenses.WINDOW])[0] == c for c, t in rows)
     assert right >= 0.9 * len(rows)
+
+
+def test_licenses_of_one_line_and_wrapped(spark, docs):
+    from txnwatch.llm import licenses
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = licenses.fit(table)
+    grant = ("Permission is hereby granted, free of charge, to any person obtaining a copy\n# of this software and associated documentation files (the \"Software\"), to deal\n"
+             "# in the Software without restriction.")
+    gpl = ("This program is free software; you can redistribute it\n * and/or modify it under the terms of the GNU General\n * Public License as published by the Free Software\n"
+           " * Foundation; either version 2 of the License.")
+    both = "This work is licensed under the GNU General Public License, version "
+    texts = {"Released under the MIT License or Apache License 2.0, as you like.": ["Apache-2.0", "MIT"],
+             "Licensed under the Apache License, Version 2.0 or the Mozilla Public License, Version 2.0.": ["Apache-2.0", "MPL-2.0"],
+             "Some words. Released under the MIT License. " + "word " * 20 + "Licensed under CC BY-SA 4.0. " + "word " * 90 + "Licensed under the ISC License.": ["CC-BY-SA-4.0", "ISC", "MIT"],
+             f"{both}2. {both}3.": ["GPL-2.0", "GPL-3.0"],
+             f"# {grant}\n#\n# {gpl}": ["GPL-2.0", "MIT"],
+             gpl: ["GPL-2.0"],
+             "Licensed under the Apache License, Version 2.0.": ["Apache-2.0"],
+             "This project is licensed under\n\nthe terms of fishing.\n\nthe MIT license": [],
+             "Released under the MIT License. Released under the MIT License.": ["MIT"]}
+    got = {r.doc_id: r for r in licenses.scan(docs(list(enumerate(texts))), model).collect()}
+    assert [got[i].licenses for i in range(len(texts))] == list(texts.values())
+    assert [(x.paragraph, x.family) for x in got[4].notices] == [(0, "MIT"), (4, "GPL-2.0")]
+    assert [len(got[i].notices) for i in (0, 3, 6, 8)] == [2, 2, 1, 2]

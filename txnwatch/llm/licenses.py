@@ -6,15 +6,19 @@ strangers' words around them; notices with their names replaced, and a bounded s
 own paragraphs, are ``unknown``.  A held-out part of the examples gives the
 temperature that calibrates the probabilities.
 
-Scan: every paragraph (line) of every text, in windows of ``WINDOW`` words where it is
-longer.  A family is reported where its probability is ``LEAST`` or more and one of
-its notices has at least ``SIMILAR`` of its word pairs in the window; as a notice
-cannot be confirmed otherwise, windows with fewer known pairs than that need are not scored.
+Scan: blocks of lines between lines without a word, so a notice may be wrapped.  An
+occurrence of a notice is a stretch of up to ``WINDOW`` words with at least ``SIMILAR`` of
+the notice's word pairs; of overlapping ones of a notice that counts which has the most of
+its pairs and the fewest others.  Over all notices the nearest occurrence is taken first; a
+further one counts where the words that are still free have a probability of ``LEAST`` or more
+for its family, so notices of several families may share a line, and their first words too.
+Overlapping occurrences of one family are one notice.
 """
 
 from __future__ import annotations
 
 import dataclasses
+import hashlib
 import random
 import re
 
@@ -26,11 +30,11 @@ from pyspark.sql import functions as F
 from txnwatch.llm import text as T
 
 UNKNOWN = "unknown"
-#: Words of a window, and how far the next one is.
-WINDOW, STEP = 64, 32
+#: Words that an occurrence of a notice spans at most, and of an example.
+WINDOW = 64
 LEAST = 0.5
 SIMILAR = 0.6
-#: Paragraphs of the corpus that a fit uses at most, from about this many documents, chosen by a hash of the text.
+#: Lines of the corpus that a fit uses at most, from about this many documents, chosen by a hash of the text.
 MAX_PARAGRAPHS, MAX_DOCUMENTS = 10_000, 2_000
 #: Examples made of each notice.
 VARIANTS = 24
@@ -102,11 +106,46 @@ def _hashed(text: str) -> np.ndarray:
     return T.word_hashes(data, starts, ends)
 
 
+#: A line feed, then lines without a word.
+BLANK_LINES = r"\n(?:[\x00-\x09\x0B-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*\n)+"
+
+
 def pairs_of(h: np.ndarray) -> np.ndarray:
     """One hash for each two consecutive words."""
     return T.mix(h[:-1] * T.M3 + T.mix(h[1:]))
 
 
+def _occurrences(at: np.ndarray, ids: np.ndarray, size: int, need: int) -> list[tuple[float, int, int, int]]:
+    """(nearness, first word, end, distinct pairs) of a notice's occurrences that don't overlap, nearest first.
+
+    ``at`` and ``ids`` are places and numbers of those pairs of a block that the notice of ``size`` pairs has.
+    """
+    n = len(at)
+    by = np.argsort(ids, kind="stable")
+    before = np.full(n, -1)
+    same = ids[by][1:] == ids[by][:-1]
+    before[by[1:][same]] = by[:-1][same]
+    distinct, hits, end, near = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n)
+    for d in range(min(n, WINDOW - 1)):
+        m = n - d
+        length = at[d:] - at[:m] + 1
+        inside = length < WINDOW
+        if not inside.any():
+            break
+        distinct[:m] += inside & (before[d:] < np.arange(m))
+        now = np.where(inside & (distinct[:m] >= need), distinct[:m] / (size + length - distinct[:m]), 0.0)
+        better = np.flatnonzero(now > near[:m])
+        near[better], hits[better], end[better] = now[better], distinct[better], at[better + d] + 2
+    out, taken = [], np.zeros(int(at[-1]) + 2, bool)
+    some = np.flatnonzero(near)
+    for i in some[np.argsort(-near[some], kind="stable")].tolist():
+        a, b = int(at[i]), int(end[i])
+        if not taken[a:b].any():
+            taken[a:b] = True
+            out.append((float(near[i]), a, b, int(hits[i])))
+    return out
+
+
 @dataclasses.dataclass
 class Classifier:
     """Sorted n-gram hashes, a weight for each of them and class, biases, and the notices' word pairs."""
@@ -141,6 +180,34 @@ class Classifier:
         alike = max(float(np.isin(n, own).mean()) for f, n in self.notices if f == self.classes[k])
         return (self.classes[k] if alike >= SIMILAR else UNKNOWN), float(p[k]), alike
 
+    def membership(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which notice has which known pair, the notices' numbers of pairs, and how many of them confirm one."""
+        size = np.array([len(p) for _, p in self.notices])
+        return np.stack([np.isin(self.pairs, p) for _, p in self.notices], axis=1), size, np.ceil(SIMILAR * size - 1e-9).astype(np.int64)
+
+    def find(self, h: np.ndarray, at: np.ndarray, ids: np.ndarray, membership) -> list[tuple[int, str, float, float]]:
+        """(first word, family, probability, similarity) of each notice in a block's words, given places and numbers of its known pairs."""
+        own, size, need = membership
+        found = []
+        for k in np.flatnonzero(own[np.unique(ids)].sum(axis=0) >= need).tolist():
+            has = own[ids, k]
+            found += [(-near, a, b, k, hits) for near, a, b, hits in _occurrences(at[has], ids[has], int(size[k]), int(need[k]))]
+        out, owner = [], np.zeros(len(h), np.int64)  # of each word, the family that has it
+        for _, a, b, k, hits in sorted(found):
+            family = self.notices[k][0]
+            number = self.classes.index(family)
+            free = owner[a:b] == 0
+            if not free.any() or (owner[a:b] == number).any():
+                continue
+            places = at[own[ids, k] & (at >= a) & (at < b - 1)]
+            if not (free[places - a] & free[places + 1 - a]).any():
+                continue
+            p = self.probabilities(self.features(h[a:b][free]))
+            if int(p.argmax()) == number and p[number] >= LEAST:
+                owner[a:b][free] = number
+                out.append((a, family, float(p[number]), hits / int(size[k])))
+        return sorted(out)
+
 
 def examples(strangers: list[str], seed: int = 11) -> list[tuple[str, str]]:
     """(class, text) of what a fit learns from, given paragraphs of the corpus."""
@@ -191,20 +258,22 @@ def _softmax_fit(rows: list[np.ndarray], y: np.ndarray, width: int, k: int) -> t
 
 
 def fit(docs: DataFrame, text_col: str = "text") -> Classifier:
-    """Fit the classifier with the notices and a bounded sample of the paragraphs of ``docs`` (none is fine)."""
+    """Fit the classifier with the notices and a bounded sample of the lines of ``docs`` (none is fine), from blocks without a notice."""
     texts = docs.select(F.col(text_col).alias("text")).filter("text is not null")
     n = texts.count()
     chosen = texts.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < max(1, int(1_000_000 * MAX_DOCUMENTS / max(n, 1))))
-    lines = chosen.select(F.explode(F.split("text", "\n", -1)).alias("line")).filter(F.col("line").rlike(r"\S"))
+    blocks = chosen.select(F.explode(F.split("text", BLANK_LINES, -1)).alias("block")).filter(F.col("block").rlike(r"\S"))
     notices = [(f, np.unique(pairs_of(_hashed(x)))) for f, xs in NOTICES.items() for x in xs]
 
-    def stranger(line: str) -> bool:
-        own = pairs_of(_hashed(line))
-        return not any(np.isin(p, own).mean() >= SIMILAR for _, p in notices)
-
-    sample = [r.line for r in lines.distinct().orderBy(F.xxhash64("line")).limit(MAX_PARAGRAPHS).collect()]
     known_pairs = np.unique(np.concatenate([p for _, p in notices]))
-    sample = [s for s in sample if not np.isin(pairs_of(_hashed(s)), known_pairs).any() or stranger(s)]
+
+    def stranger(block: str) -> bool:
+        own = np.intersect1d(pairs_of(_hashed(block)), known_pairs)
+        return not len(own) or not any(np.isin(p, own).mean() >= SIMILAR for _, p in notices)
+
+    sample = [r.block for r in blocks.distinct().orderBy(F.xxhash64("block")).limit(MAX_PARAGRAPHS).collect()]
+    lines = dict.fromkeys(x for s in sample if stranger(s) for x in s.split("\n") if x.strip())
+    sample = sorted(lines, key=lambda x: hashlib.md5(x.encode()).digest())[:MAX_PARAGRAPHS]
     rows = examples(sample)
     random.Random(5).shuffle(rows)
     rng = random.Random(3)
@@ -225,8 +294,8 @@ def fit(docs: DataFrame, text_col: str = "text") -> Classifier:
 def scan(docs: DataFrame, model: Classifier, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """One row per row of ``docs``: (*keep, n_paragraphs, licenses, notices).
 
-    ``licenses`` are the families found, sorted; ``notices`` lists (paragraph
-    number, family, probability, similarity) of each paragraph's best window with a confirmed family.
+    A paragraph is a line.  ``licenses`` are the families found, sorted; ``notices`` lists (number of the
+    paragraph where it begins, family, probability, similarity) of each notice.
     A null text has no paragraph, an empty one has one.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -236,7 +305,8 @@ def scan(docs: DataFrame, model: Classifier, text_col: str = "text", keep: tuple
 
     def run(batches):
         m = shared.value
-        least = min(int(np.ceil(SIMILAR * len(p))) for _, p in m.notices)
+        membership = m.membership()
+        least = int(membership[2].min())
         for batch in batches:
             n = batch.num_rows
             if not n:
@@ -255,18 +325,22 @@ def scan(docs: DataFrame, model: Classifier, text_col: str = "text", keep: tuple
                 h = T.word_hashes(data, starts, ends)
                 if len(h) < 2:
                     continue
-                known = np.isin(pairs_of(h), m.pairs)
+                pairs = pairs_of(h)
+                ids = np.searchsorted(m.pairs, pairs)
+                ids[ids == len(m.pairs)] = 0
+                known = m.pairs[ids] == pairs
                 total = np.concatenate([[0], np.cumsum(known)])
-                last = np.maximum(first[1:] - 1, first[:-1])  # a pair's first word is not its line's last one
-                some = np.flatnonzero(total[np.minimum(last, len(known))] - total[np.minimum(first[:-1], len(known))] >= least)
+                full = first[1:] > first[:-1]
+                opens = full & np.concatenate([[True], ~full[:-1] | (doc[1:] != doc[:-1])])
+                begin = first[:-1][opens]
+                end = np.append(begin[1:], len(h))
                 head = np.searchsorted(doc, np.arange(len(offs) - 1))
-                for k in some.tolist():
-                    a, b = int(first[k]), int(first[k + 1])
-                    tries = [m.classify(h[c:min(b, c + WINDOW)]) for c in range(a, max(a + 1, b - STEP), STEP)
-                             if total[min(b, c + WINDOW) - 1] - total[c] >= least]
-                    best = max((x for x in tries if x[0] != UNKNOWN), key=lambda x: (x[2], x[1]), default=None)
-                    if best:
-                        notices[at + int(doc[k])].append({"paragraph": k - int(head[doc[k]]), "family": best[0], "probability": best[1], "similarity": best[2]})
+                for k in np.flatnonzero(total[end - 1] - total[begin] >= least).tolist():  # a block's last word begins no pair
+                    a, b = int(begin[k]), int(end[k])
+                    places = np.flatnonzero(known[a:b - 1])
+                    for word, family, probability, similarity in m.find(h[a:b], places, ids[a:b - 1][places], membership):
+                        line = int(np.searchsorted(first, a + word, "right")) - 1
+                        notices[at + int(doc[line])].append({"paragraph": line - int(head[doc[line]]), "family": family, "probability": probability, "similarity": similarity})
             count[~np.asarray(texts.is_valid())] = 0
             families = [sorted({x["family"] for x in xs}) for xs in notices]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(count), pa.array(families, pa.list_(pa.string())), pa.array(notices, kind)],
