@@ -192,6 +192,18 @@ def test_toxicity(spark, docs):
     assert all(abs(again[i] - r.score) < 1e-9 for i, r in got.items())
 
 
+def test_toxicity_keeps_all_forms(spark, docs):
+    """Two toxic documents share 330,000 forms; none is left out of the model."""
+    from txnwatch.llm import toxicity
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = [letters[i // 17576 % 26] + letters[i // 676 % 26] + letters[i // 26 % 26] + letters[i % 26] + "qzxy" for i in range(110_000)]
+    table = docs([(1, " ".join(words)), (2, " ".join(reversed(words))), (3, "Ünïcödé 日本語")])
+    labels = spark.createDataFrame([(1, 1), (2, 1), (3, 0)], "doc_id long, toxic int")
+    model = toxicity.fit(table, labels)
+    assert len(model.tokens) == 3 * len(words) and (np.diff(model.tokens.astype(float)) >= 0).all()
+    assert (model.scores > model.unknown).all()
+
+
 def test_toxicity_without_labels(spark, docs):
     from txnwatch.llm import toxicity
     table = docs([(1, "a b c"), (2, None)])

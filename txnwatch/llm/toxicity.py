@@ -40,9 +40,8 @@ DRIFT = 0.25
 #: Toxic documents that must have a token before it gets a log-odds of its own.
 LEAST_DOCS = 2
 ROUNDS = 2
-#: Tokens in a model, those in the most toxic documents; the model is broadcast.
-MAX_TOKENS = 300_000
-#: Labelled documents that a fit uses at most (about; chosen by a hash of the id); their ids are broadcast.
+#: Labelled documents that a fit uses at most (about; chosen by a hash of the id); their ids are broadcast, and the
+#: model, with every token that ``LEAST_DOCS`` toxic ones of them have.
 MAX_FIT = 1_000_000
 #: Expected number of such segments by chance, in a document of its length, up to which a segment is reported.
 REPORTED = 0.05
@@ -140,8 +139,19 @@ def _tally(df: DataFrame, known=None) -> DataFrame:
     return df.mapInArrow(run, "token long, docs long").groupBy("token").agg(F.sum("docs").alias("docs"))
 
 
-def _frequent(pos: DataFrame) -> DataFrame:
-    return pos.filter(F.col("docs") >= LEAST_DOCS).orderBy(F.desc("docs"), "token").limit(MAX_TOKENS)
+def _columns(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens of (token, value) rows, sorted, and their values."""
+    rows = np.fromiter(((r[0], r[1]) for r in df.toLocalIterator()), np.dtype([("token", np.int64), ("value", np.int64)]))
+    token = rows["token"].view(np.uint64)
+    by = np.argsort(token)
+    return token[by], rows["value"][by]
+
+
+def _spread(known: np.ndarray, token: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Values of known tokens in the order of ``known``, 0 for those without one."""
+    out = np.zeros(len(known), value.dtype)
+    out[np.searchsorted(known, token)] = value
+    return out
 
 
 def _parents(train: DataFrame, known) -> DataFrame:
@@ -182,7 +192,11 @@ def _credits(toxic: DataFrame, model) -> DataFrame:
                 shares += [share] * len(forms)
             if tokens:
                 h, c = np.concatenate(tokens), np.concatenate(shares)
-                hit = np.isin(h, m.tokens)
+                if not len(m.tokens):
+                    continue
+                at = np.searchsorted(m.tokens, h)
+                at[at == len(m.tokens)] = 0
+                hit = m.tokens[at] == h
                 t = pa.table({"token": h[hit].view(np.int64), "credit": c[hit]}).group_by("token").aggregate([("credit", "sum")])
                 yield from t.select(["token", "credit_sum"]).rename_columns(["token", "credit"]).to_batches()
 
@@ -267,29 +281,29 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         p = (n_pos + 0.5) / (n_pos + n_neg + 1)
         return Model(np.zeros(0, np.uint64), np.zeros(0), -1.0, weights=(math.log(p / (1 - p)), 0.0, 0.0))
     toxic, clean = train.filter("y = 1").select("text"), train.filter("y = 0").select("text")
-    pos = {r.token % 2**64: r.docs for r in _frequent(_tally(toxic)).toLocalIterator()}
-    known = np.array(sorted(pos), np.uint64)
+    known, pos = _columns(_tally(toxic).filter(F.col("docs") >= LEAST_DOCS))
     shared = sc.broadcast(known)
-    neg = {r.token % 2**64: r.docs for r in _tally(clean, shared).toLocalIterator()}
-    parent = {r.token % 2**64: r.parent % 2**64 for r in _parents(toxic, shared).toLocalIterator()} if pos else {}
+    neg = _spread(known, *_columns(_tally(clean, shared)))
+    longer, shorter = _columns(_parents(toxic, shared))
+    shorter = _spread(known, longer, shorter).view(np.uint64)
+    child = np.flatnonzero(shorter)
+    parent = np.searchsorted(known, shorter[child])
     base = n_pos / (n_pos + n_neg)
     odds = lambda q: math.log(q / (1 - q)) - math.log(base / (1 - base))
 
-    def log_odds(pos: dict[int, float]) -> np.ndarray:
-        share: dict[int, float] = {0: base}
-
-        def of(t: int) -> float:
-            """The toxic share of a token's documents, with its prior."""
-            if t not in share:
-                share[t] = (pos.get(t, 0.0) + PRIOR * of(parent.get(t, 0))) / (pos.get(t, 0.0) + neg.get(t, 0) + PRIOR)
-            return share[t]
-
-        return np.array([odds(min(max(of(t), 1e-6), 1 - 1e-6)) for t in known.tolist()])
+    def log_odds(pos: np.ndarray) -> np.ndarray:
+        """Of the toxic share of each token's documents, with its prior; a token has at most len(PREFIXES) shorter forms."""
+        prior = np.full(len(known), base)
+        for _ in range(len(PREFIXES) + 1):
+            share = (pos + PRIOR * prior) / (pos + neg + PRIOR)
+            prior[child] = share[parent]
+        share = np.clip(share, 1e-6, 1 - 1e-6)
+        return np.log(share / (1 - share)) - math.log(base / (1 - base))
 
     model = Model(known, log_odds(pos), odds(PRIOR * base / (PRIOR + PRIOR)))
     for _ in range(ROUNDS):
-        dealt = {r.token % 2**64: r.credit / 1e6 for r in _credits(toxic, sc.broadcast(model)).toLocalIterator()}
-        model.scores = log_odds(dealt)
+        dealt = _spread(known, *_columns(_credits(toxic, sc.broadcast(model))))
+        model.scores = log_odds(dealt / 1e6)
     rows = _grid(train.filter("y = 0"), sc.broadcast(model), "scores").collect()
     model.lam = _lambda(np.array([r.a for r in rows]) * 0.05, np.array([r.c for r in rows], float))
     rows = _grid(train.filter("y = 0"), sc.broadcast(model), "best").collect()
