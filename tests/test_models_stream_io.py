@@ -163,3 +163,37 @@ def test_full_experiment_smoke(spark, tmp_path):
     assert {r["variant"] for r in variants} == {"gated", "ungated", "smoothed"}
     doc = spark.read.json(f"file://{tmp_path}/metrics_summary.json").first()
     assert doc["n_seeds"] == 1 and doc["seeds"][0]["seed"] == 1
+
+
+def test_registered_models_are_whole(spark, monkeypatch):
+    """Model queries ask for the production profile, all models and balanced training rows."""
+    from pyspark.sql import functions as F
+    from txnwatch.plans import catalog
+    from txnwatch.plans import experiment as XE
+    asked, balanced, build, prepare = [], [], MD.build_estimator, BA.prepare_training_data
+
+    def small(kind, seed=42, profile="fast", **kw):
+        asked.append((kind, profile))
+        return build(kind, seed, "tiny", **kw)
+
+    def noted(df, features, label="isFraud", strategy=0.3, *rest, **kw):
+        balanced.append(strategy)
+        return prepare(df, features, label, strategy, *rest, **kw)
+
+    monkeypatch.setattr(MD, "build_estimator", small)
+    monkeypatch.setattr(BA, "prepare_training_data", noted)
+    out = catalog.REGISTRY["mod11"](spark, SF_SMALL)
+    six = ["rf", "xgb", "lgb", "cat", "mlp", "seq_gbt"]
+    assert asked == [(k, "fast") for k in six] and balanced == [0.3] * 4
+    assert out.columns == ["TransactionID", *six] and out.filter(F.greatest(*six).between(0, 1)).count() == out.count() > 0
+    fits = []
+
+    def fake(kind, train, val, rows, features, seed, profile, balance, *rest):
+        fits.append((kind, profile, balance))
+        return rows.select("TransactionID", F.lit(0.5).alias(kind))
+
+    monkeypatch.setattr(XE, "_fit_and_score", fake)
+    for name, n in (("mod1", 1), ("mod2", 1), ("mod3", 1), ("mod4", 1), ("mod5", 1), ("mod6", 1), ("mod9", 1), ("mod10", 30), ("spl4", 30)):
+        fits.clear()
+        catalog.REGISTRY[name](spark, SF_SMALL)
+        assert len(fits) == n and {x[1:] for x in fits} == {("fast", 0.3)}

@@ -48,6 +48,8 @@ PROFILES = {
 }
 MLP_HIDDEN = [256, 128, 64]
 TREE_MODELS = ["rf", "xgb", "lgb", "cat"]
+#: MOD1-MOD6; the sequence model has pooled history columns besides the others' features.
+ALL_MODELS = [*TREE_MODELS, "mlp", "seq_gbt"]
 FOCAL_ALPHA, FOCAL_GAMMA = 0.75, 2.0
 GATE_TAU = 0.60
 META_C = 0.01
@@ -85,7 +87,7 @@ def build_estimator(kind: str, seed: int = 42, profile: str = "fast", features_c
     common = dict(featuresCol=features_col, labelCol=label_col, seed=seed)
     if kind == "rf":
         return RandomForestClassifier(minInstancesPerNode=10, **p["rf"], **common)
-    if kind == "xgb":
+    if kind in ("xgb", "seq_gbt"):
         return GBTClassifier(subsamplingRate=0.8, featureSubsetStrategy="0.7", **p["xgb"], **common)
     if kind == "lgb":
         return GBTClassifier(subsamplingRate=0.8, featureSubsetStrategy="0.7", minInstancesPerNode=100,

@@ -585,12 +585,30 @@ def _ml_prepared(spark, sf) -> XE.Prepared:
     return XE.Prepared(feats.drop("fraud_score", "score_b"), n, SP.holdout_bounds(n, gap=gap), ML_FEATURES, gap)
 
 
+def _with_sequence(p: XE.Prepared) -> XE.Prepared:
+    """MOD6: sequence view re-aimed: pooled statistics of the previous 10 rows of
+    the card (WIN12 history) feed a boosted-tree classifier."""
+    seq = FE.build_sequences(p.frame, "card1", ["TransactionAmt"], 10, out_col="seq")
+    hist = F.transform(F.slice(F.col("seq"), F.lit(10) - F.col("seq_len") + 1, F.col("seq_len")), lambda v: v[0])
+    pooled = seq.withColumns({
+        "seq_mean": F.coalesce(F.try_divide(F.aggregate(hist, F.lit(0.0), lambda a, x: a + x), F.col("seq_len")),
+                               F.lit(0.0)),
+        "seq_last": F.coalesce(F.try_element_at(hist, F.lit(-1)), F.lit(0.0)),
+        "seq_len_d": F.col("seq_len").cast("double"),
+    }).withColumn("seq_delta", F.col("TransactionAmt") - F.col("seq_last"))
+    return XE.Prepared(pooled, p.n, p.holdout, p.features, p.gap, ["seq_mean", "seq_last", "seq_len_d", "seq_delta"])
+
+
+#: All model queries: the production profile, and the minority share that tree models are balanced to.
+PROFILE, BALANCE = "fast", 0.30
+
+
 def _single_model(kind):
     def q(spark, sf):
         p = _ml_prepared(spark, sf)
         train = p.frame.filter(F.col("pos") < p.holdout.train_end)
         hold = p.frame.filter(F.col("pos") >= p.holdout.test_start)
-        return XE._fit_and_score(kind, train, None, hold, p.features, 42, "tiny", 0.0)
+        return XE._fit_and_score(kind, train, None, hold, p.features, 42, PROFILE, BALANCE)
     return q
 
 
@@ -600,21 +618,10 @@ for _id, _kind in (("mod1", "rf"), ("mod2", "xgb"), ("mod3", "lgb"), ("mod4", "c
 
 @register("mod6")
 def q_mod6(spark, sf):
-    """Sequence view re-aimed: pooled statistics of the previous 10 rows of the
-    card (WIN12 history) feed a boosted-tree classifier."""
-    p = _ml_prepared(spark, sf)
-    seq = FE.build_sequences(p.frame, "card1", ["TransactionAmt"], 10, out_col="seq")
-    hist = F.transform(F.slice(F.col("seq"), F.lit(10) - F.col("seq_len") + 1, F.col("seq_len")), lambda v: v[0])
-    pooled = seq.withColumns({
-        "seq_mean": F.coalesce(F.try_divide(F.aggregate(hist, F.lit(0.0), lambda a, x: a + x), F.col("seq_len")),
-                               F.lit(0.0)),
-        "seq_last": F.coalesce(F.try_element_at(hist, F.lit(-1)), F.lit(0.0)),
-        "seq_len_d": F.col("seq_len").cast("double"),
-    }).withColumn("seq_delta", F.col("TransactionAmt") - F.col("seq_last"))
-    feats = p.features + ["seq_mean", "seq_last", "seq_len_d", "seq_delta"]
-    train = pooled.filter(F.col("pos") < p.holdout.train_end)
-    hold = pooled.filter(F.col("pos") >= p.holdout.test_start)
-    return XE._fit_and_score("xgb", train, None, hold, feats, 42, "tiny", 0.0).withColumnRenamed("xgb", "seq_gbt")
+    p = _with_sequence(_ml_prepared(spark, sf))
+    train = p.frame.filter(F.col("pos") < p.holdout.train_end)
+    hold = p.frame.filter(F.col("pos") >= p.holdout.test_start)
+    return XE._fit_and_score("seq_gbt", train, None, hold, p.features_of("seq_gbt"), 42, PROFILE, BALANCE)
 
 
 @register("mod7")
@@ -629,23 +636,27 @@ def q_mod9(spark, sf):
     fit_rows = p.frame.filter(F.col("pos") < ib.train_end)
     val_rows = p.frame.filter((F.col("pos") >= ib.test_start) & (F.col("pos") < p.holdout.train_end))
     hold = p.frame.filter(F.col("pos") >= p.holdout.test_start)
-    return XE._fit_and_score("xgb", fit_rows, val_rows, hold, p.features, 42, "tiny", 0.0)
+    return XE._fit_and_score("xgb", fit_rows, val_rows, hold, p.features, 42, PROFILE, BALANCE)
+
+
+def _all_out_of_fold(spark, sf):
+    return XE.out_of_fold(_with_sequence(_ml_prepared(spark, sf)), MD.ALL_MODELS, PROFILE, balance=BALANCE)
 
 
 @register("mod10")
 def q_mod10(spark, sf):
-    return XE.out_of_fold(_ml_prepared(spark, sf), ["rf", "xgb"], "tiny").scores.drop("pos")
+    return _all_out_of_fold(spark, sf).scores.drop("pos")
 
 
 @register("mod11")
 def q_mod11(spark, sf):
-    return XE.refit_and_score_holdout(_ml_prepared(spark, sf), ["rf", "xgb"], "tiny").select(
-        "TransactionID", "rf", "xgb")
+    p = _with_sequence(_ml_prepared(spark, sf))
+    return XE.refit_and_score_holdout(p, MD.ALL_MODELS, PROFILE, balance=BALANCE).select("TransactionID", *MD.ALL_MODELS)
 
 
 @register("spl4")
 def q_spl4(spark, sf):
-    oof = XE.out_of_fold(_ml_prepared(spark, sf), ["rf", "xgb"], "tiny")
+    oof = _all_out_of_fold(spark, sf)
     return SP.oof_coverage_summary(oof.scores, oof.models)
 
 
@@ -1188,9 +1199,10 @@ def q_doc4(spark, sf):
     folds = SP.walk_forward_folds(p.holdout.train_end, SP.N_SPLITS, p.gap)
     rows = []
     for f in folds:
-        tr = MD.assemble(train_all.filter(F.col("pos") < f.train_end), p.features)
-        for kind in ("rf", "xgb"):
-            m = MD.build_estimator(kind, 42 + f.fold, "tiny").fit(tr)
+        fold_rows = train_all.filter(F.col("pos") < f.train_end)
+        tr = MD.assemble(BA.prepare_training_data(fold_rows, p.features, "isFraud", BALANCE, 42 + f.fold), p.features)
+        for kind in MD.TREE_MODELS:
+            m = MD.build_estimator(kind, 42 + f.fold, PROFILE).fit(tr)
             rows += MD.fold_importances(m, p.features, kind, f.fold)
     imp = spark.createDataFrame(rows, "model string, fold int, feature string, importance double")
     by_model, _ = MD.feature_stability(imp, len(folds))

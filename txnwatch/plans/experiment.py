@@ -75,6 +75,10 @@ class Prepared:
     holdout: SP.Holdout
     features: list[str]
     gap: int
+    sequence: list[str] = field(default_factory=list)  # further columns of the sequence model
+
+    def features_of(self, model: str) -> list[str]:
+        return self.features + (self.sequence if model == "seq_gbt" else [])
 
 
 def prepare(spark: SparkSession, sf_dir: str, gap: int = SP.GAP_SIZE, exclude_scores: bool = True) -> Prepared:
@@ -139,7 +143,7 @@ def out_of_fold(prep: Prepared, models: Sequence[str] = ("rf", "xgb"), profile:
 
     def run(task):
         m, tr, va, s = task
-        return (_fit_and_score(m, tr, None, va, prep.features, s, profile, balance, method)
+        return (_fit_and_score(m, tr, None, va, prep.features_of(m), s, profile, balance, method)
                 .withColumn("model", F.lit(m)).withColumnRenamed(m, "score"))
 
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
@@ -166,7 +170,7 @@ def refit_and_score_holdout(prep: Prepared, models: Sequence[str], profile: str
     out = hold.select("TransactionID", "isFraud", "UID", "TransactionAmt", "card4", "pos",
                       *[c for c in ("Card_Prior_Txn_Count", "is_new_client") if c in prep.frame.columns])
     for m in models:
-        s = _fit_and_score(m, fit_rows, val_rows, hold, prep.features, seed + 999, profile, balance, method)
+        s = _fit_and_score(m, fit_rows, val_rows, hold, prep.features_of(m), seed + 999, profile, balance, method)
         out = out.join(s, "TransactionID", "left")
     return out
 
