@@ -158,3 +158,87 @@ def op5_license_scan(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     found = licenses.scan(docs, licenses.fit(docs))
     return found.select("doc_id", "n_paragraphs", F.size("notices").cast("long").alias("n_notices"), F.array_join("licenses", ",").alias("licenses"))
+
+
+@query
+def op11_hard_negatives(spark, sf_dir):
+    """Hard negatives of every hundredth embedding, with the contract's relabelled rows."""
+    from txnwatch.llm.hard_negatives import hard_negatives
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    found = hard_negatives(rows.withColumn("label", label), F.col("vec_id") % 100 == 0)
+    long = lambda c: F.col(c).cast("long").alias(c)
+    return found.select(long("anchor_id"), long("positive_id"), F.col("rank").cast("int").alias("rank"), long("negative_id"), "positive_score", "negative_score")
+
+
+SQL["op11_hard_negatives"] = """
+WITH x AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda c: floor(256 * c::DOUBLE)::BIGINT) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same,
+    list_sum(list_transform(list_zip(a.v, b.v), lambda c: c[1] * c[2]))::BIGINT AS score
+  FROM x a JOIN x b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+SELECT p.anchor_id, p.positive_id, row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.other_id)::INTEGER AS rank,
+  s.other_id AS negative_id, p.positive_score, s.score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 30 * p.positive_score <= 100 * s.score AND 100 * s.score <= 90 * p.positive_score
+QUALIFY row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.other_id) <= 10
+"""
+
+
+def quality_fold(ids):
+    """Whether a document is held out of the fit: crc32 of its id as text, modulo 3, is 1."""
+    return F.coalesce(F.crc32(ids.cast("string")) % 3 == 1, F.lit(False))
+
+
+@query
+def op12_quality_classifier(spark, sf_dir):
+    """Quality scores of documents, learned from the labels of two folds of three."""
+    from txnwatch.llm import quality
+    labels = table(spark, sf_dir, "labels").filter(~quality_fold(F.col("doc_id")))
+    found = quality.classify(table(spark, sf_dir, "documents"), labels)
+    return found.select("doc_id", quality_fold(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def op13_importance_resampling(spark, sf_dir):
+    """A tenth of the documents, drawn towards the word distribution of the benchmark."""
+    from txnwatch.llm.importance import importance_resample
+    found = importance_resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("doc_id").cast("long").alias("doc_id"), "n_features", "weight", "score", "rank")
+
+
+SQL["op13_importance_resampling"] = r"""
+WITH polynomial AS (
+  SELECT list(c ORDER BY i) AS steps FROM (
+    SELECT i, list_reduce(list_prepend(i, range(8)), lambda a, k: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END) AS c
+    FROM (SELECT unnest(range(256)) AS i))),
+words AS (
+  SELECT 'd' AS side, doc_id AS id, rowid AS r, n, w FROM (
+    SELECT doc_id, row_number() OVER () AS rowid, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS all_words
+    FROM documents) , LATERAL (SELECT len(all_words) AS n, unnest(CASE WHEN len(all_words) = 0 THEN [NULL] ELSE all_words END) AS w)
+  UNION ALL
+  SELECT 'b', NULL, NULL, NULL, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'))
+  FROM benchmark),
+coded AS (
+  SELECT w, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(strlen(w)), lambda k: ('0x' || substr(hex(encode(w)), (2 * k + 1)::INT, 2))::BIGINT)),
+      lambda a, b: xor(a // 256, steps[(xor(a, b) % 256) + 1])), 4294967295) % 10000 AS bucket
+  FROM (SELECT DISTINCT w FROM words WHERE w IS NOT NULL), polynomial),
+counts AS (
+  SELECT g.bucket, coalesce(s, 0)::DOUBLE AS s, coalesce(t, 0)::DOUBLE AS t FROM (SELECT unnest(range(10000)) AS bucket) g
+  LEFT JOIN (SELECT bucket, count(*) FILTER (side = 'd') AS s, count(*) FILTER (side = 'b') AS t FROM words JOIN coded USING (w) GROUP BY bucket) c ON c.bucket = g.bucket),
+gain AS (
+  SELECT bucket, floor(1000 * ln((t + 1) * (sum(s) OVER () + 10000) / ((s + 1) * (sum(t) OVER () + 10000))))::BIGINT AS g FROM counts),
+docs AS (
+  SELECT id AS doc_id, r, any_value(n) AS n_features, CASE WHEN any_value(n) = 0 THEN 0 ELSE floor(sum(g)::DOUBLE / any_value(n)) END::BIGINT AS weight
+  FROM words LEFT JOIN coded USING (w) LEFT JOIN gain USING (bucket) WHERE side = 'd' GROUP BY id, r),
+scored AS (
+  SELECT *, weight + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM docs),
+placed AS (
+  SELECT *, CASE WHEN n_features >= 20 THEN row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) END AS place,
+    (10 * count(*) FILTER (n_features >= 20) OVER ()) // 100 AS drawn FROM scored)
+SELECT doc_id, n_features::BIGINT AS n_features, weight, score, CASE WHEN place <= drawn THEN place END::BIGINT AS rank FROM placed
+"""
