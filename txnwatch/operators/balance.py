@@ -3,13 +3,12 @@
 * BAL1 random oversampling draws exactly ``m`` extra minority rows with a
   seeded hash of a generated id, joined to the minority rows by position.
 * BAL2 KMeans-SMOTE: ``pyspark.ml`` KMeans, per-cluster minority statistics,
-  then interpolation ``x + u (x_nn - x)`` towards one of the ``k`` nearest
-  minority neighbours.  Neighbour search runs per (cluster, block) in
-  ``applyInPandas``; clusters are cut into blocks of at most ``block_rows``
-  minority rows along their first principal direction, so no task ever holds
-  more than one bounded block (a hot cluster becomes many blocks).
-* BAL3 plain SMOTE: the same interpolation with blocks over all minority rows.
-* BAL4 dispatches on an explicit method; a failing method raises.
+  then interpolation ``x + u (x_nn - x)`` towards one of the ``k`` nearest minority rows of the
+  cluster.  The neighbours are exact: blocks of at most ``BLOCK_ROWS`` rows are compared pair by
+  pair, and a row's nearest of each pair merge into its nearest of all, so a hot
+  cluster is many tiles and no task holds more than two blocks.
+* BAL3 plain SMOTE: the same with all minority rows as one cluster.
+* BAL4 dispatches on an explicit method.
 """
 
 from __future__ import annotations
@@ -18,14 +17,17 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.ml.clustering import KMeans
-from pyspark.sql import DataFrame
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from txnwatch.operators.models import assemble
+from txnwatch.functions.arrow import key_groups, vectors
+from txnwatch.operators.models import MODEL_FILL
 from txnwatch.operators.scan import add_global_position
+from txnwatch.session import cut_lineage
 
 # Fixed defaults.
 OVERSAMPLE_MAX_RATIO = 0.10
@@ -33,9 +35,10 @@ SMOTE_TARGET_RATIO = 0.30
 SMOTE_K = 5
 CLUSTER_BALANCE_THRESHOLD = 0.1
 N_CLUSTERS = 32
-BLOCK_ROWS = 4_000
-# Synthetic rows that one task makes at most.
-PART_ROWS = 50_000
+#: Rows of a block of neighbours, and rows of it that are compared at once.
+BLOCK_ROWS, STRIP = 1024, 32
+#: Shuffle partitions of the tiles at most; further tiles share one and come after each other.
+MAX_TASKS = 1 << 14
 METHODS = ("cluster_smote", "smote", "oversample")
 
 
@@ -60,102 +63,139 @@ def random_oversample(df: DataFrame, label: str = "isFraud", ratio: float = OVER
     return df.unionByName(extra.select(*df.columns))
 
 
-def _interpolate_block(features: list[str], k: int, seed: int):
-    """applyInPandas body: for one block of minority rows, create ``_need``
-    synthetic rows by interpolating towards a random one of the k nearest
-    neighbours (Euclidean, within the block)."""
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        need = int(pdf["_need"].iloc[0]) if len(pdf) else 0
-        if need <= 0 or len(pdf) < 2:
-            return pd.DataFrame({c: pd.Series(dtype="float64") for c in features})
-        x = pdf[features].to_numpy(dtype=float)
-        rng = np.random.default_rng([seed, *(int(pdf[c].iloc[0]) for c in ("_cluster", "_block", "_part"))])
-        kk = min(k, len(x) - 1)
-        sq = (x * x).sum(1)
-        d2 = sq[:, None] + sq[None, :] - 2.0 * (x @ x.T)  # block_rows^2 doubles at most
-        np.fill_diagonal(d2, np.inf)
-        nn = np.argpartition(d2, kk - 1, axis=1)[:, :kk]
-        base = rng.integers(0, len(x), need)
-        pick = nn[base, rng.integers(0, kk, need)]
-        u = rng.random((need, 1))
-        synth = x[base] + u * (x[pick] - x[base])
-        return pd.DataFrame(synth, columns=features)
-    return fn
-
-
-def _blocks(minority: DataFrame, group_col: str, block_rows: int) -> DataFrame:
-    """Cut each group into blocks of at most ``block_rows`` rows by rank along
-    the first feature sum (a cheap 1-D ordering keeping near rows together)."""
-    order = minority.withColumn("_ord", F.col("_proj"))
-    ranked = add_global_position(order, order_cols=(group_col, "_ord", "_rid"), pos_col="_gpos")
-    first = ranked.groupBy(group_col).agg(F.min("_gpos").alias("_g0"))
-    return (ranked.join(first, group_col)
-            .withColumn("_block", F.floor((F.col("_gpos") - F.col("_g0")) / block_rows).cast("long"))
-            .drop("_g0", "_gpos", "_ord"))
+def _tile_pairs(rows: DataFrame, block_rows: int) -> DataFrame:
+    """(_cluster, i, j, side, row, x): each block of a cluster's rows against each other one and itself."""
+    sizes = rows.groupBy("_cluster").agg(F.min("row").alias("_g0"), F.count(F.lit(1)).alias("_m"))
+    placed = (rows.join(F.broadcast(sizes), "_cluster")  # a row per cluster, ``n_clusters`` at most
+              .withColumn("_b", F.floor((F.col("row") - F.col("_g0")) / block_rows).cast("int"))
+              .withColumn("_o", F.explode(F.sequence(F.lit(0), F.floor((F.col("_m") - 1) / block_rows).cast("int")))))
+    left = placed.select("_cluster", F.col("_b").alias("i"), F.col("_o").alias("j"), F.lit(0).alias("side"), "row", "x")
+    right = placed.select("_cluster", F.col("_o").alias("i"), F.col("_b").alias("j"), F.lit(1).alias("side"), "row", "x")
+    return left.unionByName(right)
+
+
+def nearest_rows(rows: DataFrame, k: int = SMOTE_K, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, DataFrame]:
+    """Exact Euclidean neighbours inside each cluster of (_cluster, row, x): ``(row, rank, other, d2)``, rank 0 the
+    nearest (ties: the lesser row), and ``(_cluster, i, j, total)``, sums of distances per pair of blocks.
+
+    Every pair of blocks is a tile of one task, which keeps the ``k`` nearest of each row; the lists of a row merge
+    by one more top-k.  ``row`` numbers the rows of a cluster without gaps.
+    """
+    width = len(rows.select("x").first()["x"])
+    tiles = _tile_pairs(rows, block_rows)
+    n_pairs = rows.groupBy("_cluster").agg(F.count(F.lit(1)).alias("m")).agg(F.sum(F.pow(F.ceil(F.col("m") / block_rows), 2))).first()[0]
+    dealt = tiles.repartition(int(min(n_pairs, MAX_TASKS)), "_cluster", "i", "j").sortWithinPartitions("_cluster", "i", "j", "side", "row")
+
+    def run(batches):
+        for g in key_groups(batches, ["_cluster", "i", "j"]):
+            side, row, x = g["side"].to_numpy(), g["row"].to_numpy(), vectors(g["x"], width)
+            a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+            own, other, far, total = [], [], [], 0.0
+            for s in range(0, len(a), STRIP):
+                strip = a[s:s + STRIP]
+                d2 = ((x[strip][:, None, :] - x[b][None, :, :]) ** 2).sum(axis=2)
+                total += float(np.sqrt(d2).sum())
+                d2[row[strip][:, None] == row[b][None, :]] = np.inf
+                kk = min(k, d2.shape[1])
+                # the rows of a block come in order, so a stable sort leaves ties with the lesser row
+                near = np.argsort(d2, axis=1, kind="stable")[:, :kk]
+                d = np.take_along_axis(d2, near, axis=1)
+                at, col = np.nonzero(np.isfinite(d))
+                own.append(row[strip][at])
+                other.append(row[b][near[at, col]])
+                far.append(d[at, col])
+            n = sum(map(len, own))
+            key = [g[c][0].as_py() for c in ("_cluster", "i", "j")]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([v] * (n + 1), pa.int32()) for v in key]
+                + [pa.concat_arrays([pa.array(np.concatenate(c) if c else np.zeros(0, t), k_), pa.nulls(1, k_)])
+                   for c, t, k_ in ((own, np.int64, pa.int64()), (other, np.int64, pa.int64()), (far, np.float64, pa.float64()))]
+                + [pa.concat_arrays([pa.nulls(n, pa.float64()), pa.array([total])])],
+                names=["_cluster", "i", "j", "row", "other", "d2", "total"])
+
+    found = cut_lineage(dealt.mapInArrow(run, "_cluster int, i int, j int, row long, other long, d2 double, total double"))
+    order = Window.partitionBy("row").orderBy("d2", "other")
+    lists = found.filter(F.col("row").isNotNull()).withColumn("rank", F.row_number().over(order) - 1).filter(F.col("rank") < k)
+    return lists.select("row", "rank", "other", "d2"), found.filter(F.col("row").isNull()).select("_cluster", "i", "j", "total")
+
+
+def allocate(need: int, weights: dict[int, float]) -> dict[int, int]:
+    """``need`` dealt in proportion to the weights, whole and exact (largest remainders, then the lesser key)."""
+    total = sum(weights.values())
+    shares = {c: need * w / total for c, w in weights.items()}
+    out = {c: int(math.floor(v)) for c, v in shares.items()}
+    for c in sorted(shares, key=lambda c: (out[c] - shares[c], c))[:need - sum(out.values())]:
+        out[c] += 1
+    return out
 
 
 def smote(df: DataFrame, features: Sequence[str], label: str = "isFraud", target_ratio: float = SMOTE_TARGET_RATIO,
           k: int = SMOTE_K, seed: int = 42, n_clusters: int = N_CLUSTERS, use_clusters: bool = True,
           block_rows: int = BLOCK_ROWS, id_col: str = "TransactionID") -> DataFrame:
-    """BAL2 (``use_clusters``) / BAL3: synthetic minority rows up to
-    ``target_ratio`` minority/majority; returns the original rows plus the
-    synthetic ones (other columns NULL, label 1)."""
+    """BAL2 (``use_clusters``) / BAL3: exactly ``floor(target_ratio * n_majority) - n_minority`` synthetic minority
+    rows; returns the original rows plus the synthetic ones (features only, label 1, other columns NULL).
+
+    A synthetic row lies at a random place between a random minority row of its cluster and one of that row's ``k``
+    nearest minority rows in the cluster, over all of the cluster.  A cluster takes part if its minority share
+    is over ``CLUSTER_BALANCE_THRESHOLD`` and it has more than ``k`` minority rows, and gets rows in proportion to its
+    sparsity, ``mean distance ** e / rows`` with ``e = 0.16 * log_1.6(rows) ** 1.8``.  Where no cluster
+    takes part, all minority rows are one.  Missing features are filled as the models fill them.
+    """
     features = list(features)
     n_min, n_maj = class_counts(df, label)
-    need_total = int(math.floor(target_ratio * n_maj)) - n_min
-    if need_total <= 0 or n_min < 2:
+    need = int(math.floor(target_ratio * n_maj)) - n_min
+    if need <= 0 or n_min < 2:
         return df
-    x = assemble(df, features, "_vec", fill=0.0)
+    filled = [F.coalesce(F.nanvl(F.col(f).cast("double"), F.lit(MODEL_FILL)), F.lit(MODEL_FILL)) for f in features]
+    x = df.select(F.col(label).alias("_y"), F.col(id_col).alias("_id"), F.array(*filled).alias("x"))
+    one = x.filter(F.col("_y") == 1).withColumn("_cluster", F.lit(0))
+    minority = one
     if use_clusters:
-        km = KMeans(k=max(2, min(n_clusters, n_min + n_maj)), seed=seed, featuresCol="_vec",
-                    predictionCol="_cluster").fit(x)
-        x = km.transform(x)
-        stats = x.groupBy("_cluster").agg(F.count_if(F.col(label) == 1).alias("_m"),
-                                          F.count(F.lit(1)).alias("_t"))
-        ok = stats.filter((F.col("_m") / F.col("_t") > CLUSTER_BALANCE_THRESHOLD) & (F.col("_m") >= 2))
-        if ok.limit(1).count() == 0:
-            raise ValueError("no cluster passes the balance threshold")
-    else:
-        x = x.withColumn("_cluster", F.lit(0))
-        ok = x.filter(F.col(label) == 1).groupBy("_cluster").agg(F.count(F.lit(1)).alias("_m"))
-    minority = x.filter(F.col(label) == 1).join(ok.select("_cluster", "_m"), "_cluster")
-    proj = sum((F.col(f).cast("double") for f in features), F.lit(0.0))
-    minority = minority.withColumn("_proj", F.coalesce(proj, F.lit(0.0))).withColumn("_rid", F.col(id_col))
-    # sparsity weights: clusters with fewer minority rows per unit spread get more samples
-    spread = minority.groupBy("_cluster").agg(F.stddev_pop("_proj").alias("_sd"), F.first("_m").alias("_m"))
-    dim = float(len(features))
-    spread = spread.withColumn("_density", F.col("_m") / F.pow(F.greatest(F.col("_sd"), F.lit(1e-9)), F.lit(
-        min(dim, 8.0))))
-    spread = spread.withColumn("_sparsity", 1.0 / F.col("_density"))
-    tot = spread.agg(F.sum("_sparsity").alias("_s")).first()["_s"] or 1.0
-    alloc = spread.select("_cluster", F.floor(F.col("_sparsity") / tot * need_total).cast("long").alias("_alloc"))
-    blocked = _blocks(minority, "_cluster", block_rows)
-    nblk = blocked.groupBy("_cluster", "_block").agg(F.count(F.lit(1)).alias("_bn"))
-    per_c = nblk.groupBy("_cluster").agg(F.sum("_bn").alias("_cn"))
-    need = (nblk.join(per_c, "_cluster").join(alloc, "_cluster")
-            .select("_cluster", "_block", F.floor(F.col("_alloc") * F.col("_bn") / F.col("_cn")).cast("long")
-                    .alias("_need")))
-    # a block that needs many rows goes, as a copy, to one task for each PART_ROWS of them
-    parts = F.ceil(F.col("_need") / PART_ROWS).cast("int")
-    need = (need.filter(F.col("_need") > 0).withColumn("_parts", parts)
-            .withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
-            .withColumn("_need", F.floor(F.col("_need") * (F.col("_part") + 1) / F.col("_parts"))
-                        - F.floor(F.col("_need") * F.col("_part") / F.col("_parts"))))
-    work = blocked.join(need, ["_cluster", "_block"]).select("_cluster", "_block", "_part", "_need",
-                                                           *[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f)
-                                                             for f in features])
-    schema = T.StructType([T.StructField(f, T.DoubleType()) for f in features])
-    synth = work.groupBy("_cluster", "_block", "_part").applyInPandas(_interpolate_block(features, k, seed), schema)
-    synth = synth.withColumn(label, F.lit(1).cast(dict(df.dtypes)[label]))
-    return df.unionByName(synth, allowMissingColumns=True)
+        vectors_ = x.withColumn("_vec", array_to_vector("x")).persist(StorageLevel.MEMORY_AND_DISK)
+        model = KMeans(k=max(2, min(n_clusters, n_min + n_maj)), seed=seed, featuresCol="_vec", predictionCol="_cluster").fit(vectors_)
+        clustered = cut_lineage(model.transform(vectors_).drop("_vec"))
+        vectors_.unpersist()
+        stats = clustered.groupBy("_cluster").agg(F.count_if(F.col("_y") == 1).alias("m"), F.count(F.lit(1)).alias("t")).collect()
+        some = [r["_cluster"] for r in stats if r.m > CLUSTER_BALANCE_THRESHOLD * r.t and r.m > k]
+        if some:
+            minority = clustered.filter((F.col("_y") == 1) & F.col("_cluster").isin(some))
+    placed = add_global_position(minority.select("_cluster", "_id", "x", F.xxhash64("x").alias("_h")),
+                                 order_cols=("_cluster", "_id", "_h"), pos_col="row")
+    rows = cut_lineage(placed.select("_cluster", "row", "x"))
+    sizes = {r["_cluster"]: (r.g0, r.m) for r in rows.groupBy("_cluster").agg(F.min("row").alias("g0"), F.count(F.lit(1)).alias("m")).collect()}
+    near, sums = nearest_rows(rows, k, block_rows)
+    weights = {c: 1.0 for c in sizes}
+    if len(sizes) > 1:
+        for r in sums.groupBy("_cluster").agg(F.sum("total").alias("total")).collect():
+            m = sizes[r["_cluster"]][1]
+            weights[r["_cluster"]] = (r.total / (m * (m - 1))) ** (0.16 * math.log(m, 1.6) ** 1.8) / m
+        if not sum(weights.values()) > 0:  # all rows of all clusters equal
+            weights = {c: 1.0 for c in sizes}
+    draws = df.sparkSession.range(need)
+    h = lambda salt: F.xxhash64("id", F.lit(seed), F.lit(salt))
+    start, base, n_near = 0, F.lit(None).cast("long"), F.lit(None).cast("long")
+    for c, n in allocate(need, weights).items():
+        g0, m = sizes[c]
+        mine = (F.col("id") >= start) & (F.col("id") < start + n)
+        base = F.when(mine, F.lit(g0) + F.pmod(h(1), F.lit(m))).otherwise(base)
+        n_near = F.when(mine, F.lit(min(k, m - 1))).otherwise(n_near)
+        start += n
+    draws = draws.select(base.alias("row"), F.pmod(h(2), n_near).cast("int").alias("rank"),
+                         (F.pmod(h(3), F.lit(1 << 53)) / F.lit(float(1 << 53))).alias("u"))
+    ends = (draws.join(near.select("row", "rank", "other"), ["row", "rank"])
+            .join(rows.select("row", "x"), "row").join(rows.select(F.col("row").alias("other"), F.col("x").alias("x2")), "other"))
+    point = F.zip_with("x", "x2", lambda a, b: a + F.col("u") * (b - a))
+    made = ends.select(point.alias("p")).select(*[F.col("p")[i].alias(f) for i, f in enumerate(features)],
+                                               F.lit(1).cast(dict(df.dtypes)[label]).alias(label))
+    return df.unionByName(made, allowMissingColumns=True)
 
 
 def prepare_training_data(df: DataFrame, features: Sequence[str], label: str = "isFraud",
-                          strategy: float = SMOTE_TARGET_RATIO, seed: int = 42, method: str = "smote") -> DataFrame:
+                          strategy: float = SMOTE_TARGET_RATIO, seed: int = 42, method: str = "cluster_smote") -> DataFrame:
     """BAL4: strategy 0 -> unchanged; else ``method`` at minority / majority =
-    ``strategy``: "cluster_smote" (BAL2), "smote" (BAL3) or "oversample" (BAL1,
-    whose customary ratio is ``OVERSAMPLE_MAX_RATIO``).  The caller chooses; no
-    size or failure changes the method."""
+    ``strategy``: "cluster_smote" (BAL2, or BAL3 where no cluster qualifies), "smote" (BAL3) or
+    "oversample" (BAL1, whose customary ratio is ``OVERSAMPLE_MAX_RATIO``).  The caller chooses; no
+    size changes the method."""
     if method not in METHODS:
         raise ValueError(f"unknown balancing method {method!r}")
     if not strategy or strategy <= 0:
