@@ -8,12 +8,14 @@ separators differ from each other), the Burrows-Wheeler transform in a wavelet
 matrix of packed bits, and sampled suffix positions.  All phrases are searched
 backward at once; occurrences are located by stepping to a sampled position.
 
-The phrases are broadcast in blocks of at most ``BLOCK_WORDS`` words; the shards
-run once for each block and hand the spans found so far on.
+The phrases are made in tasks and broadcast, as arrays, in blocks of about ``BLOCK_WORDS``; the
+shards run once for each block and hand the spans found so far on.
 """
 
 from __future__ import annotations
 
+import dataclasses
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -21,13 +23,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from txnwatch.llm import text as T
+from txnwatch.session import cut_lineage
 
 #: Symbols after which a shard's index is built.
 SHARD_SYMBOLS = 1 << 20
 #: Every so many suffix positions are kept.
 SAMPLE = 16
-#: Words of benchmark items that are broadcast at once.
-BLOCK_WORDS = 4_000_000
+#: Words of benchmark items, each with the phrase that begins there, that are broadcast at once (about 150 bytes each).
+BLOCK_WORDS = 500_000
 
 
 class WaveletMatrix:
@@ -152,25 +155,24 @@ class FMIndex:
         return out
 
 
+@dataclasses.dataclass
 class Phrases:
-    """Windows of benchmark items as rows of word hashes, with their items."""
+    """Windows of benchmark items as rows of symbols, numbers of the sorted ``vocabulary`` of word hashes from 1
+    on, right-aligned, with their lengths; ``items`` are numbers of ``names``, those of window k from ``at[k]`` to ``at[k + 1]``."""
 
-    def __init__(self, items: list[tuple[str | None, str]], size: int):
-        rows: dict[bytes, set] = {}
-        for item, text in items:
-            for _, data, offs in T.slices(pa.array([text])):
-                starts, ends, _ = T.word_bounds(data, offs, T.WORD_BYTES)
-                h = T.word_hashes(data, starts, ends)
-                for j in range(max(1, len(h) - size + 1) if len(h) else 0):
-                    rows.setdefault(h[j:j + size].tobytes(), set()).add(item)
-        keys = list(rows)
-        self.lengths = np.array([len(k) // 8 for k in keys], np.int64)
-        self.vocabulary = np.unique(np.frombuffer(b"".join(keys), np.uint64)) if keys else np.zeros(0, np.uint64)
-        self.symbols = np.zeros((len(keys), size), np.int64)
-        for row, k in enumerate(keys):
-            self.symbols[row, size - len(k) // 8:] = np.searchsorted(self.vocabulary, np.frombuffer(k, np.uint64)) + 1
-        self.items = [sorted(x for x in rows[k] if x is not None) for k in keys]
-        self.shortest = int(self.lengths.min(initial=size))
+    vocabulary: np.ndarray
+    symbols: np.ndarray
+    lengths: np.ndarray
+    at: np.ndarray
+    items: np.ndarray
+    names: np.ndarray
+
+    @property
+    def shortest(self) -> int:
+        return int(self.lengths.min(initial=self.symbols.shape[1]))
+
+    def names_of(self, k: int) -> list[str]:
+        return self.names[self.items[self.at[k]:self.at[k + 1]]].tolist()
 
     def of(self, hashes: np.ndarray) -> np.ndarray:
         """Symbols of words; 0 for those that no phrase has."""
@@ -181,6 +183,46 @@ class Phrases:
         return np.where(self.vocabulary[at] == hashes, at + 1, 0)
 
 
+def phrase_rows(items: DataFrame, size: int) -> DataFrame:
+    """(phrase, item), once each: the word hashes of ``size`` consecutive words, or of all of an item of fewer, as bytes."""
+    def run(batches):
+        for batch in batches:
+            names, phrases = [], []
+            for at, data, offs in T.slices(batch.column(1)):
+                starts, ends, first = T.word_bounds(data, offs, T.WORD_BYTES)
+                h = T.word_hashes(data, starts, ends)
+                for i, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
+                    if b > a:
+                        rows = np.lib.stride_tricks.sliding_window_view(h[a:b], min(size, b - a))
+                        phrases.append(T.binary_column(np.ascontiguousarray(rows).view(np.uint8)))
+                        names += [at + i] * len(rows)
+            if names:
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays(phrases), batch.column(0).take(pa.array(names))], names=["phrase", "item"])
+
+    return items.mapInArrow(run, "phrase binary, item string").distinct()
+
+
+def phrase_table(rows: pa.Table, size: int) -> Phrases:
+    """The phrases of (phrase, item) rows, sorted by the phrase."""
+    rows = rows.combine_chunks()
+    phrase, n = rows["phrase"].combine_chunks() if rows.num_rows else pa.array([], pa.binary()), rows.num_rows
+    fresh = np.ones(n, bool)
+    if n > 1:
+        fresh[1:] = ~np.asarray(pc.equal(phrase.slice(1), phrase.slice(0, n - 1)))
+    head = np.flatnonzero(fresh)
+    keys = phrase.take(pa.array(head))
+    lengths = np.asarray(pc.binary_length(keys)).astype(np.int64) // 8
+    words = np.frombuffer(b"".join(keys.to_pylist()), np.uint64)
+    vocabulary = np.unique(words)
+    symbols = np.zeros((len(head), size), np.int64)
+    symbols[np.arange(size) >= size - lengths[:, None]] = np.searchsorted(vocabulary, words) + 1
+    item = rows["item"].combine_chunks() if n else pa.array([], pa.string())
+    named = np.asarray(item.is_valid())
+    names, numbers = np.unique(np.array(item.drop_null().to_pylist(), dtype=object).astype(str), return_inverse=True)
+    at = np.concatenate([[0], np.cumsum(named)])[np.append(head, n)]
+    return Phrases(vocabulary, symbols, lengths, at, numbers.astype(np.int64), names)
+
+
 def _runs(symbols: np.ndarray, first: np.ndarray, shortest: int) -> tuple[np.ndarray, np.ndarray]:
     """(symbols, word numbers) of all runs of phrase words inside a document that a phrase fits in, each after a separator."""
     n = len(symbols)
@@ -222,7 +264,7 @@ def _pass(df: DataFrame, phrases, last: bool, clean: bool) -> DataFrame:
 
     def finish(shard):
         """Index a shard, given as (first row, first words, symbols) of its slices: the phrases found in each row as (first word, last word, phrase)."""
-        p = phrases.value
+        p = Phrases(*phrases.value)
         s, doc, word = [], [], []
         for at, first, symbols in shard:
             x, w = _runs(symbols, first, p.shortest)
@@ -247,7 +289,7 @@ def _pass(df: DataFrame, phrases, last: bool, clean: bool) -> DataFrame:
         return found
 
     def run(batches):
-        p = phrases.value
+        p = Phrases(*phrases.value)
         for batch in batches:
             n = batch.num_rows
             if not n:
@@ -271,7 +313,7 @@ def _pass(df: DataFrame, phrases, last: bool, clean: bool) -> DataFrame:
                 got = np.array([x[:2] for x in found.get(i, [])], np.int64).reshape(-1, 2)
                 both = merged(np.concatenate([np.asarray(old_spans[i].as_py() or [], np.int64).reshape(-1, 2), got]))
                 spans[i] = both.ravel()
-                items[i] = {*(old_items[i].as_py() or []), *(y for x in found.get(i, []) for y in p.items[x[2]])}
+                items[i] = {*(old_items[i].as_py() or []), *(y for x in found.get(i, []) for y in p.names_of(x[2]))}
                 hits[i] = int((both[:, 1] - both[:, 0]).sum())
                 if last and clean and len(both):
                     cleaned[i] = cut_words(texts[i].as_py(), both)
@@ -321,13 +363,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """
     spark = docs.sparkSession
     items = benchmark.filter(F.col(item_text).isNotNull()).select(F.col(item_col).cast("string").alias("item"), F.col(item_text).alias("text"))
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-size // (6 * block_words)))
+    phrases = cut_lineage(phrase_rows(items, window))
+    blocks = max(1, -(-phrases.count() // block_words))
     carried = [F.col(c) for c in keep]
     df = docs.select(F.col(id_col), *carried, F.col(text_col).alias("text"),
                      F.array().cast("array<int>").alias("spans"), F.array().cast("array<string>").alias("items"))
     for b in range(blocks):
-        part = items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b) if blocks > 1 else items
-        known = spark.sparkContext.broadcast(Phrases([(r.item, r.text) for r in part.toLocalIterator()], window))
+        part = phrases.filter(F.pmod(F.xxhash64("phrase"), F.lit(blocks)) == b)
+        known = spark.sparkContext.broadcast(T.parts(phrase_table(part.orderBy("phrase").toArrow(), window)))
         df = _pass(df, known, b == blocks - 1, clean)
     return df

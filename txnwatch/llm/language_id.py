@@ -129,12 +129,12 @@ def predict(docs: DataFrame, profiles: Profiles, text_col: str = "text", keep: t
     A null text, one without letters, or any text if no language is known,
     is ``und`` with a score of 0.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(profiles)
+    shared = docs.sparkSession.sparkContext.broadcast(T.parts(profiles))
     df = docs.select(*keep, F.col(text_col).alias("__text"))
     ddl = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
 
     def run(batches):
-        p = shared.value
+        p = Profiles(*shared.value)
         for batch in batches:
             found = []
             for _, grams, bounds in _grams(batch.column(len(keep))):

@@ -298,13 +298,13 @@ def scan(docs: DataFrame, model: Classifier, text_col: str = "text", keep: tuple
     paragraph where it begins, family, probability, similarity) of each notice.
     A null text has no paragraph, an empty one has one.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(T.parts(model))
     df = docs.select(*keep, F.col(text_col).alias("__text"))
     ddl = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
     kind = pa.list_(pa.struct([("paragraph", pa.int32()), ("family", pa.string()), ("probability", pa.float64()), ("similarity", pa.float64())]))
 
     def run(batches):
-        m = shared.value
+        m = Classifier(*shared.value)
         membership = m.membership()
         least = int(membership[2].min())
         for batch in batches:

@@ -7,6 +7,7 @@ longer than ``SLICE_BYTES`` is a slice of its own.
 
 from __future__ import annotations
 
+import dataclasses
 import sys
 import types
 
@@ -25,6 +26,12 @@ def worker_cache() -> dict:
     return sys.modules.setdefault("txnwatch_worker_cache", types.ModuleType("txnwatch_worker_cache")).__dict__
 
 
+def parts(x) -> tuple:
+    """The fields of a dataclass object.  Broadcasts carry these, as a broadcast object of a
+    class of this package could only be read where the package is installed."""
+    return tuple(getattr(x, f.name) for f in dataclasses.fields(x))
+
+
 def _lowered() -> np.ndarray:
     t = np.arange(256, dtype=np.uint8)
     t[65:91] += 32

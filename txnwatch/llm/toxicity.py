@@ -178,7 +178,7 @@ def _parents(train: DataFrame, known) -> DataFrame:
 def _credits(toxic: DataFrame, model) -> DataFrame:
     """(token, credit): what the toxic documents deal to each known form, in millionths of a document."""
     def run(batches):
-        m = model.value
+        m = Model(*model.value)
         for batch in batches:
             tokens, shares = [], []
             for _, levels in _documents(batch.column(0)):
@@ -206,7 +206,7 @@ def _credits(toxic: DataFrame, model) -> DataFrame:
 def _grid(df: DataFrame, model, what: str) -> DataFrame:
     """Counts over (y, a, b): with ``what`` "scores" of clean words' scores, "best" of best scores and ln of lengths, "pairs" of the calibration's inputs."""
     def run(batches):
-        m = model.value
+        m = Model(*model.value)
         for batch in batches:
             y, cells = batch.column(1).to_numpy(zero_copy_only=False), []
             for i, levels in _documents(batch.column(0)):
@@ -285,6 +285,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     shared = sc.broadcast(known)
     neg = _spread(known, *_columns(_tally(clean, shared)))
     longer, shorter = _columns(_parents(toxic, shared))
+    shared.unpersist()
     shorter = _spread(known, longer, shorter).view(np.uint64)
     child = np.flatnonzero(shorter)
     parent = np.searchsorted(known, shorter[child])
@@ -301,15 +302,23 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return np.log(share / (1 - share)) - math.log(base / (1 - base))
 
     model = Model(known, log_odds(pos), odds(PRIOR * base / (PRIOR + PRIOR)))
+    def with_model(make, rows):
+        """``rows`` of the frame that ``make`` gives for the model as it stands, whose broadcast goes afterwards."""
+        sent = sc.broadcast(T.parts(model))
+        found = rows(make(sent))
+        sent.unpersist()
+        return found
+
     for _ in range(ROUNDS):
-        dealt = _spread(known, *_columns(_credits(toxic, sc.broadcast(model))))
+        dealt = _spread(known, *with_model(lambda m: _credits(toxic, m), _columns))
         model.scores = log_odds(dealt / 1e6)
-    rows = _grid(train.filter("y = 0"), sc.broadcast(model), "scores").collect()
+    collected = lambda df: df.collect()
+    rows = with_model(lambda m: _grid(train.filter("y = 0"), m, "scores"), collected)
     model.lam = _lambda(np.array([r.a for r in rows]) * 0.05, np.array([r.c for r in rows], float))
-    rows = _grid(train.filter("y = 0"), sc.broadcast(model), "best").collect()
+    rows = with_model(lambda m: _grid(train.filter("y = 0"), m, "best"), collected)
     shift = sum(r.c * (model.lam * r.a * P_STEP - r.b * SCORE_STEP) for r in rows) / sum(r.c for r in rows)
     model.k = math.exp(min(max(shift - 0.5772, -20), 20))
-    rows = _grid(train, sc.broadcast(model), "pairs").collect()
+    rows = with_model(lambda m: _grid(train, m, "pairs"), collected)
     model.weights = _calibrate(np.array([[r.a * P_STEP, r.b * SCORE_STEP] for r in rows]), np.array([float(r.y) for r in rows]), np.array([float(r.c) for r in rows]))
     return model
 
@@ -321,14 +330,14 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[str
     significant segments as word numbers [first, last), raw score and expected
     number by chance.  A null or wordless text has no segment.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(T.parts(model))
     carried = keep if text_col in keep else (*keep, text_col)
     df = docs.select(*carried)
     ddl = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
     kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("score", pa.float64()), ("expected", pa.float64())]))
 
     def run(batches):
-        m = shared.value
+        m = Model(*shared.value)
         for batch in batches:
             sizes, probs, passages = [], [], []
             for _, levels in _documents(batch.column(carried.index(text_col))):
