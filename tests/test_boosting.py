@@ -60,14 +60,15 @@ def _brute_predict(x, y, p):
     return raw
 
 
+@pytest.mark.parametrize("block_rows", [1 << 17, 50])
 @pytest.mark.parametrize("growth,leaves,l1,gain", [("level", 0, 0.0, 0.0), ("leaf", 5, 0.0, 0.0), ("level", 0, 0.5, 0.3)])
-def test_trees_equal_brute_force(spark, growth, leaves, l1, gain):
+def test_trees_equal_brute_force(spark, growth, leaves, l1, gain, block_rows):
     rng = np.random.default_rng(7)
     x = rng.integers(0, 12, (160, 3)).astype(float)
     y = (x[:, 0] + 2 * (x[:, 1] > 5) + rng.normal(0, 2, 160) > 8).astype(float)
     p = B.Boosting(rounds=3, rate=0.3, depth=3, growth=growth, leaves=leaves, least_rows=4, l1=l1, l2=1.0, least_gain=gain, bins=64)
     df = _frame(spark, x, y)
-    (model,) = B.fit_boosters({0: (df, None, ["x0", "x1", "x2"])}, [(0, p, 1)])
+    (model,) = B.fit_boosters({0: (df, None, ["x0", "x1", "x2"])}, [(0, p, 1)], block_rows=block_rows)
     got = model.base + B.sum_trees(B.binned(x, model.edges), *model.parts()[2:])
     assert np.allclose(got, _brute_predict(x, y, p), atol=1e-5)
     scored = model.transform(df).collect()
@@ -97,9 +98,14 @@ def test_many_boosters_grow_as_if_alone(spark):
     df, val = _frame(spark, x[:300], y[:300]), _frame(spark, x[300:], y[300:])
     cols = ["x0", "x1", "x2", "x3"]
     params = [B.Boosting(15, 0.3, 3, "leaf", 6, least_rows=5, patience=3), B.Boosting(9, 0.2, 2, "level", rows=0.7, columns=0.5)]
-    together = B.fit_boosters({1: (df, val, cols), 2: (df.filter("x0 > -1"), None, cols[:3])}, [(1, params[0], 5), (1, params[1], 6), (2, params[0], 7)])
-    alone = [B.fit_boosters({1: (df, val, cols)}, [(1, params[0], 5)])[0], B.fit_boosters({1: (df, val, cols)}, [(1, params[1], 6)])[0],
-             B.fit_boosters({2: (df.filter("x0 > -1"), None, cols[:3])}, [(2, params[0], 7)])[0]]
+    # the groups have 400 and 250 rows: shared steps, tasks of their own, and one of each
+    asks = [(1, params[0], 5), (1, params[1], 6), (2, params[0], 7)]
+    frames = {1: (df, val, cols), 2: (df.filter("x0 > -1"), None, cols[:3])}
+    together = B.fit_boosters(frames, asks, block_rows=100)
+    for block_rows in (300, 10_000):
+        for a, b in zip(together, B.fit_boosters(frames, asks, block_rows=block_rows)):
+            assert len(a.value) == len(b.value) and all(np.allclose(v, w) for v, w in zip(a.value, b.value)) and np.allclose(a.losses, b.losses)
+    alone = [B.fit_boosters({g: frames[g]}, [(g, p, seed)], block_rows=100)[0] for g, p, seed in asks]
     for a, b in zip(together, alone):
         assert len(a.value) == len(b.value) > 0
         assert all(np.allclose(v, w) for v, w in zip(a.value, b.value))

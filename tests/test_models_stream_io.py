@@ -1,6 +1,7 @@
 """Model smoke tests, calibration mapping, streaming equality, ADWIN, I/O."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
 from txnwatch.operators import balance as BA
@@ -38,13 +39,17 @@ def test_meta_learner_matches_sklearn_objective(spark):
 
 
 def test_models_beat_chance_and_gates(spark):
-    df = FE.engineer_velocity(txn(spark, SF_SMALL, with_v=False))
+    from txnwatch.plans import experiment as XE
+    df = FE.engineer_velocity(txn(spark, SF_SMALL, with_v=False)).withColumn("pos", F.col("TransactionID"))
     feats = ["TransactionAmt", "C1", "Card_Velocity_7d"]
-    data = MD.assemble(df, feats)
-    for kind in ("rf", "xgb"):
-        model = MD.build_estimator(kind, 1, "tiny").fit(data)
-        scored = MD.score_with(model, data, "s")
-        assert EV.roc_auc(EV.threshold_curve(scored, "s")).first()["roc_auc"] > 0.5
+    s = XE.Slice((0, 700), (700, 900), (0, 1000), 3)
+    fitted, rows = XE.fit_slices(df, {1: s}, feats, MD.ALL_MODELS, "tiny", 0.3)
+    scored = XE.score_slice(rows[1], fitted, 1, feats, MD.ALL_MODELS, ["isFraud"]).cache()
+    assert scored.columns == ["TransactionID", "isFraud", *MD.ALL_MODELS] and scored.count() == 1000
+    for kind in MD.TREE_MODELS:
+        assert EV.roc_auc(EV.threshold_curve(scored, kind)).first()["roc_auc"] > 0.5
+        assert abs(sum(fitted[1, kind].importances) - 1) < 1e-6
+    assert scored.filter(F.greatest(*MD.ALL_MODELS).between(0, 1)).count() == 1000
     w = MD.gate_weights(df, ["fraud_score", "score_b"]).collect()
     assert all(0 < r["gate_weight"] <= 1 for r in w)
 
@@ -68,14 +73,6 @@ def test_no_resample_and_oversample(spark):
     assert out.count() == big.count() + int(0.10 * n_maj) - n_min
 
 
-def test_smote_adds_minority(spark):
-    big = FE.engineer_velocity(txn(spark, SF_SMALL, with_v=False))
-    feats = ["TransactionAmt", "C1", "Card_Velocity_7d"]
-    n_min, n_maj = BA.class_counts(big)
-    out = BA.smote(big, feats, target_ratio=0.3, use_clusters=False, block_rows=16)
-    assert out.filter("isFraud = 1").count() > n_min
-
-
 def test_stream_equals_batch(spark):
     out, progress = SJ.run_to_table(SF.stream_card_features(SF.txn_stream(spark, SF_SMALL)), "test-str1")
     batch = FE.engineer_velocity(txn(spark, SF_SMALL, with_v=False))
@@ -166,34 +163,33 @@ def test_full_experiment_smoke(spark, tmp_path):
 
 
 def test_registered_models_are_whole(spark, monkeypatch):
-    """Model queries ask for the production profile, all models and balanced training rows."""
-    from pyspark.sql import functions as F
+    """Model queries ask for the production profile, all models and training rows balanced once per slice."""
     from txnwatch.plans import catalog
     from txnwatch.plans import experiment as XE
-    asked, balanced, build, prepare = [], [], MD.build_estimator, BA.prepare_training_data
-
-    def small(kind, seed=42, profile="fast", **kw):
-        asked.append((kind, profile))
-        return build(kind, seed, "tiny", **kw)
+    asked, balanced, prepare = [], [], BA.prepare_training_data
+    fit = XE.fit_slices
 
     def noted(df, features, label="isFraud", strategy=0.3, *rest, **kw):
         balanced.append(strategy)
         return prepare(df, features, label, strategy, *rest, **kw)
 
-    monkeypatch.setattr(MD, "build_estimator", small)
+    def small(frame, slices, features, models, profile="fast", balance=0.0, *rest, **kw):
+        asked.append((list(models), len(slices), profile, balance))
+        assert all(s.val for s in slices.values())
+        return fit(frame, slices, features, models, "tiny", balance, *rest, **kw)
+
+    monkeypatch.setattr(XE, "fit_slices", small)
     monkeypatch.setattr(BA, "prepare_training_data", noted)
-    out = catalog.REGISTRY["mod11"](spark, SF_SMALL)
-    six = ["rf", "xgb", "lgb", "cat", "mlp", "seq_gbt"]
-    assert asked == [(k, "fast") for k in six] and balanced == [0.3] * 4
-    assert out.columns == ["TransactionID", *six] and out.filter(F.greatest(*six).between(0, 1)).count() == out.count() > 0
-    fits = []
-
-    def fake(kind, train, val, rows, features, seed, profile, balance, *rest):
-        fits.append((kind, profile, balance))
-        return rows.select("TransactionID", F.lit(0.5).alias(kind))
-
-    monkeypatch.setattr(XE, "_fit_and_score", fake)
-    for name, n in (("mod1", 1), ("mod2", 1), ("mod3", 1), ("mod4", 1), ("mod5", 1), ("mod6", 1), ("mod9", 1), ("mod10", 30), ("spl4", 30)):
-        fits.clear()
-        catalog.REGISTRY[name](spark, SF_SMALL)
-        assert len(fits) == n and {x[1:] for x in fits} == {("fast", 0.3)}
+    six = ["rf", "xgb", "lgb", "cat", "mlp", "lstm"]
+    assert six == MD.ALL_MODELS
+    for name, models, n in (("mod3", six[2:3], 1), ("mod11", six, 1), ("mod10", six, 5)):
+        asked.clear()
+        balanced.clear()
+        out = catalog.REGISTRY[name](spark, SF_SMALL)
+        assert asked == [(models, n, "fast", 0.3)]
+        assert balanced == [0.3] * (n if set(models) & set(MD.TREE_MODELS) else 0)
+        if name == "mod10":
+            scored = out.filter(F.col("rf").isNotNull())
+            assert scored.count() == scored.filter(F.greatest(*six).between(0, 1)).count() > 0
+        else:
+            assert out.columns == ["TransactionID", *models] and out.filter(F.greatest(*models, F.lit(-1)).between(0, 1)).count() == out.count() > 0

@@ -10,7 +10,8 @@ A tree takes a step per level: best-first growth under a leaf limit is the same
 a node's split is found when its turn comes or one level ahead, so all nodes of a level are
 counted together and the limit is applied to the finished levels, best gain first.  Boosters
 (other models, other folds) grow in the same steps, each until its validation loss has not fallen
-for ``patience`` rounds.
+for ``patience`` rounds.  A group whose rows are one block needs no merging: its boosters grow by the
+same code, each in a task of its own.
 
 ``growth`` is "leaf" (best first, up to ``leaves`` leaves), "level" (all nodes) or "symmetric"
 (one split for all nodes of a level).
@@ -30,8 +31,8 @@ from pyspark.sql import functions as F
 
 from txnwatch.session import checkpoint_dir
 
-#: Rows of a block, at most; a block is what a task works on at once.
-BLOCK_ROWS = 50_000
+#: Rows of a block, at most; a block is what a task works on at once (about 60 bytes a row at 13 features).
+BLOCK_ROWS = 131_072
 #: Rounds after which the rows' lineage is cut by a reliable checkpoint.
 CHECKPOINT_ROUNDS = 40
 #: Relative accuracy of the quantiles that part the bins.
@@ -112,23 +113,29 @@ def binned(x: np.ndarray, edges: Sequence[np.ndarray]) -> np.ndarray:
     return np.column_stack([np.searchsorted(e, x[:, k], "left") for k, e in enumerate(edges)]).astype(np.uint8) if len(edges) else np.zeros((len(x), 0), np.uint8)
 
 
-def descend(bins: np.ndarray, feature: np.ndarray, cut: np.ndarray) -> np.ndarray:
-    """The node of one tree where each row ends."""
-    node, rows = np.zeros(len(bins), np.int64), np.arange(len(bins))
+def _descend_by(columns: np.ndarray, feature: np.ndarray, cut: np.ndarray, node: np.ndarray) -> np.ndarray:
+    """The node of one tree where each row ends, from ``node`` on; ``columns`` has a row per feature."""
+    rows = np.arange(columns.shape[1])
     for _ in range(len(feature).bit_length()):
         f = feature[node]
-        inner = f >= 0
-        if not inner.any():
+        inner = np.flatnonzero(f >= 0) if node.any() or f.min(initial=0) < 0 else rows
+        if not len(inner):
             break
-        right = bins[rows, np.maximum(f, 0)] > cut[node]
-        node = np.where(inner, 2 * node + 1 + right, node)
+        at = node[inner]
+        node = node.copy()
+        node[inner] = 2 * at + 1 + (columns[f[inner], inner] > cut[at])
     return node
 
 
+def descend(bins: np.ndarray, feature: np.ndarray, cut: np.ndarray) -> np.ndarray:
+    """The node of one tree where each row ends."""
+    return _descend_by(np.ascontiguousarray(bins.T), feature, cut, np.zeros(len(bins), np.int64))
+
+
 def sum_trees(bins: np.ndarray, feature: np.ndarray, cut: np.ndarray, value: np.ndarray) -> np.ndarray:
-    total = np.zeros(len(bins))
+    total, columns, root = np.zeros(len(bins)), np.ascontiguousarray(bins.T), np.zeros(len(bins), np.int64)
     for f, c, v in zip(feature, cut, value, strict=True):
-        total += v[descend(bins, f, c)]
+        total += v[_descend_by(columns, f, c, root)]
     return total
 
 
@@ -241,42 +248,58 @@ class _Growing:
                 del trees[self.best_round:]
 
 
-def _histograms(block: tuple, requests: list[tuple]) -> dict[int, np.ndarray]:
-    """Per booster, the histograms of the nodes it asks for over the training rows of one block."""
-    group, number, bins, y, is_val, raw, slots = block
-    out, gradients = {}, {}
+def _drawn(keys: np.ndarray, share: float, seed: int, tree: int) -> np.ndarray:
+    """Which rows a tree draws, by a hash of the row: the same wherever the row is."""
+    x = keys ^ np.uint64((seed * 0x9E3779B97F4A7C15 + tree * 0xD1B54A32D192ED03 + 1) % 2**64)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return (x >> np.uint64(11)).astype(np.float64) < share * 2.0**53
+
+
+def _histograms(block: tuple, requests: list[tuple], memo: dict | None = None) -> dict[int, np.ndarray]:
+    """Per booster, the histograms of the nodes it asks for over the training rows of one block.
+
+    With a ``memo`` that is kept between the steps of a tree, drawn rows go down one level from where they
+    were instead of all the way from the root.
+    """
+    group, keys, bins, y, is_val, raw, slots = block
+    out, memo = {}, {} if memo is None else memo
     for b, g, asked, feature, cut, columns, n_bins, share, seed, tree in requests:
-        if g != group or not asked:
+        if g != group or not asked or b not in slots:
             continue
-        if b not in gradients:
-            p = sigmoid(raw[:, slots[b]])
-            gradients[b] = p - y, p * (1 - p)
-        grad, hess = gradients[b]
+        known = memo.get(b)
+        if known is None or known[0] != tree:
+            use = ~is_val & _drawn(keys, share, seed, tree) if share < 1 else ~is_val
+            rows = np.flatnonzero(use)
+            p = sigmoid(raw[rows, slots[b]])
+            own = np.ascontiguousarray(bins[rows].T)  # by feature
+            known = [tree, own, p - y[rows], p * (1 - p), _descend_by(own, feature, cut, np.zeros(len(rows), np.int64))]
+        else:
+            known[4] = _descend_by(known[1], feature, cut, known[4])
+        memo[b] = known
+        _, own, grad, hess, node = known
         place = np.full(len(feature), -1, np.int64)
         place[asked] = np.arange(len(asked))
-        at = place[descend(bins, feature, cut)]
-        use = (at >= 0) & ~is_val
-        if share < 1:
-            use &= np.random.default_rng([seed, tree, number]).random(len(y)) < share
-        rows = np.flatnonzero(use)
-        at, own_g, own_h = at[rows] * n_bins, grad[rows], hess[rows]
-        hist = np.zeros((len(asked), len(columns), n_bins, 3))
+        at = place[node]
+        some = np.flatnonzero(at >= 0)
+        at, grad, hess = at[some] * n_bins, grad[some], hess[some]
+        hist, size = np.zeros((len(asked), len(columns), n_bins, 3)), len(asked) * n_bins
         for k, c in enumerate(columns):
-            key, size = at + bins[rows, c], len(asked) * n_bins
-            for channel, w in enumerate((own_g, own_h, None)):
+            key = at + own[c][some]
+            for channel, w in enumerate((grad, hess, None)):
                 hist[:, k, :, channel] = np.bincount(key, w, size).reshape(len(asked), n_bins)
         out[b] = hist
     return out
 
 
 def _add_tree(block: tuple, trees: dict[int, tuple]) -> tuple:
-    group, number, bins, y, is_val, raw, slots = block
+    group, keys, bins, y, is_val, raw, slots = block
     fresh = raw.copy()
     for b, slot in slots.items():
         if b in trees:
             feature, cut, value = trees[b]
             fresh[:, slot] += value[descend(bins, feature, cut)]
-    return group, number, bins, y, is_val, fresh, slots
+    return group, keys, bins, y, is_val, fresh, slots
 
 
 def _losses(block: tuple) -> dict[int, np.ndarray]:
@@ -304,13 +327,88 @@ def bin_edges(df: DataFrame, features: Sequence[str], bins: int, by: str = "grou
     return {r[by]: ([np.unique(np.array(r[f"e{k}"], np.float64)) for k in range(len(features))], int(r.n), int(r.p)) for r in own.collect()}
 
 
+class _LocalRows:
+    """The blocks of one task, as what a booster grows on."""
+
+    def __init__(self, blocks: list[tuple]):
+        self.blocks, self.memos = blocks, [{} for _ in blocks]
+
+    def step(self, requests: list[tuple], with_loss: bool) -> tuple[dict, dict]:
+        hist, loss = {}, {}
+        for block, memo in zip(self.blocks, self.memos):
+            _merged(hist, _histograms(block, requests, memo))
+            if with_loss:
+                _merged(loss, _losses(block))
+        return hist, loss
+
+    def add(self, trees: dict[int, tuple]) -> None:
+        self.blocks = [_add_tree(block, trees) for block in self.blocks]
+
+
+class _SharedRows:
+    """The blocks of all tasks: a step is a job with one tree aggregate, and the raw scores after a tree are a new version of the blocks."""
+
+    def __init__(self, data, tasks: int):
+        self.data, self.depth, self.old, self.rounds = data.persist(StorageLevel.MEMORY_AND_DISK), 1 if tasks <= 32 else 2, [], 0
+
+    def step(self, requests: list[tuple], with_loss: bool) -> tuple[dict, dict]:
+        work = lambda rows: [_LocalRows(list(rows)).step(requests, with_loss)]
+        found = self.data.mapPartitions(work).treeReduce(lambda a, b: (_merged(a[0], b[0]), _merged(a[1], b[1])), depth=self.depth)
+        for x in self.old:
+            x.unpersist()
+        self.old = []
+        return found
+
+    def add(self, trees: dict[int, tuple]) -> None:
+        self.rounds += 1
+        fresh = self.data.map(lambda block: _add_tree(block, trees)).persist(StorageLevel.MEMORY_AND_DISK)
+        if self.rounds % CHECKPOINT_ROUNDS == 0:
+            fresh.checkpoint()
+        self.old.append(self.data)
+        self.data = fresh
+
+    def release(self) -> None:
+        for x in [self.data, *self.old]:
+            x.unpersist()
+
+
+def _grow(boosters: list[_Growing], rows, has_val: set[int]) -> None:
+    """Grow all boosters on ``rows`` until each is done, one tree each in a round, one step per level."""
+    rounds = 0
+    while growing := [b for b in boosters if not b.done]:
+        for b in growing:
+            b.start()
+        for level in range(max(b.p.depth for b in growing)):
+            asking = [b for b in growing if level < b.p.depth and b.asked]
+            if not asking:
+                break
+            hist, loss = rows.step([b.request() for b in asking], level == 0 and rounds > 0)
+            if level == 0 and rounds:
+                for b in growing:
+                    b.judge(loss[b.number][0] / loss[b.number][1] if b.group in has_val and b.number in loss else None)
+            for b in asking:
+                if not b.done:
+                    b.take(hist[b.number], level)
+            growing = [b for b in growing if not b.done]
+        if not growing:
+            break
+        for b in growing:
+            b.finish()
+        rows.add({b.number: (b.model.feature[-1], b.model.bin[-1], b.model.value[-1]) for b in growing})
+        rounds += 1
+
+
 def fit_boosters(frames: dict[int, tuple[DataFrame, DataFrame | None, Sequence[str]]], asks: Sequence[tuple[int, Boosting, int]],
-                 label: str = "isFraud") -> list[Trees]:
-    """Fit one booster for each (group, parameters, seed) of ``asks``, all in the same growth steps.
+                 label: str = "isFraud", block_rows: int = BLOCK_ROWS) -> list[Trees]:
+    """Fit one booster for each (group, parameters, seed) of ``asks``.
 
     ``frames`` has each group's training rows, validation rows (None: no early stopping) and
     features.  Missing feature values are ``FILL``; null labels take no part.  A group
     without rows, or with one class, gives boosters of no tree.
+
+    A group of at most ``block_rows`` rows is one block: nothing is to be merged between tasks, so each of its
+    boosters grows in a task of its own, all at the same time.  Larger groups grow in shared steps.  Both run
+    the same growth, and which rows and columns a tree draws doesn't depend on it.
     """
     first = next(iter(frames.values()))[0]
     spark = first.sparkSession
@@ -326,7 +424,7 @@ def fit_boosters(frames: dict[int, tuple[DataFrame, DataFrame | None, Sequence[s
                 both = own if both is None else both.unionByName(own)
     checkpoint_dir(spark)
     both = both.checkpoint()  # blocks are cut from it again if an executor is lost
-    n_rows = both.count()
+    sizes = {r["group"]: r["count"] for r in both.groupBy("group").count().collect()}
     widths = {g: len(fs) for g, (_, _, fs) in frames.items()}
     edges = {}
     for width in set(widths.values()):
@@ -341,76 +439,55 @@ def fit_boosters(frames: dict[int, tuple[DataFrame, DataFrame | None, Sequence[s
         boosters[-1].done |= not 0 < pos < n
     slots = {g: {b.number: i for i, b in enumerate(x for x in boosters if x.group == g)} for g in frames}
     bases = {g: np.array([b.model.base for b in boosters if b.group == g]) for g in frames}
-    shared_edges = sc.broadcast({g: e for g, (e, _, _) in edges.items()})
-    tasks = max(1, min(sc.defaultParallelism, -(-n_rows // 2000), 1 << 12) if n_rows <= BLOCK_ROWS * sc.defaultParallelism else -(-n_rows // BLOCK_ROWS))
-
-    def blocks(part, rows):
-        held: dict[int, list] = {}
-        number = 0
-
-        def cut(g):
-            nonlocal number
-            own = held.pop(g)
-            x = np.array([r[3] for r in own], np.float64).reshape(len(own), widths[g])
-            number += 1
-            raw = np.tile(bases[g].astype(np.float64), (len(own), 1))
-            return (g, part * 1_000_000 + number, binned(x, shared_edges.value.get(g, [np.zeros(0)] * widths[g])), np.array([r[1] for r in own]), np.array([r[2] for r in own], bool), raw, slots[g])
-
-        for r in rows:
-            held.setdefault(r[0], []).append(r)
-            if len(held[r[0]]) >= BLOCK_ROWS:
-                yield cut(r[0])
-        for g in list(held):
-            yield cut(g)
-
-    # the hash of the row deals equal rows alike, so a recomputed block is the same block
-    dealt = both.repartition(tasks, F.xxhash64("group", "y", "is_val", "x")).sortWithinPartitions("group", "is_val", "y", "x")
-    data = dealt.rdd.map(tuple).mapPartitionsWithIndex(blocks).persist(StorageLevel.MEMORY_AND_DISK)
-    depth = 1 if tasks <= 32 else 2
-    old = []
     has_val = {g for g, (_, val, _) in frames.items() if val is not None}
-    rounds = 0
-    while growing := [b for b in boosters if not b.done]:
-        for b in growing:
-            b.start()
-        for level in range(max(b.p.depth for b in growing)):
-            asking = [b for b in growing if level < b.p.depth and b.asked]
-            if not asking:
-                break
-            requests, with_loss = [b.request() for b in asking], level == 0 and rounds > 0
-
-            def step(rows, requests=requests, with_loss=with_loss):
-                hist, loss = {}, {}
-                for block in rows:
-                    _merged(hist, _histograms(block, requests))
-                    if with_loss:
-                        _merged(loss, _losses(block))
-                yield hist, loss
-
-            hist, loss = data.mapPartitions(step).treeReduce(lambda a, b: (_merged(a[0], b[0]), _merged(a[1], b[1])), depth=depth)
-            for x in old:
-                x.unpersist()
-            old = []
-            if with_loss:
-                for b in growing:
-                    b.judge(loss[b.number][0] / loss[b.number][1] if b.group in has_val and b.number in loss else None)
-            for b in asking:
-                if not b.done:
-                    b.take(hist[b.number], level)
-            growing = [b for b in growing if not b.done]
-        if not growing:
-            break
-        for b in growing:
-            b.finish()
-        trees = {b.number: (b.model.feature[-1], b.model.bin[-1], b.model.value[-1]) for b in growing}
-        rounds += 1
-        fresh = data.map(lambda block, trees=trees: _add_tree(block, trees)).persist(StorageLevel.MEMORY_AND_DISK)
-        if rounds % CHECKPOINT_ROUNDS == 0:
-            fresh.checkpoint()
-        old.append(data)
-        data = fresh
-    data.unpersist()
-    for x in old:
-        x.unpersist()
+    shared_edges = sc.broadcast({g: e for g, (e, _, _) in edges.items()})
+    n_rows = sum(sizes.values())
+    tasks = max(1, min(sc.defaultParallelism, -(-n_rows // 2000)), -(-n_rows // block_rows))
+    ddl = "group int, keys binary, bins binary, y binary, is_val binary"
+
+    def blocks(batches):
+        for batch in batches:
+            group = batch.column(0).to_numpy()
+            for g in np.unique(group).tolist():
+                own = batch.filter(pa.array(group == g))
+                x = own.column(3).flatten().to_numpy().reshape(own.num_rows, widths[g])
+                parts = (own.column(4).to_numpy(), binned(x, shared_edges.value.get(g, [np.zeros(0)] * widths[g])), own.column(1).to_numpy(),
+                         own.column(2).to_numpy(zero_copy_only=False).astype(np.uint8))
+                yield pa.RecordBatch.from_arrays([pa.array([g], pa.int32()), *(pa.array([np.ascontiguousarray(p).tobytes()], pa.binary()) for p in parts)],
+                                                 names=["group", "keys", "bins", "y", "is_val"])
+
+    keyed = both.withColumn("key", F.xxhash64("y", "x"))
+    # the hash of the row deals equal rows alike and the sort fixes their order, so a recomputed block is the same block
+    dealt = keyed.repartition(tasks, F.xxhash64("group", "is_val", "key")).sortWithinPartitions("group", "is_val", "key", "x")
+
+    def opened(r) -> tuple:
+        g = r[0]
+        y = np.frombuffer(r[3], np.float64)
+        return g, np.frombuffer(r[1], np.uint64), np.frombuffer(r[2], np.uint8).reshape(len(y), widths[g]), y, np.frombuffer(r[4], bool), np.tile(bases[g], (len(y), 1)), slots[g]
+
+    data = dealt.mapInArrow(blocks, ddl).rdd.map(opened)
+    small = [b for b in boosters if sizes.get(b.group, 0) <= block_rows]
+    large = [b for b in boosters if sizes.get(b.group, 0) > block_rows]
+    if small:
+        number = {b.number: i for i, b in enumerate(small)}
+
+        def grown(rows):
+            own = sorted(rows, key=lambda kv: kv[1][1][:1].tobytes())
+            if own:
+                booster = small[own[0][0]]  # a few kilobytes each, sent with the task
+                joined = tuple(np.concatenate([kv[1][c] for kv in own]) for c in range(1, 5))
+                raw = np.full((len(joined[2]), 1), booster.model.base)
+                _grow([booster], _LocalRows([(booster.group, *joined, raw, {booster.number: 0})]), has_val)
+                m = booster.model
+                yield own[0][0], m.feature, m.bin, m.value, m.gains, m.losses
+
+        dealt_out = data.flatMap(lambda block: [(number[b], block) for b in block[6] if b in number]).partitionBy(len(small), lambda k: k)
+        for i, *found in dealt_out.mapPartitions(grown).collect():
+            m = small[i].model
+            m.feature, m.bin, m.value, m.gains, m.losses = found
+    if large:
+        rows = _SharedRows(data, tasks)
+        _grow(large, rows, has_val)
+        rows.release()
     shared_edges.unpersist()
     return [b.model for b in boosters]

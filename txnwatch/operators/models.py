@@ -1,7 +1,7 @@
 """Model fitting, gating, stacking and calibration on ``pyspark.ml`` (MOD*, STK*).
 
-Every fit is a distributed ``pyspark.ml`` job; the driver only loops over
-folds and models and holds fitted coefficients (a handful of doubles).
+Forests and linear models are ``pyspark.ml`` fits; boosted trees (``boosting``) and networks (``neural``) grow
+in jobs over row blocks.  The driver holds trees, weights and coefficients, never rows.
 Linear models are applied as column expressions, so scoring stays inside
 whole-stage codegen.
 """
@@ -14,42 +14,47 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
-from pyspark.ml.classification import (GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier,
-                                       RandomForestClassifier)
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from txnwatch.operators.boosting import Boosting, filled
 from txnwatch.operators.evaluate import roc_auc, threshold_curve
+from txnwatch.operators.neural import Training
 from txnwatch.operators.scan import compact_for_fit, keyed_expanding, plan_time_chunks
 
 # Fixed hyper-parameter profiles (research / fast) plus a tiny test profile.
+NETS = {"mlp": Training(epochs=15, rate=0.001), "lstm": Training(epochs=12, rate=0.002)}
 PROFILES = {
     "research": {
         "rf": dict(numTrees=500, maxDepth=15),
-        "xgb": dict(maxIter=800, stepSize=0.03, maxDepth=8),
-        "lgb": dict(maxIter=800, stepSize=0.03, maxDepth=8),
-        "cat": dict(maxIter=800, stepSize=0.03, maxDepth=8),
+        "xgb": Boosting(800, 0.03, 8, "level", least_hessian=1.0, l1=0.5, l2=2.0, least_gain=2.0, rows=0.8, columns=0.7, patience=50),
+        "lgb": Boosting(800, 0.03, 8, "leaf", leaves=63, least_rows=100, rows=0.8, columns=0.7, patience=50),
+        "cat": Boosting(800, 0.03, 8, "symmetric", l2=3.0, patience=50),
+        **NETS,
     },
     "fast": {
         "rf": dict(numTrees=160, maxDepth=12),
-        "xgb": dict(maxIter=360, stepSize=0.05, maxDepth=6),
-        "lgb": dict(maxIter=420, stepSize=0.05, maxDepth=7),
-        "cat": dict(maxIter=360, stepSize=0.05, maxDepth=6),
+        "xgb": Boosting(360, 0.05, 6, "level", least_hessian=1.0, l1=0.5, l2=2.0, least_gain=2.0, rows=0.8, columns=0.7, patience=30),
+        "lgb": Boosting(420, 0.05, 7, "leaf", leaves=47, least_rows=100, rows=0.8, columns=0.7, patience=30),
+        "cat": Boosting(360, 0.05, 6, "symmetric", l2=3.0, patience=30),
+        **NETS,
     },
     "tiny": {
         "rf": dict(numTrees=10, maxDepth=4),
-        "xgb": dict(maxIter=10, stepSize=0.1, maxDepth=4),
-        "lgb": dict(maxIter=10, stepSize=0.1, maxDepth=4),
-        "cat": dict(maxIter=10, stepSize=0.1, maxDepth=4),
+        "xgb": Boosting(8, 0.1, 4, "level", least_hessian=1.0, l1=0.5, l2=2.0, rows=0.8, columns=0.7, patience=3),
+        "lgb": Boosting(8, 0.1, 4, "leaf", leaves=9, least_rows=10, columns=0.7, patience=3),
+        "cat": Boosting(8, 0.1, 3, "symmetric", l2=3.0, patience=3),
+        "mlp": Training(epochs=2, rate=0.005), "lstm": Training(epochs=1, rate=0.005),
     },
 }
-MLP_HIDDEN = [256, 128, 64]
-TREE_MODELS = ["rf", "xgb", "lgb", "cat"]
-#: MOD1-MOD6; the sequence model has pooled history columns besides the others' features.
-ALL_MODELS = [*TREE_MODELS, "mlp", "seq_gbt"]
+BOOSTED = ["xgb", "lgb", "cat"]
+TREE_MODELS = ["rf", *BOOSTED]
+#: MOD1-MOD6.
+ALL_MODELS = [*TREE_MODELS, "mlp", "lstm"]
 FOCAL_ALPHA, FOCAL_GAMMA = 0.75, 2.0
 GATE_TAU = 0.60
 META_C = 0.01
@@ -79,26 +84,14 @@ def align_features(df: DataFrame, feature_names: Sequence[str]) -> DataFrame:
     return df.select(*feature_names)
 
 
-# --- MOD1-5: estimators ------------------------------------------------------------------
+# --- MOD1-6: fitting ---------------------------------------------------------------------
 
 def build_estimator(kind: str, seed: int = 42, profile: str = "fast", features_col: str = "features",
-                    label_col: str = "isFraud", n_features: int | None = None):
-    p = PROFILES[profile]
-    common = dict(featuresCol=features_col, labelCol=label_col, seed=seed)
+                    label_col: str = "isFraud"):
+    """The ``pyspark.ml`` estimators: the forest ("rf") and plain logistic regression ("lr")."""
     if kind == "rf":
-        return RandomForestClassifier(minInstancesPerNode=10, **p["rf"], **common)
-    if kind in ("xgb", "seq_gbt"):
-        return GBTClassifier(subsamplingRate=0.8, featureSubsetStrategy="0.7", **p["xgb"], **common)
-    if kind == "lgb":
-        return GBTClassifier(subsamplingRate=0.8, featureSubsetStrategy="0.7", minInstancesPerNode=100,
-                             **p["lgb"], **common)
-    if kind == "cat":
-        return GBTClassifier(maxBins=64, **p["cat"], featuresCol=features_col, labelCol=label_col, seed=seed + 7)
-    if kind == "mlp":
-        if not n_features:
-            raise ValueError("mlp needs n_features")
-        return MultilayerPerceptronClassifier(layers=[n_features, *MLP_HIDDEN, 2], maxIter=100 if profile != "tiny"
-                                              else 10, **common)
+        return RandomForestClassifier(featuresCol=features_col, labelCol=label_col, seed=seed, minInstancesPerNode=10,
+                                      **PROFILES[profile]["rf"])
     if kind == "lr":
         return LogisticRegression(featuresCol=features_col, labelCol=label_col)
     raise ValueError(f"unknown model kind {kind!r}")
@@ -108,22 +101,38 @@ def positive_probability(df: DataFrame, prob_col: str = "probability", out_col:
     return df.withColumn(out_col, vector_to_array(F.col(prob_col)).getItem(1))
 
 
-def fit_model(estimator, train: DataFrame, val: DataFrame | None = None):
-    """MOD9: fit, using the validation rows for early stopping where the
-    estimator supports it (boosted trees)."""
-    if val is not None and isinstance(estimator, GBTClassifier):
-        both = (train.withColumn("_is_val", F.lit(False))
-                .unionByName(val.withColumn("_is_val", F.lit(True))))
-        estimator = estimator.copy().setValidationIndicatorCol("_is_val")
-        return estimator.fit(both)
-    return estimator.fit(train)
-
-
 def score_with(model, df: DataFrame, out_col: str = "score") -> DataFrame:
     out = positive_probability(model.transform(df), out_col=out_col)
     return out.drop("rawPrediction", "probability", "prediction")
 
 
+@dataclass
+class Forest:
+    """A fitted forest that scores frames of plain feature columns, as the other models do."""
+    model: object
+    features: list[str]
+
+    @property
+    def importances(self):
+        return self.model.featureImportances.toArray()
+
+    def transform(self, df: DataFrame, out_col: str = "score") -> DataFrame:
+        # missing features are filled in a copy: the frame's own columns stay as they are
+        vector = array_to_vector(F.array(*[filled(F.col(c)) for c in self.features]))
+        return score_with(self.model, df.withColumn("_features", vector), out_col).drop("_features")
+
+
+def fit_forest(train: DataFrame, features: Sequence[str], seed: int, profile: str = "fast", label: str = "isFraud") -> Forest:
+    """MOD1."""
+    rows = train.select(array_to_vector(F.array(*[filled(F.col(c)) for c in features])).alias("_features"), label)
+    # an iterative fit scans its input many times: keep it materialised for the fit only
+    rows = compact_for_fit(rows).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return Forest(build_estimator("rf", seed, profile, "_features", label).fit(rows), list(features))
+    finally:
+        rows.unpersist()
+
+
 # --- MOD7: focal loss ------------------------------------------------------------------------
 
 def focal_loss(df: DataFrame, score: str = "fraud_score", label: str = "isFraud", alpha: float = FOCAL_ALPHA,
@@ -374,5 +383,4 @@ def feature_stability(importances: DataFrame, n_folds: int) -> tuple[DataFrame,
 
 def fold_importances(model, features: Sequence[str], model_name: str, fold: int) -> list[tuple]:
     """Rows (model, fold, feature, importance) of a fitted tree ensemble."""
-    imp = model.featureImportances.toArray()
-    return [(model_name, fold, f, float(v)) for f, v in zip(features, imp)]
+    return [(model_name, fold, f, float(v)) for f, v in zip(features, model.importances)]

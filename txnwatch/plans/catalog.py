@@ -585,45 +585,21 @@ def _ml_prepared(spark, sf) -> XE.Prepared:
     return XE.Prepared(feats.drop("fraud_score", "score_b"), n, SP.holdout_bounds(n, gap=gap), ML_FEATURES, gap)
 
 
-def _with_sequence(p: XE.Prepared) -> XE.Prepared:
-    """MOD6: sequence view re-aimed: pooled statistics of the previous 10 rows of
-    the card (WIN12 history) feed a boosted-tree classifier."""
-    seq = FE.build_sequences(p.frame, "card1", ["TransactionAmt"], 10, out_col="seq")
-    hist = F.transform(F.slice(F.col("seq"), F.lit(10) - F.col("seq_len") + 1, F.col("seq_len")), lambda v: v[0])
-    pooled = seq.withColumns({
-        "seq_mean": F.coalesce(F.try_divide(F.aggregate(hist, F.lit(0.0), lambda a, x: a + x), F.col("seq_len")),
-                               F.lit(0.0)),
-        "seq_last": F.coalesce(F.try_element_at(hist, F.lit(-1)), F.lit(0.0)),
-        "seq_len_d": F.col("seq_len").cast("double"),
-    }).withColumn("seq_delta", F.col("TransactionAmt") - F.col("seq_last"))
-    return XE.Prepared(pooled, p.n, p.holdout, p.features, p.gap, ["seq_mean", "seq_last", "seq_len_d", "seq_delta"])
-
-
 #: All model queries: the production profile, and the minority share that tree models are balanced to.
 PROFILE, BALANCE = "fast", 0.30
 
 
 def _single_model(kind):
+    """One model, fitted on the internal-fit rows, stopped on the internal validation rows, scoring the holdout."""
     def q(spark, sf):
-        p = _ml_prepared(spark, sf)
-        train = p.frame.filter(F.col("pos") < p.holdout.train_end)
-        hold = p.frame.filter(F.col("pos") >= p.holdout.test_start)
-        return XE._fit_and_score(kind, train, None, hold, p.features, 42, PROFILE, BALANCE)
+        return XE.refit_and_score_holdout(_ml_prepared(spark, sf), [kind], PROFILE, balance=BALANCE, keep=())
     return q
 
 
-for _id, _kind in (("mod1", "rf"), ("mod2", "xgb"), ("mod3", "lgb"), ("mod4", "cat"), ("mod5", "mlp")):
+for _id, _kind in (("mod1", "rf"), ("mod2", "xgb"), ("mod3", "lgb"), ("mod4", "cat"), ("mod5", "mlp"), ("mod6", "lstm")):
     register(_id)(_single_model(_kind))
 
 
-@register("mod6")
-def q_mod6(spark, sf):
-    p = _with_sequence(_ml_prepared(spark, sf))
-    train = p.frame.filter(F.col("pos") < p.holdout.train_end)
-    hold = p.frame.filter(F.col("pos") >= p.holdout.test_start)
-    return XE._fit_and_score("seq_gbt", train, None, hold, p.features_of("seq_gbt"), 42, PROFILE, BALANCE)
-
-
 @register("mod7")
 def q_mod7(spark, sf):
     return _round_all(MD.focal_loss(_base(spark, sf), "fraud_score", "isFraud"))
@@ -631,16 +607,17 @@ def q_mod7(spark, sf):
 
 @register("mod9")
 def q_mod9(spark, sf):
+    """Fitting with validation rows: how many rounds each boosted model kept, and its validation loss by round."""
     p = _ml_prepared(spark, sf)
     ib = SP.internal_eval_bounds(p.holdout.train_end, gap=p.gap)
-    fit_rows = p.frame.filter(F.col("pos") < ib.train_end)
-    val_rows = p.frame.filter((F.col("pos") >= ib.test_start) & (F.col("pos") < p.holdout.train_end))
-    hold = p.frame.filter(F.col("pos") >= p.holdout.test_start)
-    return XE._fit_and_score("xgb", fit_rows, val_rows, hold, p.features, 42, PROFILE, BALANCE)
+    s = XE.Slice((0, ib.train_end), (ib.test_start, p.holdout.train_end), (p.holdout.test_start, p.n), 42 + 999)
+    fitted, _ = XE.fit_slices(p.frame, {0: s}, p.features, MD.BOOSTED, PROFILE, BALANCE)
+    rows = [(m, k + 1, float(v), int(k < len(fitted[0, m].value))) for m in MD.BOOSTED for k, v in enumerate(fitted[0, m].losses)]
+    return spark.createDataFrame(rows, "model string, round int, validation_loss double, kept int")
 
 
-def _all_out_of_fold(spark, sf):
-    return XE.out_of_fold(_with_sequence(_ml_prepared(spark, sf)), MD.ALL_MODELS, PROFILE, balance=BALANCE)
+def _all_out_of_fold(spark, sf, models=MD.ALL_MODELS):
+    return XE.out_of_fold(_ml_prepared(spark, sf), models, PROFILE, balance=BALANCE)
 
 
 @register("mod10")
@@ -650,8 +627,7 @@ def q_mod10(spark, sf):
 
 @register("mod11")
 def q_mod11(spark, sf):
-    p = _with_sequence(_ml_prepared(spark, sf))
-    return XE.refit_and_score_holdout(p, MD.ALL_MODELS, PROFILE, balance=BALANCE).select("TransactionID", *MD.ALL_MODELS)
+    return XE.refit_and_score_holdout(_ml_prepared(spark, sf), MD.ALL_MODELS, PROFILE, balance=BALANCE, keep=())
 
 
 @register("spl4")
@@ -1194,18 +1170,9 @@ def q_doc3(spark, sf):
 
 @register("doc4")
 def q_doc4(spark, sf):
-    p = _ml_prepared(spark, sf)
-    train_all = p.frame.filter(F.col("pos") < p.holdout.train_end)
-    folds = SP.walk_forward_folds(p.holdout.train_end, SP.N_SPLITS, p.gap)
-    rows = []
-    for f in folds:
-        fold_rows = train_all.filter(F.col("pos") < f.train_end)
-        tr = MD.assemble(BA.prepare_training_data(fold_rows, p.features, "isFraud", BALANCE, 42 + f.fold), p.features)
-        for kind in MD.TREE_MODELS:
-            m = MD.build_estimator(kind, 42 + f.fold, PROFILE).fit(tr)
-            rows += MD.fold_importances(m, p.features, kind, f.fold)
-    imp = spark.createDataFrame(rows, "model string, fold int, feature string, importance double")
-    by_model, _ = MD.feature_stability(imp, len(folds))
+    oof = _all_out_of_fold(spark, sf, MD.TREE_MODELS)
+    imp = spark.createDataFrame(oof.importances, "model string, fold int, feature string, importance double")
+    by_model, _ = MD.feature_stability(imp, len({r[1] for r in oof.importances}))
     return by_model
 
 

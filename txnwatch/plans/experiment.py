@@ -17,22 +17,23 @@ from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from txnwatch.operators import balance as BA
+from txnwatch.operators import boosting as BO
 from txnwatch.operators import drift as DR
 from txnwatch.operators import encode as EN
 from txnwatch.operators import evaluate as EV
 from txnwatch.operators import features as FE
 from txnwatch.operators import models as MD
+from txnwatch.operators import neural as NN
 from txnwatch.operators import route as RT
 from txnwatch.operators import smooth as SM
 from txnwatch.operators import split as SP
 from txnwatch.operators import stats as ST
 from txnwatch.operators.pca import fit_v_pca
-from txnwatch.operators.scan import add_global_position, compact_for_fit, plan_time_chunks
+from txnwatch.operators.scan import add_global_position, plan_time_chunks
 from txnwatch.session import cut_lineage
 from txnwatch.sources.fixtures import txn
 
@@ -75,10 +76,6 @@ class Prepared:
     holdout: SP.Holdout
     features: list[str]
     gap: int
-    sequence: list[str] = field(default_factory=list)  # further columns of the sequence model
-
-    def features_of(self, model: str) -> list[str]:
-        return self.features + (self.sequence if model == "seq_gbt" else [])
 
 
 def prepare(spark: SparkSession, sf_dir: str, gap: int = SP.GAP_SIZE, exclude_scores: bool = True) -> Prepared:
@@ -98,81 +95,116 @@ def prepare(spark: SparkSession, sf_dir: str, gap: int = SP.GAP_SIZE, exclude_sc
 class OOFResult:
     scores: DataFrame              # TransactionID, isFraud, one column per model (NULL where uncovered)
     models: list[str] = field(default_factory=list)
+    importances: list[tuple] = field(default_factory=list)  # (model, fold, feature, importance) of the tree models
+
+
+@dataclass(frozen=True)
+class Slice:
+    """Which rows, by position, models are fitted on, stop early on (None: they don't) and score."""
+    train: tuple[int, int]
+    val: tuple[int, int] | None
+    score: tuple[int, int]
+    seed: int
+
+    @staticmethod
+    def rows(frame: DataFrame, span: tuple[int, int]) -> DataFrame:
+        return frame.filter((F.col("pos") >= span[0]) & (F.col("pos") < span[1]))
+
+
+#: The LSTM reads the previous SEQ_LEN rows of the entity (WIN12).
+SEQ_LEN, SEQ_ENTITY = 10, "card1"
+
+
+def _sequences(frame: DataFrame, s: Slice, features: Sequence[str]) -> DataFrame:
+    """The slice's rows with ``_seq``, their entity's previous rows among them, standardised by the training rows."""
+    spans = [x for x in (s.train, s.val, s.score) if x]
+    own = frame.filter(" or ".join(f"(pos >= {a} and pos < {b})" for a, b in spans))
+    names = [f"_z{k}" for k in range(len(features))]
+    z = own.withColumns({n: MD.filled(F.col(f)) for n, f in zip(names, features)})
+    z = EN.transform_standard_scaler(z, EN.fit_standard_scaler(Slice.rows(z, s.train), names), names)
+    z = z.withColumns({n: F.least(F.greatest(F.col(n), F.lit(-NN.FAR)), F.lit(NN.FAR)) for n in names})
+    return cut_lineage(FE.build_sequences(z, SEQ_ENTITY, names, SEQ_LEN, out_col="_seq").drop(*names, "_seq_len"))
 
 
-def _fit_and_score(kind: str, train: DataFrame, val: DataFrame | None, score_rows: DataFrame, features: list[str],
-                   seed: int, profile: str, balance: float, method: str = "smote") -> DataFrame:
-    if kind in MD.TREE_MODELS and balance:
-        train = BA.prepare_training_data(train, features, "isFraud", balance, seed, method)
-    tr = MD.assemble(train, features)
-    va = MD.assemble(val, features) if val is not None else None
-    if kind == "mlp":
-        stats = EN.fit_standard_scaler(train, features)
-        tr = MD.assemble(EN.transform_standard_scaler(train, stats, features), features)
-        va = MD.assemble(EN.transform_standard_scaler(val, stats, features), features) if val is not None else None
-        score_in = MD.assemble(EN.transform_standard_scaler(score_rows, stats, features), features)
-    else:
-        score_in = MD.assemble(score_rows, features)
-    est = MD.build_estimator(kind, seed, profile, n_features=len(features))
-    # iterative fits scan their input many times: keep it materialised for the fit only
-    tr = compact_for_fit(tr.select("features", "isFraud")).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        model = MD.fit_model(est, tr, va.select("features", "isFraud") if va is not None and kind != "mlp"
-                             else None)
-    finally:
-        tr.unpersist()
-    return MD.score_with(model, score_in, out_col=kind).select("TransactionID", kind)
+def fit_slices(frame: DataFrame, slices: dict[int, Slice], features: Sequence[str], models: Sequence[str], profile: str = "fast",
+               balance: float = 0.0, method: str = "cluster_smote", parallelism: int = 4) -> tuple[dict, dict[int, DataFrame]]:
+    """``{(slice, model): fitted}`` and, per slice, the frame to score (``_seq`` in it if a model reads sequences).
+
+    A slice's training rows are balanced once, for all of its tree models.  The boosters of all slices grow in the same steps,
+    and so do the networks; forests are fits of their own, submitted from ``parallelism`` threads so Spark
+    schedules their jobs side by side.
+    """
+    features, profiles = list(features), MD.PROFILES[profile]
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+        trained = {}
+        if any(m in MD.TREE_MODELS for m in models):
+            def balanced(g):
+                rows = Slice.rows(frame, slices[g].train).select("TransactionID", "isFraud", *features)
+                return cut_lineage(BA.prepare_training_data(rows, features, "isFraud", balance, slices[g].seed, method).select("isFraud", *features))
+            trained = dict(zip(slices, pool.map(balanced, slices)))
+        seqs = dict(zip(slices, pool.map(lambda g: _sequences(frame, slices[g], features), slices))) if "lstm" in models else {}
+        base = {g: seqs.get(g, frame) for g in slices}
+        val_of = lambda g: Slice.rows(base[g], slices[g].val) if slices[g].val else None
+
+        def boosted():
+            kinds = [m for m in models if m in MD.BOOSTED]
+            asks = [(g, profiles[m], slices[g].seed + 7 * (m == "cat")) for g in slices for m in kinds]
+            found = BO.fit_boosters({g: (trained[g], val_of(g), features) for g in slices}, asks) if kinds else []
+            return dict(zip([(g, m) for g in slices for m in kinds], found))
+
+        def networks(m):
+            kind, seq = ("lstm", "_seq") if m == "lstm" else ("feed_forward", None)
+            frames = {g: (Slice.rows(base[g], slices[g].train), val_of(g), features) for g in slices}
+            return {(g, m): net for g, net in NN.fit_networks(frames, kind, profiles[m], {g: slices[g].seed for g in slices}, sequence=seq).items()}
+
+        jobs = [pool.submit(boosted)]
+        jobs += [pool.submit(lambda g=g: {(g, "rf"): MD.fit_forest(trained[g], features, slices[g].seed, profile)}) for g in slices if "rf" in models]
+        jobs += [pool.submit(networks, m) for m in ("mlp", "lstm") if m in models]
+        fitted = {k: v for j in jobs for k, v in j.result().items()}
+    return fitted, {g: Slice.rows(base[g], slices[g].score) for g in slices}
+
+
+def score_slice(rows: DataFrame, fitted: dict, g: int, features: Sequence[str], models: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
+    """(TransactionID, *keep, one column per model): the models of a slice, one after the other over the same rows."""
+    out = rows.select("TransactionID", *keep, *[f for f in features if f not in keep], *(["_seq"] if "lstm" in models else []))
+    for m in sorted(models, key=lambda m: m != "lstm"):
+        out = fitted[g, m].transform(out, m)
+        out = out.drop("_seq") if m == "lstm" else out
+    return out.select("TransactionID", *keep, *models)
 
 
 def out_of_fold(prep: Prepared, models: Sequence[str] = ("rf", "xgb"), profile: str = "fast", seed: int = 42,
-                n_splits: int = SP.N_SPLITS, balance: float = 0.0, parallelism: int = 4, method: str = "smote") -> OOFResult:
-    """MOD10: walk-forward folds over the training slice; each fold fits every
-    model (seed + fold) and scores its validation rows.  Independent
-    (fold, model) fits are submitted from ``parallelism`` threads so Spark
-    schedules their jobs concurrently (as ``CrossValidator(parallelism=)``)."""
+                n_splits: int = SP.N_SPLITS, balance: float = 0.0, parallelism: int = 4, method: str = "cluster_smote") -> OOFResult:
+    """MOD10: walk-forward folds over the training slice; each fold fits every model (seed + fold) on its balanced training
+    rows, stops early on its validation rows and scores them."""
     if len(models) < 2:
         raise ValueError("at least two models are required for stacking")
-    frame = prep.frame.persist(StorageLevel.MEMORY_AND_DISK)
-    train_all = frame.filter(F.col("pos") < prep.holdout.train_end)
     folds = SP.walk_forward_folds(prep.holdout.train_end, n_splits, prep.gap)
-    tasks = []
-    for f in folds:
-        tr = train_all.filter(F.col("pos") < f.train_end)
-        va = train_all.filter((F.col("pos") >= f.val_start) & (F.col("pos") < f.val_end))
-        tasks += [(m, tr, va, seed + f.fold) for m in models]
-
-    def run(task):
-        m, tr, va, s = task
-        return (_fit_and_score(m, tr, None, va, prep.features_of(m), s, profile, balance, method)
-                .withColumn("model", F.lit(m)).withColumnRenamed(m, "score"))
-
-    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-        parts = list(pool.map(run, tasks))
-    long = parts[0]
-    for p in parts[1:]:
-        long = long.unionByName(p)
-    wide = long.groupBy("TransactionID").pivot("model", list(models)).agg(F.first("score"))
-    labels = train_all.select("TransactionID", "isFraud", "pos")
+    frame = cut_lineage(prep.frame)
+    slices = {f.fold: Slice((0, f.train_end), (f.val_start, f.val_end), (f.val_start, f.val_end), seed + f.fold) for f in folds}
+    fitted, rows = fit_slices(frame, slices, prep.features, models, profile, balance, method, parallelism)
+    wide = None
+    for g in slices:
+        part = score_slice(rows[g], fitted, g, prep.features, models)
+        wide = part if wide is None else wide.unionByName(part)
+    labels = Slice.rows(frame, (0, prep.holdout.train_end)).select("TransactionID", "isFraud", "pos")
     # reliable checkpoint: the fold loop's lineage is cut and survives executor loss
     scores = cut_lineage(labels.join(wide, "TransactionID", "left"))
-    frame.unpersist()
-    return OOFResult(scores, list(models))
+    importances = [r for g in slices for m in models if m in MD.TREE_MODELS for r in MD.fold_importances(fitted[g, m], prep.features, m, g)]
+    return OOFResult(scores, list(models), importances)
 
 
 def refit_and_score_holdout(prep: Prepared, models: Sequence[str], profile: str = "fast", seed: int = 42,
-                            balance: float = 0.0, method: str = "smote") -> DataFrame:
-    """MOD11: refit each model on the internal-fit rows with the internal
+                            balance: float = 0.0, method: str = "cluster_smote", keep: Sequence[str] | None = None) -> DataFrame:
+    """MOD11 (MOD1-MOD6, MOD9 for a model alone): refit each model on the internal-fit rows with the internal
     validation rows for early stopping, then score the holdout."""
     ib = SP.internal_eval_bounds(prep.holdout.train_end, gap=prep.gap)
-    fit_rows = prep.frame.filter(F.col("pos") < ib.train_end)
-    val_rows = prep.frame.filter((F.col("pos") >= ib.test_start) & (F.col("pos") < prep.holdout.train_end))
-    hold = prep.frame.filter(F.col("pos") >= prep.holdout.test_start)
-    out = hold.select("TransactionID", "isFraud", "UID", "TransactionAmt", "card4", "pos",
-                      *[c for c in ("Card_Prior_Txn_Count", "is_new_client") if c in prep.frame.columns])
-    for m in models:
-        s = _fit_and_score(m, fit_rows, val_rows, hold, prep.features_of(m), seed + 999, profile, balance, method)
-        out = out.join(s, "TransactionID", "left")
-    return out
+    s = Slice((0, ib.train_end), (ib.test_start, prep.holdout.train_end), (prep.holdout.test_start, prep.n), seed + 999)
+    frame = cut_lineage(prep.frame)
+    if keep is None:
+        keep = ["isFraud", "UID", "TransactionAmt", "card4", "pos", *(c for c in ("Card_Prior_Txn_Count", "is_new_client") if c in frame.columns)]
+    fitted, rows = fit_slices(frame, {0: s}, prep.features, models, profile, balance, method)
+    return score_slice(rows[0], fitted, 0, prep.features, models, keep)
 
 
 @dataclass
@@ -243,7 +275,7 @@ def drift_tables(prep: Prepared, oof: DataFrame, holdout: DataFrame) -> dict[str
 
 def run_experiment(spark: SparkSession, sf_dir: str, out_dir: str, seeds: Sequence[int] = (42,),
                    models: Sequence[str] = ("rf", "xgb"), profile: str = "fast", balance: float = 0.0,
-                   gap: int = SP.GAP_SIZE, balance_method: str = "smote") -> dict[str, DataFrame]:
+                   gap: int = SP.GAP_SIZE, balance_method: str = "cluster_smote") -> dict[str, DataFrame]:
     """Lifecycle A: features once (shared by all seeds), then per seed OOF ->
     gate/stack/calibrate (and an ungated stack to compare) -> refit + holdout
     scores -> threshold from UID-smoothed OOF scores -> routing -> metrics,
@@ -308,7 +340,7 @@ def main(argv: Sequence[str] | None = None) -> None:
     ap.add_argument("--profile", default="fast", choices=sorted(MD.PROFILES))
     ap.add_argument("--gap", type=int, default=SP.GAP_SIZE)
     ap.add_argument("--balance", type=float, default=0.0)
-    ap.add_argument("--balance-method", default="smote", choices=BA.METHODS)
+    ap.add_argument("--balance-method", default="cluster_smote", choices=BA.METHODS)
     args = ap.parse_args(argv)
     spark = get_spark()
     out = run_experiment(spark, args.sf_dir, args.out, [int(s) for s in args.seeds.split(",")],
