@@ -178,7 +178,7 @@ BASE_DECISION = ("CASE WHEN fraud_score >= 0.6 THEN 'AUTO_BLOCK' "
 q("rte1", f"SELECT TransactionID, {BASE_DECISION} AS decision FROM txn")
 q("rte2", f"""SELECT TransactionID,
    CASE WHEN TransactionAmt > (SELECT quantile_cont(TransactionAmt, 0.95) FROM txn)
-             AND fraud_score >= 0.35 AND {BASE_DECISION} = 'ALLOW' THEN 'HITL_REVIEW'
+             AND fraud_score >= 0.2 AND {BASE_DECISION} = 'ALLOW' THEN 'HITL_REVIEW'
         ELSE {BASE_DECISION} END AS decision FROM txn""")
 q("rte3", f"""SELECT TransactionID,
    CASE WHEN Card_Prior_Txn_Count < 3 AND {BASE_DECISION} = 'ALLOW' AND fraud_score >= 0.2 THEN 'HITL_REVIEW'
@@ -596,7 +596,6 @@ q("stk6", f"""SELECT TransactionID, {R('CASE WHEN count(fraud_score) OVER (PARTI
     'THEN 0.7 * fraud_score + (1.0 - 0.7) * avg(fraud_score) OVER (PARTITION BY UID) ELSE fraud_score END')}
     AS fraud_score FROM feat2""")
 q("stk7", f"SELECT TransactionID, {R('avg(fraud_score) OVER (PARTITION BY UID)')} AS uid_mean_score FROM feat2")
-q("bal4", "SELECT TransactionID, isFraud FROM pos, hb WHERE pos < train_end", POS)
 
 _VS = [f"V{i}" for i in range(1, 13)]
 q("enc5", """SELECT CAST(dense_rank() OVER (ORDER BY f.first_ord) - 1 AS INTEGER) AS pca_group, masks.v AS v_column
@@ -666,7 +665,7 @@ _PS = f"""SELECT CAST(r AS BIGINT) AS TransactionID, CAST(step AS BIGINT) * 3600
                         min(TransactionID) OVER (PARTITION BY nameDest) AS fd FROM praw_in) p)"""
 ORACLES["src1"] = "WITH " + PRAW + ", praw_in AS (SELECT * FROM praw)\n" + _PS
 ORACLES["src3"] = ORACLES["src1"]
-ORACLES["src4"] = ORACLES["src1"]
+ORACLES["src4"] = "WITH " + PRAW + ", praw_in AS (SELECT * FROM praw ORDER BY TransactionID LIMIT (SELECT count(*) // 3 FROM praw))\n" + _PS
 q("spl5", "SELECT TransactionID FROM txn ORDER BY md5(TransactionID || ':42'), TransactionID LIMIT 500")
 q("snk2", f"""SELECT (SELECT count(*) FROM dm) AS n_seeds, metric, {R('avg(value)')} AS mean, {R('stddev_samp(value)')} AS std
   FROM runs WHERE metric <> 'ece_10bin' GROUP BY metric""", DAYCURVE)
@@ -814,10 +813,12 @@ obs AS (SELECT window_day, bin, count(*) AS n FROM binned GROUP BY 1, 2),
 g AS (SELECT d.window_day, b.bin, b.nb, coalesce(o.n, 0) AS n, coalesce(r.ref_n, 0) AS ref_n
       FROM (SELECT DISTINCT window_day FROM obs) d CROSS JOIN (SELECT unnest(range(0, len(bp) - 1)) AS bin, len(bp) - 1 AS nb FROM bp) b
       LEFT JOIN obs o ON o.window_day = d.window_day AND o.bin = b.bin LEFT JOIN ref r ON r.bin = b.bin)""")
-q("bal1", """SELECT TransactionID, isFraud FROM pos, hb WHERE pos < train_end
+_OVERSAMPLED = """SELECT TransactionID, isFraud FROM pos, hb WHERE pos < train_end
   UNION ALL SELECT m.TransactionID, m.isFraud
   FROM (SELECT CAST('0x' || substr(md5(i || ':42'), 1, 15) AS BIGINT) % np AS k
         FROM (SELECT count(*) FILTER (WHERE isFraud = 1) AS np, count(*) FILTER (WHERE isFraud <> 1) AS nn FROM pos, hb WHERE pos < train_end),
-             LATERAL (SELECT unnest(range(0, greatest(0, CAST(floor(0.10::DOUBLE * nn) AS BIGINT) - np))) AS i)) d
-  JOIN (SELECT TransactionID, isFraud, row_number() OVER (ORDER BY TransactionID) - 1 AS k FROM pos, hb WHERE pos < train_end AND isFraud = 1) m USING (k)""", POS)
+             LATERAL (SELECT unnest(range(0, greatest(0, CAST(floor({ratio}::DOUBLE * nn) AS BIGINT) - np))) AS i)) d
+  JOIN (SELECT TransactionID, isFraud, row_number() OVER (ORDER BY TransactionID) - 1 AS k FROM pos, hb WHERE pos < train_end AND isFraud = 1) m USING (k)"""
+q("bal1", _OVERSAMPLED.replace("{ratio}", "0.10"), POS)
+q("bal4", _OVERSAMPLED.replace("{ratio}", "0.30"), POS)
 q("src5", "SELECT * FROM (VALUES ('deeper/log', true), ('decoy', false)) v(folder, matches)")

@@ -73,33 +73,39 @@ def test_no_resample_and_oversample(spark):
     assert out.count() == big.count() + int(0.10 * n_maj) - n_min
 
 
-def test_stream_equals_batch(spark):
-    out, progress = SJ.run_to_table(SF.stream_card_features(SF.txn_stream(spark, SF_SMALL)), "test-str1")
+def _shuffled_log(spark, folder, n_files, seed=3):
+    """The small transactions' events, dealt to files at random and written in random order."""
+    ev = spark.read.parquet(f"{SF_SMALL}/events.parquet")
+    dealt = ev.withColumn("f", F.pmod(F.xxhash64("event_id", F.lit(seed)), F.lit(n_files)))
+    for k in range(n_files):
+        dealt.filter(F.col("f") == k).drop("f").coalesce(1).write.mode("append").parquet(f"file://{folder}/events.parquet")
+
+
+def test_stream_equals_batch(spark, tmp_path):
+    """Rows out of order within and between micro-batches, one file a trigger."""
+    _shuffled_log(spark, tmp_path, 3)
+    out, progress = SJ.run_closed(lambda s: SF.stream_card_features(s, delay="60 days"), SF.txn_stream(spark, f"file://{tmp_path}", 1), "test-str1")
     batch = FE.engineer_velocity(txn(spark, SF_SMALL, with_v=False))
-    s = {r["TransactionID"]: r for r in out.collect()}
+    got = out.collect()
+    s = {r["TransactionID"]: r for r in got}
     b = {r["TransactionID"]: r for r in batch.collect()}
-    assert s.keys() == b.keys() and progress
+    assert s.keys() == b.keys() and len(got) == len(b) and len([p for p in progress if p["numInputRows"]]) >= 3
     for k, r in b.items():
         assert s[k]["Card_Tx_Count"] == r["Card_Tx_Count"] and s[k]["late"] == 0
         for c in ("Card_Velocity_7d", "Card_Amt_Std_30d", "Card_Spending_Velocity"):
             assert abs(s[k][c] - r[c]) < 1e-9
 
 
-def test_late_rows_do_not_change_state():
-    class St:
-        exists, get = False, None
-
-        def update(self, v):
-            self.exists, self.get = True, v
-    import pandas as pd
-    st = St()
-    b1 = pd.DataFrame({"TransactionID": [1, 2], "TransactionDT": [10, 20], "TransactionAmt": [1.0, 2.0]})
-    list(SF._card_state_fn((5,), iter([b1]), st))
-    b2 = pd.DataFrame({"TransactionID": [3, 4], "TransactionDT": [5, 30], "TransactionAmt": [100.0, 4.0]})
-    out = list(SF._card_state_fn((5,), iter([b2]), st))[0]
-    late = out.set_index("TransactionID")
-    assert late.loc[3, "late"] == 1 and late.loc[4, "late"] == 0
-    assert late.loc[4, "Card_Tx_Count"] == 3 and abs(late.loc[4, "Card_Velocity_7d"] - 7 / 3) < 1e-12
+def test_rows_wait_until_the_watermark(spark, tmp_path):
+    """Without the end of the stream only rows that the watermark has passed come out, and they are right."""
+    _shuffled_log(spark, tmp_path, 1)
+    out, _ = SJ.run_to_table(SF.stream_card_features(SF.txn_stream(spark, f"file://{tmp_path}"), delay="5 days"), "test-wait")
+    batch = {r["TransactionID"]: r for r in FE.engineer_velocity(txn(spark, SF_SMALL, with_v=False)).collect()}
+    got = out.collect()
+    last = max(r["TransactionDT"] for r in batch.values())
+    want = {i for i, r in batch.items() if (r["TransactionDT"] // SF.BUCKET + 1) * SF.BUCKET <= last - 5 * 86400}
+    assert {r["TransactionID"] for r in got} == want and 0 < len(want) < len(batch)
+    assert all(r["Card_Tx_Count"] == batch[r["TransactionID"]]["Card_Tx_Count"] for r in got)
 
 
 def test_adwin_detects_shift(spark):
@@ -132,6 +138,53 @@ def test_paysim_found_by_schema_in_nested_dir(spark, tmp_path):
         pass
 
 
+def test_bounded_read_opens_only_the_first_files(spark, tmp_path):
+    head = "step,type,amount,nameOrig,oldbalanceOrg,newbalanceOrig,nameDest,oldbalanceDest,newbalanceDest,isFraud\n"
+    d = tmp_path / "log"
+    d.mkdir()
+    for k in range(9):
+        (d / f"part-{k:02d}.csv").write_text(head + "".join(f"{k},PAYMENT,{10 * k + i},C{i},0,0,M{k},0,0,0\n" for i in range(7)))
+    opened, asked = [], lambda some: opened.extend(some) or 7 * len(some)
+    files = [f"f{k}" for k in range(9)]
+    for bound, most in ((1, 1), (7, 1), (8, 2), (30, 6), (63, 9), (100, 9)):
+        opened.clear()
+        got = LD.first_files(files, bound, asked)
+        assert got == opened == files[:len(got)] and -(-min(bound, 63) // 7) <= len(got) <= most
+    (d / "part-08.csv").write_bytes(b"\xff\xfe broken")
+    (d / "part-07.csv").chmod(0)  # a later file that can't be read is no matter
+    rows = LD.load_paysim(spark, f"file://{d}", max_rows=10).orderBy("TransactionID").collect()
+    assert [(r.TransactionID, r.TransactionAmt) for r in rows] == [(i + 1, float(i % 7 + 10 * (i // 7))) for i in range(10)]
+    read = {f.rsplit("/", 1)[-1] for f in LD.load_paysim(spark, f"file://{d}", max_rows=10).inputFiles()}
+    assert read <= {"part-00.csv", "part-01.csv"}
+
+
+def test_feature_cache_keeps_versions_apart(spark, tmp_path):
+    import pytest
+    src = tmp_path / "in"
+    spark.range(3).write.parquet(f"file://{src}")
+    cache, built = f"file://{tmp_path}/cache", []
+
+    def cached(tag, n, fail=False):
+        def build():
+            built.append(tag)
+            if fail:
+                raise RuntimeError("broken off")
+            return spark.range(n)
+        return LD.cached_features(spark, cache, [f"file://{src}"], tag, {"n": n}, build)
+
+    a = cached("A", 5)
+    assert a.count() == 5 and cached("A", 5).count() == 5 and built == ["A"]
+    with pytest.raises(RuntimeError):
+        cached("B", 7, fail=True)
+    # a table without its pointer, as a crash between data and commit leaves it, is nobody's
+    spark.range(99).write.parquet(f"{cache}/features-orphan.parquet")
+    assert cached("A", 5).count() == 5 and built == ["A", "B"]
+    b = cached("B", 7)
+    assert b.count() == 7 and a.count() == 5  # the reader of A goes on reading A
+    spark.range(4).write.mode("append").parquet(f"file://{src}")
+    assert cached("A", 5).count() == 5 and built == ["A", "B", "B", "A"]
+
+
 def test_holdout_predictions_csv(spark, tmp_path):
     df = spark.createDataFrame([(1, "u1", 0, 0.1), (2, "u2", 1, 0.9)],
                                "TransactionID long, UID string, isFraud int, fraud_score double")

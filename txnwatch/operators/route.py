@@ -27,28 +27,30 @@ def route_transactions(df: DataFrame, score: str = "fraud_score", amount: str |
                        cold_start_limit: int = COLD_START_LIMIT,
                        soft_review: float = SOFT_REVIEW_THRESHOLD,
                        out_col: str = "decision",
-                       amount_reference: DataFrame | None = None) -> DataFrame:
+                       amount_reference: DataFrame | None = None,
+                       high_value_floor: float | None = None) -> DataFrame:
     """Add ``decision``: base tiers, then the high-value, cold-start and
     new-client promotions of ALLOW rows to HITL_REVIEW, in that order.
 
     The amount percentile is an exact, distributed linear-interpolation
     quantile joined back as a one-row broadcast.  ``amount_reference`` (default ``df``) is the
     frame the percentile is taken over; pass the un-featured source so the
-    percentile does not re-run the feature windows.  With ``review <= auto_block``
-    the promotion cannot apply, and no percentile is taken.
+    percentile does not re-run the feature windows.  ``high_value_floor`` is the score from which a
+    high amount promotes, by default ``review``.  ALLOW rows score below both tiers, so a floor that isn't below
+    both (as the default) promotes nothing, and no percentile is taken then.
     """
     s = F.col(score)
     decision = (F.when(s >= auto_block, F.lit(AUTO_BLOCK))
                 .when((s >= review) & (s < auto_block), F.lit(HITL_REVIEW))
                 .otherwise(F.lit(ALLOW)))
     staged = df
-    # the promotion needs an ALLOW row with score >= review: there is none where the tiers meet
-    high_value = amount is not None and review > auto_block
+    floor = review if high_value_floor is None else high_value_floor
+    high_value = amount is not None and floor < min(review, auto_block)
     if high_value:
         ref = df if amount_reference is None else amount_reference
         p = exact_quantile_row(ref, amount, [amount_percentile / 100.0], ["_amt_pctl"])
         staged = staged.crossJoin(F.broadcast(p))
-        decision = F.when((F.col(amount) > F.col("_amt_pctl")) & (s >= review) & (decision == ALLOW),
+        decision = F.when((F.col(amount) > F.col("_amt_pctl")) & (s >= floor) & (decision == ALLOW),
                           F.lit(HITL_REVIEW)).otherwise(decision)
     if prior_count is not None:
         decision = F.when((F.col(prior_count) < cold_start_limit) & (decision == ALLOW) & (s >= soft_review),

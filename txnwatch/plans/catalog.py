@@ -158,7 +158,8 @@ def q_rte1(spark, sf):
 
 @register("rte2")
 def q_rte2(spark, sf):
-    return RT.route_transactions(_base(spark, sf), amount="TransactionAmt").select(
+    """High-value promotion from the soft score on: with the default floor it can't apply to any row."""
+    return RT.route_transactions(_base(spark, sf), amount="TransactionAmt", high_value_floor=RT.SOFT_REVIEW_THRESHOLD).select(
         "TransactionID", "decision")
 
 
@@ -729,7 +730,7 @@ def q_bal3(spark, sf):
 @register("bal4")
 def q_bal4(spark, sf):
     tr, feats = _train_rows(spark, sf)
-    return BA.prepare_training_data(tr, feats, "isFraud", strategy=0).select("TransactionID", "isFraud")
+    return BA.prepare_training_data(tr, feats, "isFraud", strategy=BALANCE, method="oversample").select("TransactionID", "isFraud")
 
 
 # --- V-column PCA and the full feature pipeline ---------------------------------------------------------
@@ -939,23 +940,24 @@ from txnwatch.streaming import jobs as SJ  # noqa: E402
 
 @register("str1")
 def q_str1(spark, sf):
-    out, _ = SJ.run_to_table(SF.stream_card_features(SF.txn_stream(spark, sf)), "str1")
+    # files come in any order: rows may be as late as the whole log is long
+    out, _ = SJ.run_closed(lambda s: SF.stream_card_features(s, delay="60 days"), SF.txn_stream(spark, sf), "str1")
     return _round_all(out)
 
 
-#: Change detection: cards are dealt to this many detectors; at the given second, or position, the score moves up.
-ADWIN_KEYS, SHIFT_AT, SHIFT = 16, 15 * 86400, 0.5
+#: Change detection: cards are dealt to a detector for about so many rows; at the given second, or position, the score moves up.
+DETECTOR_ROWS, SHIFT_AT, SHIFT = 600, 15 * 86400, 0.5
 
 
-def _detector():
-    return F.pmod(F.xxhash64("card1"), F.lit(ADWIN_KEYS)).alias("detector")
+def _detector(n_rows: int):
+    return F.pmod(F.xxhash64("card1"), F.lit(max(1, n_rows // DETECTOR_ROWS))).alias("detector")
 
 
 @register("str2")
 def q_str2(spark, sf):
     txns = SF.txn_stream(spark, sf)
     moved = F.col("fraud_score") + F.when(F.col("TransactionDT") >= SHIFT_AT, SHIFT).otherwise(0.0)
-    stream = txns.select(_detector(), "TransactionID", moved.alias("score"))
+    stream = txns.select(_detector(_base(spark, sf).count()), "TransactionID", moved.alias("score"))
     out, _ = SJ.run_to_table(SJ.stream_adwin(stream, "detector", "TransactionID", "score"), "str2")
     return out
 
@@ -999,7 +1001,7 @@ def q_drf4(spark, sf):
     hb = SP.holdout_bounds(n, gap=QUERY_GAP)
     stream = df.filter((F.col("pos") < hb.train_end) | (F.col("pos") >= hb.test_start))
     moved = F.col("fraud_score") + F.when(F.col("pos") >= hb.test_start, SHIFT).otherwise(0.0)
-    changes = AD.adwin_changes(stream.select(_detector(), "pos", moved.alias("score")), ["detector"], "pos", "score")
+    changes = AD.adwin_changes(stream.select(_detector(n), "pos", moved.alias("score")), ["detector"], "pos", "score")
     return AD.changes_in_observed(changes, "pos", hb.test_start)
 
 
@@ -1023,9 +1025,13 @@ def _shared(spark, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/fixtures/{name}-{uuid.uuid4().hex[:8]}"
 
 
-def _write_csv(df, path: str, order_col: str, n_parts: int = 4, drop_order: bool = False):
-    """Range-partitioned, sorted CSV parts: file order equals ``order_col`` order."""
-    out = df.repartitionByRange(n_parts, order_col).sortWithinPartitions(order_col)
+#: Rows of a part of a fixture log.
+PART_ROWS = 250_000
+
+
+def _write_csv(df, path: str, order_col: str, drop_order: bool = False):
+    """Range-partitioned, sorted CSV parts, as many as the rows ask for (at least 4): file order equals ``order_col`` order."""
+    out = df.repartitionByRange(max(4, -(-df.count() // PART_ROWS)), order_col).sortWithinPartitions(order_col)
     if drop_order:
         out = out.drop(order_col)
     out.write.mode("overwrite").option("header", True).csv(path)
@@ -1037,7 +1043,7 @@ def _paysim_csv(spark, sf) -> str:
     _write_csv(raw.select("TransactionID", *LD.PAYSIM_REQUIRED), f"{root}/nested/deeper/log", "TransactionID",
                drop_order=True)
     # a decoy CSV without the PaySim columns
-    _write_csv(_base(spark, sf).select("TransactionID", "TransactionAmt"), f"{root}/nested/decoy", "TransactionID", 1)
+    _write_csv(_base(spark, sf).select("TransactionID", "TransactionAmt"), f"{root}/nested/decoy", "TransactionID")
     return root
 
 
@@ -1054,8 +1060,9 @@ def q_src3(spark, sf):
 
 @register("src4")
 def q_src4(spark, sf):
-    n = paysim_raw(spark, sf).count()  # the caller's bound on rows: here, all of them
-    return _round_all(LD.load_paysim(spark, _paysim_csv(spark, sf), max_rows=n))
+    """The first third of the log, by a bound on its rows."""
+    n = paysim_raw(spark, sf).count()
+    return _round_all(LD.load_paysim(spark, _paysim_csv(spark, sf), max_rows=n // 3))
 
 
 @register("src5")

@@ -40,6 +40,13 @@ def list_files(spark: SparkSession, path: str, suffix: str = "") -> list[str]:
     return sorted(out)
 
 
+def rename(spark: SparkSession, source: str, target: str) -> bool:
+    """Rename a file; false if the target exists already."""
+    fs, p = _fs(spark, source)
+    to = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)
+    return not fs.exists(to) and bool(fs.rename(p, to))
+
+
 def first_line(spark: SparkSession, path: str) -> str:
     fs, p = _fs(spark, path)
     jvm = spark.sparkContext._jvm

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+import math
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -158,23 +161,42 @@ def with_file_order(df: DataFrame, out_cols: tuple[str, str, str] = ("_file_rank
     return meta.join(ranked, "_fp").drop("_fp")
 
 
+def first_files(files: Sequence[str], max_rows: int, count) -> list[str]:
+    """The shortest known prefix of ``files`` with at least ``max_rows`` rows (or all of them).
+
+    ``count`` tells the rows of some files.  The prefix grows by what the rows counted so far
+    suggest, so little more than is needed is ever opened, and each file is counted once.
+    """
+    taken, rows, step = 0, 0, 1
+    while taken < len(files) and rows < max_rows:
+        rows += count(files[taken:taken + step])
+        taken = min(len(files), taken + step)
+        missing = max_rows - rows
+        # files that the rows so far suggest, a tenth more; at most as many again as were taken
+        step = max(1, min(taken, math.ceil(1.1 * missing * taken / rows))) if rows else taken
+    return list(files[:taken])
+
+
 def load_paysim(spark: SparkSession, data_dir: str, max_rows: int | None = None,
                 step_block_size: int | None = STEP_BLOCK_SIZE) -> DataFrame:
     """SRC3/SRC4: typed by the PaySim contract, in header order; ``max_rows``
-    keeps the first rows in file order (a position filter, never a bare
-    ``limit``); ids are 1..n in file order."""
+    keeps the first rows in file order (a position filter over the first files that hold
+    them, never a bare ``limit``; later files aren't opened); ids are 1..n in file order."""
     files = fs.list_files(spark, data_dir, ".csv")
     if fs.is_dir(spark, data_dir) and not all(_is_part_file(f) and _folder(f) == data_dir.rstrip("/")
                                                for f in files):
         path = resolve_paysim_path(spark, data_dir)
     else:
         path = data_dir
-    first = (fs.list_files(spark, path, ".csv") or [path])[0]
-    hdr = _header(spark, first)
+    own = fs.list_files(spark, path, ".csv") or [path]
+    hdr = _header(spark, own[0])
     types = {f.name: f.dataType for f in PAYSIM_SCHEMA.fields}
     # CSV columns bind by position: the schema follows the header order
     schema = T.StructType([T.StructField(c, types.get(c, T.StringType())) for c in hdr])
-    raw = with_file_order(spark.read.schema(schema).option("header", True).csv(path))
+    reader = spark.read.schema(schema).option("header", True)
+    if max_rows is not None:
+        own = first_files(own, max(1, max_rows), lambda some: reader.csv(list(some)).count())
+    raw = with_file_order(reader.csv(path if max_rows is None else own))
     raw = add_global_position(raw, order_cols=("_file_rank", "_file_block", "_file_row"), pos_col="_fpos")
     if max_rows is not None:
         raw = raw.filter(F.col("_fpos") < max_rows)
@@ -211,15 +233,29 @@ def _fingerprint(spark: SparkSession, paths: Sequence[str], tag: str, params: di
 
 def cached_features(spark: SparkSession, cache_dir: str, inputs: Sequence[str], tag: str, params: dict,
                     build) -> DataFrame:
-    """SRC7: reuse the parquet feature table under ``cache_dir`` when its
-    metadata equals the current fingerprint exactly (every input file's path,
-    size and modification time, pipeline tag, parameters); otherwise rebuild it."""
-    meta_path = f"{cache_dir.rstrip('/')}/metadata.json"
-    data_path = f"{cache_dir.rstrip('/')}/features.parquet"
-    want = json.loads(json.dumps(_fingerprint(spark, inputs, tag, params), sort_keys=True))
-    have = fs.read_text(spark, meta_path)
-    if have is not None and fs.exists(spark, data_path) and json.loads(have) == want:
-        return spark.read.parquet(data_path)
-    build().write.mode("overwrite").parquet(data_path)
-    fs.write_text(spark, meta_path, json.dumps(want, sort_keys=True))
-    return spark.read.parquet(data_path)
+    """SRC7: the feature table of the current fingerprint (every input file's path, size and modification
+    time, pipeline tag, parameters) if it has been built, else what ``build`` gives, kept for the next call.
+
+    A table is written once, into a folder of its own below ``cache_dir``, and is never changed.  A
+    pointer file named by the fingerprint's digest commits it: the pointer is written whole beside its place
+    and renamed into it.  A build that breaks off leaves no pointer, so nothing is ever read under another
+    fingerprint than its own; of two builds at once the first to commit is the one that counts, and readers
+    of another version go on reading theirs.
+    """
+    root = cache_dir.rstrip("/")
+    want = json.dumps(_fingerprint(spark, inputs, tag, params), sort_keys=True)
+    pointer = f"{root}/{hashlib.sha256(want.encode()).hexdigest()}.json"
+
+    def committed() -> str | None:
+        text = fs.read_text(spark, pointer)
+        found = json.loads(text) if text else None
+        return found["table"] if found and json.dumps(found["fingerprint"], sort_keys=True) == want and fs.exists(spark, f"{found['table']}/_SUCCESS") else None
+
+    table = committed()
+    if table is None:
+        table = f"{root}/features-{uuid.uuid4().hex}.parquet"
+        build().write.parquet(table)
+        fs.write_text(spark, f"{table}.pointer", json.dumps({"table": table, "fingerprint": json.loads(want)}, sort_keys=True))
+        if not fs.rename(spark, f"{table}.pointer", pointer):
+            table = committed() or table  # another build came first (or its table is gone: ours serves this call)
+    return spark.read.parquet(table)

@@ -29,6 +29,8 @@ DELTA = 0.002
 MAX_BUCKETS = 5
 MIN_WINDOW = 5
 CLOCK = 32
+#: Rows of a task, about.
+ROWS_PER_TASK = 1_000_000
 GRACE = 10
 
 
@@ -160,7 +162,7 @@ def adwin_changes(df: DataFrame, keys: Sequence[str], order_col: str, value_col:
     """DRF4: positions (``order_col`` values) where ADWIN signals a change,
     one detector per key, keys processed in parallel."""
     keys = list(keys)
-    n = n_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = n_partitions or max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // ROWS_PER_TASK))
     staged = (df.select(*keys, order_col, F.col(value_col).cast("double").alias(value_col))
               .repartition(n, *keys).sortWithinPartitions(*keys, order_col))
     fields = [f for f in staged.schema.fields if f.name in keys or f.name == order_col]

@@ -1,12 +1,15 @@
 """Structured Streaming versions of the causal operators (STR1-STR4).
 
-STR1 keeps per-card state (count, Welford mean and M2, the last 30 amounts,
-the last (time, id) seen) with ``applyInPandasWithState``; each micro-batch's
-rows of a card are processed in (time, id) order.  A row older than the
-card's last processed row is *late*: it is emitted with ``late = 1``,
-computed against the current state, and does not change the state.  With
-in-order input the output equals the batch operators WIN1/2/6/7/8.  Rows
-without a card are no entity: they pass by the state, as in the batch.
+STR1 is a ``StatefulProcessor`` per card.  Rows may come in any order within the watermark's delay:
+they wait in map state, one entry for each ``BUCKET`` of event time, and an event-time timer releases a
+bucket once the watermark has passed its end.  Released rows are taken in (time, id) order against two values of state,
+the moments (count, Welford mean and M2) and the ring of the last 30 amounts.  So results don't
+depend on which files share a micro-batch, they equal the batch operators WIN1/2/6/7/8, and of a card with any
+number of rows only a bucket's are ever in one frame.  Rows older than the watermark are dropped by
+Spark; rows without a card are no entity and pass by the state, as in the batch.
+
+A stream that has an end gets a closing marker (:func:`closing_marker`): a row of the far future that moves
+the watermark past everything that still waits.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from txnwatch.functions.columns import seconds_since
 from txnwatch.sources import fs
@@ -29,12 +32,10 @@ RING = 30
 WINDOWS = [(7, "7d"), (14, "14d"), (30, "30d")]
 SPENDING = 10
 
-STATE_SCHEMA = T.StructType([
-    T.StructField("n", T.LongType()), T.StructField("n_amt", T.LongType()),
-    T.StructField("mean", T.DoubleType()), T.StructField("m2", T.DoubleType()),
-    T.StructField("last_dt", T.LongType()), T.StructField("last_id", T.LongType()),
-    T.StructField("ring", T.ArrayType(T.DoubleType(), containsNull=True)),
-])
+#: Seconds of event time that wait, and are released, together.
+BUCKET = 86400
+#: Event time of a closing marker.
+FAR = "2200-01-01 00:00:00"
 
 OUTPUT_SCHEMA = T.StructType([
     T.StructField("card1", T.LongType()), T.StructField("TransactionID", T.LongType()),
@@ -47,20 +48,10 @@ OUTPUT_SCHEMA = T.StructType([
 ])
 
 
-def _rolling(ring: list) -> dict:
-    out = {}
-    for k, lab in WINDOWS:
-        vals = [v for v in ring[-k:] if v is not None and not (isinstance(v, float) and math.isnan(v))]
-        out[f"Card_Velocity_{lab}"] = float(np.mean(vals)) if vals else None
-        out[f"Card_Amt_Std_{lab}"] = float(np.std(vals, ddof=1)) if len(vals) >= 2 else 0.0
-    out["Card_Spending_Velocity"] = float(sum(1 for v in ring[-SPENDING:] if v is not None))
-    return out
-
-
 def _vectorized_batch(key, pdf: pd.DataFrame, st: tuple) -> tuple[pd.DataFrame, tuple]:
     """All rows in order after the state: rolling windows over (ring + batch)
     and expanding moments from cumulative sums about the carried mean."""
-    n0, na0, mean0, m20, _, _, ring = st
+    n0, na0, mean0, m20, ring = st
     amt = pd.to_numeric(pdf["TransactionAmt"], errors="coerce").to_numpy(dtype=float)
     k = len(amt)
     full = pd.Series(list(ring) + list(amt), dtype=float)
@@ -84,62 +75,76 @@ def _vectorized_batch(key, pdf: pd.DataFrame, st: tuple) -> tuple[pd.DataFrame,
         out[f"Card_Amt_Std_{lab}"] = full.rolling(w, min_periods=2).std().fillna(0.0).to_numpy()[tail]
     out["Card_Spending_Velocity"] = full.rolling(SPENDING, min_periods=1).count().to_numpy()[tail]
     out["late"] = 0
-    last = pdf.iloc[-1]
     ring_new = [None if np.isnan(v) else float(v) for v in full.to_numpy()[-RING:]]
-    new_state = (int(cnt[-1]), int(cna[-1]), float(mean[-1]), float(m2[-1]), int(last.TransactionDT),
-                 int(last.TransactionID), ring_new)
+    new_state = (int(cnt[-1]), int(cna[-1]), float(mean[-1]), float(m2[-1]), ring_new)
     out = out.astype({"Card_Tx_Count": "int64", "Card_Prior_Txn_Count": "int64"})
     out["TransactionAmt"] = out["TransactionAmt"].where(~np.isnan(amt), None)
     return out[[f.name for f in OUTPUT_SCHEMA.fields]], new_state
 
 
-def _card_state_fn(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(["TransactionDT", "TransactionID"])
-    if state.exists:
-        n, n_amt, mean, m2, last_dt, last_id, ring = state.get
-        ring = list(ring)
-    else:
-        n, n_amt, mean, m2, last_dt, last_id, ring = 0, 0, 0.0, 0.0, None, None, []
-    first = pdf.iloc[0]
-    if last_dt is None or (int(first.TransactionDT), int(first.TransactionID)) > (last_dt, last_id):
-        out, new_state = _vectorized_batch(key, pdf, (n, n_amt, mean, m2, last_dt, last_id, ring))
-        state.update(new_state)
-        yield out
-        return
-    rows = []
-    for r in pdf.itertuples(index=False):
-        amt = None if pd.isna(r.TransactionAmt) else float(r.TransactionAmt)
-        late = last_dt is not None and (int(r.TransactionDT), int(r.TransactionID)) < (last_dt, last_id)
-        cn, cna, cmean, cm2, cring = n + 1, n_amt, mean, m2, ring + [amt]
-        if amt is not None:
-            cna += 1
-            d = amt - cmean
-            cmean += d / cna
-            cm2 += d * (amt - cmean)
-        cring = cring[-RING:]
-        row = {"card1": int(key[0]), "TransactionID": int(r.TransactionID), "TransactionDT": int(r.TransactionDT),
-               "TransactionAmt": amt, "Card_Tx_Count": cn, "Card_Prior_Txn_Count": cn - 1,
-               "card_amt_mean": cmean if cna else 0.0,
-               "card_amt_std": math.sqrt(max(cm2, 0.0) / (cna - 1)) if cna >= 2 else 0.0,
-               "late": int(late)}
-        row.update(_rolling(cring))
-        rows.append(row)
-        if not late:
-            n, n_amt, mean, m2, ring = cn, cna, cmean, cm2, cring
-            last_dt, last_id = int(r.TransactionDT), int(r.TransactionID)
-    state.update((n, n_amt, mean, m2, last_dt, last_id, ring))
-    yield pd.DataFrame(rows, columns=[f.name for f in OUTPUT_SCHEMA.fields])
-
-
-def stream_card_features(stream: DataFrame) -> DataFrame:
-    """STR1 over a streaming frame with card1, TransactionID, TransactionDT, TransactionAmt."""
-    src = stream.select(F.col("card1").cast("long").alias("card1"), F.col("TransactionID").cast("long"),
-                        F.col("TransactionDT").cast("long"), F.col("TransactionAmt").cast("double"))
-    known = src.filter(F.col("card1").isNotNull()).groupBy("card1").applyInPandasWithState(
-        _card_state_fn, OUTPUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
+class CardState(StatefulProcessor):
+    """Expanding and rolling statistics of one card, its rows released by event time."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.moments = handle.getValueState("moments", "n long, n_amt long, mean double, m2 double")
+        self.ring = handle.getValueState("ring", "last array<double>")
+        self.waiting = handle.getMapState("waiting", "bucket long", "dt array<long>, id array<long>, amt array<double>")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for pdf in rows:  # Arrow batches of bounded size
+            bucket = pdf["ms"] // (BUCKET * 1000)
+            for b, own in pdf.groupby(bucket):
+                held = self.waiting.getValue((int(b),))
+                if held is None:
+                    held = ([], [], [])
+                    self.handle.registerTimer((int(b) + 1) * BUCKET * 1000)
+                amt = [None if math.isnan(v) else v for v in own["TransactionAmt"].to_numpy(dtype=float).tolist()]
+                fresh = (own["TransactionDT"].astype("int64").tolist(), own["TransactionID"].astype("int64").tolist(), amt)
+                self.waiting.updateValue((int(b),), tuple([*x, *y] for x, y in zip(held, fresh)))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """All buckets that the watermark has passed, in order, one frame each; later timers of theirs find nothing."""
+        due = sorted(k[0] for k in self.waiting.keys() if (k[0] + 1) * BUCKET * 1000 <= timerValues.getCurrentWatermarkInMs())
+        if not due:
+            return
+        moments = self.moments.get() if self.moments.exists() else (0, 0, 0.0, 0.0)
+        ring = self.ring.get()[0] if self.ring.exists() else []
+        for b in due:
+            dt, ids, amt = self.waiting.getValue((b,))
+            self.waiting.removeKey((b,))
+            pdf = pd.DataFrame({"TransactionDT": list(dt), "TransactionID": list(ids), "TransactionAmt": pd.Series(list(amt), dtype="float64")})
+            out, (*moments, ring) = _vectorized_batch(key, pdf.sort_values(["TransactionDT", "TransactionID"]), (*moments, ring))
+            yield out
+        self.moments.update(tuple(moments))
+        self.ring.update((list(ring),))
+
+    def close(self) -> None:
+        pass
+
+
+def closing_marker(df: DataFrame) -> DataFrame:
+    """One row in the columns of a transaction stream that closes it: no card, far in the future."""
+    fixed = {"event_time": F.lit(FAR).cast("timestamp")}
+    return df.sparkSession.range(1).select(*[fixed.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in df.schema.fields])
+
+
+def stream_card_features(stream: DataFrame, delay: str = "1 hour") -> DataFrame:
+    """STR1 over a streaming frame with card1, TransactionID, TransactionDT, TransactionAmt and event_time.
+
+    ``delay`` is how much older than the newest row seen another may be.
+    """
+    src = stream.select(F.col("card1").cast("long").alias("card1"), F.col("TransactionID").cast("long"), F.col("TransactionDT").cast("long"),
+                        F.col("TransactionAmt").cast("double"), "event_time").withWatermark("event_time", delay)
+    # the conditions name the event time, so that none is evaluated below the watermark: it has to see every row
+    ahead = F.col("event_time") < F.lit(FAR).cast("timestamp")
+    ms = (F.unix_micros("event_time") / 1000).cast("long").alias("ms")
+    known = src.filter(F.when(ahead, F.col("card1").isNotNull()).otherwise(F.lit(False))).select("*", ms).groupBy("card1").transformWithStateInPandas(
+        statefulProcessor=CardState(), outputStructType=OUTPUT_SCHEMA, outputMode="Append", timeMode="EventTime")
     own = set(src.columns)
     fixed = {**{f"Card_Amt_Std_{lab}": 0.0 for _, lab in WINDOWS}, "late": 0}
-    missing = src.filter(F.col("card1").isNull()).select(
+    missing = src.filter(F.when(ahead, F.col("card1").isNull()).otherwise(F.lit(False))).select(
         *[(F.col(f.name) if f.name in own else F.lit(fixed.get(f.name))).cast(f.dataType).alias(f.name) for f in OUTPUT_SCHEMA.fields])
     return known.unionByName(missing)
 

@@ -18,6 +18,7 @@ from txnwatch.operators import features as FE
 from txnwatch.operators import route as RT
 from txnwatch.session import checkpoint_dir
 from txnwatch.streaming.adwin import Adwin
+from txnwatch.streaming.features import closing_marker
 
 # --- runner --------------------------------------------------------------------------------
 
@@ -25,30 +26,55 @@ from txnwatch.streaming.adwin import Adwin
 PROGRESS_KEPT = 1_000_000
 
 
-def run_to_table(stream: DataFrame, name: str, output_mode: str = "append") -> tuple[DataFrame, list[dict]]:
+#: State of ``StatefulProcessor`` queries lives in RocksDB, on the executors' disks and in the checkpoint.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def run_to_table(stream: DataFrame, name: str, output_mode: str = "append", then=None) -> tuple[DataFrame, list[dict]]:
     """Drain ``stream`` (``availableNow``) into a parquet folder under the
     shared checkpoint directory; return the written rows and the progress
     reports of the query.  Waits until the stream has ended; a failure raises.
 
+    ``then``, if given, runs after that (it may add files to a source), and the query goes on from its checkpoint
+    until the stream has ended again.
+
     In update mode each micro-batch's changed rows are kept with its ``epoch``:
     a row's last version is the one of the greatest epoch."""
     spark = stream.sparkSession
     spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", PROGRESS_KEPT)  # a small report per micro-batch
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     base = f"{checkpoint_dir(spark).rstrip('/')}/streams/{name}-{uuid.uuid4().hex[:8]}"
     out, ckpt = f"{base}/out", f"{base}/_checkpoint"
-    if output_mode == "append":
-        q = (stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", ckpt)
-             .outputMode("append").trigger(availableNow=True).start())
-    else:
-        def sink(batch_df, epoch):
-            batch_df.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")  # a repeated batch replaces itself
-        q = (stream.writeStream.foreachBatch(sink).option("checkpointLocation", ckpt)
-             .outputMode(output_mode).trigger(availableNow=True).start())
-    q.awaitTermination()
-    progress = [p for p in q.recentProgress]
+
+    def drained() -> list[dict]:
+        if output_mode == "append":
+            q = (stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", ckpt)
+                 .outputMode("append").trigger(availableNow=True).start())
+        else:
+            def sink(batch_df, epoch):
+                batch_df.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")  # a repeated batch replaces itself
+            q = (stream.writeStream.foreachBatch(sink).option("checkpointLocation", ckpt)
+                 .outputMode(output_mode).trigger(availableNow=True).start())
+        q.awaitTermination()
+        return list(q.recentProgress)
+
+    progress = drained()
+    if then is not None:
+        then()
+        progress += drained()
     return spark.read.parquet(out), progress
 
 
+def run_closed(job, stream: DataFrame, name: str) -> tuple[DataFrame, list[dict]]:
+    """Drain ``job(stream)``, then close the stream with a marker and drain what was still waiting."""
+    spark = stream.sparkSession
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/streams/closing-{uuid.uuid4().hex[:8]}"
+    marker = closing_marker(stream)
+    marker.limit(0).write.parquet(folder)
+    both = stream.unionByName(spark.readStream.schema(marker.schema).parquet(folder))
+    return run_to_table(job(both), name, then=lambda: marker.write.mode("append").parquet(folder))
+
+
 # --- STR2: ADWIN per key -------------------------------------------------------------------------
 
 ADWIN_STATE = T.StructType([T.StructField("adwin", T.StringType())])
