@@ -108,6 +108,47 @@ def test_rows_wait_until_the_watermark(spark, tmp_path):
     assert all(r["Card_Tx_Count"] == batch[r["TransactionID"]]["Card_Tx_Count"] for r in got)
 
 
+def test_stream_decides_as_the_batch_does(spark, tmp_path):
+    """Scored by a snapshot of a fitted stack, routed by card and client history, one file a trigger in random order."""
+    _shuffled_log(spark, tmp_path / "log", 3)
+    models = ["fraud_score", "score_b"]
+    base = txn(spark, SF_SMALL, with_v=False).withColumn("pos", F.col("TransactionID"))
+    weights = MD.gate_weights(base, models)
+    meta = MD.fit_meta_learner(MD.apply_gates(base, weights, models), models)
+    folder = f"file://{tmp_path}/snapshots"
+    assert SJ.save_snapshot(spark, folder, weights, MD.CalibratedLinear(meta.base)) == 1
+    assert SJ.save_snapshot(spark, folder, weights, meta) == 2
+    snap = SJ.load_snapshot(spark, folder)
+    assert snap.version == 2 and SJ.load_snapshot(spark, folder, 1).meta.folds == []
+    p95 = base.agg(F.percentile("TransactionAmt", F.lit(0.95))).first()[0]
+
+    def job(stream):
+        scored = stream.withColumn("score_b", F.col("fraud_score") * 0.5)
+        history = SJ.stream_history(scored, delay="60 days", scores=tuple(models)).withColumn("meta_score", snap.proba())
+        return SJ.stream_routing(history, p95, score="meta_score", prior_count="Card_Prior_Txn_Count", new_client="is_new_client")
+    out, _ = SJ.run_closed(job, SF.txn_stream(spark, f"file://{tmp_path}/log", 1), "test-str3")
+    batch = base.withColumn("score_b", F.col("fraud_score") * 0.5)
+    batch = FE.new_client_flag(FE.uid_aggregations(FE.build_uid(FE.engineer_velocity(batch))))
+    batch = MD.apply_gates(batch, weights, models).withColumn("meta_score", meta.proba())
+    want = route_transactions(batch, "meta_score", amount="TransactionAmt", prior_count="Card_Prior_Txn_Count", new_client="is_new_client")
+    w = {r.TransactionID: (r.decision, r.Card_Prior_Txn_Count, r.is_new_client, round(r.meta_score, 9)) for r in want.collect()}
+    g = {r.TransactionID: (r.decision, r.Card_Prior_Txn_Count, r.is_new_client, round(r.meta_score, 9)) for r in out.collect()}
+    assert g == w and len({x[0] for x in g.values()}) >= 2 and out.count() == len(w)
+
+
+def test_clients_are_forgotten_after_their_time(spark, tmp_path):
+    rows = [(1, 0, 5, 1.0), (2, 3 * 86400, 5, 1.0), (3, 20 * 86400, 5, 1.0), (4, 21 * 86400, None, 1.0), (5, 21 * 86400 + 5, None, 2.0)]
+    df = spark.createDataFrame(rows, "TransactionID long, TransactionDT long, card1 long, TransactionAmt double").select(
+        "*", F.lit(1).alias("addr1"), (F.floor(F.col("TransactionDT") / 86400.0)).cast("double").alias("D1"), F.lit(0.3).alias("fraud_score"),
+        (F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.col("TransactionDT"))).alias("event_time"))
+    df.write.parquet(f"file://{tmp_path}/t")
+    for ttl, third in ((None, 0), (10, 1)):
+        stream = spark.readStream.schema(df.schema).parquet(f"file://{tmp_path}/t")
+        out, _ = SJ.run_closed(lambda s, ttl=ttl: SJ.stream_history(s, "60 days", ttl_days=ttl), stream, "test-ttl")
+        got = {r.TransactionID: (r.Card_Prior_Txn_Count, r.is_new_client) for r in out.collect()}
+        assert got == {1: (0, 1), 2: (1, 0), 3: (2, third), 4: (None, 1), 5: (None, 0)}
+
+
 def test_adwin_detects_shift(spark):
     rng = np.random.default_rng(0)
     vals = np.r_[rng.normal(0.2, 0.05, 600), rng.normal(0.8, 0.05, 600)]

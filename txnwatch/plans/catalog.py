@@ -965,8 +965,9 @@ def q_str2(spark, sf):
 @register("str3")
 def q_str3(spark, sf):
     p95 = exact_quantile_row(_base(spark, sf), "TransactionAmt", [0.95], ["p"]).first()["p"]
-    history = SJ.stream_history(SF.txn_stream(spark, sf))
-    out, _ = SJ.run_to_table(SJ.stream_routing(history, p95, prior_count="Card_Prior_Txn_Count", new_client="is_new_client"), "str3")
+    def job(stream):
+        return SJ.stream_routing(SJ.stream_history(stream, delay="60 days"), p95, prior_count="Card_Prior_Txn_Count", new_client="is_new_client")
+    out, _ = SJ.run_closed(job, SF.txn_stream(spark, sf), "str3")
     return out.select("TransactionID", "decision")
 
 

@@ -1,8 +1,8 @@
 """Structured Streaming versions of the causal operators (STR1-STR4).
 
 STR1 is a ``StatefulProcessor`` per card.  Rows may come in any order within the watermark's delay:
-they wait in map state, one entry for each ``BUCKET`` of event time, and an event-time timer releases a
-bucket once the watermark has passed its end.  Released rows are taken in (time, id) order against two values of state,
+they wait in map state, one entry for each ``BUCKET`` of event time, and an event-time timer releases
+the buckets whose end the watermark has passed.  Released rows are taken in (time, id) order against two values of state,
 the moments (count, Welford mean and M2) and the ring of the last 30 amounts.  So results don't
 depend on which files share a micro-batch, they equal the batch operators WIN1/2/6/7/8, and of a card with any
 number of rows only a bucket's are ever in one frame.  Rows older than the watermark are dropped by
@@ -82,31 +82,61 @@ def _vectorized_batch(key, pdf: pd.DataFrame, st: tuple) -> tuple[pd.DataFrame,
     return out[[f.name for f in OUTPUT_SCHEMA.fields]], new_state
 
 
-class CardState(StatefulProcessor):
+class ReleasedByTime(StatefulProcessor):
+    """Rows wait in the map state ``waiting``, an entry per bucket; one timer, at the end of the earliest bucket, releases what
+    the watermark has passed."""
+
+    def wait(self, handle: StatefulProcessorHandle, columns: str) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "bucket long", columns)
+        self.timer = handle.getValueState("timer", "at long")
+
+    def hold(self, buckets: dict[int, tuple]) -> None:
+        """Add rows, given as columns by bucket."""
+        for b, fresh in buckets.items():
+            held = self.waiting.getValue((b,))
+            self.waiting.updateValue((b,), fresh if held is None else tuple([*x, *y] for x, y in zip(held, fresh)))
+        first = (min(buckets) + 1) * BUCKET * 1000
+        if not self.timer.exists() or first < self.timer.get()[0]:
+            self.handle.registerTimer(first)
+            self.timer.update((first,))
+
+    def due(self, watermark: int) -> list[int]:
+        """The buckets to release, in order; the timer moves on to the first of the others."""
+        all_ = sorted(k[0] for k in self.waiting.keys())
+        due = [b for b in all_ if (b + 1) * BUCKET * 1000 <= watermark]
+        if due and len(due) < len(all_):
+            then = (all_[len(due)] + 1) * BUCKET * 1000
+            self.handle.registerTimer(then)
+            self.timer.update((then,))
+        elif due:
+            self.timer.clear()
+        return due
+
+    def close(self) -> None:
+        pass
+
+
+class CardState(ReleasedByTime):
     """Expanding and rolling statistics of one card, its rows released by event time."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
+        self.wait(handle, "dt array<long>, id array<long>, amt array<double>")
         self.moments = handle.getValueState("moments", "n long, n_amt long, mean double, m2 double")
         self.ring = handle.getValueState("ring", "last array<double>")
-        self.waiting = handle.getMapState("waiting", "bucket long", "dt array<long>, id array<long>, amt array<double>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         for pdf in rows:  # Arrow batches of bounded size
-            bucket = pdf["ms"] // (BUCKET * 1000)
-            for b, own in pdf.groupby(bucket):
-                held = self.waiting.getValue((int(b),))
-                if held is None:
-                    held = ([], [], [])
-                    self.handle.registerTimer((int(b) + 1) * BUCKET * 1000)
+            fresh = {}
+            for b, own in pdf.groupby(pdf["ms"] // (BUCKET * 1000)):
                 amt = [None if math.isnan(v) else v for v in own["TransactionAmt"].to_numpy(dtype=float).tolist()]
-                fresh = (own["TransactionDT"].astype("int64").tolist(), own["TransactionID"].astype("int64").tolist(), amt)
-                self.waiting.updateValue((int(b),), tuple([*x, *y] for x, y in zip(held, fresh)))
+                fresh[int(b)] = (own["TransactionDT"].astype("int64").tolist(), own["TransactionID"].astype("int64").tolist(), amt)
+            self.hold(fresh)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        """All buckets that the watermark has passed, in order, one frame each; later timers of theirs find nothing."""
-        due = sorted(k[0] for k in self.waiting.keys() if (k[0] + 1) * BUCKET * 1000 <= timerValues.getCurrentWatermarkInMs())
+        """All buckets that the watermark has passed, in order, one frame each."""
+        due = self.due(timerValues.getCurrentWatermarkInMs())
         if not due:
             return
         moments = self.moments.get() if self.moments.exists() else (0, 0, 0.0, 0.0)
@@ -120,9 +150,6 @@ class CardState(StatefulProcessor):
         self.moments.update(tuple(moments))
         self.ring.update((list(ring),))
 
-    def close(self) -> None:
-        pass
-
 
 def closing_marker(df: DataFrame) -> DataFrame:
     """One row in the columns of a transaction stream that closes it: no card, far in the future."""

@@ -4,21 +4,27 @@ into the cluster's shared checkpoint folder (EVL13 reads its progress)."""
 
 from __future__ import annotations
 
+import json
+import math
 import time
 import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from txnwatch.operators import features as FE
 from txnwatch.operators import route as RT
+from txnwatch.operators.models import CalibratedLinear, LinearModel
 from txnwatch.session import checkpoint_dir
+from txnwatch.sources import fs
 from txnwatch.streaming.adwin import Adwin
-from txnwatch.streaming.features import closing_marker
+from txnwatch.streaming.features import BUCKET, FAR, ReleasedByTime, closing_marker
 
 # --- runner --------------------------------------------------------------------------------
 
@@ -104,32 +110,122 @@ def stream_adwin(stream: DataFrame, key: str, position: str, value: str) -> Data
 
 # --- STR3: score + route ------------------------------------------------------------------------------
 
-HISTORY_STATE = T.StructType([T.StructField("n", T.LongType()), T.StructField("uids", T.ArrayType(T.LongType()))])
 HISTORY_OUT = T.StructType([T.StructField("TransactionID", T.LongType()), T.StructField("TransactionAmt", T.DoubleType()),
-                            T.StructField("fraud_score", T.DoubleType()), T.StructField("Card_Prior_Txn_Count", T.LongType()),
+                            T.StructField("scores", T.ArrayType(T.DoubleType())), T.StructField("Card_Prior_Txn_Count", T.LongType()),
                             T.StructField("is_new_client", T.IntegerType())])
 
 
-def _history_fn(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(["TransactionDT", "TransactionID"])
-    n, seen = state.get if state.exists else (0, [])
-    known = pdf["uid"].isin(set(seen)) | pdf["uid"].duplicated()
-    state.update((int(n + len(pdf)), [*seen, *(int(u) for u in pdf["uid"][~known])]))
-    out = pdf[["TransactionID", "TransactionAmt", "fraud_score"]].copy()
-    # a missing card is no entity: it has no prior count
-    out["Card_Prior_Txn_Count"] = pd.array([pd.NA if pd.isna(key[0]) else n + i for i in range(len(pdf))], dtype="Int64")
-    out["is_new_client"] = (~known).astype("int32")
-    yield out
-
-
-def stream_history(stream: DataFrame) -> DataFrame:
-    """Per card, how many transactions came before and whether the client (UID)
-    is new; the state is a count and the hashes of the card's clients.  In
-    time order within a micro-batch, as rows arrive between them."""
-    src = FE.build_uid(stream).select("card1", F.xxhash64("UID").alias("uid"), "TransactionDT", "TransactionID",
-                                      F.col("TransactionAmt").cast("double"), F.col("fraud_score").cast("double"))
-    return src.groupBy("card1").applyInPandasWithState(_history_fn, HISTORY_OUT, HISTORY_STATE, "append",
-                                                       GroupStateTimeout.NoTimeout)
+class ClientHistory(ReleasedByTime):
+    """How many transactions of a card came before, and whether the client is new, its rows released by event time.
+
+    State: a count, one map entry per client (the day it was last seen, forgotten after ``ttl_days``) and one per
+    bucket that waits.  An entry is read and written by itself, so no value grows with the card.
+    Keys that begin with "u" are clients without a card, which have no prior count.
+    """
+
+    def __init__(self, ttl_days: int | None = None):
+        self.ttl_days = ttl_days
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.wait(handle, "dt array<long>, id array<long>, uid array<long>, amt array<double>, scores array<array<double>>")
+        self.seen = handle.getValueState("seen", "n long")
+        self.clients = handle.getMapState("clients", "uid long", "day long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for pdf in rows:
+            fresh = {}
+            for b, own in pdf.groupby(pdf["ms"] // (BUCKET * 1000)):
+                amt = [None if math.isnan(v) else v for v in own["TransactionAmt"].to_numpy(dtype=float).tolist()]
+                fresh[int(b)] = (*(own[c].astype("int64").tolist() for c in ("TransactionDT", "TransactionID", "uid")), amt,
+                         [[None if v is None or math.isnan(v) else float(v) for v in s] for s in own["scores"]])
+            self.hold(fresh)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        due = self.due(timerValues.getCurrentWatermarkInMs())
+        if not due:
+            return
+        n = self.seen.get()[0] if self.seen.exists() else 0
+        for b in due:
+            rows = sorted(zip(*self.waiting.getValue((b,))), key=lambda r: r[:2])
+            self.waiting.removeKey((b,))
+            out, known = [], {}  # the bucket's clients: the day of their last row
+            for _, i, uid, amt, scores in rows:
+                if uid not in known:
+                    last = self.clients.getValue((uid,))
+                    known[uid] = None if last is None or (self.ttl_days and b - last[0] > self.ttl_days) else last[0]
+                out.append((i, amt, list(scores), n if str(key[0]).startswith("c") else None, int(known[uid] is None)))
+                known[uid] = b
+                n += 1
+            for uid in known:
+                self.clients.updateValue((uid,), (b,))
+            pdf = pd.DataFrame(out, columns=HISTORY_OUT.fieldNames())
+            yield pdf.astype({"Card_Prior_Txn_Count": "Int64", "is_new_client": "int32"})
+        self.seen.update((n,))
+        if self.ttl_days:
+            for uid in [k[0] for k, v in self.clients.iterator() if due[-1] - v[0] > self.ttl_days]:
+                self.clients.removeKey((uid,))
+
+
+def stream_history(stream: DataFrame, delay: str = "1 hour", scores: tuple[str, ...] = ("fraud_score",), ttl_days: int | None = None) -> DataFrame:
+    """Per card, how many transactions came before and whether the client (UID) is new, beside the row's ``scores``.
+
+    Rows may be ``delay`` older than the newest seen; they are taken in time order whatever order they come in.
+    """
+    src = FE.build_uid(stream).withWatermark("event_time", delay)
+    uid = F.xxhash64("UID")
+    key = F.when(F.col("card1").isNotNull(), F.concat(F.lit("c"), F.col("card1").cast("string"))).otherwise(F.concat(F.lit("u"), uid.cast("string")))
+    rows = src.filter(F.col("event_time") < F.lit(FAR).cast("timestamp")).select(
+        key.alias("key"), uid.alias("uid"), F.col("TransactionDT").cast("long"), F.col("TransactionID").cast("long"), F.col("TransactionAmt").cast("double"),
+        F.array(*[F.col(c).cast("double") for c in scores]).alias("scores"), "event_time", (F.unix_micros("event_time") / 1000).cast("long").alias("ms"))
+    out = rows.groupBy("key").transformWithStateInPandas(statefulProcessor=ClientHistory(ttl_days), outputStructType=HISTORY_OUT,
+                                                         outputMode="Append", timeMode="EventTime")
+    return out.select("*", *[F.col("scores")[k].alias(c) for k, c in enumerate(scores)]).drop("scores")
+
+
+@dataclass(frozen=True)
+class ScoringSnapshot:
+    """What a stream scores with: gate weights and the calibrated stack of one training run.
+
+    A snapshot is a small JSON file, numbered; a job reads the newest when it starts and its numbers become
+    literals of the plan, so every micro-batch of the job scores alike.
+    """
+    version: int
+    weights: dict[str, float]
+    meta: CalibratedLinear
+
+    def proba(self) -> Column:
+        gated = {m: F.col(m) * F.lit(w) for m, w in self.weights.items()}
+        parts = [F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.lit(a) * m.logit_of(gated) + F.lit(b)))) for m, a, b in self.meta.folds]
+        if not parts:
+            return self.meta.base.proba_of(gated)
+        total = parts[0]
+        for p in parts[1:]:
+            total = total + p
+        return total / len(parts)
+
+
+def save_snapshot(spark: SparkSession, folder: str, weights: DataFrame, meta: CalibratedLinear) -> int:
+    """Write the next snapshot of ``folder`` (weights: one row per model) and return its number; a number is given once."""
+    line = lambda m: {"features": m.features, "coef": m.coef, "intercept": m.intercept}
+    body = {"weights": {r.model: r.gate_weight for r in weights.collect()}, "base": line(meta.base), "folds": [[line(m), a, b] for m, a, b in meta.folds]}
+    version = max([0, *_versions(spark, folder)]) + 1
+    temp = f"{folder}/_next-{uuid.uuid4().hex}"
+    fs.write_text(spark, temp, json.dumps(body))
+    while not fs.rename(spark, temp, f"{folder}/snapshot-{version:08d}.json"):
+        version += 1
+    return version
+
+
+def _versions(spark: SparkSession, folder: str) -> list[int]:
+    return [int(f.rsplit("-", 1)[1][:8]) for f in fs.list_files(spark, folder, ".json")]
+
+
+def load_snapshot(spark: SparkSession, folder: str, version: int | None = None) -> ScoringSnapshot:
+    """A snapshot of ``folder``, the newest by default."""
+    version = max(_versions(spark, folder)) if version is None else version
+    body = json.loads(fs.read_text(spark, f"{folder}/snapshot-{version:08d}.json"))
+    return ScoringSnapshot(version, body["weights"], CalibratedLinear(LinearModel(**body["base"]), [(LinearModel(**m), a, b) for m, a, b in body["folds"]]))
 
 
 def stream_routing(stream: DataFrame, amount_p95: float, score: str = "fraud_score", amount: str = "TransactionAmt",
