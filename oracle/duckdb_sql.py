@@ -822,3 +822,24 @@ _OVERSAMPLED = """SELECT TransactionID, isFraud FROM pos, hb WHERE pos < train_e
 q("bal1", _OVERSAMPLED.replace("{ratio}", "0.10"), POS)
 q("bal4", _OVERSAMPLED.replace("{ratio}", "0.30"), POS)
 q("src5", "SELECT * FROM (VALUES ('deeper/log', true), ('decoy', false)) v(folder, matches)")
+
+# ============================ out-of-fold coverage, tables, narratives =========================
+#: The rows of all validation windows of the training slice: what an out-of-fold run scores.
+q("spl4", """SELECT CAST(count(*) AS BIGINT) AS n_covered, CAST(coalesce(sum(isFraud), 0) AS BIGINT) AS n_positive
+  FROM pos, hb WHERE EXISTS (
+    SELECT 1 FROM (SELECT unnest(range(0, 5)) AS i) f
+    WHERE pos >= (train_end // 6) * (i + 1) + gap AND pos < least((train_end // 6) * (i + 2) + gap, train_end))""", POS)
+q("prj2", "SELECT " + ", ".join(f"CAST({c} AS FLOAT) AS {c}" if c in ("TransactionAmt", "D1", "D15", "C1", "C13", "C14", "fraud_score", "score_b") else c
+                                for c in ("TransactionID", "TransactionDT", "TransactionAmt", "card1", "addr1", "D1", "D15", "C1", "C13", "C14",
+                                          "isFraud", "fraud_score", "score_b")) + " FROM txn")
+ORACLES["snk4"] = " UNION ALL ".join(
+    f"SELECT '{name}' AS \"table\", CAST(count(*) AS BIGINT) AS n_rows FROM ({ORACLES[of]})"
+    for name, of in (("calibration_bins", "evl7"), ("score_deciles", "agg6"), ("topk", "srt6"), ("policy", "evl10")))
+_TIER = "CASE WHEN fraud_score >= 0.6 THEN 'HIGH' WHEN fraud_score >= 0.35 THEN 'MEDIUM' ELSE 'LOW' END"
+q("xai7", f"""SELECT TransactionID, '## Fraud Risk Assessment' || chr(10) || '**Risk Level: ' || any_value({_TIER}) || '** (Score: '
+    || printf('%.2f', any_value(fraud_score) * 100) || '%)' || chr(10) || chr(10) || '### Key Factors (SHAP):' || chr(10)
+    || string_agg('- **' || feature || '**: ' || CASE WHEN contribution > 0 THEN 'increases' ELSE 'decreases' END
+                  || ' fraud risk (impact: ' || printf('%.4f', abs(contribution)) || ')' || chr(10), '' ORDER BY rank)
+    || chr(10) || '### Local Explanation (LIME):' || chr(10)
+    || string_agg('- ' || feature || ': weight = ' || printf('%.4f', contribution) || chr(10), '' ORDER BY rank) AS narrative
+  FROM ranked WHERE rank <= 5 GROUP BY TransactionID""", POS + "," + XAI)
