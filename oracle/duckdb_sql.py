@@ -843,3 +843,6 @@ q("xai7", f"""SELECT TransactionID, '## Fraud Risk Assessment' || chr(10) || '**
     || chr(10) || '### Local Explanation (LIME):' || chr(10)
     || string_agg('- ' || feature || ': weight = ' || printf('%.4f', contribution) || chr(10), '' ORDER BY rank) AS narrative
   FROM ranked WHERE rank <= 5 GROUP BY TransactionID""", POS + "," + XAI)
+q("set2", """SELECT 'real' AS origin, isFraud, CAST(count(*) AS BIGINT) AS n FROM pos, hb WHERE pos < train_end GROUP BY isFraud
+  UNION ALL SELECT 'synthetic', 1, CAST(floor(0.30::DOUBLE * count(*) FILTER (isFraud <> 1)) AS BIGINT) - count(*) FILTER (isFraud = 1)
+  FROM pos, hb WHERE pos < train_end""", POS)

@@ -294,20 +294,20 @@ def harness_rollup(metrics: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 # --- XAI1 / XAI2: linear meta-contributions ----------------------------------------------
 
-def linear_contribution_table(explain: DataFrame, background: DataFrame, model: LinearModel) -> DataFrame:
+def linear_contribution_table(explain: DataFrame, background: DataFrame, model: LinearModel, by: Sequence[str] = ()) -> DataFrame:
     """XAI1: per meta-feature coefficient, background mean, holdout mean,
-    mean signed / absolute contribution, std (ddof=1) and positive rate."""
+    mean signed / absolute contribution, std (ddof=1) and positive rate; within each group of ``by``, if given."""
     feats = model.features
     bg_mean = background.agg(*[F.avg(f).alias(f) for f in feats]).first()
-    contrib = explain.select(*[((F.col(f) - F.lit(float(bg_mean[f]))) * F.lit(float(w))).alias(f)
+    contrib = explain.select(*by, *[((F.col(f) - F.lit(float(bg_mean[f]))) * F.lit(float(w))).alias(f)
                                for f, w in zip(feats, model.coef)] +
                              [F.col(f).alias(f"_x_{f}") for f in feats])
-    long = contrib.select(F.explode(F.array(*[F.struct(F.lit(f).alias("meta_feature"), F.col(f).alias("c"),
+    long = contrib.select(*by, F.explode(F.array(*[F.struct(F.lit(f).alias("meta_feature"), F.col(f).alias("c"),
                                                           F.col(f"_x_{f}").alias("x"))
-                                                 for f in feats])).alias("s")).select("s.*")
+                                                 for f in feats])).alias("s")).select(*by, "s.*")
     coefs = F.create_map(*[x for f, w in zip(feats, model.coef) for x in (F.lit(f), F.lit(float(w)))])
     means = F.create_map(*[x for f in feats for x in (F.lit(f), F.lit(float(bg_mean[f])))])
-    g = long.groupBy("meta_feature").agg(
+    g = long.groupBy(*by, "meta_feature").agg(
         F.avg("x").alias("holdout_mean_score"), F.avg("c").alias("mean_signed_contribution"),
         F.avg(F.abs("c")).alias("mean_abs_contribution"),
         F.coalesce(F.stddev_samp("c"), F.lit(0.0)).alias("std_contribution"),

@@ -890,11 +890,7 @@ def q_agg8(spark, sf):
     df, bg, hb = _xai_base(spark, sf)
     model = META_MODEL
     hold = FE.extract_time_features(df.filter(F.col("pos") >= hb.test_start))
-    runs = [XP.linear_contribution_table(hold.filter(F.col("day_of_week") == d), bg, model)
-            .withColumn("run", F.lit(d)) for d in range(7)]
-    allr = runs[0]
-    for r in runs[1:]:
-        allr = allr.unionByName(r)
+    allr = XP.linear_contribution_table(hold, bg, model, by=["day_of_week"])
     return _round_all(ST.summarize_contributions(allr.withColumnRenamed("background_mean_score", "background_mean")
                                                  .withColumnRenamed("holdout_mean_score", "holdout_mean")))
 
@@ -1268,6 +1264,6 @@ def q_prj13(spark, sf):
 def q_set2(spark, sf):
     """Real + synthetic rows (KMeans-SMOTE union), tagged by origin."""
     tr, feats = _train_rows(spark, sf)
-    out = BA.smote(tr, feats, "isFraud", 0.30, seed=42, use_clusters=False)
+    out = BA.smote(tr, feats, "isFraud", 0.30, seed=42, use_clusters=True)
     return out.select(F.when(F.col("TransactionID").isNull(), F.lit("synthetic")).otherwise(F.lit("real"))
                       .alias("origin"), "isFraud").groupBy("origin", "isFraud").agg(F.count(F.lit(1)).alias("n"))
