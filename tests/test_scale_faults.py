@@ -92,7 +92,7 @@ def test_streams_over_a_folder_with_null_cards(spark, tmp_path):
     ev = spark.read.parquet(f"{SF_SMALL}/events.parquet")
     ev = ev.withColumn("user_id", F.when(F.col("event_id") % 10 != 0, F.col("user_id")))
     ev.repartition(60).write.parquet(f"{tmp_path}/events.parquet")
-    out, progress = SJ.run_to_table(SF.stream_card_features(SF.txn_stream(spark, str(tmp_path))), "test-folder")
+    out, progress = SJ.run_closed(lambda s: SF.stream_card_features(s, delay="60 days"), SF.txn_stream(spark, str(tmp_path)), "test-folder")
     batch = FE.engineer_velocity(txn(spark, str(tmp_path), with_v=False))
     cols = ["TransactionID", "Card_Tx_Count", "Card_Prior_Txn_Count", "Card_Velocity_7d", "Card_Amt_Std_30d", "Card_Spending_Velocity"]
     got, want = (d.select(*cols).toPandas().set_index("TransactionID").sort_index() for d in (out, batch))
@@ -143,7 +143,7 @@ def test_fidelity_is_the_regression_r2(spark):
 
 
 def test_smote_spreads_and_methods_raise(spark, monkeypatch):
-    monkeypatch.setattr(BA, "PART_ROWS", 10)
+    monkeypatch.setattr(BA, "BLOCK_ROWS", 10)
     big = txn(spark, SF_SMALL, with_v=False)
     n_min, n_maj = BA.class_counts(big)
     out = BA.prepare_training_data(big, ["TransactionAmt", "C1"], strategy=0.3, method="smote")
