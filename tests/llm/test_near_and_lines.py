@@ -170,3 +170,27 @@ def test_quantisation_bounds():
     near = (q.astype(float) @ q.T) * scale[:, None] * scale[None, :]
     bound = kept[:, None] * lost[None, :] + lost[:, None] * kept[None, :] + lost[:, None] * lost[None, :]
     assert (np.abs(near - unit @ unit.T) <= bound + 1e-12).all()
+
+
+def test_embeddings_of_any_length(spark):
+    """Lengths beyond the doubles' squares, and ids that are null or repeated."""
+    from txnwatch.llm.embedding_dedup import near_vectors
+    rows = [(1, [1e200, 1e200]), (2, [1.0, 1.0]), (3, [1e-160, 1e-160]), (4, [5e-324, 0.0]), (5, [1.7e308, 0.0]), (6, [0.0, 0.0]),
+            (None, [2.0, 2.0]), (2, [-3.0, -3.0]), (7, [-1e-300, -1e-300])]
+    got = near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted((r.vec_id is None, r.vec_id or 0, r.n_links, r.component_id) for r in got) == [
+        (False, 1, 3, 1), (False, 2, 1, 2), (False, 2, 3, 1), (False, 3, 3, 1), (False, 4, 1, 4), (False, 5, 1, 4), (False, 6, 0, 6), (False, 7, 1, 2), (True, 0, 3, 1)]
+
+
+@pytest.mark.parametrize("tile", [4096, 40])
+def test_pairs_between_the_bounds(spark, tile):
+    """Many pairs close to the threshold on both sides, which only the second pass can tell."""
+    from txnwatch.llm.embedding_dedup import near_vectors
+    rng = np.random.default_rng(12)
+    base = rng.normal(size=16)
+    x = [base / np.linalg.norm(base) + 0.057 * rng.normal(size=16) for _ in range(150)]
+    u = np.array([v / np.linalg.norm(v) for v in x])
+    want = (u @ u.T >= 0.95).sum(axis=1) - 1
+    assert 0.2 < want.mean() / 149 < 0.8 and np.abs(u @ u.T - 0.95).min() > 1e-9
+    got = {r.vec_id: r.n_links for r in near_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), tile=tile).collect()}
+    assert [got[i] for i in range(150)] == want.tolist()

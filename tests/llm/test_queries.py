@@ -15,13 +15,15 @@ COLUMNS = {
     "op8_language_id": ["doc_id", "held_out", "lang_pred", "score"],
     "op9_minhash_near_dedup": ["doc_id", "n_shingles", "component_id", "kept"],
     "op10_embedding_near_dedup": ["vec_id", "n_links", "component_id", "kept"],
+    "op12_quality_classifier": ["doc_id", "held_out", "score", "predicted"],
+    "op13_importance_resampling": ["doc_id", "n_features", "weight", "score", "rank"],
 }
 
 
 def test_registered():
     import __spark_entry__ as E
-    assert {*COLUMNS, "pipeline"} <= {*E.queries()}
-    assert {"op1_line_dedup", "op3_url_filter"} <= {*E.oracle_sql()}
+    assert {*COLUMNS, "op11_hard_negatives", "pipeline"} <= {*E.queries()}
+    assert {"op1_line_dedup", "op3_url_filter", "op11_hard_negatives", "op13_importance_resampling"} <= {*E.oracle_sql()}
 
 
 @pytest.mark.parametrize("name", COLUMNS)
@@ -34,7 +36,7 @@ def test_columns_and_rows(spark, name):
     assert sorted(r[0] for r in rows) == sorted(r[0] for r in spark.read.parquet(f"{SF}/{source}.parquet").select(df.columns[0]).collect())
 
 
-@pytest.mark.parametrize("name", ["op1_line_dedup", "op3_url_filter"])
+@pytest.mark.parametrize("name", ["op1_line_dedup", "op3_url_filter", "op11_hard_negatives", "op13_importance_resampling"])
 def test_sql(spark, name):
     from tools.oracle_check import TABLES, _rows
     from txnwatch.llm.queries import QUERIES, SQL
