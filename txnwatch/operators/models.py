@@ -27,21 +27,20 @@ from txnwatch.operators.neural import Training
 from txnwatch.operators.scan import compact_for_fit, keyed_expanding, plan_time_chunks
 
 # Fixed hyper-parameter profiles (research / fast) plus a tiny test profile.
-NETS = {"mlp": Training(epochs=15, rate=0.001), "lstm": Training(epochs=12, rate=0.002)}
 PROFILES = {
     "research": {
         "rf": dict(numTrees=500, maxDepth=15),
         "xgb": Boosting(800, 0.03, 8, "level", least_hessian=1.0, l1=0.5, l2=2.0, least_gain=2.0, rows=0.8, columns=0.7, patience=50),
         "lgb": Boosting(800, 0.03, 8, "leaf", leaves=63, least_rows=100, rows=0.8, columns=0.7, patience=50),
         "cat": Boosting(800, 0.03, 8, "symmetric", l2=3.0, patience=50),
-        **NETS,
+        "mlp": Training(epochs=15, rate=0.001), "lstm": Training(epochs=12, rate=0.002),
     },
     "fast": {
         "rf": dict(numTrees=160, maxDepth=12),
         "xgb": Boosting(360, 0.05, 6, "level", least_hessian=1.0, l1=0.5, l2=2.0, least_gain=2.0, rows=0.8, columns=0.7, patience=30),
         "lgb": Boosting(420, 0.05, 7, "leaf", leaves=47, least_rows=100, rows=0.8, columns=0.7, patience=30),
         "cat": Boosting(360, 0.05, 6, "symmetric", l2=3.0, patience=30),
-        **NETS,
+        "mlp": Training(epochs=6, rate=0.001), "lstm": Training(epochs=4, rate=0.002),
     },
     "tiny": {
         "rf": dict(numTrees=10, maxDepth=4),
