@@ -724,6 +724,19 @@ q("doc7", f"""SELECT p.TransactionID,
   FROM pos p LEFT JOIN (SELECT card4, sum(isFraud) AS sy, count(*) AS n FROM pos, hb WHERE pos < train_end GROUP BY card4) s
     ON p.card4 = s.card4,
   (SELECT avg(isFraud) AS prior FROM pos, hb WHERE pos < train_end) pr""", POS)
+q("doc7_folds", f"""SELECT v.TransactionID, v.fold,
+    {R('(coalesce(a.sy, 0) + 10.0 * pr.prior) / (coalesce(a.n, 0) + 10.0)')} AS card4_te,
+    {R('(coalesce(b.sy, 0) + 10.0 * pr.prior) / (coalesce(b.n, 0) + 10.0)')} AS card1_te, d.degree
+  FROM (SELECT p.*, f.fold FROM pos p JOIN f ON p.pos >= f.val_start AND p.pos < f.val_end) v
+  LEFT JOIN (SELECT fold, card4, sum(isFraud) AS sy, count(*) AS n FROM pos JOIN f ON pos < f.train_end GROUP BY ALL) a ON a.fold = v.fold AND a.card4 = v.card4
+  LEFT JOIN (SELECT fold, card1, sum(isFraud) AS sy, count(*) AS n FROM pos JOIN f ON pos < f.train_end GROUP BY ALL) b ON b.fold = v.fold AND b.card1 = v.card1
+  JOIN (SELECT fold, avg(isFraud) AS prior FROM pos JOIN f ON pos < f.train_end GROUP BY ALL) pr ON pr.fold = v.fold
+  JOIN (SELECT TransactionID, CAST(sum(first_seen) OVER (PARTITION BY card1 ORDER BY TransactionDT, TransactionID
+                 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS degree
+        FROM (SELECT *, CASE WHEN row_number() OVER (PARTITION BY card1, card4 ORDER BY TransactionDT, TransactionID) = 1
+                        THEN 1 ELSE 0 END AS first_seen FROM pos)) d ON d.TransactionID = v.TransactionID""", POS + """,
+f AS (SELECT CAST(i AS INTEGER) AS fold, fs * (i + 1) AS train_end, fs * (i + 1) + gap AS val_start, least(fs * (i + 1) + gap + fs, n) AS val_end
+      FROM prm, range(5) r(i) WHERE fs * (i + 1) + gap < n)""")
 q("doc8", f"""SELECT TransactionID,
     {R('CASE WHEN Card_Prior_Txn_Count < 3 THEN (SELECT avg(isFraud) FROM pos, hb WHERE pos < train_end) ELSE score_b END')}
       AS seq_score,

@@ -165,3 +165,28 @@ def test_diagnostic_sample_exact_topk(spark):
     assert got == want
     assert SP.diagnostic_sample(df, 10_000).count() == 5000
     assert SP.diagnostic_sample(df).count() == 5000
+
+
+def test_fold_target_encode_against_brute_force(spark):
+    """Each fold learns from its own training rows only; null and unseen values get its prior, null labels count as rows."""
+    import random
+
+    from txnwatch.operators import encode, split
+    rng = random.Random(3)
+    rows = [(i, rng.choice(["a", "b", "c", None, f"only{i}"]), rng.choice([1, 2, None]), rng.choice([0, 1, None])) for i in range(90)]
+    df = spark.createDataFrame(rows, "pos long, x string, y int, isFraud int")
+    folds = split.walk_forward_folds(len(rows), 4, 3)
+    got = {(r.pos, r.fold): (r.x_te, r.y_te) for r in encode.fold_target_encode(df, ["x", "y"], "isFraud", folds).collect()}
+    want = {}
+    for f in folds:
+        train = [r for r in rows if r[0] < f.train_end]
+        known = [r[3] for r in train if r[3] is not None]
+        prior = sum(known) / len(known)
+        for r in rows:
+            if f.val_start <= r[0] < f.val_end:
+                own = [[t for t in train if r[k] is not None and t[k] == r[k]] for k in (1, 2)]
+                want[r[0], f.fold] = tuple((sum(t[3] or 0 for t in o) + 10 * prior) / (len(o) + 10) for o in own)
+    assert got.keys() == want.keys() and len(want) > 50
+    assert all(abs(a - b) < 1e-12 for k in want for a, b in zip(got[k], want[k]))
+    empty = encode.fold_target_encode(df.limit(0), ["x"], "isFraud", split.walk_forward_folds(0, 4, 3))
+    assert empty.count() == 0 and "x_te" in empty.columns

@@ -125,3 +125,41 @@ def target_encode(df: DataFrame, col: str, label: str, fit: Column | None = None
     te = (F.coalesce(F.col("_sy"), F.lit(0.0)) + F.lit(smoothing) * F.col("_prior")) / (
         F.coalesce(F.col("_n"), F.lit(0)) + F.lit(smoothing))
     return j.withColumn(out_col, te).drop("_sy", "_n", "_prior")
+
+
+def fold_target_encode(df: DataFrame, cols: Sequence[str], label: str, folds: Sequence, pos: str = "pos", smoothing: float = 10.0) -> DataFrame:
+    """DOC7: the validation rows of every walk-forward fold (``fold``), each of ``cols`` encoded (``<col>_te``) as that fold's
+    training rows alone allow; null and unseen values get the fold's prior, rows of no fold go.
+
+    All folds and columns share one scan: rows are summed by value and the first fold that trains on them, and as training
+    sets only grow, a sum counts for that fold and all later ones.  So the tables joined have at most
+    one row per value and fold, however many rows the folds have.
+    """
+    ends = sorted((f.train_end, f.fold) for f in folds)
+    if not ends:
+        out = df.withColumn("fold", F.lit(None).cast("int")).limit(0)
+        return out.withColumns({f"{c}_te": F.lit(None).cast("double") for c in cols})
+    order = {fold: k for k, (_, fold) in enumerate(ends)}
+    since = F.lit(len(ends))
+    for k in reversed(range(len(ends))):
+        since = F.when(F.col(pos) < ends[k][0], F.lit(k)).otherwise(since)
+    later = F.explode(F.sequence(F.col("_since"), F.lit(len(ends) - 1))).alias("_k")
+    sums = [F.sum(F.col(label).cast("double")).alias("_sy"), F.count(F.lit(1)).alias("_n"), F.count(label).alias("_known")]
+    trained = df.withColumn("_since", since).filter(F.col("_since") < len(ends))
+    # the empty name holds the totals, for the priors
+    values = F.explode(F.array(F.struct(F.lit("").alias("c"), F.lit("").alias("v")), *[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in cols]))
+    stats = (trained.select("_since", label, values.alias("_x")).select("_since", label, "_x.c", "_x.v").filter("v is not null")
+             .groupBy("c", "v", "_since").agg(*sums)
+             .select("c", "v", "_sy", "_n", "_known", later)
+             .groupBy("c", "v", "_k").agg(F.sum("_sy").alias("_sy"), F.sum("_n").alias("_n"), F.sum("_known").alias("_known")))
+    stats = stats.withColumn("_prior", F.col("_sy") / F.col("_known"))
+    arr = F.array(*[F.struct(F.lit(f.fold).cast("int").alias("fold"), F.lit(order[f.fold]).alias("k"), F.lit(f.val_start).alias("a"), F.lit(f.val_end).alias("b")) for f in folds])
+    member = F.filter(arr, lambda f: (F.col(pos) >= f["a"]) & (F.col(pos) < f["b"]))
+    out = df.withColumn("_f", F.explode(member)).withColumns({"fold": F.col("_f.fold"), "_k": F.col("_f.k")}).drop("_f")
+    out = out.join(F.broadcast(stats.filter("c = ''").select("_k", "_prior")), "_k", "left")  # a row per fold
+    for c in cols:
+        own = stats.filter(F.col("c") == c).select(F.col("_k").alias("_fk"), F.col("v").alias("_v"), "_sy", "_n")
+        out = out.join(own, (F.col("_k") == F.col("_fk")) & (F.col(c).cast("string") == F.col("_v")), "left")
+        te = (F.coalesce("_sy", F.lit(0.0)) + F.lit(smoothing) * F.col("_prior")) / (F.coalesce("_n", F.lit(0)) + F.lit(smoothing))
+        out = out.withColumn(f"{c}_te", te).drop("_fk", "_v", "_sy", "_n")
+    return out.drop("_k", "_prior")

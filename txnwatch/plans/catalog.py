@@ -1198,6 +1198,15 @@ def q_doc7(spark, sf):
     return _round_all(te.select("TransactionID", "card4_te"))
 
 
+@register("doc7_folds")
+def q_doc7_folds(spark, sf):
+    """Two columns encoded by each fold's own training rows, and the account's degree so far."""
+    df, n = _positioned(spark, sf)
+    past = FE.distinct_counterparties(df, "card1", "card4", out_col="degree")
+    out = EN.fold_target_encode(past, ["card4", "card1"], "isFraud", SP.walk_forward_folds(n, gap=QUERY_GAP))
+    return _round_all(out.select("TransactionID", "fold", "card4_te", "card1_te", "degree"))
+
+
 @register("doc8")
 def q_doc8(spark, sf):
     df, fit = _fit_rows(spark, sf)
