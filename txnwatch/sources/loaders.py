@@ -8,12 +8,13 @@ import math
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from txnwatch.operators.encode import factorize
 from txnwatch.operators.scan import add_global_position
+from txnwatch.session import cut_lineage
 from txnwatch.sources import fs
 
 # PaySim column contract and candidate file names.
@@ -146,19 +147,20 @@ def discover_by_schema(spark: SparkSession, data_dir: str, required: Sequence[st
     return first.select("path", ok.alias("matches"))
 
 
-def with_file_order(df: DataFrame, out_cols: tuple[str, str, str] = ("_file_rank", "_file_block", "_file_row")
-                    ) -> DataFrame:
-    """Attach a total order equal to the rows' order in the files: rank of the
-    file path (one row per file, joined back), byte offset of the split, and
-    a per-split increasing id.  A file scan bin-packs splits by size, so
-    partition order alone is not file order."""
-    rank_c, block_c, row_c = out_cols
-    meta = df.select("*", F.col("_metadata.file_path").alias("_fp"),
-                     F.col("_metadata.file_block_start").alias(block_c),
-                     F.monotonically_increasing_id().alias(row_c))
-    files = meta.select("_fp").distinct()
-    ranked = add_global_position(files, order_cols=("_fp",), pos_col=rank_c, rows_per_bucket=1 << 40)
-    return meta.join(ranked, "_fp").drop("_fp")
+def with_file_position(df: DataFrame, pos_col: str = "_fpos") -> DataFrame:
+    """Attach each row's 0-based position in the files: by file path, then byte offset of the split, then order in the split.
+
+    A file scan bin-packs splits by size, so partition order alone is not file order; but the rows of a split come one
+    after the other in one partition.  So a split's rows are counted (one row per split), the splits before it give its
+    offset, and the increasing id less the split's least one the place in it: no sort of the rows.
+    """
+    meta = df.select("*", F.col("_metadata.file_path").alias("_fp"), F.col("_metadata.file_block_start").alias("_fb"),
+                     F.monotonically_increasing_id().alias("_fr"))
+    splits = cut_lineage(meta.groupBy("_fp", "_fb").agg(F.count(F.lit(1)).alias("_fn"), F.min("_fr").alias("_f0")))
+    before = Window.orderBy("_fp", "_fb").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = splits.select("_fp", "_fb", (F.coalesce(F.sum("_fn").over(before), F.lit(0)) - F.col("_f0")).alias("_fo"))
+    return (meta.join(F.broadcast(offsets), ["_fp", "_fb"])  # a row per split of the files
+            .withColumn(pos_col, F.col("_fo") + F.col("_fr")).drop("_fp", "_fb", "_fr", "_fo"))
 
 
 def first_files(files: Sequence[str], max_rows: int, count) -> list[str]:
@@ -196,11 +198,10 @@ def load_paysim(spark: SparkSession, data_dir: str, max_rows: int | None = None,
     reader = spark.read.schema(schema).option("header", True)
     if max_rows is not None:
         own = first_files(own, max(1, max_rows), lambda some: reader.csv(list(some)).count())
-    raw = with_file_order(reader.csv(path if max_rows is None else own))
-    raw = add_global_position(raw, order_cols=("_file_rank", "_file_block", "_file_row"), pos_col="_fpos")
+    raw = with_file_position(reader.csv(path if max_rows is None else own))
     if max_rows is not None:
         raw = raw.filter(F.col("_fpos") < max_rows)
-    raw = raw.withColumn("TransactionID", F.col("_fpos") + 1).drop("_file_rank", "_file_block", "_file_row", "_fpos")
+    raw = raw.withColumn("TransactionID", F.col("_fpos") + 1).drop("_fpos")
     return canonicalize_paysim(raw, order_col="TransactionID", preserve_ids=True, step_block_size=step_block_size)
 
 
