@@ -44,3 +44,49 @@ def test_file_positions_of_split_files_need_no_sort_of_rows(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     assert [got[i] for i in range(len(got))] == want
     assert "Exchange rangepartitioning" not in plan and "Exchange hashpartitioning" not in plan
+
+
+def _brute(x, row, y, other, k):
+    d2 = ((x[:, None, :] - y[None, :, :]) ** 2).sum(axis=2)
+    want = {}
+    for i, r in enumerate(row):
+        found = sorted((d2[i, j], o) for j, o in enumerate(other) if o != r)[:k]
+        want[r] = [(o, d) for d, o in found]
+    return want, np.sqrt(d2).sum()
+
+
+@pytest.mark.parametrize("case", ["spread", "ties", "equal", "few", "apart"])
+def test_tile_neighbours_equal_brute_force(case):
+    from txnwatch.operators import balance as BA
+    rng = np.random.default_rng(3)
+    x = {"spread": rng.normal(size=(300, 13)) * 100, "ties": rng.integers(0, 3, (300, 4)).astype(float), "equal": np.full((90, 5), 7.25),
+         "few": rng.normal(size=(3, 2)), "apart": np.where(rng.random((300, 6)) < 0.3, -999.0, rng.integers(0, 2, (300, 6)) * 0.01)}[case]
+    rows = np.arange(len(x)) + 40
+    half = len(x) // 2
+    for a, b in ((slice(None), slice(None)), (slice(0, half), slice(half, None)), (slice(half, None), slice(0, half))):
+        own, other, d2, total = BA._nearest_in_tile(x[a], rows[a], x[b], rows[b], 5, True)
+        got = {}
+        for r, o, d in zip(*(np.concatenate(v) for v in (own, other, d2))):
+            got.setdefault(r, []).append((o, d))
+        want, far = _brute(x[a], rows[a], x[b], rows[b], 5)
+        assert got == {r: v for r, v in want.items() if v}
+        assert total == pytest.approx(far, rel=1e-9, abs=1e-12)
+    if case == "equal":
+        assert total == 0
+
+
+def test_tiles_are_faster_than_pairwise_differences():
+    import time
+
+    from txnwatch.operators import balance as BA
+    x = np.random.default_rng(1).normal(size=(1500, 13))
+    rows = np.arange(len(x))
+    t0 = time.perf_counter()
+    BA._nearest_in_tile(x, rows, x, rows, 5, True)
+    mine = time.perf_counter() - t0
+    t0 = time.perf_counter()
+    for s in range(0, len(x), 32):  # as it was done before
+        d2 = ((x[s:s + 32][:, None, :] - x[None, :, :]) ** 2).sum(axis=2)
+        np.sqrt(d2).sum()
+        np.argsort(d2, axis=1, kind="stable")
+    assert mine < (time.perf_counter() - t0) / 2
