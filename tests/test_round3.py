@@ -90,3 +90,86 @@ def test_tiles_are_faster_than_pairwise_differences():
         np.sqrt(d2).sum()
         np.argsort(d2, axis=1, kind="stable")
     assert mine < (time.perf_counter() - t0) / 2
+
+
+class _Handle:
+    """State of one key in memory, counting the calls."""
+
+    def __init__(self):
+        self.calls, self.timers = 0, []
+
+    def _state(self):
+        outer = self
+
+        class State:
+            def __init__(self):
+                self.d = {}
+
+            def __getattribute__(self, name):
+                if name in ("getValue", "updateValue", "removeKey", "keys", "iterator", "clear", "exists", "get", "update"):
+                    outer.calls += 1
+                return object.__getattribute__(self, name)
+
+            def getValue(self, k):
+                return self.d.get(k)
+
+            def updateValue(self, k, v):
+                self.d[k] = v
+
+            def removeKey(self, k):
+                del self.d[k]
+
+            def keys(self):
+                return iter(list(self.d))
+
+            def iterator(self):
+                return iter(list(self.d.items()))
+
+            def clear(self):
+                self.d = {}
+
+            def exists(self):
+                return bool(self.d)
+
+            def get(self):
+                return self.d.get("v")
+
+            def update(self, v):
+                self.d["v"] = v
+        return State()
+
+    def getMapState(self, *_):
+        return self._state()
+
+    def getValueState(self, *_):
+        return self._state()
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+
+@pytest.mark.parametrize("most", [1, 7, 10_000])
+def test_released_buckets_come_in_order_whatever_shares_a_frame(monkeypatch, most):
+    import pandas as pd
+
+    from txnwatch.streaming import features as SF
+    monkeypatch.setattr(SF, "RELEASE_ROWS", most)
+    rng = np.random.default_rng(5)
+    day = rng.integers(0, 20, 90)
+    pdf = pd.DataFrame({"ms": day * 86_400_000 + 5, "TransactionDT": day * 86400, "TransactionID": np.arange(90), "TransactionAmt": rng.random(90)})
+
+    def features(parts, marks):
+        h, card = _Handle(), SF.CardState()
+        card.init(h)
+        out = []
+        for part, mark in zip(parts, marks):
+            card.handleInputRows(("7",), iter([part] if len(part) else []), None)
+            out += list(card.handleExpiredTimer(("7",), type("T", (), {"getCurrentWatermarkInMs": lambda self, m=mark: m})(), None))
+        return h, pd.concat(out).reset_index(drop=True)
+
+    h, got = features([pdf[:50], pdf[50:], pdf[:0]], [0, 10 * 86_400_000, 10**15])
+    want = SF._vectorized_batch(("7",), pdf.sort_values(["TransactionDT", "TransactionID"]), (0, 0, 0.0, 0.0, []))[0]
+    pd.testing.assert_frame_equal(got, want.reset_index(drop=True), rtol=1e-9, atol=1e-9)
+    if most > 90:
+        once, _ = features([pdf], [10**15])
+        assert once.calls < 40  # 4 calls a bucket before: held, written, read again, removed

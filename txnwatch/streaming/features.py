@@ -2,10 +2,10 @@
 
 STR1 is a ``StatefulProcessor`` per card.  Rows may come in any order within the watermark's delay:
 they wait in map state, one entry for each ``BUCKET`` of event time, and an event-time timer releases
-the buckets whose end the watermark has passed.  Released rows are taken in (time, id) order against two values of state,
+the buckets whose end the watermark has passed, ``RELEASE_ROWS`` and a bucket at most in a frame.  Released rows are taken in (time, id) order against two values of state,
 the moments (count, Welford mean and M2) and the ring of the last 30 amounts.  So results don't
 depend on which files share a micro-batch, they equal the batch operators WIN1/2/6/7/8, and of a card with any
-number of rows only a bucket's are ever in one frame.  Rows older than the watermark are dropped by
+number of rows only so many are ever in one frame.  Rows older than the watermark are dropped by
 Spark; rows without a card are no entity and pass by the state, as in the batch.
 
 A stream that has an end gets a closing marker (:func:`closing_marker`): a row of the far future that moves
@@ -34,6 +34,8 @@ SPENDING = 10
 
 #: Seconds of event time that wait, and are released, together.
 BUCKET = 86400
+#: Released buckets, one after the other, share a frame until it has so many rows; a key with no more rows waiting is read at once.
+RELEASE_ROWS = 10_000
 #: Event time of a closing marker.
 FAR = "2200-01-01 00:00:00"
 
@@ -89,34 +91,68 @@ class ReleasedByTime(StatefulProcessor):
     def wait(self, handle: StatefulProcessorHandle, columns: str) -> None:
         self.handle = handle
         self.waiting = handle.getMapState("waiting", "bucket long", columns)
-        self.timer = handle.getValueState("timer", "at long")
+        self.timer = handle.getValueState("timer", "at long, n_rows long")  # set while rows wait
 
     def hold(self, buckets: dict[int, tuple]) -> None:
         """Add rows, given as columns by bucket."""
+        at, n = self.timer.get() if self.timer.exists() else (None, 0)
         for b, fresh in buckets.items():
-            held = self.waiting.getValue((b,))
+            held = self.waiting.getValue((b,)) if n else None
             self.waiting.updateValue((b,), fresh if held is None else tuple([*x, *y] for x, y in zip(held, fresh)))
         first = (min(buckets) + 1) * BUCKET * 1000
-        if not self.timer.exists() or first < self.timer.get()[0]:
+        if at is None or first < at:
             self.handle.registerTimer(first)
-            self.timer.update((first,))
+            at = first
+        self.timer.update((at, n + sum(len(x[0]) for x in buckets.values())))
 
-    def due(self, watermark: int) -> list[int]:
-        """The buckets to release, in order; the timer moves on to the first of the others."""
-        all_ = sorted(k[0] for k in self.waiting.keys())
+    def released(self, watermark: int) -> Iterator[tuple]:
+        """The rows of the buckets that the watermark has passed, as columns with the bucket first, in order of
+        buckets and some of them together; the timer moves on to the first of the others."""
+        if not self.timer.exists():
+            return
+        n = self.timer.get()[1]
+        known = {k[0]: v for k, v in self.waiting.iterator()} if n <= RELEASE_ROWS else None
+        all_ = sorted(known if known is not None else (k[0] for k in self.waiting.keys()))
         due = [b for b in all_ if (b + 1) * BUCKET * 1000 <= watermark]
-        if due and len(due) < len(all_):
+        if not due:
+            return
+        at_once = known is not None and len(due) == len(all_)
+        if at_once:
+            self.waiting.clear()
+        group: list[list] = []
+        for b in due:
+            rows = known[b] if known is not None else self.waiting.getValue((b,))
+            if not at_once:
+                self.waiting.removeKey((b,))
+            own = ([b] * len(rows[0]), *rows)
+            n -= len(rows[0])
+            group = [[*x, *y] for x, y in zip(group, own)] if group else [list(x) for x in own]
+            if len(group[0]) >= RELEASE_ROWS:
+                yield tuple(group)
+                group = []
+        if group:
+            yield tuple(group)
+        if len(due) < len(all_):
             then = (all_[len(due)] + 1) * BUCKET * 1000
             self.handle.registerTimer(then)
-            self.timer.update((then,))
-        elif due:
+            self.timer.update((then, n))
+        else:
             self.timer.clear()
-        return due
 
     def close(self) -> None:
         pass
 
 
+def by_bucket(ms: pd.Series, *columns: list) -> dict[int, tuple]:
+    """Columns of rows dealt to the buckets of their event times (milliseconds), in the order they come in."""
+    out: dict[int, tuple] = {}
+    for i, b in enumerate((ms.to_numpy() // (BUCKET * 1000)).tolist()):
+        own = out.setdefault(b, tuple([] for _ in columns))
+        for x, c in zip(own, columns):
+            x.append(c[i])
+    return out
+
+
 class CardState(ReleasedByTime):
     """Expanding and rolling statistics of one card, its rows released by event time."""
 
@@ -127,26 +163,22 @@ class CardState(ReleasedByTime):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         for pdf in rows:  # Arrow batches of bounded size
-            fresh = {}
-            for b, own in pdf.groupby(pdf["ms"] // (BUCKET * 1000)):
-                amt = [None if math.isnan(v) else v for v in own["TransactionAmt"].to_numpy(dtype=float).tolist()]
-                fresh[int(b)] = (own["TransactionDT"].astype("int64").tolist(), own["TransactionID"].astype("int64").tolist(), amt)
-            self.hold(fresh)
+            amt = [None if math.isnan(v) else v for v in pdf["TransactionAmt"].to_numpy(dtype=float).tolist()]
+            self.hold(by_bucket(pdf["ms"], pdf["TransactionDT"].astype("int64").tolist(), pdf["TransactionID"].astype("int64").tolist(), amt))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        """All buckets that the watermark has passed, in order, one frame each."""
-        due = self.due(timerValues.getCurrentWatermarkInMs())
-        if not due:
-            return
-        moments = self.moments.get() if self.moments.exists() else (0, 0, 0.0, 0.0)
-        ring = self.ring.get()[0] if self.ring.exists() else []
-        for b in due:
-            dt, ids, amt = self.waiting.getValue((b,))
-            self.waiting.removeKey((b,))
-            pdf = pd.DataFrame({"TransactionDT": list(dt), "TransactionID": list(ids), "TransactionAmt": pd.Series(list(amt), dtype="float64")})
+        """All buckets that the watermark has passed, in order."""
+        moments = None
+        for _, dt, ids, amt in self.released(timerValues.getCurrentWatermarkInMs()):
+            if moments is None:
+                moments = self.moments.get() if self.moments.exists() else (0, 0, 0.0, 0.0)
+                ring = self.ring.get()[0] if self.ring.exists() else []
+            pdf = pd.DataFrame({"TransactionDT": dt, "TransactionID": ids, "TransactionAmt": pd.Series(amt, dtype="float64")})
             out, (*moments, ring) = _vectorized_batch(key, pdf.sort_values(["TransactionDT", "TransactionID"]), (*moments, ring))
             yield out
+        if moments is None:
+            return
         self.moments.update(tuple(moments))
         self.ring.update((list(ring),))
 

@@ -24,7 +24,7 @@ from txnwatch.operators.models import CalibratedLinear, LinearModel
 from txnwatch.session import checkpoint_dir
 from txnwatch.sources import fs
 from txnwatch.streaming.adwin import Adwin
-from txnwatch.streaming.features import BUCKET, FAR, ReleasedByTime, closing_marker
+from txnwatch.streaming.features import FAR, ReleasedByTime, by_bucket, closing_marker
 
 # --- runner --------------------------------------------------------------------------------
 
@@ -133,37 +133,37 @@ class ClientHistory(ReleasedByTime):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         for pdf in rows:
-            fresh = {}
-            for b, own in pdf.groupby(pdf["ms"] // (BUCKET * 1000)):
-                amt = [None if math.isnan(v) else v for v in own["TransactionAmt"].to_numpy(dtype=float).tolist()]
-                fresh[int(b)] = (*(own[c].astype("int64").tolist() for c in ("TransactionDT", "TransactionID", "uid")), amt,
-                         [[None if v is None or math.isnan(v) else float(v) for v in s] for s in own["scores"]])
-            self.hold(fresh)
+            amt = [None if math.isnan(v) else v for v in pdf["TransactionAmt"].to_numpy(dtype=float).tolist()]
+            scores = [[None if v is None or math.isnan(v) else float(v) for v in s] for s in pdf["scores"]]
+            self.hold(by_bucket(pdf["ms"], *(pdf[c].astype("int64").tolist() for c in ("TransactionDT", "TransactionID", "uid")), amt, scores))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        due = self.due(timerValues.getCurrentWatermarkInMs())
-        if not due:
-            return
-        n = self.seen.get()[0] if self.seen.exists() else 0
-        for b in due:
-            rows = sorted(zip(*self.waiting.getValue((b,))), key=lambda r: r[:2])
-            self.waiting.removeKey((b,))
-            out, known = [], {}  # the bucket's clients: the day of their last row
-            for _, i, uid, amt, scores in rows:
+        n, last_day = None, None
+        for group in self.released(timerValues.getCurrentWatermarkInMs()):
+            if n is None:
+                n = self.seen.get()[0] if self.seen.exists() else 0
+                any_client = n > 0
+            out, known = [], {}  # the group's clients: the day of their last row
+            for b, _, i, uid, amt, scores in sorted(zip(*group), key=lambda r: r[:3]):
                 if uid not in known:
-                    last = self.clients.getValue((uid,))
-                    known[uid] = None if last is None or (self.ttl_days and b - last[0] > self.ttl_days) else last[0]
-                out.append((i, amt, list(scores), n if str(key[0]).startswith("c") else None, int(known[uid] is None)))
-                known[uid] = b
+                    last = self.clients.getValue((uid,)) if any_client else None
+                    known[uid] = None if last is None else last[0]
+                last = known[uid]
+                fresh = last is None or (self.ttl_days and b - last > self.ttl_days)
+                out.append((i, amt, list(scores), n if str(key[0]).startswith("c") else None, int(bool(fresh))))
+                known[uid] = last_day = b
                 n += 1
-            for uid in known:
-                self.clients.updateValue((uid,), (b,))
+            any_client = True
+            for uid, day in known.items():
+                self.clients.updateValue((uid,), (day,))
             pdf = pd.DataFrame(out, columns=HISTORY_OUT.fieldNames())
             yield pdf.astype({"Card_Prior_Txn_Count": "Int64", "is_new_client": "int32"})
+        if n is None:
+            return
         self.seen.update((n,))
         if self.ttl_days:
-            for uid in [k[0] for k, v in self.clients.iterator() if due[-1] - v[0] > self.ttl_days]:
+            for uid in [k[0] for k, v in self.clients.iterator() if last_day - v[0] > self.ttl_days]:
                 self.clients.removeKey((uid,))
 
 
