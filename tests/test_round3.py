@@ -173,3 +173,18 @@ def test_released_buckets_come_in_order_whatever_shares_a_frame(monkeypatch, mos
     if most > 90:
         once, _ = features([pdf], [10**15])
         assert once.calls < 40  # 4 calls a bucket before: held, written, read again, removed
+
+
+def test_groups_of_several_blocks_grow_in_tasks_of_their_own(spark, monkeypatch):
+    from txnwatch.operators import boosting as B
+    monkeypatch.setattr(B, "BLOCK_ROWS", 64)
+    monkeypatch.setattr(B, "_SharedRows", None)  # no step of its own job
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(400, 2)).round(2)  # few equal gains, which rounding would decide
+    y = (x[:, 0] - x[:, 1] + rng.normal(0, 1, 400) > 0).astype(int)
+    df = spark.createDataFrame([(float(a), float(b), int(c)) for (a, b), c in zip(x, y)], "x0 double, x1 double, isFraud int")
+    p = B.Boosting(12, 0.3, 3, "leaf", 5, least_rows=5, rows=0.8, patience=3)
+    (alone,) = B.fit_boosters({0: (df.filter("x1 < 1"), df.filter("x1 >= 1"), ["x0", "x1"])}, [(0, p, 1)])
+    monkeypatch.undo()
+    (shared,) = B.fit_boosters({0: (df.filter("x1 < 1"), df.filter("x1 >= 1"), ["x0", "x1"])}, [(0, p, 1)], block_rows=64)
+    assert len(alone.value) == len(shared.value) > 0 and np.allclose(alone.losses, shared.losses)
